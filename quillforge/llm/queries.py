@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillforge.llm import substring_dedup
+from quillforge.llm import dart_minhash, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op6_dart_minhash": dart_minhash.op6_dart_minhash,
 }
 
 ORACLE_SQL = {
