@@ -7,20 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillforge.session import ship_package, table  # noqa: F401
+
 #: Words as the result contracts define them: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tuned(spark: SparkSession, rows: int = 512) -> None:
     """Documents can be long: keep Arrow batches to a few hundred rows, so that a Python task's memory stays bounded."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one set here where it is unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

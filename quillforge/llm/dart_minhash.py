@@ -207,8 +207,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay: the one with the smallest doc_id of each class; rows with a null doc_id or text all stay."""
     classes = near_duplicates(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(classes, F.col("doc_id") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).union(docs.where("doc_id IS NULL OR text IS NULL"))
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(*docs.columns).alias("row"), "doc_id")
+    known = known.join(classes, F.col("doc_id") == F.col("kept_id")).dropDuplicates(["doc_id"])
+    return known.select("row.*").union(docs.where("doc_id IS NULL OR text IS NULL"))
 
 
 def op6_dart_minhash(spark, sf_dir: str) -> DataFrame:

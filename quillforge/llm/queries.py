@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quillforge.llm import dart_minhash, substring_dedup
+from quillforge.llm import dart_minhash, mixing, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_mixing": mixing.op4_mixing,
     "op6_dart_minhash": dart_minhash.op6_dart_minhash,
 }
 
 ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
 }
