@@ -55,3 +55,12 @@ def range_bucket(col: Column, bounds: list) -> Column:
         return F.when(col.isNull(), F.lit(1)).otherwise(F.lit(0))
     cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
     return F.when(col.isNull(), F.lit(len(bounds) + 1)).otherwise(F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(b <= col, 1).otherwise(0)))
+
+
+#: Rows of at most three longs that are sent to every executor at once: about 25 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """keys (a written table of ids) with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that, as it is."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillforge.llm import dart_minhash, mixing, substring_dedup, toxicity
+from quillforge.llm import dart_minhash, decontamination, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_spaced_seeds": decontamination.op2_spaced_seeds,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op6_dart_minhash": dart_minhash.op6_dart_minhash,
