@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.llm import dart_minhash, decontamination, mixing, substring_dedup, token_counts, token_files, toxicity, winnowing
+from quillforge.llm import dart_minhash, decontamination, licenses, mixing, substring_dedup, token_counts, token_files, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op6_dart_minhash": dart_minhash.op6_dart_minhash,
+    "op7_license_index": licenses.op7_license_index,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_token_files": token_files.op10_token_files,
