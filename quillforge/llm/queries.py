@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillforge.llm import dart_minhash, decontamination, licenses, mixing, substring_dedup, token_counts, token_files, toxicity, winnowing
+from quillforge.llm import dart_minhash, decontamination, licenses, mixing, pii, substring_dedup, token_counts, token_files, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_spaced_seeds": decontamination.op2_spaced_seeds,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_semi_markov": pii.op5_semi_markov,
     "op6_dart_minhash": dart_minhash.op6_dart_minhash,
     "op7_license_index": licenses.op7_license_index,
     "op8_winnowing": winnowing.op8_winnowing,
