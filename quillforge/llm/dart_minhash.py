@@ -8,10 +8,12 @@ coordinate is still empty. Two documents agree on a coordinate with a probabilit
 
 BANDS bands of ROWS coordinates are joined. At similarity 0.8 a pair shares no band with probability 3e-6.
 
-No group is expanded into pairs. Equal texts collapse to one node. In the first round each node is paired with the
-smallest node of each of its buckets only; exact similarities are computed for pairs whose signatures agree enough, and
-links form classes. Then only buckets that still hold several classes are looked at again, and nodes of different classes
-in them are compared, so that no link between different texts is lost to the shortcut.
+No group is expanded into pairs. Equal texts collapse to one node. In the first round each node is paired only with the
+hub of each of its buckets, the node that shares most buckets with others; exact similarities are computed for pairs whose
+signatures agree enough, and links form classes. Then only buckets that still hold several classes are looked at again,
+and nodes of different classes in them are compared, so that no link between different texts is lost to the shortcut. In
+large buckets a bound decides first which of these pairs can be links at all: shingles that no other node there has
+cannot be shared, so two texts of a and b shingles of which u and v are such overlap in at most min(a - u, b - v).
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import text_np as N
-from quillforge.llm.common import stage_table, table, tuned
+from quillforge.llm.common import sent_if_small, shuffle_partitions, stage_table, table, tuned
 
 U64 = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES, BANDS, ROWS = 256, 42, 6
 #: A pair of similarity 0.8 has an estimate below this with probability under 1e-11.
 LEAST_ESTIMATE = 0.62
+#: Buckets of more nodes than this get the bound on overlaps before their nodes are paired.
+LARGE_BUCKET = 32
 _STEP, _UNIT = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
@@ -136,6 +140,12 @@ def _verify(threshold: float):
     return run
 
 
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [x.view(np.int64) for x in _unit_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "units"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the undirected edges (a, b). Labels spread to neighbours and then
     jump along themselves; every round is a written table, and only a count of changes comes to the driver."""
@@ -167,29 +177,52 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = sketches.join(copies, (sketches.copy_key == copies.copy_key) & (sketches.doc_id == copies.node)).where("n_units > 0").select("node", "signature")
 
     bands = stage_table(nodes.mapInArrow(_band_keys, "node long, keys array<long>").select("node", F.explode("keys").alias("band")), "bands")
-    buckets = bands.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("band", "lead")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     filled = stage_table(bands.join(buckets, "band"), "buckets")
+    shared = filled.groupBy("node").agg(F.sum("in_bucket").alias("shared"))
+    hubs = filled.join(shared, "node").groupBy("band").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("hub"))
 
-    tokens = sketches.select(F.col("doc_id").alias("node"), "signature").dropDuplicates(["node"])
+    tokens = sketches.select(F.col("doc_id").alias("node"), "signature", "n_units").dropDuplicates(["node"])
     texts = known.select(F.col("doc_id").alias("node"), "text")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         a = tokens.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
         b = tokens.select(F.col("node").alias("b"), F.col("signature").alias("signature_b"))
         likely = stage_table(pairs.join(a, "a").join(b, "b").mapInArrow(_agree, "a long, b long"), f"{name}-likely")
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        ids = stage_table(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids")
+        needed = texts.join(sent_if_small(ids), "node", "left_semi")
+        a = needed.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = needed.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return stage_table(likely.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long, similarity double"), f"{name}-links")
 
-    star = stage_table(filled.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    star = filled.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    star = stage_table(star, "star")
     links = linked(star, "star")
     labels = components(links)
 
-    labelled = filled.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    labelled = filled.join(labels, "node", "left").select("band", "node", "in_bucket", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rest = labelled.join(split, "band")
-    x, y = rest.select("band", F.col("node").alias("a"), F.col("label").alias("label_a")), rest.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = x.join(y, "band").where("label_a <> label_b AND a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = stage_table(labelled.join(split, "band"), "rest")
+
+    large = rest.where(F.col("in_bucket") > LARGE_BUCKET)
+    ids = stage_table(large.select("node").distinct(), "large-ids")
+    # dealt out evenly first: texts of one large group may lie close together in the input
+    rows = texts.join(sent_if_small(ids), "node", "left_semi").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_unit_rows, "node long, units array<long>").select("node", F.explode(F.array_distinct("units")).alias("unit")).distinct()
+    alone = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    extents = stage_table(ids.join(tokens, "node").join(alone, "node", "left").select("node", "n_units", (F.col("n_units") - F.coalesce("own", F.lit(0))).alias("shareable")), "extents")
+    large = large.join(extents, "node")
+
+    def sides(part: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(part.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), *(F.col(e).alias(f"{e}_{x}") for e in extra)) for x in "ab")
+
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b"))
+    overlap = F.least("shareable_a", "shareable_b")
+    possible = overlap * (1 + threshold) >= threshold * (F.col("n_units_a") + F.col("n_units_b")) - 1e-6
+    x, y = sides(rest.where(F.col("in_bucket") <= LARGE_BUCKET))
+    few = x.join(y, (x.band == y.band) & apart).select("a", "b")
+    x, y = sides(large, "n_units", "shareable")
+    many = x.join(y, (x.band == y.band) & apart & possible).select("a", "b")
+    across = few.union(many).distinct().join(star, ["a", "b"], "left_anti")
     labels = components(links.union(linked(across, "across")))
 
     member = member.join(labels, "node", "left").select("doc_id", "copy_key", "n_units", F.coalesce("label", "node").alias("class_id"))
