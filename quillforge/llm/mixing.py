@@ -8,7 +8,7 @@ taken until the words asked for are reached.
 
 A source can hold a third of all rows, so ranks are never sorted in one task: words are summed over SLICES slices of the
 ranks' order first, those sums tell the slice in which the target is reached, and only inside that slice are documents put
-in order.
+in order. What is known of the sources, one row each, is sent to the tasks if it is small; documents are then not shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.llm.common import WORD, table
+from quillforge.llm.common import WORD, sent_if_small, stage_table, table
 
 SLICES = 4096
 
@@ -56,34 +56,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     kept = [c for c in docs.columns if c not in new]
     # docs' own columns travel in one struct, so that no name of theirs meets a name used here
     docs = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", F.col("text").cast("string").alias("text")).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    totals = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    ranks = stage_table(docs.select("doc_id", "source", "size", uniform(F.col("doc_id"), F.col("text")).alias("u")), "mix-ranks")
+    totals = targets(ranks.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     totals = totals.select(F.col("source").alias("mix_source"), "source_size", "target", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long").alias("whole"))
     totals = totals.withColumn("odd", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     totals = totals.withColumn("p", F.coalesce(F.col("odd") / F.nullif("source_size", F.lit(0)), F.lit(0.0)))
 
     u = uniform(F.col("doc_id"), F.col("text"))
     # with one p for a whole source the rank is a rising function of u: slices of u are slices of the ranks
-    ranks = docs.select("doc_id", "source", "size", u.alias("u")).withColumn("slice", F.floor(F.col("u") * SLICES))
-    sums = ranks.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    slice_of = F.floor(F.col("u") * SLICES)
+    sums = ranks.withColumn("slice", slice_of).groupBy("source", "slice").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     edge = sums.join(totals, F.col("source").eqNullSafe(F.col("mix_source"))).where("before < odd AND before + words >= odd")
     edge = edge.groupBy("mix_source").agg(F.min("slice").alias("edge_slice"), F.min_by("before", "slice").alias("edge_before"))
-
     plan = totals.join(edge.withColumnRenamed("mix_source", "edge_source"), F.col("mix_source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    docs = docs.withColumn("mix_u", u).withColumn("mix_slice", F.floor(F.col("mix_u") * SLICES))
-    placed = docs.join(plan, F.col("source").eqNullSafe(F.col("mix_source")))
+    plan = stage_table(plan, "mix-plan")
 
-    inside = ranks.join(plan, F.col("source").eqNullSafe(F.col("mix_source"))).where("slice = edge_slice")
+    inside = ranks.join(sent_if_small(plan), F.col("source").eqNullSafe(F.col("mix_source"))).where(slice_of == F.col("edge_slice"))
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     order = Window.partitionBy("mix_source").orderBy(rank, "doc_id", "size")
     inside = inside.withColumn("upto", F.col("edge_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # the document that crosses the target is taken if that leaves the sum nearer to it
     stop = inside.where((F.col("upto") <= F.col("odd")) | (F.col("upto") - F.col("odd") < F.col("odd") - (F.col("upto") - F.col("size"))))
     stop = stop.groupBy("mix_source").agg(F.max("u").alias("last_u")).withColumnRenamed("mix_source", "stop_source")
+    plan = stage_table(plan.join(stop, F.col("mix_source").eqNullSafe(F.col("stop_source")), "left").drop("stop_source"), "mix-stops")
 
-    placed = placed.join(stop, F.col("mix_source").eqNullSafe(F.col("stop_source")), "left")
-    sampled = F.when(F.col("edge_slice").isNull(), F.col("odd") > 0).otherwise((F.col("mix_slice") < F.col("edge_slice")) | F.coalesce(F.col("mix_u") <= F.col("last_u"), F.lit(False)))
+    placed = docs.withColumn("u", u).join(sent_if_small(plan), F.col("source").eqNullSafe(F.col("mix_source")))
+    sampled = F.when(F.col("edge_slice").isNull(), F.col("odd") > 0).otherwise((slice_of < F.col("edge_slice")) | F.coalesce(F.col("u") <= F.col("last_u"), F.lit(False)))
     placed = placed.withColumn("copies", F.least(F.col("whole") + F.when(sampled, 1).otherwise(0), F.lit(most)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return placed.select("row.*", *new)
 
