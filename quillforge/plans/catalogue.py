@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from quillforge.plans import profiles
+
+_PARTS = (profiles,)
+
+QUERIES = {name: f for part in _PARTS for name, f in part.R.queries.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.R.sql.items()}
