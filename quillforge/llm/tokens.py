@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: The most words a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 _WORKER: dict[str, Encoder] = {}
 
 
@@ -27,16 +27,16 @@ class Encoder:
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.words: dict[str, bytes | None] = {}
-        self.line_heads: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self._separator()
         self.feed = None if feed is None else array(self.code, [feed]).tobytes()
+        self.stops = {c: array(self.code, self._whole(c)).tobytes() for c in ".,"}
 
     def _separator(self) -> int | None:
         """The id of a line feed if this tokenizer splits at blanks and line feeds as described above, else None."""
         feed = self._whole("\n")
-        probes = ("a b", "a\nb", "one, two\n(three) 4 five!", "x\ny z\nw")
+        probes = ("a b", "a\nb", "one, two\n(three) 4 five!", "x\ny z\nw", "end. of, all,\nthis.")
         if len(feed) != 1 or self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self._whole("a") + self._whole(" b") != self._whole("a b"):
             return None
         if any(self._whole(p) != [i for k, line in enumerate(p.split("\n")) for i in [*([feed[0]] if k else []), *[i for j, w in enumerate(line.split(" ")) for i in self._whole(" " * bool(j) + w)]]] for p in probes):
@@ -49,41 +49,46 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, memory: dict[str, bytes | None], words: set[str], before: str) -> dict[str, bytes | None]:
-        """A lookup that holds all the words: the worker's memory, filled up, or a copy of the part in use once that is full."""
-        fresh = [w for w in words if w not in memory]
-        # a word that is empty, or begins or ends with white space of any kind, is not certain to be split off: no ids
-        sure = [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]
-        found: dict[str, bytes | None] = dict.fromkeys(fresh)
-        found.update(zip(sure, self._bytes([before + w for w in sure]), strict=True))
-        if len(memory) + len(found) <= MEMORY:
-            memory.update(found)
-            return memory
-        return found | {w: memory[w] for w in words if w in memory}
+    def _learn(self, words: set[str]) -> dict[str, bytes | bool]:
+        """The ids of words that are not known yet; a word that begins with a line feed stands for both. False: not certain.
+
+        What the worker can still remember it keeps."""
+        # a point or comma after a letter is a piece of its own: such words only need the word before it
+        stopped = [w for w in words if w[-1:] in self.stops and w[-2:-1].isalpha()]
+        rest = words.difference(stopped) | {c for w in stopped if (c := w[:-1]) not in self.known}
+        body = {w: w[1:] if w.startswith("\n") else w for w in rest}
+        # a word that is empty, or begins or ends with white space of any kind, is not certain to be split off
+        sure = [w for w, b in body.items() if b and not b[0].isspace() and not b[-1].isspace()]
+        found: dict[str, bytes | bool] = dict.fromkeys(rest, False)
+        ids = self._bytes([body[w] if w.startswith("\n") else " " + w for w in sure])
+        found.update((w, self.feed + x if w.startswith("\n") else x) for w, x in zip(sure, ids, strict=True))
+        for w in stopped:
+            core = found[w[:-1]] if w[:-1] in found else self.known[w[:-1]]
+            found[w] = core and core + self.stops[w[-1]]
+        if len(self.known) + len(found) <= MEMORY:
+            self.known.update(found)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.kind; a null text has none."""
         texts = [t or "" for t in texts]
         if self.feed is None:
             return self._bytes(texts)
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        heads: set[str] = set()
-        rest: set[str] = set()
-        for text in lines:
-            for line in text:
-                heads.add(line[0])
-                rest.update(line[1:])
-        first, inner = self._fill(self.line_heads, heads, ""), self._fill(self.words, rest, " ")
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        parts = [list(map(self.known.get, words)) for words in split]
+        unknown: set[str] = set()
+        for words, mine in zip(split, parts, strict=True):
+            unknown.update([w for w, p in zip(words[1:], mine[1:], strict=True) if p is None])
+        found = self._learn(unknown)
+        firsts = self._bytes([words[0] for words in split])
         out: list[bytes] = []
-        for text, split in zip(texts, lines, strict=True):
-            whole = not any(s in text for s in self.special)
-            if whole:
-                try:
-                    out.append(self.feed.join([b"".join([first[line[0]], *map(inner.__getitem__, line[1:])]) for line in split]))
-                    continue
-                except TypeError:  # a word without ids of its own
-                    pass
-            out += self._bytes([text]) if text else [b""]
+        for text, words, mine, first in zip(texts, split, parts, firsts, strict=True):
+            mine[0] = False if words[0][-1:].isspace() else first
+            mine = [found[w] if p is None else p for w, p in zip(words, mine, strict=True)]
+            if False in mine or any(s in text for s in self.special):
+                out += self._bytes([text]) if text else [b""]
+            else:
+                out.append(b"".join(mine))
         return out
 
 
