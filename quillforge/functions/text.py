@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def value_shape(text: Column) -> Column:
@@ -20,7 +21,7 @@ def spelling(text: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
@@ -39,7 +40,7 @@ def ascii_identity(text: Column) -> Column:
     return F.nullif(spelling(text), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def make_key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A maker's name without accents, points and apostrophes, up to the first token with a digit or legal form, joined.
 

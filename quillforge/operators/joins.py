@@ -172,13 +172,13 @@ def split_one_way(names: DataFrame, text: str, known: list[str], most: int = 5)
         grouped = F.aggregate(
             F.sequence(F.lit(0), n - 1),
             F.array().cast("array<string>"),
-            lambda acc, i: F.when((i > 0) & (F.shiftright(mask, i - 1).bitwiseAND(F.lit(1)) == 0), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), F.get(F.col("_words"), i))))).otherwise(
+            lambda acc, i: F.when((i > 0) & (F.call_function("shiftright", mask, F.greatest(i - 1, F.lit(0))).bitwiseAND(F.lit(1)) == 0), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), F.get(F.col("_words"), i))))).otherwise(
                 F.concat(acc, F.array(F.get(F.col("_words"), i)))
             ),
         )
         return grouped
 
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), n - 1) - 1)
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n - 1) - 1)
     ways = F.filter(F.transform(masks, parts), lambda p: F.forall(p, lambda x: F.array_contains(known_set, x)))
     out = names.withColumn("_words", words)
     ways = F.when((n >= 2) & (n <= most), ways).otherwise(F.array().cast("array<array<string>>"))

@@ -22,6 +22,15 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+#: The bytes 0x80-0x9F that Windows Western defines, as ISO-8859-1 reads them and as they are meant.
+C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+WESTERN = C1.encode("latin-1").decode("cp1252")
+
+
+def _western(text: str) -> str:
+    return text.translate(str.maketrans(C1, WESTERN))
+
+
 class MissingColumn(ValueError):
     """A required column has no spelling in the header, or several columns fit."""
 
@@ -37,7 +46,7 @@ def sniff(head: bytes) -> tuple[str, str]:
     try:
         head[: max(0, len(head) - 4)].decode("utf-8")
     except UnicodeDecodeError:
-        encoding = "windows-1252"
+        encoding = "ISO-8859-1"
     line = head.split(b"\n", 1)[0]
     return encoding, max(",;\t", key=lambda c: line.count(c.encode()))
 
@@ -58,7 +67,10 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} holds an error page")
     encoding, separator = sniff(head)
     rows = spark.read.option("header", True).option("encoding", encoding).option("sep", separator).option("mode", "DROPMALFORMED").csv(path)
-    return rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
+    rows = rows.toDF(*[_western(c).lstrip("\ufeff").strip() for c in rows.columns])
+    if encoding == "UTF-8":
+        return rows
+    return rows.select(*[F.translate(f"`{c}`", C1, WESTERN).alias(c) for c in rows.columns])
 
 
 def resolve_columns(df: DataFrame, wanted: dict[str, list[str]], optional: frozenset[str] = frozenset()) -> tuple[DataFrame, dict[str, str]]:
