@@ -32,8 +32,8 @@ from quillforge.llm.common import sent_if_small, shuffle_partitions, stage_table
 U64 = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES, BANDS, ROWS = 256, 42, 6
-#: A pair of similarity 0.8 has an estimate below this with probability under 1e-11.
-LEAST_ESTIMATE = 0.62
+#: A pair of similarity 0.8 has an estimate below this with probability 1e-6, less than that of sharing no band.
+LEAST_ESTIMATE = 0.68
 #: Buckets of more nodes than this get the bound on overlaps before their nodes are paired.
 LARGE_BUCKET = 32
 _STEP, _UNIT = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
