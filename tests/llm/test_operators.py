@@ -1,0 +1,500 @@
+"""Each operator against a plain brute-force version, on the small tables and on awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quillforge.llm import dart_minhash, decontamination, licenses, mixing, pii, substring_dedup, text_np, token_counts, token_files, toxicity, winnowing
+from quillforge.llm.tokens import Encoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, score double, size long, row string, node long, shard int, words string, u double, label string, hub long, key string, _range int, target double"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+BASE = " ".join(f"base{i}" for i in range(120))
+AWKWARD = [
+    (1, None),
+    (2, ""),
+    (3, " \n\t "),
+    (4, "one"),
+    (5, "two words"),
+    (6, LONG),
+    (7, LONG),
+    (7, LONG),
+    (8, BASE),
+    (9, BASE.replace("base60 ", "other ")),
+    (10, "intro " + BASE + " outro"),
+    (None, BASE),
+    (None, None),
+    (11, "émoji 😀 and ünïcode\x85next　word"),
+    (12, "Released under the MIT License. a@b.co +1 (555) 222-3344 10.0.0.1 4111 1111 1111 1111"),
+    (13, "repeat " * 200),
+    (14, "x" * 50_000),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(i, t, "en", None if i == 4 else f"s{(i or 0) % 3}", 1.0, 1, "r", 1, 1, "w", 0.5, "l", 1, "k", 1, 1.0) for i, t in AWKWARD], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+# substring deduplication
+
+
+def brute_repeats(rows, n=50):
+    first = {}
+    for d, t in rows:
+        w = words_of(t)
+        if d is not None:
+            for i in range(len(w) - n + 1):
+                g = tuple(w[i : i + n])
+                first[g] = min(first.get(g, d), d)
+    out = []
+    for d, t in rows:
+        w = words_of(t)
+        gone = [False] * len(w)
+        if d is not None:
+            for i in range(len(w) - n + 1):
+                if first[tuple(w[i : i + n])] < d:
+                    gone[i : i + n] = [True] * n
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_repeats(request, which):
+    df = request.getfixturevalue(which)
+    got = [tuple(r) for r in substring_dedup.remove_repeats(df).drop("repeats").collect()]
+    assert sorted(got, key=str) == sorted(brute_repeats(texts_of(df)), key=str)
+
+
+def test_repeats_of_shuffled_passages(spark):
+    random.seed(5)
+    passages = [" ".join(random.choice("abcdefgh") + str(random.randint(0, 40)) for _ in range(random.randint(30, 90))) for _ in range(8)]
+    rows = [(i, " ".join(random.sample(passages, 3))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in substring_dedup.remove_repeats(df).drop("repeats").collect()]
+    assert sorted(got) == sorted(brute_repeats(rows)) and sum(r[2] for r in got) > 1000
+
+
+# near-duplicates
+
+
+def units_of(text):
+    w = words_of(text)
+    n = min(5, len(w))
+    return collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else collections.Counter()
+
+
+def brute_classes(rows, threshold=0.8):
+    ids = sorted({d for d, t in rows if d is not None and t is not None})
+    up = {d: d for d in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    known = [(d, t, units_of(t)) for d, t in rows if d is not None and t is not None]
+    for i, (d, t, u) in enumerate(known):
+        for e, s, v in known[:i]:
+            both = sum((u & v).values())
+            if t == s or (both and both / (sum(u.values()) + sum(v.values()) - both) >= threshold):
+                a, b = sorted((find(d), find(e)))
+                up[b] = a
+    return [(d, d if d is None or t is None else find(d)) for d, t in rows]
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_near_duplicates(request, which):
+    df = request.getfixturevalue(which)
+    got = [(r["doc_id"], r["class_id"]) for r in dart_minhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(brute_classes(texts_of(df)), key=str)
+
+
+def family(n, edits, seed):
+    random.seed(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in random.sample(range(150), random.choice(edits)):
+            copy[at] = f"e{random.randint(0, 10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "LARGE_BUCKET", 8)
+    rows = list(enumerate(family(90, [1, 2, 3, 4, 5], 1) + family(30, [4, 5, 6], 2), 100))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["class_id"]) for r in dart_minhash.near_duplicates(df).collect()]
+    assert sorted(got) == sorted(brute_classes(rows))
+    assert 1 < len({c for _, c in got}) < 120
+
+
+def test_signatures_estimate_weighted_similarity():
+    import pyarrow as pa
+
+    texts = family(2, [3], 3) + ["a b c d e " * 40, "a b c d e " * 20]
+    (_, _, data, offs), = text_np.blocks(pa.array(texts))
+    unit, counts = dart_minhash.units(data, offs)
+    s = dart_minhash.signatures(unit, counts)
+    for i, j in ((0, 1), (2, 3)):
+        u, v = units_of(texts[i]), units_of(texts[j])
+        both = sum((u & v).values())
+        assert abs((s[i] == s[j]).mean() - both / (sum(u.values()) + sum(v.values()) - both)) < 0.12
+
+
+def test_one_of_each_group_stays(awkward):
+    kept = dart_minhash.one_of_each(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, 11, 12, 13, 14, None, None], key=str)
+
+
+# decontamination
+
+
+def test_leaks_with_words_replaced(spark):
+    random.seed(7)
+    item = [f"q{i}" for i in range(40)]
+    rows, leaked = [], set()
+    for d in range(60):
+        filler = [f"f{random.randint(0, 10**6)}" for _ in range(random.randint(5, 80))]
+        part = list(item)
+        swaps = random.randint(0, 7) if d % 3 else 30
+        for at in random.sample(range(40), swaps):
+            part[at] = f"z{random.randint(0, 10**6)}"
+        at = random.randint(0, len(filler))
+        rows.append((d, " ".join(filler[:at] + part + filler[at:]).upper()))
+        if d % 3:
+            leaked.add(d)
+    docs = spark.createDataFrame([*rows, (None, None), (99, ""), (98, " ".join(item[:13]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item), 5), (2, "too short", 5), (3, None, 5)], "item_id long, text string, doc_id long")
+    got = {r["doc_id"]: r for r in decontamination.leaks(docs, items).collect()}
+    assert set(got) == leaked | {98}  # 13 words in a row are enough
+    assert all(got[d]["matched"] >= 33 for d in leaked)
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, items).where("doc_id < 90").collect()) == sorted(set(range(60)) - leaked)
+
+
+def test_leaks_on_the_tables(spark, sf_dir, docs):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    token = re.compile(r"[^\W_]+")
+    bench = {r["item_id"]: token.findall(r["text"].lower()) for r in items.collect()}
+    want = set()
+    for d, t in texts_of(docs):
+        place = collections.defaultdict(list)
+        for k, w in enumerate(token.findall(t.lower())):
+            place[w].append(k)
+        for i, words in bench.items():
+            offsets = collections.Counter(p - j for j, w in enumerate(words) for p in place.get(w, ()))
+            if offsets and max(offsets.values()) / len(words) >= 0.8:
+                want.add((d, i))
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).collect()} == want
+
+
+# mixing
+
+
+def fill(sizes, weights, most):
+    out, left, total = {}, dict(sizes), sum(sizes.values())
+    while True:
+        w = sum(weights[s] for s in left)
+        over = [s for s in left if total * weights[s] / w > most * left[s]] if w else []
+        if not over:
+            return out | {s: total * weights[s] / w for s in left}
+        for s in over:
+            out[s] = most * left.pop(s)
+            total -= out[s]
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_mix(request, which):
+    df = request.getfixturevalue(which)
+    rows = mixing.mix(df).collect()
+    sizes = collections.Counter()
+    for r in df.collect():
+        sizes[r["source"]] += len(words_of(r["text"]))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    want = fill(sizes, {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}, 3)
+    taken, longest = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r["size"] == len(words_of(r["text"])) and r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
+        taken[r["source"]] += r["taken"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= longest[s]
+    again = mixing.mix(df.repartition(5)).collect()
+    key = lambda r: (str(r["doc_id"]), r["copies"])
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+    copies = mixing.mixed(df)
+    assert copies.columns == df.columns and copies.count() == sum(r["copies"] for r in rows)
+
+
+# personal data
+
+
+def plain_rules(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, lo, hi in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if lo <= len(digits) <= hi and (kind == "phone" or pii.luhn(digits)):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_rules_equal_the_patterns():
+    random.seed(11)
+    alphabet = ["a", "B1", "@", ".", "-", "+", " ", "(", ")", "12", "255", "256", "4111111111111111", "\n", "é", "_%", "@x.yz", "+1 555 222 3344"]
+    for _ in range(20_000):
+        text = "".join(random.choice(alphabet) for _ in range(random.randint(0, 16)))
+        assert pii.rule_spans(text) == plain_rules(text), text
+
+
+def test_decoding_equals_enumeration():
+    random.seed(3)
+    weights = np.random.default_rng(1).normal(size=(len(pii.KINDS), len(pii.FEATURES)))
+    for text in ("+1 (555) 222-3344 10.1", "1 2 3 4", "a@b.co 4111 1111"):
+        (tokens,) = pii.runs(text)
+        lattice = pii.Lattice(text, tokens)
+        scores = lattice.scores(weights)
+
+        def ways(i):
+            if i == lattice.n:
+                yield 0.0, ()
+                return
+            for s, rest in ways(i + 1):
+                yield s, rest
+            for k, (a, size, *_) in enumerate(lattice.segments):
+                if a == i:
+                    for kind in range(len(pii.KINDS)):
+                        for s, rest in ways(i + size):
+                            yield s + scores[k, kind], ((k, kind), *rest)
+
+        every = list(ways(0))
+        assert tuple(lattice.best(weights)) == max(every)[1]
+        total = np.logaddexp.reduce([s for s, _ in every])
+        marginals, log_total = lattice.marginals(weights)
+        assert abs(log_total - total) < 1e-9
+        for k in range(len(lattice.segments)):
+            mine = [s for s, way in every if (k, 0) in way]
+            assert abs(marginals[k, 0] - np.exp(np.logaddexp.reduce(mine) - total)) < 1e-9
+
+
+def test_pii_on_tables(spark, docs, awkward, empty):
+    weights = pii.fit(docs)
+    for df in (docs, awkward):
+        rows = pii.find(df, weights).collect()
+        want = {}
+        for d, t in texts_of(df):
+            spans = plain_rules(t or "")
+            want[d, t] = hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+        assert sorted(r["base_sha256"] for r in rows) == sorted(want[k] for k in texts_of(df))
+    assert pii.find(empty, pii.fit(empty)).count() == 0
+
+
+# licenses
+
+
+def test_licenses(docs, awkward, empty):
+    for df in (docs, awkward):
+        want = []
+        for d, t in texts_of(df):
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            starts, labels = [], set()
+            for phrase, label in licenses.PHRASES.items():
+                p = phrase.split()
+                at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+                starts += at
+                labels |= {label} if at else set()
+            want.append((d, len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))))
+        rows = licenses.scan(df).collect()
+        assert sorted((tuple(r)[:6] for r in rows), key=str) == sorted(want, key=str)
+        assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
+    assert licenses.scan(empty).count() == 0
+
+
+def test_licenses_beyond_the_phrases(spark):
+    rows = [
+        (1, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+        (2, "source and binary forms are not the same as redistribution"),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        *[(10 + i, "plain text of the usual kind with and without the words of a license") for i in range(30)],
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "bsd" and got[2] == "" and got[3] == "mpl" and not any(got[10 + i] for i in range(30))
+
+
+# fingerprints
+
+
+def plain_winnow(grams, w):
+    if not grams:
+        return []
+    if len(grams) <= w:
+        return [min((g, -i) for i, g in enumerate(grams))]
+    return list(dict.fromkeys(min((g, -i) for i, g in enumerate(grams[a : a + w], a)) for a in range(len(grams) - w + 1)))
+
+
+def test_winnowing_picks_the_rightmost_smallest(spark, docs):
+    df = winnowing.with_fingerprint(docs, F.col("text"), "prints")
+    grams = F.transform(F.sequence(F.lit(0), F.size("h") - 5), lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(5)]))
+    df = df.withColumn("h", F.transform(F.regexp_extract_all("text", F.lit(r"\S{1,12}"), F.lit(0)), lambda x: F.xxhash64(x))).where(F.size("h") >= 5).withColumn("g", grams)
+    for r in df.select("prints", "g").limit(60).collect():
+        cut = [g & ((1 << 33) - 1) for g in r["g"]]
+        assert [(x >> 30, -(winnowing.LAST_PLACE - (x & winnowing.LAST_PLACE))) for x in r["prints"]] == plain_winnow(cut, 16)
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_edited_texts(request, which):
+    df = request.getfixturevalue(which)
+    rows = sorted(((d, t or "") for d, t in texts_of(df)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = []
+    for k, (d, t) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        want.append((d, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = winnowing.fingerprint_edits(df).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    same = collections.defaultdict(set)
+    for r in got:
+        same[r["doc_id"], r["n_chars"]].add(r["fingerprint"])
+    if which == "awkward":
+        assert len(same[7, len(LONG)]) == 1 and same[6, len(LONG)] == same[7, len(LONG)]
+
+
+# tokens
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_encoder_equals_the_library(tokenizer):
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(2)
+    pieces = [" ", "  ", "\n", "\n\n", "\t", "\xa0", "　", "\x85", "a", "É", "12", ".", ",", "'s", "<|endoftext|>", "!?", "\r\n", "漢", "\x1c", "​", "it'll", "end.", "so,"]
+    texts = ["".join(random.choice(pieces) for _ in range(random.randint(0, 12))) for _ in range(3000)]
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_token_counts(request, spark, tmp_path, tokenizer, which):
+    df = request.getfixturevalue(which)
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    rows = texts_of(df)
+    want = sorted(((d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in rows), key=str)
+    half = df.where("doc_id % 2 = 0")
+    token_counts.count_tokens(half, path, cache).count()
+    stored = spark.read.parquet(cache).count()
+    assert stored == len({t or "" for d, t in rows if d is not None and d % 2 == 0})
+    assert sorted((tuple(r) for r in token_counts.count_tokens(df, path, cache).collect()), key=str) == want
+    total = spark.read.parquet(cache).count()
+    assert total == len({t or "" for _, t in rows})  # only misses were added
+    token_counts.count_tokens(df, path, cache).count()
+    assert spark.read.parquet(cache).count() == total
+
+
+def test_elias_fano():
+    random.seed(1)
+    for n, top in ((1, 0), (1, 10**12), (5, 3), (1000, 10**6), (700, 700), (300, 10**9)):
+        values = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
+        coded = token_files.EliasFano.encode(values, top)
+        assert coded.all().tolist() == values.tolist()
+        assert [coded.select(i) for i in range(0, n, 7)] == values[::7].tolist()
+        assert 8 * (len(coded.low) + len(coded.high)) <= n * (3 + max(0, np.log2(max(top, 1) / n))) + 24
+    with pytest.raises(IndexError):
+        coded.select(n)
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_token_files(request, spark, tmp_path, tokenizer, monkeypatch, which):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 1000)
+    df = request.getfixturevalue(which)
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(df, path, public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for d, t in sorted(((d, t or "") for d, t in texts_of(df)), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in token_files.summarise(spark, path).collect()), key=str) == sorted(want, key=str)
+    assert token_files.read_token_files(spark, path).agg(F.sum(F.size("ids"))).first()[0] == start
+
+
+# toxicity
+
+
+def test_toxicity_on_held_out_labels(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, labels.where(~out))
+    assert len(model[0]) < 5_000  # sparse
+    rows = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(out).select("score", "toxic").toPandas()
+    ranks, bad = rows["score"].rank(), rows["toxic"] == 1
+    auc = (ranks[bad].mean() - (bad.sum() + 1) / 2) / (~bad).sum()
+    assert auc > 0.96
+    assert (rows["score"][~bad] >= 0.5).mean() < 0.01 and (rows["score"][bad] >= 0.5).mean() > 0.7
+
+
+def test_toxicity_of_awkward_rows(spark, sf_dir, awkward, empty):
+    labels = spark.createDataFrame([(8, 1, 1), (8, 1, 0), (12, 0, 0), (None, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(awkward, labels)
+    rows = toxicity.score(awkward, model)
+    assert sorted(rows.columns) == sorted(awkward.columns) and all(0 < r["score"] < 1 for r in rows.collect())
+    assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
+
+
+# empty tables
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    items = spark.createDataFrame([], "item_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    results = [
+        substring_dedup.remove_repeats(empty),
+        dart_minhash.near_duplicates(empty),
+        dart_minhash.one_of_each(empty),
+        decontamination.leaks(empty, items),
+        decontamination.without_leaks(empty, items),
+        mixing.mix(empty),
+        mixing.mixed(empty),
+        winnowing.fingerprint_edits(empty),
+        token_counts.count_tokens(empty, path, str(tmp_path / "cache")),
+    ]
+    assert [df.count() for df in results] == [0] * len(results)
+    token_files.write_token_files(empty, str(tmp_path / "ids"), path)
+    assert token_files.summarise(spark, str(tmp_path / "ids")).count() == 0
