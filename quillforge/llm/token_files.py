@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     come last; an empty table writes no blocks. Other columns are ignored."""
     tuned(docs.sparkSession, 256)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = range_bounds(docs, "doc_id", 2 * shuffle_partitions(docs.sparkSession))
+    bounds = range_bounds(docs, "doc_id", 8 * shuffle_partitions(docs.sparkSession))
     ordered = docs.withColumn("shard", range_bucket(F.col("doc_id"), bounds).cast("int")).repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
     ordered.mapInArrow(_blocks(tokenizer, end_id), "shard int, block int, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 

@@ -62,6 +62,18 @@ def words_of(text):
     return WORD.findall(text or "")
 
 
+def test_range_bucket(spark):
+    import bisect
+
+    from quillforge.llm.common import range_bucket
+
+    for n in (0, 1, 2, 3, 10, 57):
+        bounds = sorted(random.Random(n).sample(range(-50, 200), n))
+        values = [*range(-60, 210), None]
+        df = spark.createDataFrame([(v,) for v in values], "v long").select("v", range_bucket(F.col("v"), bounds).alias("b"))
+        assert {r["v"]: r["b"] for r in df.collect()} == {v: (n + 1 if v is None else bisect.bisect_right(bounds, v)) for v in values}
+
+
 # substring deduplication
 
 
