@@ -49,7 +49,7 @@ def latest_valid_declaration(spark, sf_dir):
 
 @R.query("""
 WITH i AS (SELECT user_id, event_type <> 'purchase' AS idle, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
-r AS (SELECT user_id, g, count_if(idle) AS run, count(*) AS n FROM i GROUP BY ALL)
+r AS (SELECT user_id, g, count(CASE WHEN idle THEN 1 END) AS run, count(*) AS n FROM i GROUP BY ALL)
 SELECT user_id, sum(n)::BIGINT AS events, max(run) AS longest_streak, arg_max(run, g) AS last_streak FROM r GROUP BY 1
 """)
 def no_progress_streak(spark, sf_dir):

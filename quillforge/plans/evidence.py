@@ -62,7 +62,7 @@ def fact_reuse(spark, sf_dir):
 
 
 @R.query("""
-WITH c AS (SELECT conv_id, count(*) AS turns, count_if(role = 'assistant') AS solved, min(role) AS kind FROM conversations GROUP BY 1)
+WITH c AS (SELECT conv_id, count(*) AS turns, count(CASE WHEN role = 'assistant' THEN 1 END) AS solved, min(role) AS kind FROM conversations GROUP BY 1)
 SELECT kind, count(*) AS samples, sum(turns)::BIGINT AS turns, sum(solved)::BIGINT AS solved, floor(sum(solved)::DOUBLE / nullif(sum(turns), 0) * 1000 + 0.5) / 1000 AS ratio FROM c GROUP BY 1 HAVING count(*) >= 5
 """)
 def cluster_yield(spark, sf_dir):
@@ -72,7 +72,7 @@ def cluster_yield(spark, sf_dir):
 
 @R.query("""
 WITH g AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events)
-SELECT user_id, count_if(gap > 86400000000) + 1 AS sessions, floor(max(gap) / 1000000.0)::BIGINT AS longest_gap FROM g GROUP BY 1
+SELECT user_id, count(CASE WHEN gap > 86400000000 THEN 1 END) + 1 AS sessions, floor(max(gap) / 1000000.0)::BIGINT AS longest_gap FROM g GROUP BY 1
 """)
 def interrupted_runs(spark, sf_dir):
     return V.interrupted(table(spark, sf_dir, "events"), ["user_id"], "ts", 86_400)

@@ -71,7 +71,7 @@ def routing_scores(spark, sf_dir):
 
 
 @R.query("""
-WITH f AS (SELECT source, lang, count(*) AS attempts, count(quality) AS found, count(DISTINCT quality) AS vals, count_if(lang = 'en') AS home FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2)
+WITH f AS (SELECT source, lang, count(*) AS attempts, count(quality) AS found, count(DISTINCT quality) AS vals, count(CASE WHEN lang = 'en' THEN 1 END) AS home FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2)
 SELECT source, lang, CASE WHEN attempts = 0 THEN 'policy_blocked' WHEN vals > 1 THEN 'conflicting' WHEN attempts >= 10 AND found * 5 < attempts THEN 'low_yield' WHEN found > 0 AND home > 0 THEN 'candidate_rich_local' WHEN found > 0 THEN 'foreign_only' ELSE 'true_missing' END AS triage FROM f
 """)
 def tail_triage(spark, sf_dir):
@@ -120,7 +120,7 @@ def matched_key_sets(spark, sf_dir):
 
 @R.query("""
 WITH a AS (SELECT l_partkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
-SELECT count(*) AS keys, count_if(a.s = b.s) AS same, count_if(len(list_intersect(a.s, b.s)) > 0) AS touching, floor(count_if(len(list_intersect(a.s, b.s)) > 0)::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS rate FROM a JOIN b USING (l_partkey)
+SELECT count(*) AS keys, count(CASE WHEN a.s = b.s THEN 1 END) AS same, count(CASE WHEN len(list_intersect(a.s, b.s)) > 0 THEN 1 END) AS touching, floor(count(CASE WHEN len(list_intersect(a.s, b.s)) > 0 THEN 1 END)::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS rate FROM a JOIN b USING (l_partkey)
 """)
 def code_agreement(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")

@@ -23,7 +23,7 @@ m AS (SELECT target_id, source, p_partkey, p_type, p_size, price, concat_ws(',',
   concat_ws(',', CASE WHEN k_price = 'unknown' THEN 'price' END, CASE WHEN k_size = 'unknown' THEN 'size' END, CASE WHEN k_type = 'unknown' THEN 'type' END) AS keys_unknown FROM l WHERE st = 0 OR k_size = 'matched'),
 u AS (SELECT t.target_id, src.source, count(m.p_partkey) AS survivors, count(DISTINCT m.p_type) AS designations FROM t CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS source) src LEFT JOIN m ON m.target_id = t.target_id AND m.source = src.source GROUP BY ALL),
 us AS (SELECT *, CASE WHEN survivors = 0 THEN 'none' WHEN designations = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM u),
-lv AS (SELECT target_id, count_if(status = 'unique') AS unique_sources, count_if(survivors > 0) AS ws,
+lv AS (SELECT target_id, count(CASE WHEN status = 'unique' THEN 1 END) AS unique_sources, count(CASE WHEN survivors > 0 THEN 1 END) AS ws,
   arg_min(source, CASE status WHEN 'unique' THEN ascii(source) WHEN 'ambiguous' THEN ascii(source) + 10 END) AS ls FROM us GROUP BY 1),
 ml AS (SELECT target_id, CASE WHEN unique_sources >= 2 THEN 'exact' WHEN ws > 0 THEN 'partial' END AS level, CASE WHEN ws > 0 THEN ls END AS lead_source, unique_sources FROM lv)
 """
@@ -120,8 +120,8 @@ def conflict_classes(spark, sf_dir):
 
 
 @R.query(f"""
-WITH {_EVIDENCE}, g AS (SELECT l_partkey, bool_or(policy) AS pol, count(DISTINCT CASE WHEN market <> 3 AND scope_ok THEN v END) AS d, min(CASE WHEN market <> 3 AND scope_ok THEN v END) AS val, count_if(market <> 3) AS f,
-  count_if(market <> 3 AND scope_ok AND official) AS off, min(CASE WHEN market = 3 THEN v END) AS lo, max(CASE WHEN market = 3 THEN v END) AS hi FROM e GROUP BY 1),
+WITH {_EVIDENCE}, g AS (SELECT l_partkey, bool_or(policy) AS pol, count(DISTINCT CASE WHEN market <> 3 AND scope_ok THEN v END) AS d, min(CASE WHEN market <> 3 AND scope_ok THEN v END) AS val, count(CASE WHEN market <> 3 THEN 1 END) AS f,
+  count(CASE WHEN market <> 3 AND scope_ok AND official THEN 1 END) AS off, min(CASE WHEN market = 3 THEN v END) AS lo, max(CASE WHEN market = 3 THEN v END) AS hi FROM e GROUP BY 1),
 r AS (SELECT *, CASE WHEN NOT pol THEN 'field_policy_not_portable' WHEN d = 0 THEN 'scope_below_portability' WHEN d = 1 AND lo IS NOT NULL AND (lo <> val OR hi <> val) THEN 'target_contradicts' WHEN d > 1 THEN 'foreign_markets_disagree' WHEN off = 0 THEN 'no_official_source' END AS reason FROM g WHERE f > 0)
 SELECT l_partkey, reason IS NULL AS portable, CASE WHEN reason IS NULL THEN val END AS value, reason FROM r
 """)
@@ -130,7 +130,7 @@ def portability(spark, sf_dir):
 
 
 @R.query(f"""
-WITH {_EVIDENCE}, g AS (SELECT l_partkey, count(v) AS n, count_if(v IS NOT NULL AND NOT (l_returnflag = 'N')) AS solid, count(DISTINCT CASE WHEN scope_ok AND market < 6 THEN v END) AS d, count_if(market < 6) AS here, count_if(scope_ok AND market < 6) AS served FROM e GROUP BY 1)
+WITH {_EVIDENCE}, g AS (SELECT l_partkey, count(v) AS n, count(CASE WHEN v IS NOT NULL AND NOT (l_returnflag = 'N') THEN 1 END) AS solid, count(DISTINCT CASE WHEN scope_ok AND market < 6 THEN v END) AS d, count(CASE WHEN market < 6 THEN 1 END) AS here, count(CASE WHEN scope_ok AND market < 6 THEN 1 END) AS served FROM e GROUP BY 1)
 SELECT l_partkey, n, CASE WHEN n = 0 THEN 'missing' WHEN solid = 0 THEN 'weak_provenance' WHEN d > 1 THEN 'conflicting' WHEN served = 0 AND here > 0 THEN 'variant_not_exact' WHEN served = 0 THEN 'foreign_market_only' ELSE 'ok' END AS state FROM g
 """)
 def field_states(spark, sf_dir):

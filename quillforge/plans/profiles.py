@@ -85,7 +85,7 @@ def dominant_value(spark, sf_dir):
 
 def _profile_sql(columns: list[str], weight: str, source: str) -> str:
     one = """SELECT '{c}' AS column_name, CASE WHEN count(v) = 0 THEN 'empty' ELSE 'mapped' END AS state,
-      CASE WHEN count(v) = 0 THEN NULL WHEN count(try_cast(v AS DOUBLE)) = 0 THEN 'TEXT' WHEN count(try_cast(v AS DOUBLE)) < count(v) THEN 'MIXED' WHEN count_if(NOT regexp_matches(v, '^[+-]?[0-9]+$')) > 0 THEN 'REAL' ELSE 'INTEGER' END AS value_type,
+      CASE WHEN count(v) = 0 THEN NULL WHEN count(try_cast(v AS DOUBLE)) = 0 THEN 'TEXT' WHEN count(try_cast(v AS DOUBLE)) < count(v) THEN 'MIXED' WHEN count(CASE WHEN NOT regexp_matches(v, '^[+-]?[0-9]+$') THEN 1 END) > 0 THEN 'REAL' ELSE 'INTEGER' END AS value_type,
       floor((count(*) - count(v))::DOUBLE / count(*) * 100 * 10 + 0.5) / 10 AS null_pct, count(DISTINCT v) AS distinct_values,
       floor(sum(CASE WHEN v IS NOT NULL THEN w ELSE 0 END) / sum(w) * 100 * 10 + 0.5) / 10 AS weighted_pct
       FROM (SELECT nullif(trim({c}::VARCHAR), '') AS v, CASE WHEN {w} > 0 THEN {w}::DOUBLE ELSE 0.0 END AS w FROM {s})"""
@@ -119,8 +119,8 @@ x AS (SELECT l_orderkey, min(year(l_shipdate)) AS end_year FROM lineitem WHERE l
 m AS (SELECT o_orderpriority, year(o_orderdate) AS cohort, end_year, end_year IS NOT NULL AS cancelled, CASE WHEN end_year >= year(o_orderdate) THEN end_year - year(o_orderdate) END AS age FROM orders LEFT JOIN x ON o_orderkey = l_orderkey),
 cs AS (SELECT min(cohort) AS coverage_start FROM (SELECT cohort, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM m GROUP BY 1) WHERE share >= 0.1),
 ref AS (SELECT max(cohort) + 1 AS ref_year FROM m),
-a AS (SELECT o_orderpriority, cohort, count(*) AS size, count_if(cancelled) AS cancelled, count_if(cancelled AND end_year IS NOT NULL) AS dated, count_if(cancelled AND end_year < cohort) AS bad_dates,
-  count_if(age <= 0) AS a0, count_if(age <= 1) AS a1, count_if(age <= 2) AS a2, count_if(age <= 3) AS a3, count_if(age <= 4) AS a4, count_if(age <= 5) AS a5,
+a AS (SELECT o_orderpriority, cohort, count(*) AS size, count(CASE WHEN cancelled THEN 1 END) AS cancelled, count(CASE WHEN cancelled AND end_year IS NOT NULL THEN 1 END) AS dated, count(CASE WHEN cancelled AND end_year < cohort THEN 1 END) AS bad_dates,
+  count(CASE WHEN age <= 0 THEN 1 END) AS a0, count(CASE WHEN age <= 1 THEN 1 END) AS a1, count(CASE WHEN age <= 2 THEN 1 END) AS a2, count(CASE WHEN age <= 3 THEN 1 END) AS a3, count(CASE WHEN age <= 4 THEN 1 END) AS a4, count(CASE WHEN age <= 5 THEN 1 END) AS a5,
   quantile_disc(age, 0.25) AS p25, quantile_disc(age, 0.5) AS p50, quantile_disc(age, 0.75) AS p75 FROM m GROUP BY ALL),
 s AS (SELECT *, CASE WHEN size < 430 THEN 'cohort_too_small' WHEN cohort < coverage_start THEN 'before_coverage' WHEN cancelled > 0 AND dated::DOUBLE / cancelled < 0.95 THEN 'undated' ELSE 'served' END AS status FROM a, cs, ref)
 """
@@ -164,7 +164,7 @@ def distinct_buckets(spark, sf_dir):
 
 @R.query("""
 WITH e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)
-SELECT event_type, count(*) AS runs, count_if(k < 50) AS agree, count_if(k >= 50) AS disagree, count_if(k = 0) AS no_offer, count_if(k < 50) >= 5 AND count_if(k >= 50) = 0 AS proposed FROM e GROUP BY 1
+SELECT event_type, count(*) AS runs, count(CASE WHEN k < 50 THEN 1 END) AS agree, count(CASE WHEN k >= 50 THEN 1 END) AS disagree, count(CASE WHEN k = 0 THEN 1 END) AS no_offer, count(CASE WHEN k < 50 THEN 1 END) >= 5 AND count(CASE WHEN k >= 50 THEN 1 END) = 0 AS proposed FROM e GROUP BY 1
 """)
 def agreement_tally(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))

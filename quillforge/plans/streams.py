@@ -16,7 +16,7 @@ R = Registry()
 
 @R.query("""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events)
-SELECT user_id, count(*) AS n_events, count_if(event_type = 'purchase') AS n_done, count_if(event_type = 'error') AS n_failed,
+SELECT user_id, count(*) AS n_events, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS n_done, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_failed,
   max(CASE WHEN i = 1 THEN CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END END) AS state, max(CASE WHEN i = 1 THEN event_id END) AS last_seq FROM o GROUP BY 1
 """)
 def stream_entity_states(spark, sf_dir):
