@@ -12,8 +12,9 @@ No group is expanded into pairs. Equal texts collapse to one node. In the first
 hub of each of its buckets, the node that shares most buckets with others; exact similarities are computed for pairs whose
 signatures agree enough, and links form classes. Then only buckets that still hold several classes are looked at again,
 and nodes of different classes in them are compared, so that no link between different texts is lost to the shortcut. In
-large buckets a bound decides first which of these pairs can be links at all: shingles that no other node there has
-cannot be shared, so two texts of a and b shingles of which u and v are such overlap in at most min(a - u, b - v).
+large buckets this is done in blocks, inside the tasks, and only pairs that can be links leave them: their signatures
+agree enough, and a bound allows it (shingles that no other node there has cannot be shared, so two texts of a and b
+shingles of which u and v are such overlap in at most min(a - u, b - v)).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ COORDINATES, BANDS, ROWS = 256, 42, 6
 LEAST_ESTIMATE = 0.68
 #: Buckets of more nodes than this get the bound on overlaps before their nodes are paired.
 LARGE_BUCKET = 32
+#: Nodes of a large bucket that are compared in one piece with as many others.
+BLOCK = 1024
 _STEP, _UNIT = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
@@ -146,6 +150,34 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "units"])
 
 
+def _compare(threshold: float):
+    """One pair of blocks of a large bucket: the pairs of nodes of different classes whose signatures agree enough and whose
+    extents allow a link, each in the first band that it shares only."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, COORDINATES)
+        node, label, size, most = (frame[c].to_numpy() for c in ("node", "label", "n_units", "shareable"))
+        alike = lambda x, y: (x[: BANDS * ROWS] == y[:, : BANDS * ROWS]).reshape(len(y), BANDS, ROWS).all(axis=2)
+        same_block = frame["i"].iloc[0] == frame["j"].iloc[0]
+        left = np.arange(len(frame)) if same_block else np.flatnonzero(frame["mine"] == frame["i"])
+        right = left if same_block else np.flatnonzero(frame["mine"] == frame["j"])
+        out = []
+        for x in left:
+            y = right[(label[right] != label[x]) & ((node[right] > node[x]) | (not same_block))]
+            overlap = np.minimum(most[x], most[y])
+            y = y[overlap * (1 + threshold) >= threshold * (size[x] + size[y]) - 1e-6]
+            y = y[(rows[x] == rows[y]).mean(axis=1) >= LEAST_ESTIMATE]
+            if len(y):
+                out.append((np.full(len(y), node[x]), node[y], alike(rows[x], rows[y]).argmax(axis=1)))
+        if not out:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        a, b, first = (np.concatenate(c) for c in zip(*out, strict=True))
+        keep = first == frame["band_no"].iloc[0]
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the undirected edges (a, b). Labels spread to neighbours and then
     jump along themselves; every round is a written table, and only a count of changes comes to the driver."""
@@ -176,7 +208,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = sketches.select("doc_id", "copy_key", "n_units").join(copies, "copy_key")
     nodes = sketches.join(copies, (sketches.copy_key == copies.copy_key) & (sketches.doc_id == copies.node)).where("n_units > 0").select("node", "signature")
 
-    bands = stage_table(nodes.mapInArrow(_band_keys, "node long, keys array<long>").select("node", F.explode("keys").alias("band")), "bands")
+    bands = stage_table(nodes.mapInArrow(_band_keys, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band_no", "band")), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     filled = stage_table(bands.join(buckets, "band"), "buckets")
     shared = filled.groupBy("node").agg(F.sum("in_bucket").alias("shared"))
@@ -185,22 +217,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tokens = sketches.select(F.col("doc_id").alias("node"), "signature", "n_units").dropDuplicates(["node"])
     texts = known.select(F.col("doc_id").alias("node"), "text")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
         a = tokens.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
         b = tokens.select(F.col("node").alias("b"), F.col("signature").alias("signature_b"))
-        likely = stage_table(pairs.join(a, "a").join(b, "b").mapInArrow(_agree, "a long, b long"), f"{name}-likely")
-        ids = stage_table(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids")
+        return stage_table(pairs.join(a, "a").join(b, "b").mapInArrow(_agree, "a long, b long"), f"{name}-likely")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids")
         needed = texts.join(sent_if_small(ids), "node", "left_semi")
         a = needed.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = needed.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return stage_table(likely.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long, similarity double"), f"{name}-links")
+        return stage_table(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long, similarity double"), f"{name}-links")
 
     star = filled.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     star = stage_table(star, "star")
-    links = linked(star, "star")
+    links = verified(likely(star, "star"), "star")
     labels = components(links)
 
-    labelled = filled.join(labels, "node", "left").select("band", "node", "in_bucket", F.coalesce("label", "node").alias("label"))
+    labelled = filled.join(labels, "node", "left").select("band", "band_no", "node", "in_bucket", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     rest = stage_table(labelled.join(split, "band"), "rest")
 
@@ -210,20 +244,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = texts.join(sent_if_small(ids), "node", "left_semi").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_unit_rows, "node long, units array<long>").select("node", F.explode(F.array_distinct("units")).alias("unit")).distinct()
     alone = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     extents = stage_table(ids.join(tokens, "node").join(alone, "node", "left").select("node", "n_units", (F.col("n_units") - F.coalesce("own", F.lit(0))).alias("shareable")), "extents")
-    large = large.join(extents, "node")
-
-    def sides(part: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(part.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), *(F.col(e).alias(f"{e}_{x}") for e in extra)) for x in "ab")
-
+    # a node with fewer shareable shingles than the threshold's part of its own has no partner
+    able = extents.where(F.col("shareable") >= threshold * F.col("n_units") - 1e-6)
+    large = large.join(able, "node").join(tokens.select("node", "signature"), "node")
+    n_blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
+    large = large.withColumn("mine", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    large = large.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band_no", "node", "label", "n_units", "shareable", "signature")
+    many = large.groupBy("band", "i", "j").applyInPandas(_compare(threshold), "a long, b long").join(star, ["a", "b"], "left_anti")
+    many = stage_table(many, "large-likely")
+
+    small = rest.where(F.col("in_bucket") <= LARGE_BUCKET)
+    x, y = (small.select(F.col("band").alias(f"band_{s}"), F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b"))
-    overlap = F.least("shareable_a", "shareable_b")
-    possible = overlap * (1 + threshold) >= threshold * (F.col("n_units_a") + F.col("n_units_b")) - 1e-6
-    x, y = sides(rest.where(F.col("in_bucket") <= LARGE_BUCKET))
-    few = x.join(y, (x.band == y.band) & apart).select("a", "b")
-    x, y = sides(large, "n_units", "shareable")
-    many = x.join(y, (x.band == y.band) & apart & possible).select("a", "b")
-    across = few.union(many).distinct().join(star, ["a", "b"], "left_anti")
-    labels = components(links.union(linked(across, "across")))
+    few = x.join(y, (F.col("band_a") == F.col("band_b")) & apart).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    across = verified(likely(few, "across").union(many).distinct(), "across")
+    labels = components(links.union(across))
 
     member = member.join(labels, "node", "left").select("doc_id", "copy_key", "n_units", F.coalesce("label", "node").alias("class_id"))
     one = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))  # rows that share a doc_id are one node

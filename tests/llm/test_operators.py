@@ -163,6 +163,7 @@ def family(n, edits, seed):
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(dart_minhash, "LARGE_BUCKET", 8)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 16)
     rows = list(enumerate(family(90, [1, 2, 3, 4, 5], 1) + family(30, [4, 5, 6], 2), 100))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["doc_id"], r["class_id"]) for r in dart_minhash.near_duplicates(df).collect()]
