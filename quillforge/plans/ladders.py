@@ -155,6 +155,6 @@ def text_market(spark, sf_dir):
     return s.groupBy("lang", market.alias("market")).agg(F.count("*").alias("n"))
 
 
-@R.query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 9000 AND user_id < 40")
+@R.query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 9000")
 def cursor_after(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id > 9000 AND user_id < 40").select("event_id", "user_id", "event_type")
+    return table(spark, sf_dir, "events").where("event_id > 9000").select("event_id", "user_id", "event_type")

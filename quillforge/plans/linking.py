@@ -34,7 +34,7 @@ def unique_key_join_stats(spark, sf_dir):
 
 
 @R.query("""
-WITH v AS (SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS votes FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL),
+WITH v AS (SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS votes FROM orders WHERE o_totalprice > 150000 GROUP BY ALL),
 ra AS (SELECT *, sum(votes) OVER w::BIGINT AS n, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY votes DESC, o_orderpriority) AS k FROM v WINDOW w AS (PARTITION BY o_custkey, o_orderstatus)),
 a AS (SELECT o_custkey, o_orderstatus, o_orderpriority AS av, votes AS avotes, n AS an FROM ra WHERE k = 1),
 vb AS (SELECT o_custkey, o_orderpriority, sum(votes)::BIGINT AS votes FROM v GROUP BY ALL),
@@ -48,7 +48,7 @@ z AS (SELECT *, CASE WHEN an IS NOT NULL THEN CASE WHEN an >= 2 AND avotes::DOUB
 SELECT o_custkey, o_orderstatus, CASE WHEN an IS NOT NULL THEN 'A' WHEN bn IS NOT NULL THEN 'B' END AS level, CASE WHEN reason IS NULL THEN CASE WHEN an IS NOT NULL THEN av ELSE bv END END AS value, reason FROM z
 """)
 def pool_unanimity_fallback(spark, sf_dir):
-    votes = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    votes = table(spark, sf_dir, "orders").where("o_totalprice > 150000")
     targets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array(*map(F.lit, "FOP"))).alias("o_orderstatus"))
     return J.fallback_majority(targets, votes, ["o_custkey", "o_orderstatus"], ["o_custkey"], "o_orderpriority", 2, 0.6, 4, 0.5, 2)
 
@@ -67,15 +67,15 @@ def key_backfill(spark, sf_dir):
 
 
 @R.query("""
-WITH p AS (SELECT p_partkey, p_size, p_brand FROM part), t AS (SELECT p_size, min(p_brand) AS wanted FROM part WHERE p_partkey % 40 < 30 GROUP BY 1),
+WITH p AS (SELECT p_partkey, p_size, p_brand, p_type FROM part), t AS (SELECT p_size, min(p_brand) AS wanted FROM part WHERE p_retailprice < 960 GROUP BY 1),
 j AS (SELECT t.p_size, wanted, p_partkey, p_brand, p_brand = wanted AS hit, max((p_brand = wanted)::INT) OVER (PARTITION BY t.p_size) AS a, min(p_brand) OVER (PARTITION BY t.p_size) = max(p_brand) OVER (PARTITION BY t.p_size) AS o
-  FROM t JOIN p ON p.p_size = t.p_size AND p_partkey % 5 = 0)
+  FROM t JOIN p ON p.p_size = t.p_size AND p_type = 'ECONOMY')
 SELECT p_size, wanted, p_partkey, p_brand, CASE WHEN a = 1 THEN 'by_name' WHEN o THEN 'single_name' ELSE 'ambiguous' END AS selected_by FROM j WHERE a = 0 OR hit
 """)
 def select_by_name(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
-    targets = part.where("p_partkey % 40 < 30").groupBy("p_size").agg(F.min("p_brand").alias("wanted"))
-    return J.select_by_name(targets, part.where("p_partkey % 5 = 0"), ["p_size"], "p_brand", "wanted")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
+    targets = part.where("p_retailprice < 960").groupBy("p_size").agg(F.min("p_brand").alias("wanted"))
+    return J.select_by_name(targets, part.where("p_type = 'ECONOMY'").select("p_partkey", "p_size", "p_brand"), ["p_size"], "p_brand", "wanted")
 
 
 @R.query("""
@@ -112,12 +112,12 @@ def range_join_notices(spark, sf_dir):
 
 
 @R.query("""
-WITH r AS (SELECT l_partkey, l_quantity, l_suppkey FROM lineitem WHERE l_orderkey % 20 = 0), g AS (SELECT l_partkey, count(DISTINCT l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_suppkey) AS s, min(l_suppkey) AS one FROM r GROUP BY 1)
+WITH r AS (SELECT l_partkey, l_quantity, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09), g AS (SELECT l_partkey, count(DISTINCT l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_suppkey) AS s, min(l_suppkey) AS one FROM r GROUP BY 1)
 SELECT p_partkey AS l_partkey, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'value' ELSE 'range' END AS status, CASE WHEN n = 1 THEN lo END AS value, CASE WHEN n > 1 THEN lo END AS range_low, CASE WHEN n > 1 THEN hi END AS range_high,
   coalesce(n, 0) AS n_values, CASE WHEN s = 1 THEN one END AS single_supplier FROM part LEFT JOIN g ON p_partkey = l_partkey
 """)
 def price_or_range(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.09")
     return J.price_or_range(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), rows, ["l_partkey"], "l_quantity", "l_suppkey")
 
 

@@ -97,11 +97,11 @@ def facts_merge(spark, sf_dir):
 
 
 _EVIDENCE = """e AS (SELECT l_partkey, floor(l_extendedprice / l_quantity / 50)::BIGINT * 50 AS v, s_nationkey AS market, l_suppkey, l_returnflag, l_suppkey % 5 = 0 AS official, l_orderkey % 4 <> 0 AS scope_ok, l_partkey % 7 <> 0 AS policy
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 6 = 0)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def _evidence(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 6 = 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("market"))
     e = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
     return e.select(

@@ -99,11 +99,11 @@ def column_profile(spark, sf_dir):
 
 @R.query("""
 SELECT regexp_replace(regexp_replace(c_name, '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') AS shape, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL
-UNION ALL SELECT regexp_replace(regexp_replace(substr(props, 1, 20), '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g'), event_type, count(*) FROM events GROUP BY ALL
+UNION ALL SELECT regexp_replace(regexp_replace(props, '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g'), event_type, count(*) FROM events GROUP BY ALL
 """)
 def value_shapes(spark, sf_dir):
     names = table(spark, sf_dir, "customer").groupBy(value_shape(F.col("c_name")).alias("shape"), "c_mktsegment").agg(F.count("*").alias("n"))
-    props = table(spark, sf_dir, "events").groupBy(value_shape(F.substring("props", 1, 20)).alias("shape"), F.col("event_type").alias("c_mktsegment")).agg(F.count("*").alias("n"))
+    props = table(spark, sf_dir, "events").groupBy(value_shape(F.col("props")).alias("shape"), F.col("event_type").alias("c_mktsegment")).agg(F.count("*").alias("n"))
     return names.unionByName(props)
 
 

@@ -124,10 +124,10 @@ def inspect_documents(spark, sf_dir):
 
 
 @R.query("""
-WITH k AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 9 = 0), n AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
+WITH k AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders), n AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT o_orderkey, o_custkey, c_mktsegment, c_custkey IS NULL AS not_found FROM k LEFT JOIN n ON o_custkey = c_custkey
 """)
 def lookup_not_found(spark, sf_dir):
-    k = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", "o_custkey")
-    n = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit(True).alias("_f"))
+    k = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit(True).alias("_f"))
     return join_null_safe(k, n, ["o_custkey"]).select("o_orderkey", "o_custkey", "c_mktsegment", F.col("_f").isNull().alias("not_found"))
