@@ -54,13 +54,13 @@ def _anchors(window: int):
 
 
 def _windows(window: int):
-    """The windows whose anchor is shared: hash and start, packed by document."""
+    """The windows whose anchor is shared, one entry for each different hash of a document with all its starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hits = batch.column("key").to_numpy(), batch.column("hits")
             h_offs, h_all = np.asarray(hits.offsets), hits.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            out_hash, out_pos = [], []
+            out_hash, out_pos, n_hashes, n_starts = [], [], [], []
             for first, end, data, offs in N.blocks(batch.column("text")):
                 starts, ends, at = N.words(data, offs)
                 (hashes,) = N.word_hashes(data, starts, ends)
@@ -70,10 +70,19 @@ def _windows(window: int):
                 for i in range(end - first):
                     lo, hi = at[i], max(at[i], at[i + 1] - window + 1)
                     take = np.flatnonzero(np.isin(grams[best[lo:hi]], h_all[h_offs[first + i] : h_offs[first + i + 1]]))
-                    out_hash.append(wide[lo + take].view(np.int64))
-                    tag = (int(keys[first + i]) & 0xFFFFFF) << START_BITS
-                    out_pos.append(take.astype(np.int64) | tag)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out_hash, pa.list_(pa.int64())), pa.array(out_pos, pa.list_(pa.int64()))], names=["doc_id", "hashes", "places"])
+                    take = take[np.argsort(wide[lo + take], kind="stable")]
+                    each, counts = np.unique(wide[lo + take], return_counts=True)
+                    out_hash.append(each.view(np.int64))
+                    out_pos.append(take.astype(np.int64) | (int(keys[first + i]) & 0xFFFFFF) << START_BITS)
+                    n_hashes.append(len(each))
+                    n_starts.append(counts)
+
+            def listed(values: list[np.ndarray]) -> np.ndarray:
+                return np.concatenate([np.zeros(0, np.int64), *values])
+
+            ends_of = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            places = pa.ListArray.from_arrays(ends_of(listed(n_starts)), pa.array(listed(out_pos)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends_of(n_hashes), pa.array(listed(out_hash))), pa.ListArray.from_arrays(ends_of(n_hashes), places)], names=["doc_id", "hashes", "places"])
 
     return run
 
@@ -124,10 +133,13 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     hits = seeds.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("hits"))
 
     texts = docs.where("doc_id IS NOT NULL")
-    packed = texts.join(hits, ["doc_id", "key"]).mapInArrow(_windows(window), "doc_id long, hashes array<long>, places array<long>")
-    matches = packed.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("doc_id", "w.hashes", "w.places")
-    earliest = matches.groupBy("hashes").agg(F.min("doc_id").alias("first_doc"))
-    covered = matches.join(earliest, "hashes").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("places").alias("places"))
+    packed = texts.join(hits, ["doc_id", "key"]).mapInArrow(_windows(window), "doc_id long, hashes array<long>, places array<array<long>>")
+    matches = packed.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("doc_id", F.col("w.hashes").alias("hash"), "w.places")
+    repeated = matches.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    # the complement as the key: the few repeated windows are dealt anew, so that a hot key on the other side can be split
+    repeated = repeated.select(F.bitwise_not("hash").alias("to_hash"), "first_doc")
+    later = matches.join(repeated, F.bitwise_not("hash") == F.col("to_hash")).where("doc_id > first_doc")
+    covered = later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     per_key = hits.join(covered, "doc_id").select("doc_id", "key", "places")
     cut = texts.join(per_key, ["doc_id", "key"]).mapInArrow(_cut(window), "doc_id long, key long, n_removed long, sha string, repeats array<struct<start:long,end:long>>").dropDuplicates(["doc_id", "key"])
