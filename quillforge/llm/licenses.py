@@ -111,10 +111,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
         possible = possible | holds(phrase)
     for _, words, phrase in lists:
         possible = possible | (can_reach(words) & holds(" ".join(phrase)))
-    keys = stage_table(held.where(possible).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key"), "held").dropDuplicates(["at_doc", "at_key"]), "license-keys")
+    keys = stage_table(held.where(possible).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key")).distinct(), "license-keys")
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & F.col("text_key").eqNullSafe(F.col("at_key"))
-    near = keyed.join(sent_if_small(keys), same).select("at_doc", "at_key", "held", _words(F.col("text")).alias("words"))
-    near = stage_table(near.dropDuplicates(["at_doc", "at_key"]), "license-texts")
+    near = keyed.join(sent_if_small(keys), same).select("at_doc", "at_key", _words(F.col("text")).alias("words"))
+    near = stage_table(near.dropDuplicates(["at_doc", "at_key"]).withColumn("held", F.array_intersect("words", _strings(vocabulary))), "license-texts")
 
     base = near.select("at_doc", "at_key", F.array(*[F.struct(F.lit(label).alias("label"), _starts("words", phrase.split()).alias("starts")) for phrase, label in PHRASES.items()]).alias("base"))
     every = F.flatten(F.transform("base", lambda x: x["starts"]))
