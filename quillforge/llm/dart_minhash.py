@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return stage_table(pairs.join(a, "a").join(b, "b").mapInArrow(_agree, "a long, b long"), f"{name}-likely")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids")
+        ids = stage_table(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct(), f"{name}-ids")
         needed = texts.join(sent_if_small(ids), "node", "left_semi")
         a = needed.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = needed.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
