@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
-The index has a posting (template, position) for each word of each template, and each word's inverse document frequency
-over all documents. A file looks up the LOOKED_UP license words it holds that are rarest; its occurrences of each and the
-postings of it give offsets (position in the file less position in the template), and postings that agree on an offset are
-intersected. A template whose mandatory phrase stands where that offset puts it is found, with a score: the part of the
-template's frequency-weighted words that stand in place.
+Words are weighted by their inverse document frequency over all documents. The index has a posting (template, position) for
+each template: the rarest word of its mandatory phrase, without which it cannot be found. A file's occurrences of a posting's
+word give offsets (position in the file less position in the template), all of them, whatever else the file holds. A template
+whose mandatory phrase stands where an offset puts it gets a score there: the part of its frequency-weighted words, over all
+of them, that stand in place. It is found at LEAST_SCORE or more.
 
 Scale: one pass over the texts stores, for each document, how many words it has and which license words. The frequencies,
 and which documents can reach the score or hold a phrase at all, come from that small table. Only those documents are read
@@ -13,6 +13,8 @@ again, by a broadcast of their keys whose size is checked.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-LOOKED_UP, LEAST_SCORE = 12, 0.5
+LEAST_SCORE = 0.5
 
 
 def _words(text: Column) -> Column:
@@ -114,32 +116,48 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
     keys = stage_table(held.where(possible).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key")).distinct(), "license-keys")
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & F.col("text_key").eqNullSafe(F.col("at_key"))
     near = keyed.join(sent_if_small(keys), same).select("at_doc", "at_key", _words(F.col("text")).alias("words"))
-    near = stage_table(near.dropDuplicates(["at_doc", "at_key"]).withColumn("held", F.array_intersect("words", _strings(vocabulary))), "license-texts")
+    near = stage_table(near.dropDuplicates(["at_doc", "at_key"]), "license-texts")
+
+    facts = []
+    for t, (label, words, phrase) in enumerate(lists):
+        phrase_at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        rarest = max(range(len(phrase)), key=lambda i: (weight[phrase[i]], phrase[i]))
+        facts.append((t, label, phrase_at, phrase_at + rarest, mass(words), words, phrase))
+    postings: dict[str, list[int]] = {}
+    for t, _, _, place, _, words, _ in facts:
+        postings.setdefault(words[place], []).append(t)
+
+    def candidates(word: Column, at: Column) -> Column:
+        out = F.array().cast("array<struct<template:int,offset:int>>")
+        for w, ts in postings.items():
+            out = F.when(word == w, F.array(*[F.struct(F.lit(t).alias("template"), (at - F.lit(facts[t][3])).alias("offset")) for t in ts])).otherwise(out)
+        return out
 
-    base = near.select("at_doc", "at_key", F.array(*[F.struct(F.lit(label).alias("label"), _starts("words", phrase.split()).alias("starts")) for phrase, label in PHRASES.items()]).alias("base"))
+    def in_place(words: list[str], offset: Column) -> list[Column]:
+        return [F.coalesce(F.get(F.col("words"), offset + j) == w, F.lit(False)) for j, w in enumerate(words)]
+
+    def judged(c: Column) -> Column:
+        """The candidate as (label, template number, score, place), or null."""
+        out = F.lit(None).cast("struct<label:string,template:int,score:double,place:int>")
+        for t, label, phrase_at, _, full, words, phrase in facts:
+            there = functools.reduce(lambda a, b: a & b, in_place(phrase, c["offset"] + phrase_at))
+            part = sum((F.when(here, weight[w]).otherwise(0.0) for w, here in zip(words, in_place(words, c["offset"]), strict=True)), F.lit(0.0)) / full
+            one = F.struct(F.lit(label).alias("label"), F.lit(t).alias("template"), F.least(part, F.lit(1.0)).alias("score"), c["offset"].alias("place"))
+            out = F.when(c["template"] == t, F.when(there & (part >= LEAST_SCORE), one)).otherwise(out)
+        return out
+
+    anchors = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*postings))
+    base = near.withColumn("candidates", F.flatten(F.transform(anchors, lambda x: candidates(x["word"], x["at"]))))
+    base = base.withColumn("found", F.sort_array(F.filter(F.transform("candidates", judged), lambda x: x.isNotNull())))
+    base = base.select("at_doc", "at_key", F.array(*[F.struct(F.lit(label).alias("label"), _starts("words", phrase.split()).alias("starts")) for phrase, label in PHRASES.items()]).alias("base"), "found")
     every = F.flatten(F.transform("base", lambda x: x["starts"]))
-    base = base.select("at_doc", "at_key", every.alias("starts"), F.transform(F.filter("base", lambda x: F.size(x["starts"]) > 0), lambda x: x["label"]).alias("base_labels"))
-
-    postings = [(w, t, i) for t, (_, words, _) in enumerate(lists) for i, w in enumerate(words)]
-    index = spark.createDataFrame(postings, "word string, template int, place int").join(weights, "word")
-    ranked = sorted(vocabulary, key=lambda w: (-weight[w], w))
-    rare = F.slice(F.array_intersect(_strings(ranked), F.col("held")), 1, LOOKED_UP)  # in the order of the first array: rarest first
-    looked = near.withColumn("rare", rare).select("at_doc", "at_key", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(F.col("rare"), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())).alias("o"))
-    votes = looked.select("at_doc", "at_key", F.col("o.word").alias("word"), F.col("o.at").alias("at")).join(F.broadcast(index), "word")
-    votes = votes.groupBy("at_doc", "at_key", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("mass"))
-    facts = spark.createDataFrame([(t, label, phrase, next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase), mass(words)) for t, (label, words, phrase) in enumerate(lists)], "template int, label string, phrase array<string>, phrase_at int, full double")
-    votes = votes.join(F.broadcast(facts), "template").withColumn("part", F.least(F.col("mass") / F.col("full"), F.lit(1.0))).where(F.col("part") >= LEAST_SCORE)
+    base = base.select("at_doc", "at_key", every.alias("starts"), F.transform(F.filter("base", lambda x: F.size(x["starts"]) > 0), lambda x: x["label"]).alias("base_labels"), F.when(F.size("found") > 0, F.col("found")).alias("found"))
 
     def again(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
         other = other.withColumnsRenamed({"at_doc": "other_doc", "at_key": "other_key"})
         return df.join(other, F.col("at_doc").eqNullSafe(F.col("other_doc")) & F.col("at_key").eqNullSafe(F.col("other_key")), how).drop("other_doc", "other_key")
 
-    start = F.col("offset") + F.col("phrase_at")
-    placed = again(votes, near.select("at_doc", "at_key", "words")).where(start >= 0).where(F.slice(F.col("words"), start + 1, F.size("phrase")) == F.col("phrase"))
-    found = placed.groupBy("at_doc", "at_key").agg(F.sort_array(F.collect_set(F.struct("label", "template", F.col("part").alias("score"), F.col("offset").alias("place")))).alias("found"))
-
-    out = again(base, found, "left")
-    out = again(held.select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key"), "n_words"), out, "left")
+    out = again(held.select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key"), "n_words"), base, "left")
     labels = F.coalesce("base_labels", F.array().cast("array<string>"))
     mine = F.coalesce(F.transform("found", lambda x: x["label"]), F.array().cast("array<string>"))
     return out.select(

@@ -366,6 +366,20 @@ def test_licenses_beyond_the_phrases(spark):
     assert got[1] == "bsd" and got[2] == "" and got[3] == "mpl" and not any(got[10 + i] for i in range(30))
 
 
+def test_licenses_of_files_with_several_texts(spark):
+    texts = {i: words for i, (_, words, _) in enumerate(licenses.TEMPLATES)}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    filler = [w for _, words, _ in licenses.TEMPLATES for w in reversed(words.split())]
+    rows = [(k, f"{texts[a]} and also {texts[b]}") for k, (a, b) in enumerate(pairs)]
+    rows += [(900, " then ".join(texts.values())), (901, " ".join([*filler, texts[6], *filler]))]
+    rows += [(1000 + i, "plain text of the usual kind with and without the words of a license") for i in range(300)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, pair in enumerate(pairs):
+        assert set(pair) <= {f["template"] for f in got[k]["found"] if f["score"] == pytest.approx(1)}
+    assert set(texts) <= {f["template"] for f in got[900]["found"]} and set(got[900]["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+    assert any(f["template"] == 6 and f["place"] == len(filler) and f["score"] == pytest.approx(1) for f in got[901]["found"])
+
+
 # fingerprints
 
 
