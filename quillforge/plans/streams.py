@@ -32,8 +32,9 @@ def stream_first_seen(spark, sf_dir):
 
 @R.query()
 def stream_rate_limit(spark, sf_dir):
-    """At most 3 accepted events a user in 12 hours; rejected ones do not count, which SQL cannot express without recursion."""
-    stream = E.stream_table(spark, sf_dir, "events")
+    """At most 3 accepted events a user in 12 hours; rejected ones do not count, which SQL cannot express without recursion.
+    All files are one batch, as the files of a table need not be in order of time."""
+    stream = E.stream_table(spark, sf_dir, "events", files_per_batch=None)
     return E.run_to_table(E.rate_limited(stream, "user_id", "ts", "event_id", 3, 12 * 3600))
 
 

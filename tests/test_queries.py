@@ -46,6 +46,16 @@ def test_rate_limit_against_a_plain_loop(spark, sf_dir):
     assert got == want and not all(want.values())
 
 
+def test_streams_of_many_files_that_are_not_in_order(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_entity_states", "stream_rate_limit"):
+        want, got = (sorted(map(tuple, catalogue.QUERIES[name](spark, str(d)).collect())) for d in (sf_dir, tmp_path))
+        assert got == want
+    last = {r["user_id"]: r["event_id"] for r in events.orderBy("ts", "event_id").collect()}
+    assert {r["user_id"]: r["last_seq"] for r in catalogue.QUERIES["stream_entity_states"](spark, str(tmp_path)).collect()} == last
+
+
 def test_entry(spark):
     import __spark_entry__
 
