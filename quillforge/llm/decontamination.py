@@ -2,7 +2,8 @@
 
 A mask selects some of the words under it and ignores the others; a seed is the hash of the selected words. Test items and
 documents are joined on equal seeds of equal masks, so a passage with some words replaced still hits wherever the
-replaced words fall on ignored positions. Each hit gives a diagonal, the offset of the item in the document. On it the words around the hit
+replaced words fall on ignored positions. Short items have seeds of two denser, shorter masks as well: with them no placement
+of up to 20 % replaced words leaves an item of any length without a seed, nor one of a run that is long enough. Each hit gives a diagonal, the offset of the item in the document. On it the words around the hit
 are compared one by one.
 
 Scale: one pass over the texts, in which seeds meet the items' seeds by a broadcast whose size is checked (a shuffled join
@@ -20,6 +21,8 @@ from quillforge.llm.common import sent_if_small, stage_table, table
 TOKEN = r"[\p{L}\p{N}]+"
 #: 1: the word counts, 0: it is ignored. Weight 6 each.
 MASKS = ("11101101", "110100111", "1011010011")
+#: Also used for items of up to SHORT words, for which MASKS alone leave placements out. Weight 5 each.
+SHORT_MASKS, SHORT = ("110111", "11111"), 25
 #: The part of an item's words that must match where the item lies, or else the run of matching words that is enough.
 RATIO, RUN = 0.8, 13
 LEAST_WORDS = 8
@@ -54,16 +57,23 @@ def _seed_rows(words: DataFrame, masks: tuple[str, ...], *keys: str) -> DataFram
     return rows.select(*keys, "seed", place.alias("place"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, ratio: float = RATIO, run: int = RUN) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, ratio: float = RATIO, run: int = RUN, short_masks: tuple[str, ...] = SHORT_MASKS) -> DataFrame:
     """One row for each document and test item that the document holds: doc_id, text_key, item_id, matched, overlap, ratio, run, doc_start.
 
     A pair is a leak if on one of its diagonals at least `ratio` of the item's words match, or if the best stretch (each match
     adds 1, each other word takes 4 off) has at least `run` matching words. Of several diagonals the one with most
     matches counts, then the first. text_key, a hash of the text, tells rows with one doc_id apart.
     Defined cases: null texts have no words; items and texts of under 8 words never match; repeated rows give one row;
-    rows with a null doc_id are searched like others; items with one item_id are one item each. Other columns are ignored."""
+    rows with a null doc_id are searched like others, as are items with a null item_id; items with one item_id are one item
+    each. Other columns are ignored."""
     bench = items.select(F.col("item_id").cast("long"), _tokens(F.col("text")).alias("words")).where(F.size("words") >= LEAST_WORDS).distinct()
-    seeds = stage_table(_seed_rows(bench.withColumn("item", F.struct("item_id", "words")), masks, "item").select("item.item_id", F.xxhash64("item.words").alias("item_key"), "seed", F.col("place").alias("item_place")).distinct(), "item-seeds")
+    keyed_items = bench.withColumn("item", F.struct("item_id", "words"))
+    seeds = _seed_rows(keyed_items, masks, "item")
+    short = keyed_items.where(F.size("words") <= SHORT)
+    if short_masks and not short.isEmpty():  # else no seed of theirs can meet an item
+        seeds = _seed_rows(keyed_items.where(F.size("words") > SHORT), masks, "item").unionByName(_seed_rows(short, masks + short_masks, "item"))
+        masks += short_masks
+    seeds = stage_table(seeds.select("item.item_id", F.xxhash64("item.words").alias("item_key"), "seed", F.col("place").alias("item_place")).distinct(), "item-seeds")
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).where("text IS NOT NULL")
     found = _seed_rows(keyed.select("doc_id", "text_key", _tokens(F.col("text")).alias("words")), masks, "doc_id", "text_key").join(sent_if_small(seeds), "seed")
@@ -74,7 +84,7 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, rat
     places = sent_if_small(stage_table(places, "hit-texts")).select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"))
     texts = keyed.join(places, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")))
     texts = stage_table(texts.select("hit_doc", "hit_key", _tokens(F.col("text")).alias("words")).dropDuplicates(["hit_doc", "hit_key"]), "hit-words")
-    both = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key"))).join(bench, (F.col("item_id") == F.col("of_item")) & (F.col("item_key") == F.col("of_key")))
+    both = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key"))).join(bench, F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("item_key") == F.col("of_key")))
 
     at = F.col("diagonal")
     same = F.transform("item_words", lambda w, j: (at + j >= 0) & (at + j < F.size("words")) & F.coalesce(F.get(F.col("words"), at + j) == w, F.lit(False)))

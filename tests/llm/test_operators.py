@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -215,6 +216,39 @@ def test_leaks_with_words_replaced(spark):
     assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, items).where("doc_id < 90").collect()) == sorted(set(range(60)) - leaked)
 
 
+def fewest_replaced(masks, top):
+    """For 0, 1, ... top words the fewest that must be replaced to leave no seed of the masks."""
+    keep = max(map(len, masks)) - 1
+    bits = [(len(m), int(m, 2)) for m in masks]
+    states, out = {0: 0}, [0]
+    for n in range(1, top + 1):
+        following = {}
+        for s, c in states.items():
+            for x in (0, 1):
+                w = s << 1 | x
+                if not any(n >= size and not w & m for size, m in bits):
+                    k = w & ((1 << keep) - 1)
+                    following[k] = min(c + x, following.get(k, top))
+        states = following
+        out.append(min(states.values()))
+    return out
+
+
+def test_masks_leave_no_placement_out():
+    short = fewest_replaced(decontamination.MASKS + decontamination.SHORT_MASKS, decontamination.SHORT)
+    assert all(short[n] > n // 5 for n in range(decontamination.LEAST_WORDS, decontamination.SHORT + 1))
+    long = fewest_replaced(decontamination.MASKS, 400)
+    assert all(long[n] > n // 5 for n in range(decontamination.SHORT + 1, 401))
+
+
+def test_leaks_of_short_items_and_null_ids(spark):
+    placements = [(n, c) for n in (8, 9, 10, 12) for c in itertools.combinations(range(n), n // 5)]
+    rows = [(k, "before it " + " ".join(f"other{i}" if i in c else f"item{n}x{i}" for i in range(n)) + " after") for k, (n, c) in enumerate(placements)]
+    items = [(None if n == 9 else n, " ".join(f"item{n}x{i}" for i in range(n))) for n in (8, 9, 10, 12)]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, None if n == 9 else n) for k, (n, _) in enumerate(placements)}
+
+
 def test_leaks_on_the_tables(spark, sf_dir, docs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     token = re.compile(r"[^\W_]+")
