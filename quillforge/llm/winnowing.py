@@ -1,8 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-A text's tokens are its runs of up to TOKEN_CHARS characters that are not white space. Every GRAM consecutive tokens are
+A text's tokens are its runs of up to TOKEN_CHARS characters that are not white space; runs over that are cut into such
+pieces. A run of over LONG_RUN characters (scripts without spaces, encoded data, long lines of code) has a token at each of
+its characters instead, the TOKEN_CHARS characters from there on, so that its grams roll and a passage gives the same ones
+at every offset. Every GRAM consecutive tokens are
 hashed; of every WINDOW consecutive hashes the smallest is chosen, the rightmost of equals, and kept with its position. Two
-texts with GRAM + WINDOW - 1 tokens in common share a fingerprint there, and its two positions give the offset.
+texts with GRAM + WINDOW - 1 tokens in a row in common share a fingerprint there, and its two positions give the offset. In
+long runs this takes GRAM + WINDOW + TOKEN_CHARS - 2 characters. Where a passage begins or ends inside a run, at most
+LONG_RUN characters of it there may be cut differently.
 
 Hash and position are packed into one integer, hash first and position descending, so that the smallest integer of a
 window is the rightmost smallest hash.
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 from quillforge.llm.common import range_bounds, range_bucket, sent_if_small, shuffle_partitions, stage_table, table
 
 GRAM, WINDOW = 5, 16
-TOKEN_CHARS = 12
+TOKEN_CHARS, LONG_RUN = 12, 48
 PLACE_BITS = 30
 LAST_PLACE = (1 << PLACE_BITS) - 1
 
@@ -26,13 +31,26 @@ def _packed(value: Column, place: Column) -> Column:
     return top + (F.lit(LAST_PLACE) - place.cast("long"))
 
 
+def _tokens(text: Column) -> Column:
+    def tiles(x: Column) -> Column:
+        return F.regexp_extract_all(x, F.lit(f"\\S{{1,{TOKEN_CHARS}}}"), F.lit(0))
+
+    def rolling(x: Column) -> Column:
+        return F.regexp_extract_all(x, F.lit(f"(?=(\\S{{{TOKEN_CHARS}}}))\\S"), F.lit(1))
+
+    runs = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > LONG_RUN, rolling(r)).otherwise(tiles(r))))
+    # most texts have no long run: they are not cut into runs first
+    return F.when(text.rlike(f"(?<!\\S)\\S{{{LONG_RUN + 1}}}"), cut).otherwise(tiles(text))
+
+
 def with_fingerprint(df: DataFrame, text: Column, name: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """df with the array column `name`: the packed fingerprints of a text in order of position.
 
     A text of fewer than `gram` tokens has one gram, all of them; with fewer than `window` grams there is one window; an
     empty or null text has no fingerprint."""
     none = F.array().cast("array<long>")
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"\\S{{1,{TOKEN_CHARS}}}"), F.lit(0))
+    tokens = _tokens(F.coalesce(text, F.lit("")))
     df = df.withColumn("_hashes", F.transform(tokens, lambda w: F.xxhash64(w)))
     n = F.size("_hashes")
     grams = F.transform(F.sequence(F.lit(0), n - gram), lambda i: _packed(F.xxhash64(*[F.get(F.col("_hashes"), i + j) for j in range(gram)]), i))

@@ -434,6 +434,28 @@ def test_winnowing_picks_the_rightmost_smallest(spark, docs):
         assert [(x >> 30, -(winnowing.LAST_PLACE - (x & winnowing.LAST_PLACE))) for x in r["prints"]] == plain_winnow(cut, 16)
 
 
+def test_winnowing_of_passages_without_spaces(spark):
+    random.seed(5)
+    passages = ["".join(chr(random.randrange(0x4E00, 0x9F00)) for _ in range(150)), "".join(random.choices("abcdefgh😀+/0189", k=2000))]
+    rows = []
+    for p in passages:
+        for shift in range(13):
+            before, after = ("".join(random.choices("ijklmn", k=k)) for k in (40 + shift, 20))
+            rows.append((len(rows), f"some words {before}{p}{after} and more"))
+    rows += [(len(rows), passages[1]), (len(rows) + 1, passages[1][:1000] + "?" + passages[1][1000:])]
+    df = winnowing.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), "prints")
+    got = [set(r["h"]) for r in df.orderBy("doc_id").select(winnowing.hashes(F.col("prints")).alias("h")).collect()]
+    for part in (got[:13], got[13:26]):
+        assert all(a & b for a in part for b in part)
+    assert len(got[26] & got[27]) / len(got[26] | got[27]) > 0.8
+    # a shared passage of the shortest length that is promised
+    short = passages[1][700 : 700 + 5 + 16 + 12 - 2]
+    pair = [(1, "i" * 61 + short + "j" * 30), (2, "k" * 70 + short + "m" * 47)]
+    df = winnowing.with_fingerprint(spark.createDataFrame(pair, "doc_id long, text string"), F.col("text"), "prints")
+    one, two = (set(r["h"]) for r in df.select(winnowing.hashes(F.col("prints")).alias("h")).collect())
+    assert one & two
+
+
 @pytest.mark.parametrize("which", ["docs", "awkward"])
 def test_edited_texts(request, which):
     df = request.getfixturevalue(which)
