@@ -163,23 +163,24 @@ def pair_calls(events: DataFrame, run: str, seq: str) -> DataFrame:
 def split_one_way(names: DataFrame, text: str, known: list[str], most: int = 5) -> DataFrame:
     """names with parts: the text's words as a sequence of at least two known names, if that works in exactly one way.
 
-    Cut points are tried as bit masks over at most `most` words, all inside one array expression; longer texts give null."""
-    words = F.split(F.trim(F.col(text)), r"\s+")
+    A part has at most `most` words; texts have any number. One fold over the words keeps at most three ways to reach each
+    word: enough to tell one way from several, besides the whole text as a single part, which does not count."""
     known_set = F.array(*[F.lit(k) for k in known])
     n = F.size("_words")
 
-    def parts(mask: Column) -> Column:
-        grouped = F.aggregate(
-            F.sequence(F.lit(0), n - 1),
-            F.array().cast("array<string>"),
-            lambda acc, i: F.when((i > 0) & (F.call_function("shiftright", mask, F.greatest(i - 1, F.lit(0))).bitwiseAND(F.lit(1)) == 0), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), F.get(F.col("_words"), i))))).otherwise(
-                F.concat(acc, F.array(F.get(F.col("_words"), i)))
-            ),
-        )
-        return grouped
-
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n - 1) - 1)
-    ways = F.filter(F.transform(masks, parts), lambda p: F.forall(p, lambda x: F.array_contains(known_set, x)))
-    out = names.withColumn("_words", words)
-    ways = F.when((n >= 2) & (n <= most), ways).otherwise(F.array().cast("array<array<string>>"))
-    return out.withColumn("_ways", ways).withColumn("parts", F.when(F.size("_ways") == 1, F.array_join(F.get(F.col("_ways"), F.lit(0)), "|"))).drop("_words", "_ways")
+    def ending(ways: Column, end: Column) -> Column:
+        """The ways to split the first `end` words, each as its parts joined by |."""
+
+        def last_part(size: Column) -> Column:
+            part = F.array_join(F.slice(F.col("_words"), end - size + 1, size), " ")
+            longer = F.transform(F.get(ways, end - size), lambda way: F.when(way == "", part).otherwise(F.concat(way, F.lit("|"), part)))
+            return F.when(F.array_contains(known_set, part), longer).otherwise(F.array().cast("array<string>"))
+
+        return F.slice(F.flatten(F.transform(F.sequence(F.lit(1), F.least(end, F.lit(most))), last_part)), 1, 3)
+
+    start = F.array(F.array(F.lit("")))
+    folded = F.aggregate(F.sequence(F.lit(1), n), start, lambda ways, end: F.concat(ways, F.array(ending(ways, end))))
+    whole = F.array_join("_words", " ")
+    out = names.withColumn("_words", F.split(F.trim(F.col(text)), r"\s+"))
+    out = out.withColumn("_ways", F.when(n >= 2, F.filter(F.element_at(folded, -1), lambda way: way != whole)))
+    return out.withColumn("parts", F.when(F.size("_ways") == 1, F.get(F.col("_ways"), F.lit(0)))).drop("_words", "_ways")
