@@ -1,10 +1,11 @@
-"""Substring deduplication by seed and extend.
+"""Substring deduplication by seeds and the windows around them.
 
 Each document is winnowed into anchors: of every `window - SEED + 1` consecutive SEED-word grams the one with the smallest
 hash (rightmost of equals). The rule sees nothing but the words, so two documents that share `window` consecutive words
-share the anchor inside them at the same offset. Documents are joined on anchors; around a shared anchor the match is
-extended both ways, up to the ends of the windows that the anchor stands for; what an earlier document also holds is
-kept as a repeat, and overlapping repeats run together into maximal ones.
+share the anchor inside them at the same offset. Anchors that several documents hold only
+mark documents and windows. What decides is then a hash of each whole window around such an anchor: a window that an earlier
+document also holds is a repeat, and overlapping repeats run together into maximal ones. No pair of documents is joined on an
+anchor and nothing is extended word by word: the pairs of a passage grow with the square of its copies, its hashes do not.
 
 Scale: an anchor is shuffled for about every 22 words. Anchors in one document only, and copies of a whole text, end
 there. Counting is pre-aggregated in the map tasks, so a passage that a third of all documents hold costs a row for each
