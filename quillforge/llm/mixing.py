@@ -50,8 +50,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     """docs' rows with size, source_size, target, copies (how often the mix takes the document) and taken (its words).
 
     Defined cases: a null text has size 0; a null source is a source of its own, the last; a document of size 0 is taken
-    by whole copies only and adds no words; equal ranks (repeated rows) go in order of doc_id and then arbitrarily among
-    rows that do not differ. Columns of docs named like the new ones are replaced. An empty table gives no rows."""
+    by whole copies only and adds no words; equal ranks go in order of doc_id, and rows with one doc_id and text one by one,
+    so that of several equal rows only some may be taken. Columns of docs named like the new ones are replaced. An empty
+    table gives no rows."""
     new = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in new]
     # docs' own columns travel in one struct, so that no name of theirs meets a name used here
@@ -74,18 +75,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     plan = stage_table(plan, "mix-plan")
 
     inside = ranks.join(sent_if_small(plan), F.col("source").eqNullSafe(F.col("mix_source"))).where(slice_of == F.col("edge_slice"))
+    inside = inside.groupBy("mix_source", "u", "doc_id", "size", "edge_before", "odd", "p").agg(F.count("*").alias("n"))
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    order = Window.partitionBy("mix_source").orderBy(rank, "doc_id", "size")
-    inside = inside.withColumn("upto", F.col("edge_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # the document that crosses the target is taken if that leaves the sum nearer to it
-    stop = inside.where((F.col("upto") <= F.col("odd")) | (F.col("upto") - F.col("odd") < F.col("odd") - (F.col("upto") - F.col("size"))))
-    stop = stop.groupBy("mix_source").agg(F.max("u").alias("last_u")).withColumnRenamed("mix_source", "stop_source")
+    earlier = Window.partitionBy("mix_source").orderBy(rank, F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("room", F.col("odd") - F.col("edge_before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(earlier), F.lit(0)))
+    # of n equal rows those that fit; the row that crosses the target is taken if that leaves the sum nearer to it
+    fit = F.when(F.col("size") > 0, F.least(F.col("n"), F.floor(F.col("room") / F.nullif("size", F.lit(0))))).otherwise(F.col("n"))
+    rest = F.col("room") - fit * F.col("size")
+    crossing = (fit < F.col("n")) & (rest > 0) & (F.col("size") - rest < rest)
+    inside = inside.withColumn("taken_of", F.when(F.col("room") >= 0, fit + F.when(crossing, 1).otherwise(0)).otherwise(0)).where("taken_of > 0")
+    at = F.struct("u", F.col("doc_id").isNull().alias("last"), "doc_id", "size")
+    stop = inside.groupBy("mix_source").agg(F.max(F.struct(at.alias("at"), "taken_of", "n")).alias("stop")).withColumnRenamed("mix_source", "stop_source")
     plan = stage_table(plan.join(stop, F.col("mix_source").eqNullSafe(F.col("stop_source")), "left").drop("stop_source"), "mix-stops")
 
     placed = docs.withColumn("u", u).join(sent_if_small(plan), F.col("source").eqNullSafe(F.col("mix_source")))
-    sampled = F.when(F.col("edge_slice").isNull(), F.col("odd") > 0).otherwise((slice_of < F.col("edge_slice")) | F.coalesce(F.col("u") <= F.col("last_u"), F.lit(False)))
-    placed = placed.withColumn("copies", F.least(F.col("whole") + F.when(sampled, 1).otherwise(0), F.lit(most)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return placed.select("row.*", *new)
+    before_stop = F.coalesce(at <= F.col("stop.at"), F.lit(False))
+    sampled = F.when(F.col("edge_slice").isNull(), F.col("odd") > 0).otherwise((slice_of < F.col("edge_slice")) | ((slice_of == F.col("edge_slice")) & before_stop))
+
+    def taking(rows: DataFrame, sampled: Column) -> DataFrame:
+        rows = rows.withColumn("copies", F.least(F.col("whole") + F.when(sampled, 1).otherwise(0), F.lit(most)).cast("long"))
+        return rows.withColumn("taken", F.col("copies") * F.col("size")).select("row.*", *new)
+
+    if plan.where("stop.taken_of < stop.n").isEmpty():
+        return taking(placed, sampled)
+    # equal rows of which only some are taken: they are counted part by part, so that no task numbers all of them
+    some = F.coalesce((F.col("stop.taken_of") < F.col("stop.n")) & (at == F.col("stop.at")), F.lit(False))
+    equal = stage_table(placed.where(some).withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id()), "mix-equal")
+    parts = equal.groupBy("mix_source", "part").agg(F.count("*").alias("in_all"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("in_all").over(Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.select(F.col("mix_source").alias("part_source"), F.col("part").alias("of_part"), "before")
+    numbered = equal.withColumn("nth", F.row_number().over(Window.partitionBy("mix_source", "part").orderBy("in_part")))
+    numbered = numbered.join(sent_if_small(stage_table(parts, "mix-parts")), F.col("mix_source").eqNullSafe(F.col("part_source")) & (F.col("part") == F.col("of_part")))
+    return taking(placed.where(~some), sampled).unionByName(taking(numbered, F.col("before") + F.col("nth") <= F.col("stop.taken_of")))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
