@@ -235,10 +235,39 @@ def fewest_replaced(masks, top):
 
 
 def test_masks_leave_no_placement_out():
-    short = fewest_replaced(decontamination.MASKS + decontamination.SHORT_MASKS, decontamination.SHORT)
-    assert all(short[n] > n // 5 for n in range(decontamination.LEAST_WORDS, decontamination.SHORT + 1))
-    long = fewest_replaced(decontamination.MASKS, 400)
-    assert all(long[n] > n // 5 for n in range(decontamination.SHORT + 1, 401))
+    """At the operator's own threshold no item of any length loses a placement of the replaced words: recall is 1."""
+    for group in {decontamination.masks_for(n) for n in range(1, 401)}:
+        of = [n for n in range(1, 401) if decontamination.masks_for(n) == group]
+        fewest = fewest_replaced(group, max(of))
+        assert all(fewest[n] > n // 5 for n in of)
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 6, 7, 8, 11, 15, 20, 26, 33, 40])
+def test_recall_at_the_threshold(spark, n):
+    rng = random.Random(n)
+    item = [f"q{i}" for i in range(n)]
+    rows = []
+    for d in range(60):
+        part = list(item)
+        for at in rng.sample(range(n), n // 5 if d % 2 else rng.randint(0, n // 5)):
+            part[at] = f"z{rng.randint(0, 10**6)}"
+        rows.append((d, " ".join([*(f"f{rng.randint(0, 10**6)}" for _ in range(d % 7)), *part, "end"])))
+    clean = [(100 + d, " ".join(f"q{i}" for i in range(n) if i % 4 != d % 4 or n == 1) + " x" if n > 4 else "q none") for d in range(4)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    got = {r["doc_id"] for r in decontamination.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got - {100, 101, 102, 103} == set(range(60)) and (n > 12 or got == set(range(60)))
+
+
+def test_leaks_of_awkward_rows(spark, awkward, empty):
+    items = spark.createDataFrame([(1, BASE, "x", 3), (2, None, "x", 3), (3, "", "x", 3), (None, "repeat " * 9, "x", 3), (5, "two words", "x", 3), (6, BASE, "x", 3)], "item_id long, text string, words string, doc_id long")
+    found = decontamination.leaks(awkward, items)
+    got = sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=str)
+    assert got == sorted([*itertools.product([8, 9, 10, None], [1, 6]), (13, None), (5, 5)], key=str)
+    kept = decontamination.without_leaks(awkward, items)
+    assert kept.columns == awkward.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, 7, 11, 12, 14, None], key=str)
+    assert not decontamination.leaks(empty, items).collect() and not decontamination.leaks(awkward, items.limit(0)).collect()
+    assert decontamination.without_leaks(awkward, items.limit(0)).count() == awkward.count()
 
 
 def test_leaks_of_short_items_and_null_ids(spark):
@@ -304,6 +333,24 @@ def test_mix(request, which):
     assert copies.columns == df.columns and copies.count() == sum(r["copies"] for r in rows)
 
 
+def test_mix_of_equal_rows(spark, tmp_path):
+    """Of equal rows only as many are taken as the target asks for, row by row, as the SQL has it."""
+    import duckdb
+
+    rows = [(7, "w " * 200, "a")] * 80 + [(i, f"b{i} " * 300, "b") for i in range(100, 140)] + [(None, "n " * 50, "c")] * 30 + [(1, "once " * 10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    df.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = con.execute(mixing.ORACLE_SQL)
+    columns = [d[0] for d in want.description]
+    got = mixing.mix(df).select(*columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    a = got.where("doc_id = 7").agg(F.sum("taken"), F.max("target"), F.countDistinct("copies")).first()
+    assert abs(a[0] - a[1]) <= 100 and a[2] == 2
+    assert mixing.mixed(df).count() == got.agg(F.sum("copies")).first()[0]
+
+
 # personal data
 
 
