@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.session import ship_package, table  # noqa: F401
+from quillforge.session import shared_folder, ship_package, table  # noqa: F401
 
 #: Words as the result contracts define them: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,15 +21,6 @@ def tuned(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where it is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends there, and a lost executor only repeats
     the tasks that were running. The folder's owner removes it with the application's other checkpoints."""
@@ -53,7 +44,8 @@ def range_bounds(df: DataFrame, col: str, n: int) -> list:
 def range_bucket(col: Column, bounds: list) -> Column:
     """How many cut points are at or below the value; a null comes after every value.
 
-    Every sqrt(n)-th cut point is compared first, then those of one stretch: about 3 sqrt(n) comparisons a row."""
+    Every sqrt(n)-th cut point is compared first, then those of one stretch: about 3 sqrt(n) comparisons a row. The cut
+    points are one constant of the plan, however many there are."""
     if not bounds:
         return F.when(col.isNull(), F.lit(1)).otherwise(F.lit(0))
     step = math.isqrt(len(bounds) - 1) + 1
@@ -61,8 +53,10 @@ def range_bucket(col: Column, bounds: list) -> Column:
     def at_or_below(cuts: Column) -> Column:
         return F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(b <= col, 1).otherwise(0))
 
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    heads = at_or_below(F.array(*[F.lit(b).cast("long") for b in bounds[::step]]))
+    def constant(values: list) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    cuts, heads = constant(bounds), at_or_below(constant(bounds[::step]))
     found = F.when(heads == 0, F.lit(0)).otherwise((heads - 1) * step + at_or_below(F.slice(cuts, (heads - 1) * step + 1, F.lit(step))))
     return F.when(col.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
 
@@ -74,3 +68,23 @@ BROADCAST_ROWS = 1_000_000
 def sent_if_small(keys: DataFrame) -> DataFrame:
     """keys (a written table of ids) with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that, as it is."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+#: A key that holds at least one of so many rows is hot; there are at most so many hot keys.
+HOT_KEYS = 2_000
+
+
+def join_keys(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows left-joined with per_key, which has one row for each value of `key` and in column `n` how many rows hold it.
+
+    Keys that hold at least a HOT_KEYS-th of the total number of rows are sent to all tasks; there can't be more than
+    HOT_KEYS. Rows of such keys are then dealt out evenly, under keys of their own that nothing on the right has."""
+    values = [c for c in per_key.columns if c != key]
+    least = max(2, -(-total // HOT_KEYS))
+    hot = per_key.where(F.col(n) >= least).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), rows[key] == F.col("_hot_key"), "left").withColumn("_place", F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))).drop("_hot_key")
+    cold = per_key.where(F.col(n) < least).select(F.col(key).alias("_cold_key"), F.least(F.col(n), F.lit(-1)).cast("long").alias("_cold_place"), F.struct(*values).alias("_cold"))
+    # the right side's place is always -1: a hot row's key and place together are equal to none
+    both = marked.join(cold, (marked[key] == F.col("_cold_key")) & (F.col("_place") == F.col("_cold_place")), "left")
+    found = F.coalesce("_hot", "_cold")
+    return both.select(*[rows[c] for c in rows.columns], *[found[c].alias(c) for c in values])

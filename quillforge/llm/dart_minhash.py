@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import text_np as N
-from quillforge.llm.common import sent_if_small, shuffle_partitions, stage_table, table, tuned
+from quillforge.llm.common import join_keys, sent_if_small, shuffle_partitions, stage_table, table, tuned
 
 U64 = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
@@ -158,12 +158,12 @@ def _compare(threshold: float):
         rows = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, COORDINATES)
         node, label, size, most = (frame[c].to_numpy() for c in ("node", "label", "n_units", "shareable"))
         alike = lambda x, y: (x[: BANDS * ROWS] == y[:, : BANDS * ROWS]).reshape(len(y), BANDS, ROWS).all(axis=2)
-        same_block = frame["i"].iloc[0] == frame["j"].iloc[0]
-        left = np.arange(len(frame)) if same_block else np.flatnonzero(frame["mine"] == frame["i"])
-        right = left if same_block else np.flatnonzero(frame["mine"] == frame["j"])
+        first, second = frame["i"].iloc[0], frame["j"].iloc[0]
+        left = np.flatnonzero(frame["mine"] == first)
+        right = left if first == second else np.flatnonzero(frame["mine"] == second)
         out = []
         for x in left:
-            y = right[(label[right] != label[x]) & ((node[right] > node[x]) | (not same_block))]
+            y = right[(label[right] != label[x]) & ((node[right] > node[x]) | (first != second))]
             overlap = np.minimum(most[x], most[y])
             y = y[overlap * (1 + threshold) >= threshold * (size[x] + size[y]) - 1e-6]
             y = y[(rows[x] == rows[y]).mean(axis=1) >= LEAST_ESTIMATE]
@@ -171,8 +171,8 @@ def _compare(threshold: float):
                 out.append((np.full(len(y), node[x]), node[y], alike(rows[x], rows[y]).argmax(axis=1)))
         if not out:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b, first = (np.concatenate(c) for c in zip(*out, strict=True))
-        keep = first == frame["band_no"].iloc[0]
+        a, b, band = (np.concatenate(c) for c in zip(*out, strict=True))
+        keep = band == frame["band_no"].iloc[0]
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
     return run
@@ -193,29 +193,34 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, n_shingles for each row of docs.
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, bool]:
+    """Three things: doc_id, copy_key and n_units of every row of docs with both a doc_id and a text; for each copy_key its
+    n_copies and its class: class_id and keeper_key (the row that stays, by doc_id and copy_key) and class_size; and whether
+    every doc_id occurs once."""
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5("text").alias("copy_key"), "text")
+    sketches = stage_table(known.mapInArrow(_sketch, "doc_id long, copy_key string, n_units long, signature binary"), "sketches")
+    # a node is a text: its rows may have any doc_ids, and a doc_id may have several texts
+    copies = sketches.groupBy("copy_key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_copies"))
+    copies = stage_table(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    tokens = sketches.join(copies.select("copy_key", "first_doc", "node"), "copy_key").where("doc_id = first_doc AND n_units > 0").select("node", "n_units", "signature")
+    tokens = stage_table(tokens.dropDuplicates(["node"]), "nodes")
 
-    Classes are the connected components of links between texts whose weighted five-word shingle similarity is at least
-    threshold. Defined cases: equal texts (empty ones too) are one class; a null text, and a text on a row with a null
-    doc_id, is a class of its own (class_id is its doc_id); texts under five words count as one shingle; rows that share
-    a doc_id are one node, so repeated rows are in one class. Other columns are ignored; an empty table gives no rows."""
-    tuned(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketches = stage_table(known.select("doc_id", F.md5("text").alias("copy_key"), "text").mapInArrow(_sketch, "doc_id long, copy_key string, n_units long, signature binary"), "sketches")
-    copies = sketches.groupBy("copy_key").agg(F.min("doc_id").alias("node"))
-    member = sketches.select("doc_id", "copy_key", "n_units").join(copies, "copy_key")
-    nodes = sketches.join(copies, (sketches.copy_key == copies.copy_key) & (sketches.doc_id == copies.node)).where("n_units > 0").select("node", "signature")
-
-    bands = stage_table(nodes.mapInArrow(_band_keys, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band_no", "band")), "bands")
+    bands = stage_table(tokens.select("node", "signature").mapInArrow(_band_keys, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band_no", "band")), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     filled = stage_table(bands.join(buckets, "band"), "buckets")
     shared = filled.groupBy("node").agg(F.sum("in_bucket").alias("shared"))
     hubs = filled.join(shared, "node").groupBy("band").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("hub"))
 
-    tokens = sketches.select(F.col("doc_id").alias("node"), "signature", "n_units").dropDuplicates(["node"])
-    texts = known.select(F.col("doc_id").alias("node"), "text")
+    # where no doc_id is repeated, it alone finds a row; else texts are hashed again to tell its rows apart
+    unique = sketches.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """node and text of the nodes in ids (node)."""
+        wanted = copies.join(sent_if_small(ids), "node", "left_semi").select("node", F.col("first_doc").alias("at_doc"), F.col("copy_key").alias("at_key"))
+        wanted = sent_if_small(stage_table(wanted, "wanted"))
+        same = known["doc_id"] == F.col("at_doc")
+        found = known.join(wanted, same if unique else same & (F.col("copy_key") == F.col("at_key"))).select("node", "text")
+        return found if unique else found.dropDuplicates(["node"])
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         a = tokens.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
@@ -224,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = stage_table(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct(), f"{name}-ids")
-        needed = texts.join(sent_if_small(ids), "node", "left_semi")
+        needed = texts_of(ids)
         a = needed.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = needed.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return stage_table(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long, similarity double"), f"{name}-links")
@@ -241,17 +246,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     large = rest.where(F.col("in_bucket") > LARGE_BUCKET)
     ids = stage_table(large.select("node").distinct(), "large-ids")
     # dealt out evenly first: texts of one large group may lie close together in the input
-    rows = texts.join(sent_if_small(ids), "node", "left_semi").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_unit_rows, "node long, units array<long>").select("node", F.explode(F.array_distinct("units")).alias("unit")).distinct()
+    rows = texts_of(ids).repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_unit_rows, "node long, units array<long>").select("node", F.explode(F.array_distinct("units")).alias("unit")).distinct()
     alone = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    extents = stage_table(ids.join(tokens, "node").join(alone, "node", "left").select("node", "n_units", (F.col("n_units") - F.coalesce("own", F.lit(0))).alias("shareable")), "extents")
+    extents = ids.join(tokens.select("node", "n_units"), "node").join(alone, "node", "left").select("node", "n_units", (F.col("n_units") - F.coalesce("own", F.lit(0))).alias("shareable"))
     # a node with fewer shareable shingles than the threshold's part of its own has no partner
-    able = extents.where(F.col("shareable") >= threshold * F.col("n_units") - 1e-6)
-    large = large.join(able, "node").join(tokens.select("node", "signature"), "node")
-    n_blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
-    large = large.withColumn("mine", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    large = large.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band_no", "node", "label", "n_units", "shareable", "signature")
-    many = large.groupBy("band", "i", "j").applyInPandas(_compare(threshold), "a long, b long").join(star, ["a", "b"], "left_anti")
-    many = stage_table(many, "large-likely")
+    able = stage_table(extents.where(F.col("shareable") >= threshold * F.col("n_units") - 1e-6), "extents")
+    large = stage_table(large.join(able, "node"), "large")
+    many = stage_table(_dealt(large).join(tokens.select("node", "signature"), "node").groupBy("band", "i", "j").applyInPandas(_compare(threshold), "a long, b long").join(star, ["a", "b"], "left_anti"), "large-likely")
 
     small = rest.where(F.col("in_bucket") <= LARGE_BUCKET)
     x, y = (small.select(F.col("band").alias(f"band_{s}"), F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
@@ -260,24 +261,57 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     across = verified(likely(few, "across").union(many).distinct(), "across")
     labels = components(links.union(across))
 
-    member = member.join(labels, "node", "left").select("doc_id", "copy_key", "n_units", F.coalesce("label", "node").alias("class_id"))
-    one = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))  # rows that share a doc_id are one node
-    sizes = member.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    lengths = member.groupBy("doc_id", "copy_key").agg(F.max("n_units").alias("n_shingles"))
-    found = lengths.join(one, "doc_id").join(sizes, "class_id")
-    return (
-        docs.select("doc_id", F.md5("text").alias("copy_key"))
-        .join(found, ["doc_id", "copy_key"], "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"))
-    )
+    placed = stage_table(copies.join(labels, "node", "left").select("copy_key", "first_doc", "n_copies", F.coalesce("label", "node").alias("label")), "placed")
+    sizes = placed.groupBy("label").agg(F.min(F.struct("first_doc", "copy_key")).alias("keeper"), F.sum("n_copies").alias("class_size"), F.count("*").alias("n_texts"))
+    classes = sizes.select("label", F.col("keeper.first_doc").alias("class_id"), F.col("keeper.copy_key").alias("keeper_key"), "class_size", "n_texts")
+    texts = join_keys(placed, classes, "label", "n_texts", placed.count()).select("copy_key", "n_copies", "class_id", "keeper_key", "class_size")
+    return sketches.select("doc_id", "copy_key", "n_units"), stage_table(texts, "classes"), unique
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """The nodes of large buckets in pairs of blocks (i, j) that are to be compared.
+
+    Nodes of a bucket's largest class are linked already and are only compared with the others, the strays. Strays are dealt
+    into blocks that all meet each other and the blocks of the class: with s strays among n nodes this makes about
+    s * n / BLOCK rows, and n where there are few strays."""
+    per_class = large.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = per_class.groupBy("band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"))
+    n_blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    main = main.select("band", "main", n_blocks("n_main").alias("of_main"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("of_strays")).where("of_strays > 0")
+    stray = F.col("label") != F.col("main")
+    dealt = large.join(main, "band").withColumn("mine", F.when(stray, F.pmod(F.xxhash64("node"), "of_strays")).otherwise(F.col("of_strays") + F.pmod(F.xxhash64("node"), "of_main")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(stray, F.col("of_strays") + F.col("of_main")).otherwise(F.col("of_strays")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band_no", "node", "label", "n_units", "shareable")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), class_size (rows), n_shingles for each row of docs.
+
+    Classes are the connected components of links between texts whose weighted five-word shingle similarity is at least
+    threshold. Defined cases: equal texts (empty ones too) are one class; a null text, and a text on a row with a null
+    doc_id, is a class of its own (class_id is its doc_id); texts under five words count as one shingle; rows that share
+    a doc_id are judged by their texts, each. Other columns are ignored; an empty table gives no rows."""
+    tuned(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows, texts, _ = _classes(docs, threshold)
+    alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_shingles"))
+    found = join_keys(rows, texts, "copy_key", "n_copies", rows.count())
+    return found.select("doc_id", "class_id", "class_size", F.col("n_units").alias("n_shingles")).union(alone)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: the one with the smallest doc_id of each class; rows with a null doc_id or text all stay."""
-    classes = near_duplicates(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(*docs.columns).alias("row"), "doc_id")
-    known = known.join(classes, F.col("doc_id") == F.col("kept_id")).dropDuplicates(["doc_id"])
-    return known.select("row.*").union(docs.where("doc_id IS NULL OR text IS NULL"))
+    """The rows of docs that stay: one with the smallest doc_id of each class; rows with a null doc_id or text all stay.
+
+    Every other row's text is near one that stays: rows with one doc_id and different texts go or stay by their texts."""
+    tuned(docs.sparkSession)
+    _, texts, unique = _classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), threshold)
+    kept = stage_table(texts.select(F.col("class_id").alias("kept_id"), F.col("keeper_key").alias("kept_key")).distinct(), "kept")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string")).alias("copy_key"))
+    same = F.col("doc_id") == F.col("kept_id")
+    stay = known.join(sent_if_small(kept), same if unique else same & (F.col("copy_key") == F.col("kept_key")))
+    stay = stay if unique else stay.dropDuplicates(["doc_id", "copy_key"])
+    return stay.select("row.*").union(docs.where("doc_id IS NULL OR text IS NULL"))
 
 
 def op6_dart_minhash(spark, sf_dir: str) -> DataFrame:

@@ -191,6 +191,38 @@ def test_one_of_each_group_stays(awkward):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, 11, 12, 13, 14, None, None], key=str)
 
 
+def test_one_doc_id_with_different_texts(spark):
+    """Rows are judged by their texts: what goes is near a row that stays, whatever their doc_ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    near = a.replace("a40 ", "other ")
+    rows = [(5, a), (7, near), (7, b), (7, b), (8, b), (3, c), (3, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, dart_minhash.one_of_each(df).collect()))
+    assert kept == sorted([(5, a), (7, b), (3, c), (3, d)])
+    got = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in dart_minhash.near_duplicates(df).collect())
+    assert got == [(3, 3, 1), (3, 3, 1), (5, 5, 2), (7, 5, 2), (7, 7, 3), (7, 7, 3), (8, 7, 3)]
+
+
+def test_a_large_bucket_of_one_class_and_a_stray_stays_small(spark):
+    """Nodes of the largest class meet the strays only: n nodes and one stray make rows and comparisons in proportion to n."""
+    n = 3 * dart_minhash.BLOCK
+    large = spark.range(n + 1).select(F.lit(1).cast("long").alias("band"), F.col("id").alias("node"), F.lit(0).alias("band_no"), F.when(F.col("id") == n, n).otherwise(0).cast("long").alias("label"), F.lit(9).cast("long").alias("n_units"), F.lit(9).cast("long").alias("shareable"))
+    dealt = dart_minhash._dealt(large)
+    assert dealt.count() == n + 4 and dealt.where("label = 0").groupBy("i", "j").count().agg(F.max("count")).first()[0] < 2 * dart_minhash.BLOCK
+    assert dart_minhash._dealt(large.where("label = 0")).isEmpty()
+
+
+def test_join_keys_splits_hot_keys(spark):
+    from quillforge.llm.common import join_keys
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"))
+    per = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    got = {r["id"]: (r["k"], r["n"], r["first"]) for r in join_keys(rows, per, "k", "n", 4000).collect()}
+    assert got == {i: ("hot", 2666, 1) if i % 3 else (str(i), 1, i) if i % 7 else (None, None, None) for i in range(4000)}
+    joined = join_keys(rows, per, "k", "n", 4000).withColumn("p", F.spark_partition_id())
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+
+
 # decontamination
 
 
