@@ -3,9 +3,10 @@
 Each document is winnowed into anchors: of every `window - SEED + 1` consecutive SEED-word grams the one with the smallest
 hash (rightmost of equals). The rule sees nothing but the words, so two documents that share `window` consecutive words
 share the anchor inside them at the same offset. Anchors that several documents hold only
-mark documents and windows. What decides is then a hash of each whole window around such an anchor: a window that an earlier
-document also holds is a repeat, and overlapping repeats run together into maximal ones. No pair of documents is joined on an
-anchor and nothing is extended word by word: the pairs of a passage grow with the square of its copies, its hashes do not.
+mark documents and windows. What decides is then each whole window around such an anchor, by two independent hashes (128
+bits, under a seed drawn for each run): a window that an earlier document also holds is a repeat, and overlapping repeats run
+together into maximal ones. No pair of documents is joined on an anchor and nothing is extended word by word: the pairs of a
+passage grow with the square of its copies, its hashes do not.
 
 Scale: an anchor is shuffled for about every 22 words. Anchors in one document only, and copies of a whole text, end
 there. Counting is pre-aggregated in the map tasks, so a passage that a third of all documents hold costs a row for each
@@ -15,6 +16,7 @@ task; the joins against per-key minima have one row a key on the right and are s
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import text_np as N
-from quillforge.llm.common import stage_table, table, tuned
+from quillforge.llm.common import join_keys, sent_if_small, stage_table, table, tuned
 
 SEED = 8
 #: The start of a window (36 bits), under 24 bits of the text's hash that tell rows with the same doc_id apart.
 START_BITS = 36
+_OTHER = np.uint64(0x94D049BB133111EB)
 
 
-def _anchors(window: int):
+def _anchors(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, shas, anchors = [], [], []
             for first, end, data, offs in N.blocks(batch.column("text")):
                 starts, ends, at = N.words(data, offs)
-                (hashes,) = N.word_hashes(data, starts, ends)
+                (hashes,) = N.word_hashes(data, starts, ends, seed=seed)
                 grams, _ = N.gram_hashes(hashes, at, SEED)
-                _, whole = N.gram_hashes(hashes, at, window)
                 best = N.sliding_argmin(grams, window - SEED + 1)
                 for i in range(end - first):
                     lo, hi = at[i], at[i + 1]
@@ -54,36 +56,43 @@ def _anchors(window: int):
     return run
 
 
-def _windows(window: int):
-    """The windows whose anchor is shared, one entry for each different hash of a document with all its starts."""
+def _windows(window: int, seed: int, bits: int):
+    """The windows whose anchor is shared: for each different one of a document two independent hashes and all its starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hits = batch.column("key").to_numpy(), batch.column("hits")
             h_offs, h_all = np.asarray(hits.offsets), hits.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            out_hash, out_pos, n_hashes, n_starts = [], [], [], []
+            out_hash, out_check, out_pos, n_hashes, n_starts = [], [], [], [], []
             for first, end, data, offs in N.blocks(batch.column("text")):
                 starts, ends, at = N.words(data, offs)
-                (hashes,) = N.word_hashes(data, starts, ends)
+                (hashes,) = N.word_hashes(data, starts, ends, seed=seed)
                 grams, _ = N.gram_hashes(hashes, at, SEED)
                 wide, _ = N.gram_hashes(hashes, at, window)
+                wide &= np.uint64((1 << bits) - 1)
+                check, _ = N.gram_hashes(N.splitmix(hashes ^ _OTHER), at, window)
                 best = N.sliding_argmin(grams, window - SEED + 1)
                 for i in range(end - first):
                     lo, hi = at[i], max(at[i], at[i + 1] - window + 1)
                     take = np.flatnonzero(np.isin(grams[best[lo:hi]], h_all[h_offs[first + i] : h_offs[first + i + 1]]))
-                    take = take[np.argsort(wide[lo + take], kind="stable")]
-                    each, counts = np.unique(wide[lo + take], return_counts=True)
-                    out_hash.append(each.view(np.int64))
+                    h, c = wide[lo + take], check[lo + take]
+                    order = np.lexsort((take, c, h))
+                    take, h, c = take[order], h[order], c[order]
+                    fresh = np.ones(len(take), bool)
+                    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                    out_hash.append(h[fresh].view(np.int64))
+                    out_check.append(c[fresh].view(np.int64))
                     out_pos.append(take.astype(np.int64) | (int(keys[first + i]) & 0xFFFFFF) << START_BITS)
-                    n_hashes.append(len(each))
-                    n_starts.append(counts)
+                    n_hashes.append(int(fresh.sum()))
+                    n_starts.append(np.diff(np.append(np.flatnonzero(fresh), len(take))))
 
             def listed(values: list[np.ndarray]) -> np.ndarray:
                 return np.concatenate([np.zeros(0, np.int64), *values])
 
             ends_of = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             places = pa.ListArray.from_arrays(ends_of(listed(n_starts)), pa.array(listed(out_pos)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends_of(n_hashes), pa.array(listed(out_hash))), pa.ListArray.from_arrays(ends_of(n_hashes), places)], names=["doc_id", "hashes", "places"])
+            lists = [pa.ListArray.from_arrays(ends_of(n_hashes), v) for v in (pa.array(listed(out_hash)), pa.array(listed(out_check)), places)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "hashes", "checks", "places"])
 
     return run
 
@@ -112,34 +121,46 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, repeats (word spans, end exclusive) for every row of docs.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id, judged on the
     input. Defined cases: a null text has no words; a text shorter than the window keeps all; rows with one doc_id never
     count as earlier than each other, so repeated rows give equal rows; a row with a null doc_id is neither earlier nor
-    later than any and keeps all. Other columns are ignored. An empty table gives an empty result."""
+    later than any and keeps all. Other columns are ignored. An empty table gives an empty result. `bits` of the first hash
+    are used: fewer only make collisions, which the second hash then tells apart (a test does so)."""
     if window <= SEED:
         raise ValueError(f"window must be over {SEED} words")
     tuned(docs.sparkSession)
+    seed = int.from_bytes(os.urandom(8), "little")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    base = docs.withColumn("copy_key", F.md5("text")).mapInArrow(_anchors(window), "doc_id long, key long, copy_key string, n_words long, kept_sha256 string, anchors array<long>")
+    base = docs.withColumn("copy_key", F.md5("text")).mapInArrow(_anchors(window, seed), "doc_id long, key long, copy_key string, n_words long, kept_sha256 string, anchors array<long>")
     base = stage_table(base, "anchors")
-    first_copy = base.groupBy("copy_key").agg(F.min("doc_id").alias("first_doc"))
-    base = base.join(first_copy, "copy_key").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
+    first_copy = base.groupBy("copy_key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_copies"))
+    base = join_keys(base, first_copy, "copy_key", "n_copies", base.count()).drop("n_copies").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
 
     seeds = base.where("doc_id IS NOT NULL AND NOT is_copy").select("doc_id", "key", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     hits = seeds.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("hits"))
 
     texts = docs.where("doc_id IS NOT NULL")
-    packed = texts.join(hits, ["doc_id", "key"]).mapInArrow(_windows(window), "doc_id long, hashes array<long>, places array<array<long>>")
-    matches = packed.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("doc_id", F.col("w.hashes").alias("hash"), "w.places")
-    repeated = matches.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    packed = texts.join(hits, ["doc_id", "key"]).mapInArrow(_windows(window, seed, bits), "doc_id long, hashes array<long>, checks array<long>, places array<array<long>>")
+
+    def matches(*lists: str) -> DataFrame:
+        names = {"hashes": "hash", "checks": "check", "places": "places"}
+        return packed.select("doc_id", F.explode(F.arrays_zip(*lists)).alias("w")).select("doc_id", *[F.col(f"w.{c}").alias(names[c]) for c in lists])
+
+    per_hash = matches("hashes", "checks").groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("check").alias("check"), F.max("check").alias("other_check"))
+    per_hash = stage_table(per_hash.where("first_doc < last_doc"), "repeated")
     # the complement as the key: the few repeated windows are dealt anew, so that a hot key on the other side can be split
-    repeated = repeated.select(F.bitwise_not("hash").alias("to_hash"), "first_doc")
-    later = matches.join(repeated, F.bitwise_not("hash") == F.col("to_hash")).where("doc_id > first_doc")
+    repeated = per_hash.where("check = other_check").select(F.bitwise_not("hash").alias("to_hash"), "first_doc")
+    later = matches("hashes", "places").join(repeated, F.bitwise_not("hash") == F.col("to_hash")).where("doc_id > first_doc").select("doc_id", "places")
+    clashes = per_hash.where("check <> other_check").select("hash")
+    if not clashes.isEmpty():  # different windows of one hash: both hashes together are the key
+        both = matches("hashes", "checks", "places").join(sent_if_small(clashes), "hash")
+        firsts = both.groupBy("hash", "check").agg(F.min("doc_id").alias("first_doc"))
+        later = later.unionByName(both.join(firsts, ["hash", "check"]).where("doc_id > first_doc").select("doc_id", "places"))
     covered = later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     per_key = hits.join(covered, "doc_id").select("doc_id", "key", "places")

@@ -1,7 +1,9 @@
 """Vectorised word and n-gram hashing over Arrow string columns (used inside Arrow tasks).
 
 A text is scanned as UTF-8 bytes. Every function works on a whole block of documents at once, so no
-Python code runs per word. Hashes are 64-bit and depend only on the bytes of the words.
+Python code runs per word. Hashes are 64-bit and depend only on the bytes of the words and a seed: a word's bytes are coded
+and multiplied with pseudo-random factors, one for each place in the word. A text cannot be built to collide under a seed
+that is drawn for each run.
 """
 
 from __future__ import annotations
@@ -35,8 +37,27 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 BYTE_CODE = splitmix(np.arange(256, dtype=U64))
-_BASE, _GRAM = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_POW = {"byte": _powers(_BASE, 4096)}
+_GRAM = 0xA0761D6478BD642F
+_UNDO = pow(_GRAM, -1, 1 << 64)
+_FACTORS: dict[int, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _factors(seed: int, n: int) -> np.ndarray:
+    """At least n odd factors, those of a seed; more of them begin with the same."""
+    known = _FACTORS.get(seed)
+    if known is None or len(known) < n:
+        _FACTORS.clear()
+        known = _FACTORS[seed] = splitmix(np.arange(max(n, 4096), dtype=U64) ^ splitmix(np.array([seed], U64))) | U64(1)
+    return known
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = _POWERS[base] = _powers(base, max(n, 1 << 16))
+    return known[:n]
+
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,18 +97,16 @@ def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separators: np.ndarray = SPACE, stem: int = 0) -> list[np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separators: np.ndarray = SPACE, stem: int = 0, seed: int = 0) -> list[np.ndarray]:
     """A hash for each word; with stem, also one of each word's first `stem` bytes."""
     if not len(starts):
         return [np.zeros(0, U64)] * (1 + bool(stem))
     longest = int((ends - starts).max())
-    if longest > len(_POW["byte"]):
-        _POW["byte"] = _powers(_BASE, 2 * longest)
     codes = np.where(separators, U64(0), BYTE_CODE)[data[starts[0] :]]
     at = np.arange(starts[0], len(data))
     at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
     np.minimum(at, longest, out=at)
-    codes *= _POW["byte"][np.minimum(at, len(_POW["byte"]) - 1)]
+    codes *= _factors(seed, longest + 1)[at]
     out = [splitmix(np.add.reduceat(codes, starts - starts[0]))]
     if stem:
         codes[at >= stem] = 0
@@ -98,17 +117,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separato
 def gram_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive words at each position, and a mask of the positions whose n words lie in one document.
 
-    Positions past the last full gram of the block are masked out."""
+    They roll: each is a difference of two running sums of a polynomial modulo 2^64, whatever n is. Positions past the last
+    full gram of the block are masked out."""
     total = len(hashes)
     valid = np.zeros(total, bool)
     out = np.zeros(total, U64)
     if total < n:
         return out, valid
-    scale = _powers(_GRAM, n)
+    sums = np.zeros(total + 1, U64)
+    np.cumsum(hashes * _powers_of(_GRAM, total), out=sums[1:])
     m = total - n + 1
-    for j in range(n):
-        out[:m] += hashes[j : j + m] * scale[j]
-    out[:m] = splitmix(out[:m])
+    out[:m] = splitmix((sums[n:] - sums[:m]) * _powers_of(_UNDO, m))
     room = np.repeat(first[1:], np.diff(first))  # the end of each word's document
     valid[:m] = np.arange(m) + n <= room[:m]
     return out, valid

@@ -115,6 +115,36 @@ def test_repeats_of_shuffled_passages(spark):
     assert sorted(got) == sorted(brute_repeats(rows)) and sum(r[2] for r in got) > 1000
 
 
+def thue_morse(n, letters):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_repeats_are_told_from_collisions(spark):
+    """Words built to collide under polynomial hashes, and windows whose first hash is the same."""
+    words = [f"w{i}" for i in range(49)]
+    one, two = (" ".join([*words[:20], thue_morse(2048, x), *words[20:]]) for x in ("ab", "ba"))
+    rows = [(1, one), (2, two), (3, two + " and more")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    random.seed(6)
+    passages = [" ".join(f"p{i}x{j}" for j in range(60)) for i in range(6)]
+    rows = [(i, " ".join(random.sample(passages, 3))) for i in range(30)]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=3).drop("repeats").collect()]
+    assert sorted(got) == sorted(brute_repeats(rows)) and sum(r[2] for r in got) > 500
+
+
+def test_rolling_grams_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    first = np.array([0, 3, 120, 400])
+    for n in (1, 2, 8, 50):
+        got, valid = text_np.gram_hashes(h, first, n)
+        for i in (0, 2, 3, 100, 119, 200, 350):
+            plain = sum(int(x) * pow(text_np._GRAM, j, 1 << 64) for j, x in enumerate(h[i : i + n])) % (1 << 64)
+            inside = any(a <= i and i + n <= b for a, b in itertools.pairwise(first))
+            assert valid[i] == inside and (not inside or got[i] == text_np.splitmix(np.array([plain], np.uint64))[0])
+
+
 # near-duplicates
 
 
