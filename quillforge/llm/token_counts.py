@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.common import BROADCAST_ROWS, shared_folder, stage_table, table, tuned
+from quillforge.llm.common import BROADCAST_ROWS, join_keys, shared_folder, stage_table, table, tuned
 from quillforge.llm.tokens import encoder
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -77,10 +77,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
         wanted = wanted.join(several, "digest", "left").where("owner IS NULL OR doc_id <=> owner").select("digest", "text")
         fresh = wanted.mapInArrow(_count(tokenizer), "digest binary, n_tokens long").dropDuplicates(["digest"])
         fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = cached(spark, cache, version)
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = cached(spark, cache, version).join(distinct.select("digest", "n"), "digest")
+    return join_keys(keyed, counts, "digest", "n", keyed.count()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    """The cache is the one that the session names in quillforge.tokenCache, which outlives runs; where none is named, a new one."""
+    cache = spark.conf.get("quillforge.tokenCache", None) or f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)

@@ -12,8 +12,8 @@ from array import array
 
 import numpy as np
 
-#: The most words a worker remembers.
-MEMORY = 1_500_000
+#: Bytes, by estimate, that a worker may keep words and their ids in.
+MEMORY = 96 << 20
 _WORKER: dict[str, Encoder] = {}
 
 
@@ -28,6 +28,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes | bool] = {}
+        self.used = 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self._separator()
         self.feed = None if feed is None else array(self.code, [feed]).tobytes()
@@ -65,7 +66,8 @@ class Encoder:
         for w in stopped:
             core = found[w[:-1]] if w[:-1] in found else self.known[w[:-1]]
             found[w] = core and core + self.stops[w[-1]]
-        if len(self.known) + len(found) <= MEMORY:
+        if self.used < MEMORY:
+            self.used += sum(170 + len(w) + (len(x) if x else 0) for w, x in found.items())  # two objects and a place in a table
             self.known.update(found)
         return found
 
