@@ -33,12 +33,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bounds(df: DataFrame, col: str, n: int) -> list:
-    """At most n - 1 cut points that split col's values into ranges of about equal counts (an n-point sketch on the driver)."""
-    if n < 2:
-        return []
-    points = df.stat.approxQuantile(col, [i / n for i in range(1, n)], min(0.1, 0.25 / n))
-    return sorted(set(int(p) for p in points))
+def _constant(values: list[int]) -> Column:
+    """An array of longs, as one constant of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def range_bucket(col: Column, bounds: list) -> Column:
@@ -53,14 +50,36 @@ def range_bucket(col: Column, bounds: list) -> Column:
     def at_or_below(cuts: Column) -> Column:
         return F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(b <= col, 1).otherwise(0))
 
-    def constant(values: list) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-    cuts, heads = constant(bounds), at_or_below(constant(bounds[::step]))
+    cuts, heads = _constant(bounds), at_or_below(_constant(bounds[::step]))
     found = F.when(heads == 0, F.lit(0)).otherwise((heads - 1) * step + at_or_below(F.slice(cuts, (heads - 1) * step + 1, F.lit(step))))
     return F.when(col.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
 
 
+#: Parts that the rows of one very frequent doc_id, or those without one, are dealt into.
+PARTS = 64
+
+
+def in_ranges(docs: DataFrame, n: int) -> tuple[DataFrame, list[Column]]:
+    """docs (doc_id, text) with `_range`, about n ranges of equal counts, and the order of rows inside a range: by doc_id, a
+    hash of the text, the text. Ranges in ascending order, so read, give all rows in that order, null doc_ids last.
+
+    Cut points come from an n-point sketch of doc_id. A doc_id that fills ranges of its own is cut by the hash."""
+    rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    n = max(1, min(n, rows // 64))
+    points = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.1, 0.25 / n)) if n > 1 and known else []
+    points = [int(p) for p in points]
+    frequent = sorted({p for p, q in zip(points, points[1:]) if p == q})
+    part = F.least(F.lit(PARTS - 1), F.floor((F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * PARTS)).cast("long")
+    # a frequent doc_id is a cut point, so its rows come first in their range
+    number = range_bucket(F.col("doc_id"), sorted(set(points))).cast("long") * (PARTS + 1)
+    many_nulls = (rows - known) * n > rows
+    if frequent or many_nulls:
+        split = F.col("doc_id").isNull() if many_nulls else F.lit(False)
+        split = split | F.coalesce(F.array_contains(_constant(frequent or [0]), F.col("doc_id")) & F.lit(bool(frequent)), F.lit(False))
+        number = number + F.when(split, part).otherwise(F.lit(PARTS))
+    return docs.withColumn("_range", number), [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc()]
+
+
 #: Rows of at most three longs that are sent to every executor at once: about 25 MB.
 BROADCAST_ROWS = 1_000_000
 

@@ -534,13 +534,27 @@ def plain_winnow(grams, w):
     return list(dict.fromkeys(min((g, -i) for i, g in enumerate(grams[a : a + w], a)) for a in range(len(grams) - w + 1)))
 
 
+def plain_rolling(hashes, n=5):
+    """The cyclic polynomial, each value from the one before it: turn, take the oldest out, take the next in."""
+    turn = lambda x, k: (x << k | x >> (64 - k)) & (2**64 - 1)
+    now, out = 0, []
+    for i, h in enumerate(hashes):
+        now = turn(now, 1) ^ h ^ (turn(hashes[i - n], n) if i >= n else 0)
+        if i >= n - 1:
+            out.append(now)
+    return out
+
+
+def plain_prints(hashes):
+    grams = plain_rolling([h % 2**64 for h in hashes])
+    return [(grams[-i], -i) for _, i in plain_winnow([g >> 31 for g in grams], 16)]
+
+
 def test_winnowing_picks_the_rightmost_smallest(spark, docs):
     df = winnowing.with_fingerprint(docs, F.col("text"), "prints")
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - 5), lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(5)]))
-    df = df.withColumn("h", F.transform(F.regexp_extract_all("text", F.lit(r"\S{1,12}"), F.lit(0)), lambda x: F.xxhash64(x))).where(F.size("h") >= 5).withColumn("g", grams)
-    for r in df.select("prints", "g").limit(60).collect():
-        cut = [g & ((1 << 33) - 1) for g in r["g"]]
-        assert [(x >> 30, -(winnowing.LAST_PLACE - (x & winnowing.LAST_PLACE))) for x in r["prints"]] == plain_winnow(cut, 16)
+    df = df.withColumn("h", F.transform(F.regexp_extract_all("text", F.lit(r"\S{1,12}"), F.lit(0)), lambda x: F.xxhash64(x))).where(F.size("h") >= 5)
+    for r in df.select("prints", "prints_at", "h").limit(60).collect():
+        assert [(x % 2**64, i) for x, i in zip(r["prints"], r["prints_at"], strict=True)] == plain_prints(r["h"])
 
 
 def test_winnowing_of_passages_without_spaces(spark):
@@ -553,7 +567,7 @@ def test_winnowing_of_passages_without_spaces(spark):
             rows.append((len(rows), f"some words {before}{p}{after} and more"))
     rows += [(len(rows), passages[1]), (len(rows) + 1, passages[1][:1000] + "?" + passages[1][1000:])]
     df = winnowing.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), "prints")
-    got = [set(r["h"]) for r in df.orderBy("doc_id").select(winnowing.hashes(F.col("prints")).alias("h")).collect()]
+    got = [set(r["h"]) for r in df.orderBy("doc_id").select(F.col("prints").alias("h")).collect()]
     for part in (got[:13], got[13:26]):
         assert all(a & b for a in part for b in part)
     assert len(got[26] & got[27]) / len(got[26] | got[27]) > 0.8
@@ -561,26 +575,49 @@ def test_winnowing_of_passages_without_spaces(spark):
     short = passages[1][700 : 700 + 5 + 16 + 12 - 2]
     pair = [(1, "i" * 61 + short + "j" * 30), (2, "k" * 70 + short + "m" * 47)]
     df = winnowing.with_fingerprint(spark.createDataFrame(pair, "doc_id long, text string"), F.col("text"), "prints")
-    one, two = (set(r["h"]) for r in df.select(winnowing.hashes(F.col("prints")).alias("h")).collect())
+    one, two = (set(r["h"]) for r in df.select(F.col("prints").alias("h")).collect())
     assert one & two
 
 
-@pytest.mark.parametrize("which", ["docs", "awkward"])
-def test_edited_texts(request, which):
+@pytest.fixture(scope="module")
+def many_of_one(spark):
+    """A third of the rows share a doc_id, a third have none."""
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i % 40} " + " ".join(f"w{i}x{j}" for j in range(i % 30))) for i in range(1500)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def in_file_order(df):
+    keyed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("text")).collect()
+    return [(r["doc_id"], r["text"]) for r in sorted(keyed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k"], r["text"]))]
+
+
+def test_ranges_split_one_frequent_doc_id(spark, many_of_one):
+    from quillforge.llm.common import in_ranges
+
+    ranged, order = in_ranges(many_of_one, 16)
+    assert ranged.groupBy("_range").count().agg(F.max("count")).first()[0] < 200
+    got = [(r["doc_id"], r["text"]) for r in ranged.orderBy("_range", *order).collect()]
+    assert got == in_file_order(many_of_one)
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward", "many_of_one"])
+def test_edited_texts(request, spark, which):
     df = request.getfixturevalue(which)
-    rows = sorted(((d, t or "") for d, t in texts_of(df)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    want = []
+    rows = in_file_order(df)
+    edits = []
     for k, (d, t) in enumerate(rows):
         after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
-        want.append((d, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
-    got = winnowing.fingerprint_edits(df).collect()
-    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    same = collections.defaultdict(set)
-    for r in got:
-        same[r["doc_id"], r["n_chars"]].add(r["fingerprint"])
-    if which == "awkward":
-        assert len(same[7, len(LONG)]) == 1 and same[6, len(LONG)] == same[7, len(LONG)]
+        edits.append((d, t, t[: len(t) - half] + after[:half], after))
+    prints = {r["text"]: r for r in winnowing.with_fingerprint(spark.createDataFrame([(x,) for e in edits for x in e[1:]], "text string").distinct(), F.col("text"), "p").collect()}
+    line = lambda t: ",".join(f"{h % 2**64:x}:{i}" for h, i in zip(prints[t]["p"], prints[t]["p_at"], strict=True))
+
+    def likeness(a, b):
+        x, y = set(prints[a]["p"]), set(prints[b]["p"])
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    want = [(d, len(t), hashlib.sha256(e.encode()).hexdigest(), line(t), line(e), likeness(t, e), likeness(t, n)) for d, t, e, n in edits]
+    got = [tuple(r) for r in winnowing.fingerprint_edits(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 # tokens
@@ -624,26 +661,40 @@ def test_elias_fano():
     for n, top in ((1, 0), (1, 10**12), (5, 3), (1000, 10**6), (700, 700), (300, 10**9)):
         values = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
         coded = token_files.EliasFano.encode(values, top)
-        assert coded.all().tolist() == values.tolist()
-        assert [coded.select(i) for i in range(0, n, 7)] == values[::7].tolist()
-        assert 8 * (len(coded.low) + len(coded.high)) <= n * (3 + max(0, np.log2(max(top, 1) / n))) + 24
+        assert [coded.select(i) for i in range(n)] == values.tolist()
+        again, end = token_files.EliasFano.unpack(b"xyz" + coded.pack() + b"tail", 3, n, top)
+        assert end == 3 + len(coded.pack()) and [again.select(i) for i in range(0, n, 7)] == values[::7].tolist()
+        assert 8 * (len(coded.low) + len(coded.high)) <= n * (3 + max(0, np.log2(max(top, 1) / n))) + 24 and 8 * coded.directory.nbytes <= n / 4 + 32
     with pytest.raises(IndexError):
         coded.select(n)
 
 
-@pytest.mark.parametrize("which", ["docs", "awkward"])
+@pytest.mark.parametrize("which", ["docs", "awkward", "many_of_one"])
 def test_token_files(request, spark, tmp_path, tokenizer, monkeypatch, which):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 1000)
     df = request.getfixturevalue(which)
     path = str(tmp_path / "ids")
     token_files.write_token_files(df, path, public_tokenizers.path("byte_bpe_50k.json"))
     want, start = [], 0
-    for d, t in sorted(((d, t or "") for d, t in texts_of(df)), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+    for d, t in in_file_order(df):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((tuple(r) for r in token_files.summarise(spark, path).collect()), key=str) == sorted(want, key=str)
     assert token_files.read_token_files(spark, path).agg(F.sum(F.size("ids"))).first()[0] == start
+    for d in {d for d, *_ in want[:: max(1, len(want) // 5)]} - {None}:
+        assert token_files.ids_of(spark, path, d) == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for e, t in in_file_order(df) if e == d]
+
+
+def test_blocks_hold_any_doc_ids():
+    kind = np.dtype("<u2")
+    ids = [-(2**63), -5, -5, 0, 3, 2**63 - 1]
+    block = token_files.Block(token_files.pack(ids, [np.arange(i, dtype=kind).tobytes() for i in range(6)], kind, 9))
+    assert [block.doc_id(i) for i in range(6)] == ids and list(block.find(-5)) == [1, 2] and not block.find(4) and block.before == 9
+    assert [block.bounds(i) for i in range(6)] == [(0, 0), (0, 1), (1, 3), (3, 6), (6, 10), (10, 15)]
+    assert token_files.Block(token_files.pack([None, None], [b"", b"ab"], kind, 0)).doc_id(1) is None
+    with pytest.raises(ValueError):
+        token_files.Block(b"something else")
 
 
 # toxicity
