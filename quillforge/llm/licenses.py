@@ -1,8 +1,8 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
-Words are weighted by their inverse document frequency over all documents. The index has a posting (template, position) for
-each template: the rarest word of its mandatory phrase, without which it cannot be found. A file's occurrences of a posting's
-word give offsets (position in the file less position in the template), all of them, whatever else the file holds. A template
+Words are weighted by their inverse document frequency over all documents. Templates are the notices that files carry and
+whole license texts. The index has a posting (template, position) for each template: the rarest word of its mandatory phrase,
+without which it cannot be found. A file's occurrences of a posting's word give offsets (position in the file less position in the template), all of them, whatever else the file holds. A template
 whose mandatory phrase stands where an offset puts it gets a score there: the part of its frequency-weighted words, over all
 of them, that stand in place. It is found at LEAST_SCORE or more.
 
@@ -13,8 +13,6 @@ again, by a broadcast of their keys whose size is checked.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +29,8 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Label, words of the template, its mandatory phrase.
-TEMPLATES = (
+# Label, words of the notice, its mandatory phrase.
+NOTICES = (
     ("apache", "licensed under the apache license version 2 0", "apache license"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
@@ -50,6 +48,107 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
+
+# Label, words of the license text, its mandatory phrase.
+TEXTS = (
+    (
+        "mit",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+        software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+        the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the software the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders
+        be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+        connection with the software or the use or other dealings in the software""",
+        "distribute sublicense and or sell copies",
+    ),
+    (
+        "bsd",
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
+        are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+        documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors
+        as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+        particular purpose are disclaimed""",
+        "redistributions in binary form must reproduce",
+    ),
+    (
+        "bsd",
+        """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission""",
+        "endorse or promote products",
+    ),
+    (
+        "isc",
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the
+        above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all
+        warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be
+        liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of
+        this software""",
+        "the author disclaims all warranties",
+    ),
+    (
+        "zlib",
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+        arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+        applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be
+        misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the
+        product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be
+        misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution""",
+        "altered source versions must be plainly marked",
+    ),
+    (
+        "bsl",
+        """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare
+        derivative works of the software and to permit third parties to whom the software is furnished to do so""",
+        "any person or organization obtaining",
+    ),
+    (
+        "unlicense",
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+        distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+        means""",
+        "as a compiled binary",
+    ),
+    (
+        "wtfpl",
+        """everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as
+        the name is changed""",
+        "changing it is allowed",
+    ),
+    (
+        "apache",
+        """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may
+        obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+        software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or
+        implied see the license for the specific language governing permissions and limitations under the license""",
+        "governing permissions and limitations",
+    ),
+    (
+        "gpl",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by
+        the free software foundation either version 3 of the license or at your option any later version this program is distributed in the
+        hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular
+        purpose see the gnu general public license for more details""",
+        "see the gnu general public license",
+    ),
+    (
+        "lgpl",
+        """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as
+        published by the free software foundation either version 2 1 of the license or at your option any later version""",
+        "gnu lesser general public license",
+    ),
+    (
+        "mpl",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+        file you can obtain one at http mozilla org mpl 2 0""",
+        "copy of the mpl",
+    ),
+)
+TEMPLATES = NOTICES + TEXTS
 LEAST_SCORE = 0.5
 
 
@@ -59,8 +158,9 @@ def _words(text: Column) -> Column:
     return F.transform(found, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(w))
 
 
-def _strings(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _constant(words: list[str]) -> Column:
+    """An array of strings without blanks, as one constant of the plan."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
 def _starts(words: str, phrase: list[str]) -> Column:
@@ -85,7 +185,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
     vocabulary = sorted({w for _, words, _ in lists for w in words} | {w for p in PHRASES for w in p.split()})
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     scanned = keyed.select("doc_id", "text_key", _words(F.col("text")).alias("words"))
-    held = scanned.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", _strings(vocabulary)).alias("held"))
+    held = scanned.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", _constant(vocabulary)).alias("held"))
     held = stage_table(held, "license-words")
 
     # one number a word of the templates, and how many documents there are
@@ -93,7 +193,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
     total = held.count()
     idf = {w: F.log(F.lit((total + 1.0) / (counts.get(w, 0) + 1.0))) for w in vocabulary}
     spark = docs.sparkSession
-    weights = spark.range(1).select(F.explode(F.map_from_arrays(_strings(vocabulary), F.array(*idf.values()))).alias("word", "idf"))
+    weights = spark.range(1).select(F.explode(F.map_from_arrays(_constant(vocabulary), F.array(*idf.values()))).alias("word", "idf"))
     weights = stage_table(weights.select("word", F.greatest("idf", F.lit(1e-6)).alias("idf")), "license-idf")
     weight = {r["word"]: r["idf"] for r in weights.collect()}
 
@@ -102,49 +202,51 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
 
     def can_reach(words: list[str]) -> Column:
         distinct = sorted(set(words))
-        got = sum((F.when(F.array_contains("held", w), weight[w] * words.count(w)).otherwise(0.0) for w in distinct), F.lit(0.0))
+        worth = F.map_from_arrays(_constant(distinct), _constant([repr(weight[w] * words.count(w)) for w in distinct]).cast("array<double>"))
+        got = F.aggregate("held", F.lit(0.0), lambda total, w: total + F.coalesce(F.try_element_at(worth, w), F.lit(0.0)))
         return got >= LEAST_SCORE * mass(words) - 1e-9
 
-    def holds(phrase: str) -> Column:
-        return F.size(F.array_intersect("held", _strings(sorted(set(phrase.split()))))) == len(set(phrase.split()))
+    def holds(words: list[str]) -> Column:
+        return F.size(F.array_intersect("held", _constant(sorted(set(words))))) == len(set(words))
 
     possible = F.lit(False)
     for phrase in PHRASES:
-        possible = possible | holds(phrase)
+        possible = possible | holds(phrase.split())
     for _, words, phrase in lists:
-        possible = possible | (can_reach(words) & holds(" ".join(phrase)))
+        possible = possible | (holds(phrase) & can_reach(words))  # few files hold all words of a phrase
     keys = stage_table(held.where(possible).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key")).distinct(), "license-keys")
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & F.col("text_key").eqNullSafe(F.col("at_key"))
     near = keyed.join(sent_if_small(keys), same).select("at_doc", "at_key", _words(F.col("text")).alias("words"))
     near = stage_table(near.dropDuplicates(["at_doc", "at_key"]), "license-texts")
 
-    facts = []
-    for t, (label, words, phrase) in enumerate(lists):
-        phrase_at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+    postings: dict[str, list[tuple[int, int]]] = {}
+    phrase_at = []
+    for t, (_, words, phrase) in enumerate(lists):
+        phrase_at.append(next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase))
         rarest = max(range(len(phrase)), key=lambda i: (weight[phrase[i]], phrase[i]))
-        facts.append((t, label, phrase_at, phrase_at + rarest, mass(words), words, phrase))
-    postings: dict[str, list[int]] = {}
-    for t, _, _, place, _, words, _ in facts:
-        postings.setdefault(words[place], []).append(t)
+        postings.setdefault(phrase[rarest], []).append((t, phrase_at[t] + rarest))
+    # of each template its words, their weights, and where its phrase begins and ends: constants of the plan
+    template_words = F.array(*[_constant(words) for _, words, _ in lists])
+    template_weights = F.array(*[_constant([repr(weight[w]) for w in words]).cast("array<double>") for _, words, _ in lists])
+    numbers = lambda values: _constant(list(map(str, values))).cast("array<int>")
+    begins, ends = numbers(phrase_at), numbers([at + len(phrase) - 1 for at, (_, _, phrase) in zip(phrase_at, lists, strict=True)])
+    labels_of, masses = _constant([label for label, _, _ in lists]), _constant([repr(mass(words)) for _, words, _ in lists]).cast("array<double>")
 
     def candidates(word: Column, at: Column) -> Column:
         out = F.array().cast("array<struct<template:int,offset:int>>")
-        for w, ts in postings.items():
-            out = F.when(word == w, F.array(*[F.struct(F.lit(t).alias("template"), (at - F.lit(facts[t][3])).alias("offset")) for t in ts])).otherwise(out)
+        for w, places in postings.items():
+            out = F.when(word == w, F.array(*[F.struct(F.lit(t).alias("template"), (at - F.lit(place)).alias("offset")) for t, place in places])).otherwise(out)
         return out
 
-    def in_place(words: list[str], offset: Column) -> list[Column]:
-        return [F.coalesce(F.get(F.col("words"), offset + j) == w, F.lit(False)) for j, w in enumerate(words)]
-
     def judged(c: Column) -> Column:
         """The candidate as (label, template number, score, place), or null."""
-        out = F.lit(None).cast("struct<label:string,template:int,score:double,place:int>")
-        for t, label, phrase_at, _, full, words, phrase in facts:
-            there = functools.reduce(lambda a, b: a & b, in_place(phrase, c["offset"] + phrase_at))
-            part = sum((F.when(here, weight[w]).otherwise(0.0) for w, here in zip(words, in_place(words, c["offset"]), strict=True)), F.lit(0.0)) / full
-            one = F.struct(F.lit(label).alias("label"), F.lit(t).alias("template"), F.least(part, F.lit(1.0)).alias("score"), c["offset"].alias("place"))
-            out = F.when(c["template"] == t, F.when(there & (part >= LEAST_SCORE), one)).otherwise(out)
-        return out
+        t, offset = c["template"], c["offset"]
+        words, weights = F.get(template_words, t), F.get(template_weights, t)
+        here = lambda j: F.coalesce(F.get(F.col("words"), offset + j) == F.get(words, j), F.lit(False))
+        there = F.forall(F.sequence(F.get(begins, t), F.get(ends, t)), here)
+        part = F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), F.lit(0.0), lambda got, j: got + F.when(here(j), F.get(weights, j)).otherwise(0.0)) / F.get(masses, t)
+        one = F.struct(F.get(labels_of, t).alias("label"), t.alias("template"), F.least(part, F.lit(1.0)).alias("score"), offset.alias("place"))
+        return F.when(there & (part >= LEAST_SCORE), one)
 
     anchors = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*postings))
     base = near.withColumn("candidates", F.flatten(F.transform(anchors, lambda x: candidates(x["word"], x["at"]))))

@@ -557,6 +557,46 @@ def test_licenses(docs, awkward, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_licenses(rows, templates):
+    """labels and score by looking for every template's phrase at every place."""
+    tokens = [(d, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for d, t in rows]
+    lists = [(label, words.split(), phrase.split()) for label, words, phrase in templates]
+    seen = collections.Counter(w for _, ws in tokens for w in set(ws))
+    weight = lambda w: max(1e-6, np.log((len(tokens) + 1) / (seen[w] + 1)))
+    out = []
+    for d, ws in tokens:
+        labels, best = {label for p, label in licenses.PHRASES.items() if any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))}, 0.0
+        for label, words, phrase in lists:
+            first = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+            full = sum(map(weight, words))
+            for i in [i for i in range(len(ws)) if ws[i : i + len(phrase)] == phrase]:
+                part = sum(weight(w) for j, w in enumerate(words, i - first) if 0 <= j < len(ws) and ws[j] == w) / full
+                if part >= licenses.LEAST_SCORE:
+                    labels.add(label)
+                    best = max(best, min(part, 1.0))
+        out.append((d, ",".join(sorted(labels)), round(best, 9)))
+    return out
+
+
+def test_labels_and_scores_equal_brute_force(spark, docs, awkward):
+    """Whole texts, notices, and both with words left out, replaced and put in; and the tables."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([], ["other"], [words[at], "more"], [rng.choice(words)]))
+        lead = " ".join(f"w{rng.randint(0, 50)}" for _ in range(rng.randint(0, 9)))
+        rows.append((i, f"{lead} {' '.join(words)}, {rng.choice(licenses.TEMPLATES)[1].upper()}" if i % 3 else f"{' '.join(words)}. end"))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (made, docs, awkward):
+        got = [(r["doc_id"], r["labels"], round(r["score"], 9)) for r in licenses.scan(df).collect()]
+        assert sorted(got, key=str) == sorted(brute_licenses(texts_of(df), licenses.TEMPLATES), key=str)
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(t, " ".join(words.split())) for t, (_, words, _) in enumerate(licenses.TEMPLATES)] + [(1000 + i, f"plain {i}") for i in range(60)], "doc_id long, text string")).collect()}
+    assert all(got[t]["score"] == pytest.approx(1) and label in got[t]["labels"].split(",") for t, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_licenses_beyond_the_phrases(spark):
     rows = [
         (1, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
@@ -772,6 +812,40 @@ def test_toxicity_on_held_out_labels(spark, sf_dir):
     assert (rows["score"][~bad] >= 0.5).mean() < 0.01 and (rows["score"][bad] >= 0.5).mean() > 0.7
 
 
+def test_ftrl_equals_the_plain_algorithm():
+    """Follow the regularised leader, coordinate by coordinate, from its published definition."""
+    rng = random.Random(4)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(1, 8))), np.int32), float(rng.random() < 0.4)) for _ in range(120)]
+    alpha, beta, l1, l2 = 0.7, 1.5, 0.9, 0.3
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        penalty = 0.0 if i == "bias" else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        return -(z[i] - (penalty if z[i] > 0 else -penalty)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for cells, label in rows:
+            at = [*cells.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    at, w, bias = toxicity.ftrl(rows, alpha, beta, l1, l2, 3)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert at.tolist() == sorted(want) and 0 < len(want) < 40
+    assert np.allclose(w, [want[i] for i in sorted(want)]) and bias == pytest.approx(weight("bias"))
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark, docs):
+    rows = docs.select("doc_id", "text").limit(60).union(docs.select("doc_id", F.upper("text")).limit(60))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    a, b = (toxicity.fit(rows.repartition(k), labels, l1=0.5) for k in (2, 9))
+    assert all(np.array_equal(x, y) for x, y in zip(a, b)) and len(a[0])
+
+
 def test_toxicity_of_awkward_rows(spark, sf_dir, awkward, empty):
     labels = spark.createDataFrame([(8, 1, 1), (8, 1, 0), (12, 0, 0), (None, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(awkward, labels)
