@@ -51,7 +51,7 @@ def features(column: pa.Array) -> Iterator[list[np.ndarray]]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [r for block in features(batch.column("text")) for r in block]
-        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["rank", "label", "cells"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rank", "tie", "label")), pa.array(rows, pa.list_(pa.int32()))], names=["rank", "tie", "label", "cells"])
 
 
 def ftrl(rows: list[tuple[np.ndarray, float]], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -79,16 +79,18 @@ def ftrl(rows: list[tuple[np.ndarray, float]], alpha: float, beta: float, l1: fl
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on at most fit_rows of the labelled documents, those with the smallest hash of doc_id.
 
-    A doc_id with several labels counts as toxic if any of them says so; null labels and null doc_ids are left out. Without
-    any labelled document the model is empty and every score is 0.5."""
+    A doc_id with several labels counts as toxic if any of them says so; null labels and null doc_ids are left out; of a
+    doc_id with several rows all are used, in order of a hash of their texts. Without any labelled document the model is
+    empty and every score is 0.5."""
     tuned(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(fit_rows)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("rank", "label", "text")
-    cells = texts.mapInArrow(_extract, "rank long, label double, cells array<int>")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.select("rank", F.xxhash64("doc_id", "text").alias("tie"), "label", "text")
+    cells = texts.mapInArrow(_extract, "rank long, tie long, label double, cells array<int>")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank", kind="stable")
+        frame = frame.sort_values(["rank", "tie"], kind="stable")
         at, w, bias = ftrl(list(zip(frame["cells"], frame["label"], strict=True)), alpha, beta, l1, l2, epochs)
         return pd.DataFrame({"at": [*at.tolist(), DIMENSIONS], "w": [*w.tolist(), bias]})
 
