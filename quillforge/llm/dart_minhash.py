@@ -278,6 +278,7 @@ def _dealt(large: DataFrame) -> DataFrame:
     main = per_class.groupBy("band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"))
     n_blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     main = main.select("band", "main", n_blocks("n_main").alias("of_main"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("of_strays")).where("of_strays > 0")
+    main = sent_if_small(stage_table(main, "main-classes"))
     stray = F.col("label") != F.col("main")
     dealt = large.join(main, "band").withColumn("mine", F.when(stray, F.pmod(F.xxhash64("node"), "of_strays")).otherwise(F.col("of_strays") + F.pmod(F.xxhash64("node"), "of_main")).cast("int"))
     others = F.sequence(F.lit(0), F.when(stray, F.col("of_strays") + F.col("of_main")).otherwise(F.col("of_strays")) - 1)
