@@ -28,13 +28,19 @@ def weighted_profile(df: DataFrame, keys: list[str], measures: list[str], weight
     A weight that is null or not positive counts 1. The median is the smallest value at which the running weight reaches
     half of the measure's own weight. A measure without values has nulls; the weight is null if no row states one."""
     w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.lit(1.0)).cast("double")
-    out = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.when(F.count(weight) > 0, F.sum(w)).alias("weight"))
+    out = None
     for m in measures:
-        values = df.where(F.col(m).isNotNull()).groupBy(*keys, F.col(m).alias("v")).agg(F.sum(w).alias("w"))
-        upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = values.withColumn("run", F.sum("w").over(upto)).withColumn("half", F.sum("w").over(Window.partitionBy(*keys)) / 2)
-        stats = ranked.groupBy(*keys).agg(F.min(F.when(F.col("run") >= F.col("half"), F.col("v"))).alias(f"{m}_median"), F.min("v").alias(f"{m}_min"), F.max("v").alias(f"{m}_max"))
-        out = join_null_safe(out, stats, keys)
+        # equal values (and the rows without one) once: all that is asked for comes from these rows
+        values = df.groupBy(*keys, F.col(m).alias("v")).agg(F.sum(w).alias("w"), F.count("*").alias("c"), F.count(weight).alias("stated"))
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        known = F.when(F.col("v").isNotNull(), F.col("w"))
+        ranked = values.withColumn("run", F.sum(known).over(upto)).withColumn("half", F.sum(known).over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / 2)
+        stats = [F.min(F.when(F.col("run") >= F.col("half"), F.col("v"))).alias(f"{m}_median"), F.min("v").alias(f"{m}_min"), F.max("v").alias(f"{m}_max")]
+        if out is None:
+            out = ranked.groupBy(*keys).agg(F.sum("c").alias("rows"), F.when(F.sum("stated") > 0, F.sum("w")).alias("weight"), *stats)
+        else:
+            out = join_null_safe(out, ranked.groupBy(*keys).agg(*stats), keys)
     return out
 
 
@@ -60,7 +66,7 @@ def vote_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, votes, n (votes of the key) and rank by votes descending, then value."""
     votes = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("votes"))
     rank = Window.partitionBy(*keys).orderBy(F.desc("votes"), F.asc(value))
-    return votes.withColumn("n", F.sum("votes").over(Window.partitionBy(*keys))).withColumn("rank", F.row_number().over(rank))
+    return votes.withColumn("rank", F.row_number().over(rank)).withColumn("n", F.sum("votes").over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def majority(df: DataFrame, keys: list[str], value: str, top: int = 3) -> DataFrame:
@@ -95,28 +101,28 @@ def dominant(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str], weight: str) -> DataFrame:
-    """One row per column: state, type, null_pct, distinct_values, weighted_pct (coverage by weight), from one aggregation.
+    """One row per column: state, type, null_pct, distinct_values, weighted_pct (coverage by weight). An
+    empty table has no rows.
 
     Blank strings are null. Weights count if any is positive (others then 0), else every row counts 1. The type is that of
     all values: INTEGER within REAL, TEXT only if no value is a number, MIXED otherwise."""
-    any_weight = df.agg(F.max(F.when(F.col(weight) > 0, 1)).alias("x"))
-    df = df.crossJoin(F.broadcast(any_weight))  # one row
-    w = F.when(F.col("x").isNull(), F.lit(1.0)).when(F.col(weight) > 0, F.col(weight).cast("double")).otherwise(F.lit(0.0))
-    clean = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns}
-    aggregates = [F.count("*").alias("_n"), F.sum(w).alias("_w")]
-    for c, v in clean.items():
-        number = F.expr(f"try_cast(nullif(trim(cast(`{c}` as string)), '') as double)")
-        whole = v.rlike(r"^[+-]?[0-9]+$")
-        aggregates += [
-            F.count(v).alias(f"{c}#values"),
-            F.countDistinct(v).alias(f"{c}#distinct"),
-            F.sum(F.when(v.isNotNull(), w).otherwise(0.0)).alias(f"{c}#weight"),
-            F.count(F.when(whole, 1)).alias(f"{c}#whole"),
-            F.count(F.when(number.isNotNull() & ~whole, 1)).alias(f"{c}#real"),
-        ]
-    one = df.agg(*aggregates)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}#{k}`").alias(k) for k in ("values", "distinct", "weight", "whole", "real")]) for c in columns])
-    e = one.select("_n", "_w", F.explode(rows).alias("c")).select("_n", "_w", "c.*")
+    weighed = F.when(F.col(weight) > 0, F.col(weight).cast("double")).otherwise(F.lit(0.0))
+    clean = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), clean(c).alias("v")) for c in columns])
+    # each different value of a column once, then one row a column: values are counted, not compared with each other
+    values = df.select(weighed.alias("w"), F.explode(cells).alias("c")).groupBy("c.column_name", "c.v").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    number, whole = F.expr("try_cast(v as double)"), F.col("v").rlike(r"^[+-]?[0-9]+$")
+    count_of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    e = values.groupBy("column_name").agg(
+        F.sum("n").alias("_n"),
+        F.sum("w").alias("_w"),
+        count_of(F.col("v").isNotNull()).alias("values"),
+        F.count("v").alias("distinct"),
+        F.sum(F.when(F.col("v").isNotNull(), F.col("w")).otherwise(0.0)).alias("weight"),
+        count_of(whole).alias("whole"),
+        count_of(number.isNotNull() & ~whole).alias("real"),
+    )
+    e = e.withColumn("weight", F.when(F.col("_w") > 0, F.col("weight")).otherwise(F.col("values").cast("double"))).withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.col("_n").cast("double")))
     text = F.col("values") - F.col("whole") - F.col("real")
     kind = F.when(F.col("values") == 0, None).when(text == F.col("values"), "TEXT").when(text > 0, "MIXED").when(F.col("real") > 0, "REAL").otherwise("INTEGER")
     return e.select(

@@ -92,30 +92,19 @@ def closest(codes: DataFrame, values: DataFrame, block: str, code: str, value: s
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def excerpts(df: DataFrame, entity: str, order: list[str], text: str, max_items: int, max_chars: int, max_each: int, least_room: int = 200) -> DataFrame:
-    """entity, place, excerpt: texts taken in order until items or characters run out; each is cut to max_each and to the room
-    left, and left out where that room is under least_room or the text is inside one already taken."""
-    columns = [entity, *dict.fromkeys([*order, text])]
-    kind = df.schema[entity].dataType.simpleString()
-
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        room = max_chars
-        for raw in frame.sort_values(order)[text]:
-            if not raw or len(kept) >= max_items:
-                continue
-            piece = raw[:max_each]
-            if any(piece in k for k in kept):
-                continue
-            if len(piece) > room:
-                if room < least_room:
-                    continue
-                piece = piece[:room]
-            kept.append(piece)
-            room -= len(piece)
-        return pd.DataFrame({entity: frame[entity].iloc[:1].tolist() * len(kept), "place": range(1, len(kept) + 1), "excerpt": kept})
-
-    return df.select(*columns).groupBy(entity).applyInPandas(take, f"`{entity}` {kind}, place long, excerpt string")
+def excerpts(df: DataFrame, entity: list[str], order: list[Column], text: str, max_items: int, max_chars: int, max_each: int, least_room: int = 200) -> DataFrame:
+    """entity, place, excerpt: the prefix of each entity's different texts, in order, that fits a budget.
+
+    A text counts with its first max_each characters, and once. Of the max_chars characters each gets what those before it
+    leave; the one that crosses the budget is cut to what is left, if that is at least least_room. Blank texts are none."""
+    once = df.where(F.length(F.trim(F.col(text))) > 0).withColumn("excerpt", F.substring(F.col(text), 1, max_each))
+    by_text = Window.partitionBy(*entity, "excerpt").orderBy(*order)
+    once = once.withColumn("_copy", F.row_number().over(by_text)).where("_copy = 1")
+    in_order = Window.partitionBy(*entity).orderBy(*order)
+    before = F.coalesce(F.sum(F.length("excerpt")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = once.withColumn("place", F.row_number().over(in_order)).withColumn("_left", F.lit(max_chars) - before)
+    fits = (F.length("excerpt") <= F.col("_left")) | (F.col("_left") >= least_room)
+    return placed.where((F.col("place") <= max_items) & fits).select(*entity, "place", F.substring("excerpt", F.lit(1), F.col("_left").cast("int")).alias("excerpt"))
 
 
 @F.pandas_udf(StringType())

@@ -58,16 +58,43 @@ def turn_deltas(df: DataFrame, entity: list[str], seq: list[str], value: str) ->
     return df.withColumn("before", before).withColumn("change", F.col(value) - before)
 
 
-def novel_lengths(df: DataFrame, entity: list[str], seq: str, begin: str, end: str) -> DataFrame:
+def novel_lengths(df: DataFrame, entity: list[str], seq: str, begin: str, end: str, width: int) -> DataFrame:
     """Each span's length less its overlap with every earlier span of the entity (not merged: what is covered twice is
-    taken off twice), at least 0."""
-    earlier = df.select(*[F.col(e).alias(f"_{e}") for e in entity], F.col(seq).alias("_seq"), F.col(begin).alias("_a"), F.col(end).alias("_b"))
-    on = F.col("_seq") < F.col(seq)
+    taken off twice), at least 0.
+
+    Spans are put into stretches of `width` and meet in the first stretch that both reach, so only spans that lie near each
+    other are paired. (entity, seq) names a span."""
+    cell = lambda x: F.floor(x / width)
+    cells = df.where(F.col(end) > F.col(begin)).withColumn("_from", cell(F.col(begin))).withColumn("_cell", F.explode(F.sequence(cell(F.col(begin)), cell(F.col(end) - 1))))
+    earlier = cells.select(*[F.col(e).alias(f"_{e}") for e in entity], F.col(seq).alias("_seq"), F.col(begin).alias("_a"), F.col(end).alias("_b"), F.col("_from").alias("_from_b"), F.col("_cell").alias("_cell_b"))
+    on = (F.col("_cell") == F.col("_cell_b")) & (F.col("_seq") < F.col(seq)) & (F.col("_cell") == F.greatest("_from", "_from_b"))
     for e in entity:
         on = on & (F.col(e) == F.col(f"_{e}"))
-    touched = df.join(earlier, on & (F.col("_b") > F.col(begin)) & (F.col("_a") < F.col(end)), "left")
-    overlap = F.coalesce(F.least("_b", end) - F.greatest("_a", begin), F.lit(0))
-    return touched.groupBy(*df.columns).agg(F.greatest(F.lit(0), F.col(end) - F.col(begin) - F.sum(overlap)).alias("novel"))
+    pairs = cells.join(earlier, on & (F.col("_b") > F.col(begin)) & (F.col("_a") < F.col(end)))
+    taken = pairs.groupBy(*entity, seq).agg(F.sum(F.least("_b", end) - F.greatest("_a", begin)).alias("_taken"))
+    out = df.join(taken, [*entity, seq], "left")
+    return out.select(*df.columns, F.greatest(F.lit(0), F.col(end) - F.col(begin) - F.coalesce("_taken", F.lit(0))).alias("novel"))
+
+
+def stage_states(df: DataFrame, entity: list[str], stage: str, stages: list[str], ts: str, seq: list[str]) -> DataFrame:
+    """For every entity and stage: state and seconds (one digit, never negative).
+
+    The first event of a stage starts it. The start of a later stage ends every earlier one that runs, and what has not
+    begun by then is skipped for good. A stage that no later one ends is running, up to the entity's last event; stages that
+    wait or are skipped have no seconds."""
+    order = F.struct(*seq)
+    events = df.where(F.col(stage).isin(stages))
+    firsts = events.groupBy(*entity, stage).agg(F.min(F.struct(order.alias("o"), F.col(ts).alias("t"))).alias("first"))
+    last = df.groupBy(*entity).agg(F.max(ts).alias("_last"))
+    grid = last.select(*entity, "_last", F.posexplode(F.array(*map(F.lit, stages))).alias("_place", stage))
+    both = grid.join(firsts, [*entity, stage], "left")
+    later = Window.partitionBy(*entity).orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_next", F.min("first").over(later))
+    begun, ended = F.col("first").isNotNull(), F.col("_next").isNotNull()
+    state = F.when(ended & (~begun | (F.col("_next.o") < F.col("first.o"))), "skipped").when(~begun, "waiting").when(ended, "done").otherwise("running")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    length = F.greatest(F.lit(0), micros(F.when(state == "done", F.col("_next.t")).otherwise(F.col("_last"))) - micros(F.col("first.t")))
+    return both.select(*entity, stage, state.alias("state"), F.when(state.isin("done", "running"), F.floor(length / 100000 + 0.5) / 10).alias("seconds"))
 
 
 def within_budget(df: DataFrame, entity: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
@@ -76,10 +103,15 @@ def within_budget(df: DataFrame, entity: list[str], order: list[Column], size: s
     return df.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
 
 
-def evicted(df: DataFrame, entity: list[str], age_order: list[Column], size: str, cap: int) -> DataFrame:
-    """The rows of each entity that go, oldest first, so that the newest that stay fit the cap."""
-    w = Window.partitionBy(*entity).orderBy(*age_order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("kept_bytes", F.sum(size).over(w)).where(F.col("kept_bytes") > cap)
+def evicted(df: DataFrame, entity: list[str], age_order: list[Column], size: str, cap: int, keep: int = 0, pinned: Column | None = None) -> DataFrame:
+    """The rows of each entity that go, oldest first, so that what stays fits the cap. The newest `keep` rows and pinned ones
+    never go, but their sizes count."""
+    upto = Window.partitionBy(*entity).orderBy(*age_order).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce(pinned, F.lit(False)) if pinned is not None else F.lit(False)
+    # pinned rows stay whatever their age: they come before all others when room is dealt out
+    room = Window.partitionBy(*entity).orderBy(F.desc("_held"), *age_order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_age", F.row_number().over(upto)).withColumn("_held", held | (F.col("_age") <= keep))
+    return rows.withColumn("kept_bytes", F.sum(size).over(room)).where((F.col("kept_bytes") > cap) & ~F.col("_held")).drop("_age", "_held")
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:

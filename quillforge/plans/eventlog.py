@@ -64,6 +64,32 @@ def stage_durations(spark, sf_dir):
     return O.stage_times(table(spark, sf_dir, "events"), ["user_id"], "event_type", "ts", ["ts", "event_id"])
 
 
+STAGES = ["view", "click", "signup", "purchase"]
+
+
+@R.query(f"""
+WITH s AS (SELECT unnest({STAGES}) AS event_type, unnest(range({len(STAGES)})) AS place), u AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1),
+f AS (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY 1, 2),
+g AS (SELECT u.user_id, s.event_type, last, first, min(first) OVER (PARTITION BY u.user_id ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nx FROM u CROSS JOIN s LEFT JOIN f ON f.user_id = u.user_id AND f.event_type = s.event_type),
+t AS (SELECT *, CASE WHEN nx IS NOT NULL AND (first IS NULL OR nx < first) THEN 'skipped' WHEN first IS NULL THEN 'waiting' WHEN nx IS NOT NULL THEN 'done' ELSE 'running' END AS state FROM g)
+SELECT user_id, event_type, state, CASE WHEN state IN ('done', 'running') THEN floor(greatest(0, epoch_us(CASE WHEN state = 'done' THEN nx[1] ELSE last END) - epoch_us(first[1]))::DOUBLE / 100000 + 0.5) / 10 END AS seconds FROM t
+""")
+def stage_states(spark, sf_dir):
+    return O.stage_states(table(spark, sf_dir, "events"), ["user_id"], "event_type", STAGES, "ts", ["ts", "event_id"])
+
+
+@R.query("""
+WITH r AS (SELECT user_id, event_id, ts, length(props) + floor(value)::BIGINT AS size, event_type = 'purchase' AS pinned, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events),
+h AS (SELECT *, pinned OR age <= 5 AS held FROM r),
+k AS (SELECT *, sum(size) OVER (PARTITION BY user_id ORDER BY held DESC, ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS kept FROM h)
+SELECT user_id, event_id, size, kept::BIGINT AS kept_bytes FROM k WHERE kept > 2000 AND NOT held
+""")
+def evicted_but_pinned(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("size", F.length("props") + F.floor("value"))
+    gone = O.evicted(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], "size", 2_000, keep=5, pinned=F.col("event_type") == "purchase")
+    return gone.select("user_id", "event_id", "size", "kept_bytes")
+
+
 @R.query("SELECT event_id, user_id, ts, value, lag(value) OVER w AS before, value - lag(value) OVER w AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def turn_delta(spark, sf_dir):
     return O.turn_deltas(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value")
@@ -71,13 +97,13 @@ def turn_delta(spark, sf_dir):
 
 @R.query("""
 WITH s AS (SELECT event_id, user_id, json_extract_string(props, '$.k')::INT AS a, json_extract_string(props, '$.k')::INT + floor(value)::BIGINT AS b FROM events)
-SELECT s.event_id, s.user_id, s.a, s.b, greatest(0, s.b - s.a - coalesce(sum(least(e.b, s.b) - greatest(e.a, s.a)), 0))::BIGINT AS novel
+SELECT s.event_id, s.user_id, s.a, s.b, greatest(0, s.b - s.a - coalesce(sum(CASE WHEN e.event_id IS NOT NULL THEN least(e.b, s.b) - greatest(e.a, s.a) END), 0))::BIGINT AS novel
 FROM s LEFT JOIN s e ON e.user_id = s.user_id AND e.event_id < s.event_id AND e.b > s.a AND e.a < s.b GROUP BY s.event_id, s.user_id, s.a, s.b
 """)
 def novel_span_length(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     spans = table(spark, sf_dir, "events").select("event_id", "user_id", k.alias("a"), (k + F.floor("value")).alias("b"))
-    return O.novel_lengths(spans, ["user_id"], "event_id", "a", "b")
+    return O.novel_lengths(spans, ["user_id"], "event_id", "a", "b", 50)
 
 
 @R.query("""

@@ -134,7 +134,11 @@ def closest_names(spark, sf_dir):
     return V.closest(nation.select("n_regionkey", "n_name"), table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("other")), "n_regionkey", "n_name", "other", 3)
 
 
-@R.query()
+@R.query("""
+WITH t AS (SELECT conv_id, turn, substr(text, 1, 600) AS excerpt FROM conversations WHERE length(trim(text)) > 0),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, excerpt ORDER BY turn) AS copy FROM t),
+o AS (SELECT conv_id, excerpt, row_number() OVER w AS place, 1200 - coalesce(sum(length(excerpt)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM u WHERE copy = 1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, place, substr(excerpt, 1, room::BIGINT) AS excerpt FROM o WHERE place <= 3 AND (length(excerpt) <= room OR room >= 200)
+""")
 def conversation_excerpts(spark, sf_dir):
-    """Greedy selection with skips depends on what was taken before; a test compares it with a plain loop."""
-    return V.excerpts(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", 3, 1_200, 600)
+    return V.excerpts(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn")], "text", 3, 1_200, 600)

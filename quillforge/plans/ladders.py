@@ -58,16 +58,31 @@ def binding_ladder(spark, sf_dir):
     return e.groupBy("target", level.alias("level")).agg(F.count("*").alias("candidates"))
 
 
-@R.query("""
-SELECT page_id, floor((CASE WHEN url LIKE 'https%' THEN 2.0 ELSE 1.0 END + 0.5 * (page_id % 6) - CASE WHEN page_id % 11 = 0 THEN 3.0 ELSE 0.0 END + CASE WHEN contains(html, 'lang="de"') THEN 1.5 ELSE 0.0 END + CASE WHEN contains(html, '<table') THEN 1.0 ELSE 0.0 END
-  + 2 * greatest(0.0, least(1.0, length(html) / 10000.0)) + 0.5 * least(length(url), 24) / 24 + CASE WHEN url LIKE '%.pdf' THEN 0.5 ELSE 0.0 END + CASE WHEN contains(url, 'ref') THEN 0.5 ELSE 0.0 END - CASE WHEN contains(url, '19') THEN 1.0 ELSE 0.0 END) * 1000 + 0.5) / 1000 AS score FROM pages
+#: How much each signal of a page counts when candidates are put in order.
+PAGE_WEIGHTS = {"length": 2.0, "secure": 1.0, "german": 1.5, "table": 1.0, "long_address": 0.5, "document": 0.5, "referred": 0.5, "old_year": -1.0, "depth": 0.5, "abroad": -3.0}
+
+
+@R.query(f"""
+WITH s AS (SELECT page_id, least(1.0, length(html) / 10000.0) AS length, (url LIKE 'https%')::INT AS secure, contains(html, 'lang="de"')::INT AS german, contains(html, '<table')::INT AS "table", least(length(url), 24) / 24 AS long_address,
+  (url LIKE '%.pdf')::INT AS document, contains(url, 'ref')::INT AS referred, contains(url, '19')::INT AS old_year, page_id % 6 AS depth, (page_id % 11 = 0)::INT AS abroad FROM pages)
+SELECT page_id, floor(({" + ".join(f'"{k}"::DOUBLE * ({v})' for k, v in PAGE_WEIGHTS.items())}) * 1000 + 0.5) / 1000 AS score FROM s
 """)
 def routing_scores(spark, sf_dir):
     url, html = F.col("url"), F.col("html")
-    score = L.routing_score(
-        F.when(url.startswith("https"), 2.0).otherwise(1.0), F.col("page_id") % 6, F.col("page_id") % 11 == 0, F.contains(html, F.lit('lang="de"')), True, F.contains(html, F.lit("<table")), F.length(html) / 10000.0, F.length(url), url.endswith(".pdf"), F.contains(url, F.lit("ref")), F.contains(url, F.lit("19"))
-    )
-    return table(spark, sf_dir, "pages").select("page_id", score.alias("score"))
+    has = lambda c, x: F.contains(c, F.lit(x))
+    signals = {
+        "secure": url.startswith("https"),
+        "depth": F.col("page_id") % 6,
+        "abroad": F.col("page_id") % 11 == 0,
+        "german": has(html, 'lang="de"'),
+        "table": has(html, "<table"),
+        "length": F.least(F.lit(1.0), F.length(html) / 10000.0),
+        "long_address": F.least(F.length(url), F.lit(24)) / 24,
+        "document": url.endswith(".pdf"),
+        "referred": has(url, "ref"),
+        "old_year": has(url, "19"),
+    }
+    return table(spark, sf_dir, "pages").select("page_id", L.weighted_signals(PAGE_WEIGHTS, signals).alias("score"))
 
 
 @R.query("""

@@ -58,11 +58,18 @@ def is_error_body(head: bytes) -> bool:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with header, all columns as strings; rows shorter than the header are dropped."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head"), "path").orderBy("path").limit(1).collect()
-    if not first:
+    """Delimited files with a header, all columns as strings; rows shorter than the header are dropped.
+
+    The first file, in order of paths, tells the dialect of all: its first 64 KB are read, and none of the others."""
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]  # paths alone: no content is read
+    if first is None:
         raise FileNotFoundError(path)
-    head = bytes(first[0]["head"])
+    file = spark._jvm.org.apache.hadoop.fs.Path(first)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        head = bytes(stream.readNBytes(65536))
+    finally:
+        stream.close()
     if is_error_body(head):
         raise ValueError(f"{path} holds an error page")
     encoding, separator = sniff(head)

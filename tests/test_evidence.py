@@ -55,23 +55,10 @@ def test_closest_names(spark, sf_dir):
     assert {(r["n_regionkey"], r["n_name"], r["other"], r["ratio"]) for r in got} == want
 
 
-def test_conversation_excerpts(spark, sf_dir):
-    turns = defaultdict(list)
-    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():
-        turns[r["conv_id"]].append(r["text"])
-    want = set()
-    for conv, texts in turns.items():
-        kept, room = [], 1200
-        for t in texts:
-            piece = t[:600]
-            if len(kept) == 3 or not piece or any(piece in k for k in kept):
-                continue
-            if len(piece) > room:
-                if room < 200:
-                    continue
-                piece = piece[:room]
-            kept.append(piece)
-            room -= len(piece)
-        want |= {(conv, i, k) for i, k in enumerate(kept, 1)}
-    got = catalogue.QUERIES["conversation_excerpts"](spark, sf_dir).collect()
-    assert {tuple(r) for r in got} == want
+def test_excerpts_fit_the_budget(spark):
+    texts = ["a" * 50, "b" * 400, "a" * 50, None, "  ", "c" * 300, "d" * 10]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "x" * 90)], "e int, i int, t string")
+    got = V.excerpts(df, ["e"], [F.col("i")], "t", 10, 640, 350).collect()
+    assert sorted((r["e"], r["place"], r["excerpt"]) for r in got) == [(1, 1, "a" * 50), (1, 2, "b" * 350), (1, 3, "c" * 240), (2, 1, "x" * 90)]
+    got = V.excerpts(df, ["e"], [F.col("i")], "t", 2, 420, 350).collect()  # room of 20 characters is too little
+    assert sorted((r["e"], r["place"]) for r in got) == [(1, 1), (1, 2), (2, 1)]
