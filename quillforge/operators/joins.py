@@ -94,6 +94,51 @@ def range_join(targets: DataFrame, notices: DataFrame, key: list[str], at: str,
     return got.select(*targets.columns, status.alias("status"), F.when(status == "affected", F.col("n")).otherwise(0).cast("long").alias("notices"), F.when(status == "affected", F.col("ids")).otherwise("").alias("notice_ids"))
 
 
+def notices_by_any_key(targets: DataFrame, notices: DataFrame, keys: list[list[str]], target: str, at: str, begin: str, end: str, notice: str, newest: str) -> DataFrame:
+    """targets with status, n_notices and notice_ids: the notices that share any one of the keys and whose range holds `at`.
+
+    One equi-join a key, united: no disjunction in a join. A matched notice without a range withholds them all
+    (range_unresolved); so does a target without `at`. Ids are listed once, the newest notice first, then by id."""
+    known = targets.select(target, at, *dict.fromkeys(c for key in keys for c in key))
+    columns = [target, at, begin, end, notice, newest]
+    parts = [known.join(notices.select(*key, begin, end, notice, newest), key).select(*columns) for key in keys]
+    matched = reduce(DataFrame.unionByName, parts).distinct()
+    inside = F.col(at).between(F.col(begin), F.col(end))
+    listed = F.sort_array(F.collect_set(F.when(inside, F.struct((-F.coalesce(newest, F.lit(0))).alias("o"), notice))))
+    per = matched.groupBy(target).agg(F.max(F.col(begin).isNull() | F.col(end).isNull() | F.col(at).isNull()).alias("_open"), F.array_distinct(F.transform(listed, lambda x: x[notice])).alias("_ids"))
+    status = F.when(F.col("_open").isNull(), "no_notice").when(F.col("_open"), "range_unresolved").when(F.size("_ids") == 0, "not_affected").otherwise("affected")
+    both = targets.join(per, target, "left").withColumn("status", status)
+    affected = F.col("status") == "affected"
+    return both.withColumn("n_notices", F.when(affected, F.size("_ids")).otherwise(0).cast("long")).withColumn("notice_ids", F.when(affected, F.array_join("_ids", ",")).otherwise("")).drop("_open", "_ids")
+
+
+def value_or_reason(targets: DataFrame, rows: DataFrame, key: list[str], name: str, target_name: str, value: str, supplier: str) -> DataFrame:
+    """targets with reason, value, range_low, range_high, n_values, single_supplier and withheld: a lookup by a key of several parts.
+
+    Reasons in order: no_key (a part is null), not_found, ambiguous_name (the key's rows have several names and none is the
+    target's). Rows of the target's name count alone where there are any. One value gives it, several give a range; a
+    supplier is told only if there is one, else it is withheld as several_suppliers."""
+    t = targets.withColumn("_no_key", reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key)))
+    per_name = rows.groupBy(*key, F.col(name).alias("_name")).agg(F.collect_set(value).alias("_values"), F.collect_set(supplier).alias("_suppliers"))
+    names = per_name.groupBy(*key).agg(F.count("*").alias("_names"), F.max(F.struct("_name", "_values", "_suppliers")).alias("_any"))
+    own = per_name.select(*key, F.col("_name").alias(target_name), F.struct("_values", "_suppliers").alias("_own"))
+    both = t.join(names, key, "left").join(own, [*key, target_name], "left")
+    picked = F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_names") == 1, F.struct("_any._values", "_any._suppliers"))
+    reason = F.when(F.col("_no_key"), "no_key").when(F.col("_names").isNull(), "not_found").when(picked.isNull(), "ambiguous_name")
+    both = both.withColumn("reason", reason).withColumn("_p", F.when(reason.isNull(), picked))
+    n = F.size("_p._values")
+    return both.select(
+        *targets.columns,
+        "reason",
+        F.when(n == 1, F.array_min("_p._values")).alias("value"),
+        F.when(n > 1, F.array_min("_p._values")).alias("range_low"),
+        F.when(n > 1, F.array_max("_p._values")).alias("range_high"),
+        F.when(F.col("_p").isNotNull(), n).otherwise(0).cast("long").alias("n_values"),
+        F.when(F.size("_p._suppliers") == 1, F.array_min("_p._suppliers")).alias("single_supplier"),
+        F.when(F.size("_p._suppliers") > 1, "several_suppliers").alias("withheld"),
+    )
+
+
 def ordered_lookup(ids: DataFrame, rows: DataFrame, key: str, position: str, keep_unknown: bool = False) -> DataFrame:
     """rows in the order of the id list; unknown ids are dropped, or kept as rows without values and found = false."""
     out = ids.join(rows.withColumn("found", F.lit(True)), key, "left" if keep_unknown else "inner")
@@ -146,18 +191,31 @@ def pair_next(events: DataFrame, by: list[str], order: list[str], kind: str, cal
 
 
 def pair_calls(events: DataFrame, run: str, seq: str) -> DataFrame:
-    """Calls and results of a run, from columns kind (call/result), call_id, name: a result belongs to the call of its id, or
-    else to the oldest open call of its name; results without a call drop out, calls without a result keep a null."""
-    calls = events.where("kind = 'call'").select(run, F.col(seq).alias("call_seq"), "call_id", "name")
-    results = events.where("kind = 'result'").select(F.col(run).alias("_run"), F.col(seq).alias("result_seq"), F.col("call_id").alias("_id"), F.col("name").alias("_name"))
-    by_id = calls.join(results, (F.col(run) == F.col("_run")) & (F.col("call_id") == F.col("_id"))).groupBy(run, "call_seq").agg(F.min("result_seq").alias("result_seq"))
-    open_calls = calls.join(by_id.select(run, "call_seq"), [run, "call_seq"], "left_anti")
-    loose = results.join(by_id.select(F.col(run).alias("_run"), "result_seq"), ["_run", "result_seq"], "left_anti")
-    number = lambda df, keys, at: df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(at)))
-    a, b = number(open_calls, [run, "name"], "call_seq"), number(loose, ["_run", "_name"], "result_seq")
-    by_name = a.join(b, (F.col(run) == F.col("_run")) & (F.col("name") == F.col("_name")) & (a["_k"] == b["_k"]) & (F.col("result_seq") > F.col("call_seq"))).select(run, "call_seq", "result_seq")
-    found = by_id.unionByName(by_name)
-    return calls.join(found, [run, "call_seq"], "left").select(run, "call_seq", "name", "result_seq")
+    """run, call_seq, name, result_seq of every call, from columns kind (call/result), call_id, name.
+
+    A result belongs to the newest call of its id, if no other result took that call before. Every other result goes to the
+    oldest open call of its name, among the calls that get no result by their id; if none is open it drops out. A queue is
+    told by two running counts: a result finds it empty exactly when results so far outnumber calls by more than ever."""
+    e = events.where(F.col("kind").isin("call", "result"))
+    by_id = Window.partitionBy(run, "call_id").orderBy(seq)
+    named = F.col("call_id").isNotNull() & (F.col("call_id") != "")
+    before = F.lag(F.struct(F.col("kind"), F.col(seq).alias("at"))).over(by_id)
+    after = F.lead("kind").over(by_id)
+    call = F.col("kind") == "call"
+    e = e.withColumn("_call", F.when(named & ~call & (before["kind"] == "call"), before["at"])).withColumn("_answered", named & call & F.coalesce(after == "result", F.lit(False)))
+    answers = e.where("_call IS NOT NULL").select(run, F.col("_call").alias("call_seq"), F.col(seq).alias("result_seq"))
+
+    loose = e.where("NOT _answered AND _call IS NULL")
+    queue = Window.partitionBy(run, "name").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    calls, results = F.count_if(call).over(queue), F.count_if(~call).over(queue)
+    loose = loose.withColumn("_calls", calls).withColumn("_results", results)
+    loose = loose.withColumn("_dropped", F.greatest(F.lit(0), F.max(F.col("_results") - F.col("_calls")).over(queue)))
+    ordered = Window.partitionBy(run, "name").orderBy(seq)
+    kept = call | (F.col("_dropped") == F.coalesce(F.lag("_dropped").over(ordered), F.lit(0)))
+    loose = loose.withColumn("_kept", kept).where("_kept").withColumn("_k", F.when(call, F.col("_calls")).otherwise(F.col("_results") - F.col("_dropped")))
+    pairs = loose.groupBy(run, "name", "_k").agg(F.min(F.when(call, F.col(seq))).alias("call_seq"), F.min(F.when(~call, F.col(seq))).alias("result_seq"))
+    found = answers.unionByName(pairs.where("call_seq IS NOT NULL AND result_seq IS NOT NULL").select(run, "call_seq", "result_seq"))
+    return events.where("kind = 'call'").select(run, F.col(seq).alias("call_seq"), "name").join(found, [run, "call_seq"], "left").select(run, "call_seq", "name", "result_seq")
 
 
 def split_one_way(names: DataFrame, text: str, known: list[str], most: int = 5) -> DataFrame:

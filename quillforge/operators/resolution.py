@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.operators.aggregates import agreement
+from quillforge.operators.aggregates import agreement, join_null_safe, nearest_rank
 
 
 def exact(a: str, b: str) -> Column:
@@ -24,12 +24,30 @@ def within(a: str, b: str, absolute: float = 0.0, share: float = 0.0) -> Column:
     return F.when(F.col(a).isNull() | F.col(b).isNull(), "unknown").when(F.abs(F.col(a) - F.col(b)) <= limit, "matched").otherwise("veto")
 
 
-def match(targets: DataFrame, source: DataFrame, block: list[str], verdicts: dict[str, Column], prefer: str) -> DataFrame:
+def near(df: DataFrame, value: str, low: Column, high: Column, width: float, share: bool = False) -> tuple[Column, Column]:
+    """For match's `bands`: the bands that values between low and high lie in, and the band of a value; of equal width, or
+    with share of equal ratio (positive values only)."""
+    cell = (lambda x: F.floor(F.log(x) / width)) if share else (lambda x: F.floor(x / width))
+    return F.sequence(cell(low), cell(high)), cell(F.col(value))
+
+
+def match(targets: DataFrame, source: DataFrame, block: list[str], verdicts: dict[str, Column], prefer: str, bands: list[tuple[Column, Column]] = ()) -> DataFrame:
     """Candidate pairs of equal block that no key vetoes, with the keys matched and unknown.
 
     Among a target's survivors, those that match the key `prefer` supersede those that do not state it. The block is an
-    equi-join; vetoes are its residual, so vetoed pairs are never kept."""
-    pairs = targets.join(source, block)
+    equi-join; vetoes are its residual, so vetoed pairs are never kept. Each of `bands` (see near) makes a bounded tolerance
+    part of the equi-join: a target goes into the few bands its partners can lie in. Where a source row has no band, as it
+    does not state the value, it meets the targets of its block without that band."""
+    parts = [(targets, source, list(block))]
+    for k, (reach, own) in enumerate(bands):
+        split = []
+        for t, r, on in parts:
+            banded = r.withColumn(f"_band{k}", own)
+            split.append((t.withColumn(f"_band{k}", F.explode(reach)), banded.where(f"_band{k} IS NOT NULL"), [*on, f"_band{k}"]))
+            split.append((t, banded.where(f"_band{k} IS NULL").drop(f"_band{k}"), on))
+        parts = split
+    joined = [t.join(r, on).drop(*[c for c in on if c.startswith("_band")]) for t, r, on in parts]
+    pairs = reduce(DataFrame.unionByName, joined)
     named = pairs.withColumns({f"_{k}": v for k, v in verdicts.items()})
     alive = named.where(reduce(lambda x, y: x & y, (F.col(f"_{k}") != "veto" for k in verdicts)))
     stated = F.max((F.col(f"_{prefer}") == "matched").cast("int")).over(Window.partitionBy("target_id", "source"))
@@ -131,6 +149,71 @@ def conflict_classes(evidence: DataFrame, key: list[str], value: str, tolerance:
     return both.select(*key, "n", "distinct_values", kind.alias("conflict_class"))
 
 
+def interval_conflicts(evidence: DataFrame, key: list[str], low: str, high: str, tolerance: str, market: str, document: str, domain: str, scope: str, exact: str) -> DataFrame:
+    """One row per key: n, different values, class and normalised (the values do not really disagree), for stated intervals.
+
+    Classes in order: unit_equivalent (one value in the common unit), scalar_inside_range (all scalars are one, inside every
+    stated range; normalised if every scalar is bound exactly), rounding_equivalent (all intervals, widened by their
+    tolerance, share a point), market_difference, internal_source_inconsistency (one document or domain states several
+    values), variant_scope_difference, true_conflict. A partition class needs one label for each value and different ones."""
+    e = evidence.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_value", F.struct(F.col(low).alias("lo"), F.col(high).alias("hi")))
+    scalar = F.col(low) == F.col(high)
+    labels = {"market": market, "scope": scope}
+    per_value = e.groupBy(*key, "_value").agg(F.count("*").alias("_c"), *[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_d_{n}") for n, c in labels.items()])
+    base = per_value.groupBy(*key).agg(F.sum("_c").alias("n"), F.count("*").alias("distinct_values"), *[F.max(f"_d_{n}").alias(f"_m_{n}") for n in labels])
+    sums = e.groupBy(*key).agg(
+        *[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_n_{n}") for n, c in labels.items()],
+        F.max(F.col(low) - F.col(tolerance)).alias("_left"),
+        F.min(F.col(high) + F.col(tolerance)).alias("_right"),
+        F.count_if(~scalar).alias("_ranges"),
+        F.min(F.when(scalar, F.col(low))).alias("_s0"),
+        F.max(F.when(scalar, F.col(low))).alias("_s1"),
+        F.max(F.when(~scalar, F.col(low))).alias("_r0"),
+        F.min(F.when(~scalar, F.col(high))).alias("_r1"),
+        F.min(F.when(scalar, F.col(exact))).alias("_exact"),
+    )
+    shared = None
+    for c in (document, domain):
+        several = e.where(F.col(c).isNotNull()).groupBy(*key, c).agg(F.countDistinct("_value").alias("_v")).where("_v > 1").select(*key).distinct()
+        shared = several if shared is None else shared.union(several).distinct()
+    both = base.join(sums, key).join(shared.withColumn("_shared", F.lit(True)), key, "left")
+    partition = lambda n: (F.col(f"_m_{n}") == 1) & (F.col(f"_n_{n}") == F.col("distinct_values"))
+    inside = (F.col("_ranges") > 0) & (F.col("_s0") == F.col("_s1")) & F.col("_s0").between(F.col("_r0"), F.col("_r1"))
+    kind = (
+        F.when(F.col("distinct_values") == 1, "unit_equivalent")
+        .when(inside, "scalar_inside_range")
+        .when(F.col("_left") <= F.col("_right"), "rounding_equivalent")
+        .when((F.col("_n_market") > 1) & partition("market"), "market_difference")
+        .when(F.col("_shared"), "internal_source_inconsistency")
+        .when(partition("scope"), "variant_scope_difference")
+        .otherwise("true_conflict")
+    )
+    normal = F.when(kind == "scalar_inside_range", F.coalesce("_exact", F.lit(False))).otherwise(kind.isin("unit_equivalent", "rounding_equivalent"))
+    return both.select(*key, "n", "distinct_values", kind.alias("conflict_class"), normal.alias("normalised"))
+
+
+def range_agreement(rows: DataFrame, keys: list[str], value: str, low: str, high: str, widest: float, spread: float, most_dropped: float = 0.25) -> DataFrame:
+    """One row per key: n_stated, n_dropped, status and value, for rows that may state their own range around a value.
+
+    A row whose range is wider than `widest` loses this value (a bound it does not state is its value). Where more than
+    most_dropped of the stated values go, the field is a range and has no value. Else what is left agrees (value), lies
+    within the spread (within_precision: the lower median), or survivors_disagree; no stated value is no_value."""
+    lo, hi = F.coalesce(low, value), F.coalesce(high, value)
+    kept = F.when(hi - lo <= widest + 1e-9, F.col(value))
+    stated = rows.where(F.col(value).isNotNull()).withColumn("_kept", kept)
+    medians = nearest_rank(stated, keys, "_kept", {"_median": 0.5}).select(*keys, "_median")
+    per = rows.groupBy(*keys).agg(F.count(value).alias("n_stated"), F.count(F.when(F.col(value).isNotNull(), kept)).alias("_n"), F.min(F.when(F.col(value).isNotNull(), kept)).alias("_lo"), F.max(F.when(F.col(value).isNotNull(), kept)).alias("_hi"))
+    both = join_null_safe(per, medians, keys).withColumn("n_dropped", F.col("n_stated") - F.col("_n"))
+    status = (
+        F.when(F.col("n_stated") == 0, "no_value")
+        .when(F.col("n_dropped") > F.col("n_stated") * most_dropped, "range")
+        .when(F.col("_lo") == F.col("_hi"), "value")
+        .when(F.col("_hi") - F.col("_lo") <= spread, "within_precision")
+        .otherwise("survivors_disagree")
+    )
+    return both.select(*keys, "n_stated", "n_dropped", status.alias("status"), F.when(status == "value", F.col("_lo")).when(status == "within_precision", F.col("_median")).alias("value"))
+
+
 def portability(evidence: DataFrame, key: list[str], value: str, market: str, target: str, official: str, scope_ok: str, policy: str) -> DataFrame:
     """One row per key with foreign evidence: portable, value and the first reason against it, in this order: policy, scope,
     target_contradicts (checked when the foreign values agree), foreign_markets_disagree, no_official_source."""

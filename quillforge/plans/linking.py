@@ -145,17 +145,75 @@ def call_result_pairs(spark, sf_dir):
 
 
 @R.query("""
-WITH k AS (SELECT k, row_number() OVER (ORDER BY md5(k::VARCHAR)) AS pos FROM (SELECT unnest(range(0, 4000, 13)) AS k))
-SELECT pos::INT AS pos, k AS p_partkey, p_brand, p_name, p_partkey IS NOT NULL AS found FROM k LEFT JOIN part ON p_partkey = k
+WITH i AS (SELECT DISTINCT l_orderkey AS k, l_partkey * CASE WHEN l_linenumber = 7 THEN -1 ELSE 1 END AS p FROM lineitem WHERE l_discount = 0.1), k AS (SELECT k AS list, p, row_number() OVER (PARTITION BY k ORDER BY md5(p::VARCHAR), p) AS pos FROM i)
+SELECT list, pos::INT AS pos, p AS p_partkey, p_brand, p_name, p_partkey IS NOT NULL AS found FROM k LEFT JOIN part ON p_partkey = p
 """)
 def ordered_lookup(spark, sf_dir):
+    """Lists of part ids, one an order, some of them unknown; each is looked up in its own order."""
     from pyspark.sql import Window
 
-    keys = spark.range(0, 4000, 13).select(F.col("id").alias("p_partkey"))
-    ids = keys.withColumn("pos", F.row_number().over(Window.orderBy(F.md5(F.col("p_partkey").cast("string")))))
+    lines = table(spark, sf_dir, "lineitem").where("l_discount = 0.1")
+    ids = lines.select(F.col("l_orderkey").alias("list"), (F.col("l_partkey") * F.when(F.col("l_linenumber") == 7, -1).otherwise(1)).alias("p_partkey")).distinct()
+    ids = ids.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(F.md5(F.col("p_partkey").cast("string")), "p_partkey")))
     return J.ordered_lookup(ids, table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey", "pos", keep_unknown=True)
 
 
+_CALLS = """e AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'call' WHEN event_type IN ('purchase', 'signup') THEN 'result' END AS kind,
+  CASE WHEN json_extract_string(props, '$.k')::INT % 3 = 0 THEN 'id' || json_extract_string(props, '$.k')::INT % 12 END AS call_id, 'tool' || json_extract_string(props, '$.k')::INT % 4 AS name FROM events)"""
+
+
+@R.query(f"""
+WITH {_CALLS}, k AS (SELECT *, CASE WHEN call_id IS NOT NULL THEN lag((kind, seq)) OVER w END AS b, CASE WHEN call_id IS NOT NULL THEN lead(kind) OVER w END AS a FROM e WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY run, call_id ORDER BY seq)),
+m AS (SELECT *, CASE WHEN kind = 'result' AND b[1] = 'call' THEN b[2] END AS c, kind = 'call' AND coalesce(a = 'result', false) AS answered FROM k),
+q AS (SELECT *, count(CASE WHEN kind = 'call' THEN 1 END) OVER w AS nc, count(CASE WHEN kind = 'result' THEN 1 END) OVER w AS nr FROM m WHERE NOT answered AND c IS NULL WINDOW w AS (PARTITION BY run, name ORDER BY seq)),
+d AS (SELECT *, greatest(0, max(nr - nc) OVER (PARTITION BY run, name ORDER BY seq)) AS dropped FROM q), f AS (SELECT *, coalesce(lag(dropped) OVER (PARTITION BY run, name ORDER BY seq), 0) AS was FROM d),
+p AS (SELECT run, min(seq) FILTER (kind = 'call') AS call_seq, min(seq) FILTER (kind = 'result') AS result_seq FROM f WHERE kind = 'call' OR dropped = was GROUP BY run, name, CASE WHEN kind = 'call' THEN nc ELSE nr - dropped END),
+found AS (SELECT run, c AS call_seq, seq AS result_seq FROM m WHERE c IS NOT NULL UNION ALL SELECT * FROM p WHERE call_seq IS NOT NULL AND result_seq IS NOT NULL)
+SELECT e.run, e.seq AS call_seq, e.name, result_seq FROM e LEFT JOIN found ON found.run = e.run AND call_seq = e.seq WHERE kind = 'call'
+""")
+def tool_calls(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(F.col("event_type").isin("view", "click"), "call").when(F.col("event_type").isin("purchase", "signup"), "result")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(k % 3 == 0, F.concat(F.lit("id"), (k % 12).cast("string"))).alias("call_id"), F.concat(F.lit("tool"), (k % 4).cast("string")).alias("name"))
+    return J.pair_calls(e, "run", "seq")
+
+
+@R.query("""
+WITH t AS (SELECT p_partkey, p_brand AS make, p_size AS code, p_type AS model, CASE WHEN p_partkey % 13 <> 0 THEN 1995 + p_partkey % 7 END AS y FROM part),
+n AS (SELECT 'Brand#' || (s_suppkey % 25 + 1) AS make, s_nationkey * 2 + 1 AS code, CASE s_suppkey % 3 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'LARGE' ELSE 'PROMO' END AS model, CASE WHEN s_suppkey % 37 <> 0 THEN 1994 + s_suppkey % 5 END AS b, 1996 + s_suppkey % 6 AS e, 'R' || s_suppkey % 60 AS id, 2000 + s_suppkey % 4 AS ry FROM supplier),
+m AS (SELECT p_partkey, y, b, e, id, ry FROM t JOIN n USING (make, model) UNION SELECT p_partkey, y, b, e, id, ry FROM t JOIN n USING (code, model)),
+g AS (SELECT p_partkey, bool_or(b IS NULL OR e IS NULL OR y IS NULL) AS o FROM m GROUP BY 1), i AS (SELECT p_partkey, id, max(ry) AS ry FROM m WHERE y BETWEEN b AND e GROUP BY 1, 2),
+l AS (SELECT p_partkey, count(*) AS k, string_agg(id, ',' ORDER BY ry DESC, id) AS ids FROM i GROUP BY 1),
+s AS (SELECT t.p_partkey, y, CASE WHEN o IS NULL THEN 'no_notice' WHEN o THEN 'range_unresolved' WHEN k IS NULL THEN 'not_affected' ELSE 'affected' END AS status, k, ids FROM t LEFT JOIN g USING (p_partkey) LEFT JOIN l USING (p_partkey))
+SELECT p_partkey, y, status, CASE WHEN status = 'affected' THEN k ELSE 0 END AS n_notices, CASE WHEN status = 'affected' THEN ids ELSE '' END AS notice_ids FROM s
+""")
+def notices_by_any_key(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("make"), F.col("p_size").alias("code"), F.col("p_type").alias("model"), F.when(k % 13 != 0, 1995 + k % 7).alias("y"))
+    model = F.when(s % 3 == 0, "SMALL").when(s % 3 == 1, "LARGE").otherwise("PROMO")
+    n = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("Brand#"), (s % 25 + 1).cast("string")).alias("make"), (F.col("s_nationkey") * 2 + 1).alias("code"), model.alias("model"), F.when(s % 37 != 0, 1994 + s % 5).alias("b"), (1996 + s % 6).alias("e"), F.concat(F.lit("R"), (s % 60).cast("string")).alias("id"), (2000 + s % 4).alias("ry")
+    )
+    return J.notices_by_any_key(t, n, [["make", "model"], ["code", "model"]], "p_partkey", "y", "b", "e", "id", "ry").drop("make", "code", "model")
+
+
+@R.query("""
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 200 END AS part, o_orderkey % 7 + 1 AS line, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'X' END AS flag FROM orders),
+r AS (SELECT l_partkey % 200 AS part, l_linenumber AS line, l_returnflag AS flag, l_quantity AS v, l_suppkey % 3 AS sup FROM lineitem WHERE l_discount >= 0.09 AND l_partkey % 3 = l_suppkey % 3),
+nm AS (SELECT part, line, count(DISTINCT flag) AS names, max(flag) AS one FROM r GROUP BY 1, 2), ow AS (SELECT DISTINCT part, line, flag FROM r),
+c AS (SELECT t.*, names, CASE WHEN ow.flag IS NOT NULL THEN t.flag WHEN names = 1 THEN one END AS use FROM t LEFT JOIN nm ON nm.part = t.part AND nm.line = t.line LEFT JOIN ow ON ow.part = t.part AND ow.line = t.line AND ow.flag = t.flag),
+a AS (SELECT part, line, flag, count(DISTINCT v) AS k, min(v) AS lo, max(v) AS hi, count(DISTINCT sup) AS s, min(sup) AS s0 FROM r GROUP BY ALL)
+SELECT c.o_orderkey, CASE WHEN c.part IS NULL THEN 'no_key' WHEN names IS NULL THEN 'not_found' WHEN use IS NULL THEN 'ambiguous_name' END AS reason, CASE WHEN k = 1 THEN lo END AS value, CASE WHEN k > 1 THEN lo END AS range_low, CASE WHEN k > 1 THEN hi END AS range_high,
+  coalesce(k, 0) AS n_values, CASE WHEN s = 1 THEN s0 END AS single_supplier, CASE WHEN s > 1 THEN 'several_suppliers' END AS withheld FROM c LEFT JOIN a ON a.part = c.part AND a.line = c.line AND a.flag = c.use
+""")
+def value_or_reason(spark, sf_dir):
+    o, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    t = table(spark, sf_dir, "orders").select("o_orderkey", F.when(o % 11 != 0, F.col("o_custkey") % 200).alias("part"), (o % 7 + 1).alias("line"), F.when(status == "F", "A").when(status == "O", "N").otherwise("X").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.09 AND l_partkey % 3 = l_suppkey % 3")
+    r = lines.select((F.col("l_partkey") % 200).alias("part"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("v"), (F.col("l_suppkey") % 3).alias("sup"))
+    return J.value_or_reason(t, r, ["part", "line"], "name", "flag", "v", "sup").drop("part", "line", "flag")
+
+
 @R.query("""
 WITH x AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)
 SELECT s_suppkey, s_name, n_name, r_name, n AS nations_in_region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN x USING (n_regionkey)

@@ -37,7 +37,10 @@ def _survivors(spark, sf_dir):
     b = part.where(k % 3 != 0).select(F.lit("b").alias("source"), "p_partkey", "p_brand", F.when(k % 4 != 0, F.col("p_type")).alias("p_type"), "p_size", (F.col("p_retailprice") + k % 3).alias("price"))
     c = part.where(k % 5 != 1).select(F.lit("c").alias("source"), "p_partkey", "p_brand", "p_type", F.when(k % 2 == 0, F.col("p_size")).alias("p_size"), (F.col("p_retailprice") - 1).alias("price"))
     verdicts = {"type": X.exact("t_type", "p_type"), "size": X.within("t_size", "p_size", 1), "price": X.within("t_price", "price", share=0.1)}
-    return targets, X.match(targets, a.unionByName(b).unionByName(c), ["p_brand"], verdicts, "size")
+    source = a.unionByName(b).unionByName(c)
+    price = X.near(source, "price", F.col("t_price") * 0.9, F.col("t_price") * 1.1, 0.2, share=True)
+    size = X.near(source, "p_size", F.col("t_size") - 1, F.col("t_size") + 1, 2)
+    return targets, X.match(targets, source, ["p_brand"], verdicts, "size", [price, size])
 
 
 @R.query(f"WITH {_SOURCES} SELECT * FROM m")
@@ -136,3 +139,41 @@ SELECT l_partkey, n, CASE WHEN n = 0 THEN 'missing' WHEN solid = 0 THEN 'weak_pr
 def field_states(spark, sf_dir):
     e = _evidence(spark, sf_dir).withColumn("here", F.col("market") < 6).withColumn("weak", F.col("l_returnflag") == "N")
     return X.field_states(e, ["l_partkey"], "v", "scope_ok", "here", "weak")
+
+
+_INTERVALS = """i AS (SELECT l_partkey % 400 AS item, floor(l_extendedprice / l_quantity / 400)::BIGINT * 400 AS lo, floor(l_extendedprice / l_quantity / 400)::BIGINT * 400 + CASE WHEN l_linenumber = 1 THEN 500 ELSE 0 END AS hi, 100 AS tol,
+  s_nationkey % 3 AS market, l_orderkey % 5 AS document, l_suppkey AS domain, l_returnflag AS scope, l_tax < 0.04 AS exact FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 97 = l_partkey % 97)"""
+
+
+@R.query(f"""
+WITH {_INTERVALS}, v AS (SELECT item, lo, hi, count(*) AS c, count(DISTINCT market) AS dm, count(DISTINCT scope) AS ds FROM i GROUP BY ALL), b AS (SELECT item, sum(c)::BIGINT AS n, count(*) AS d, max(dm) AS mm, max(ds) AS ms FROM v GROUP BY 1),
+a AS (SELECT item, count(DISTINCT market) AS nm, count(DISTINCT scope) AS ns, max(lo - tol) <= min(hi + tol) AS meets, count(CASE WHEN lo <> hi THEN 1 END) AS ranges, min(CASE WHEN lo = hi THEN lo END) AS s0, max(CASE WHEN lo = hi THEN lo END) AS s1,
+  max(CASE WHEN lo <> hi THEN lo END) AS r0, min(CASE WHEN lo <> hi THEN hi END) AS r1, bool_and(exact) FILTER (lo = hi) AS ex FROM i GROUP BY 1),
+s AS (SELECT item FROM (SELECT item, document, count(DISTINCT (lo, hi)) AS k FROM i GROUP BY 1, 2 UNION ALL SELECT item, domain + 1000000, count(DISTINCT (lo, hi)) FROM i GROUP BY 1, 2) WHERE k > 1 GROUP BY 1),
+k AS (SELECT item, n, d, ex, CASE WHEN d = 1 THEN 'unit_equivalent' WHEN ranges > 0 AND s0 = s1 AND s0 BETWEEN r0 AND r1 THEN 'scalar_inside_range' WHEN meets THEN 'rounding_equivalent' WHEN nm > 1 AND mm = 1 AND nm = d THEN 'market_difference'
+  WHEN s.item IS NOT NULL THEN 'internal_source_inconsistency' WHEN ms = 1 AND ns = d THEN 'variant_scope_difference' ELSE 'true_conflict' END AS c FROM b JOIN a USING (item) LEFT JOIN s USING (item))
+SELECT item, n, d AS distinct_values, c AS conflict_class, CASE WHEN c = 'scalar_inside_range' THEN coalesce(ex, false) ELSE c IN ('unit_equivalent', 'rounding_equivalent') END AS normalised FROM k
+""")
+def interval_conflicts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber", "l_returnflag", "l_tax").where("l_orderkey % 97 = l_partkey % 97")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    low = F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 400) * 400
+    i = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).select(
+        (F.col("l_partkey") % 400).alias("item"), low.alias("lo"), (low + F.when(F.col("l_linenumber") == 1, 500).otherwise(0)).alias("hi"), F.lit(100).alias("tol"),
+        (F.col("s_nationkey") % 3).alias("market"), (F.col("l_orderkey") % 5).alias("document"), F.col("l_suppkey").alias("domain"), F.col("l_returnflag").alias("scope"), (F.col("l_tax") < 0.04).alias("exact"),
+    )
+    return X.interval_conflicts(i, ["item"], "lo", "hi", "tol", "market", "document", "domain", "scope", "exact")
+
+
+@R.query("""
+WITH r AS (SELECT l_partkey, CASE WHEN l_linestatus = 'F' THEN floor(l_quantity / 10)::INT END AS v, CASE WHEN l_returnflag <> 'N' THEN floor(l_quantity / 10)::INT - l_linenumber % 2 END AS lo, CASE WHEN l_tax > 0.02 THEN floor(l_quantity / 10)::INT + l_linenumber % 3 END AS hi FROM lineitem WHERE l_discount > 0.06),
+s AS (SELECT *, v IS NOT NULL AND coalesce(hi, v) - coalesce(lo, v) <= 2 AS kept FROM r),
+g AS (SELECT l_partkey, count(v) AS n, count(CASE WHEN v IS NOT NULL AND NOT kept THEN 1 END) AS dropped, min(v) FILTER (kept) AS a, max(v) FILTER (kept) AS b, quantile_disc(v, 0.5) FILTER (kept) AS med FROM s GROUP BY 1),
+t AS (SELECT *, CASE WHEN n = 0 THEN 'no_value' WHEN dropped > n * 0.25 THEN 'range' WHEN a = b THEN 'value' WHEN b - a <= 1 THEN 'within_precision' ELSE 'survivors_disagree' END AS status FROM g)
+SELECT l_partkey, n AS n_stated, dropped AS n_dropped, status, CASE WHEN status = 'value' THEN a WHEN status = 'within_precision' THEN med END AS value FROM t
+""")
+def range_agreement(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_discount > 0.06")
+    q, n = F.floor(F.col("l_quantity") / 10).cast("int"), F.col("l_linenumber")
+    rows = lines.select("l_partkey", F.when(F.col("l_linestatus") == "F", q).alias("v"), F.when(F.col("l_returnflag") != "N", q - n % 2).alias("lo"), F.when(F.col("l_tax") > 0.02, q + n % 3).alias("hi"))
+    return X.range_agreement(rows, ["l_partkey"], "v", "lo", "hi", 2, 1)
