@@ -22,6 +22,13 @@ def harvest(docs: DataFrame, key: str, text: str, rules: dict[str, tuple[str, fl
     return hits.select(key, "line_no", "field", "raw", value.alias("value"), value.between(F.col("lo"), F.col("hi")).alias("plausible"))
 
 
+def label_gaps(docs: DataFrame, key: str, text: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """key, field: documents that hold a field's label (fields: label, pattern of a value; both in lower case) but no value."""
+    low = F.lower(F.col(text))
+    checks = F.array(*[F.struct(F.lit(f).alias("field"), (F.contains(low, F.lit(label)) & ~low.rlike(pattern)).alias("gap")) for f, (label, pattern) in fields.items()])
+    return docs.select(key, F.explode(F.filter(checks, lambda c: F.coalesce(c["gap"], F.lit(False)))).alias("c")).select(key, "c.field")
+
+
 def unit_anchored(docs: DataFrame, key: str, text: str, aliases: dict[str, str], units: str, reach: int = 60) -> DataFrame:
     """key, field, value, unit: a number with a unit at most `reach` characters after an alias of the field."""
     parts = []
