@@ -92,6 +92,10 @@ def power_agrees(reference: Column, value: Column, unit: str) -> Column:
     return F.least(*gaps) <= F.greatest(F.lit(2.0), reference * 0.01)
 
 
-def tolerance_equal(a: Column, b: Column, share: float) -> Column:
-    """matched / veto / unknown: equal within a share of the first; null states nothing."""
-    return F.when(a.isNull() | b.isNull(), "unknown").when(F.abs(a - b) <= F.abs(a) * share, "matched").otherwise("veto")
+def tolerance_equal(a: Column, b: Column, share: float, stated: Column | None = None) -> Column:
+    """matched / veto / unknown: equal within a share of the first, or within half of the last digit that `stated` (the second
+    as it was written, in the same unit) gives; null states nothing."""
+    gap = F.abs(a) * share
+    if stated is not None:
+        gap = F.greatest(gap, last_digit(stated) / 2)
+    return F.when(a.isNull() | b.isNull(), "unknown").when(F.abs(a - b) <= gap + 1e-9, "matched").otherwise("veto")

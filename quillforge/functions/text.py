@@ -118,7 +118,7 @@ def squash(text: Column) -> Column:
 
 def quote_in_source(source: Column, quote: Column) -> Column:
     """Do the fragments of a quote (split at an ellipsis) occur in the source one after another?"""
-    fragments = F.filter(F.transform(F.split(squash(quote), r"\.\.\.|…"), F.trim), lambda f: f != "")
+    fragments = F.filter(F.transform(F.split(squash(quote), r"\.\.\.|…"), lambda f: F.trim(f)), lambda f: f != "")
     text = squash(source)
 
     def place(fragment: Column, at: Column) -> Column:

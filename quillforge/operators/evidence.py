@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from quillforge.functions.text import quote_in_source
+
 
 def harvest(docs: DataFrame, key: str, text: str, rules: dict[str, tuple[str, float, float]]) -> DataFrame:
     """key, line_no, field, raw, value, plausible: numbers that each rule's pattern finds in a line, with its plausible range.
@@ -50,6 +52,29 @@ def first_reason(rules: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])
 
 
+def admit(evidence: DataFrame, sources: DataFrame, source: str, text: str, fields: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """evidence (key, seq, source, field, value, unit, quote) with its reason: the first that applies, or admitted.
+
+    unknown_field (not in fields: field, field_unit, lo, hi; a small table), no_source, no_quote, quote_not_in_source (its
+    fragments don't stand in the source one after another), value_not_in_quote (no number of the quote is the value),
+    unit_differs, implausible, duplicate (an earlier row, by seq, that fails nothing else states the same fact of the key)."""
+    e = evidence.join(F.broadcast(fields), "field", "left").join(sources.select(source, F.col(text).alias("_text")), source, "left")
+    numbers = F.transform(F.regexp_extract_all("quote", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+    checks = {
+        "unknown_field": F.col("lo").isNull() & F.col("hi").isNull(),
+        "no_source": F.col("_text").isNull(),
+        "no_quote": F.col("quote").isNull() | (F.trim("quote") == ""),
+        "quote_not_in_source": ~quote_in_source(F.col("_text"), F.col("quote")),
+        "value_not_in_quote": F.col("value").isNull() | ~F.exists(numbers, lambda n: F.abs(n - F.col("value")) < 1e-9),
+        "unit_differs": ~F.col("unit").eqNullSafe(F.col("field_unit")),
+        "implausible": ~F.col("value").between(F.col("lo"), F.col("hi")),
+    }
+    judged = e.withColumn("_reason", first_reason(checks)).drop("_text")
+    first = F.min(F.when(F.col("_reason").isNull(), F.col(seq))).over(Window.partitionBy(*key, "field", "value"))
+    judged = judged.withColumn("reason", F.coalesce("_reason", F.when(F.col(seq) > first, "duplicate").otherwise("admitted")))
+    return judged.select(*evidence.columns, "reason")
+
+
 def first_match(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """df with the first rule, in order, that holds for a row."""
     return df.withColumn("rule", first_reason(dict(rules)))

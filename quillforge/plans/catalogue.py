@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillforge.plans import catalog, eventlog, evidence, identity, ladders, linking, merging, metrics, profiles, reconcile, statements, streams, texts
+from quillforge.plans import catalog, eventlog, evidence, identity, ladders, linking, merging, metrics, profiles, reconcile, scalars, statements, streams, texts
 
-_PARTS = (profiles, catalog, linking, merging, eventlog, evidence, identity, metrics, ladders, reconcile, texts, statements, streams)
+_PARTS = (profiles, catalog, linking, merging, eventlog, evidence, identity, metrics, ladders, reconcile, texts, scalars, statements, streams)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.R.queries.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.R.sql.items()}

@@ -115,6 +115,20 @@ def sitemap_urls(docs: DataFrame, xml: str) -> DataFrame:
     return docs.withColumn("_body", body).select(*[c for c in docs.columns if c != xml], F.contains("_body", F.lit("<sitemapindex")).alias("is_index"), F.explode(F.expr("xpath(_body, '//loc/text()')")).alias("url"))
 
 
+def sitemap_pages(docs: DataFrame, name: str, xml: str, roots: list[str], most_levels: int = 3) -> DataFrame:
+    """root and url: the pages that the sitemaps of docs (name, xml) list, reached from the roots through sitemap indexes up to
+    most_levels deep. Each level is one join; a sitemap that is not there lists nothing."""
+    listed = sitemap_urls(docs.select(name, xml), xml)
+    level = docs.where(F.col(name).isin(roots)).select(F.col(name).alias("root"), F.col(name).alias("_at"))
+    pages = None
+    for _ in range(most_levels):
+        found = level.join(listed, F.col("_at") == F.col(name)).select("root", "url", "is_index")
+        here = found.where("NOT is_index").select("root", "url")
+        pages = here if pages is None else pages.union(here)
+        level = found.where("is_index").select("root", F.col("url").alias("_at")).distinct()
+    return pages.distinct()
+
+
 def challenge_page(text: Column, least: int = 400) -> Column:
     """Is this short page a bot challenge rather than content?"""
     return (F.length(text) < least) & text.rlike(r"(?i)captcha|verify you are human|access denied|enable javascript|attention required")

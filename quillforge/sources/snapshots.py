@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quillforge.operators.ordered import newest_wins
 
 
-def write_shards(df: DataFrame, path: str, partition: str, order: list[str]) -> DataFrame:
-    """Write df partitioned by a column, rows in order inside each file, and return the manifest (file, bytes, sha256).
+def write_shards(df: DataFrame, path: str, partition: str | list[str], order: list[str]) -> DataFrame:
+    """Write df partitioned by columns, rows in order inside each file, and return the manifest (file, bytes, sha256).
 
     Partitions that the new data do not have stay; those it has are replaced as a whole."""
     spark = df.sparkSession
-    (df.repartition(partition).sortWithinPartitions(partition, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    by = [partition] if isinstance(partition, str) else partition
+    (df.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
     return manifest(spark, path)
 
 
@@ -42,12 +43,12 @@ def verified_scan(spark: SparkSession, path: str, expected: DataFrame) -> tuple[
     return rows, report
 
 
-def scan(spark: SparkSession, path: str, **equal: list) -> DataFrame:
-    """Rows whose columns take one of the given values: partition columns prune files, others are pushed into the scan."""
+def scan(spark: SparkSession, path: str, order: list[str] | None = None, **equal: list) -> DataFrame:
+    """Rows whose columns take one of the given values, in order: partition columns prune files, others are pushed into the scan."""
     rows = spark.read.parquet(path)
     for column, values in equal.items():
         rows = rows.where(F.col(column).isin(values))
-    return rows
+    return rows.orderBy(*order) if order else rows
 
 
 def write_month(df: DataFrame, path: str, month: str) -> None:
