@@ -172,12 +172,18 @@ def cohort_survival(active: DataFrame, keys: list[str], cohort: str, end: str, c
     return out.select(*group, "size", "cancelled", "dated", "bad_dates", "status", *[F.when(served, F.col(p)).alias(p) for p in ("p25", "p50", "p75")], F.when(served, F.array_join(F.array_compact(reached), "|")).alias("shares"))
 
 
-def agreement(df: DataFrame, keys: list[str], value: str, spread: float, spread_pct: float, step: float) -> DataFrame:
+def agreement(df: DataFrame, keys: list[str], value: str, spread: Column | float, spread_pct: Column | float, step: Column | float) -> DataFrame:
     """One row per key: n, n_null, status and value. One distinct value is the value; several within the spread, and within
-    spread_pct percent of the lower median, give the lower median rounded to the step; others disagree; none is no_value."""
-    medians = nearest_rank(df, keys, value, {"median": 0.5}).select(*keys, "median")
-    stats = df.groupBy(*keys).agg(F.count(value).alias("n"), (F.count("*") - F.count(value)).alias("n_null"), F.countDistinct(value).alias("distinct_values"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    both = join_null_safe(stats, medians, keys)
+    spread_pct percent of the lower median, give the lower median rounded to the step; others disagree; none is no_value.
+
+    The limits may depend on the keys. All comes from one aggregation of equal values."""
+    spread, spread_pct, step = (x if isinstance(x, Column) else F.lit(x) for x in (spread, spread_pct, step))
+    values = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_last())
+    known = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)
+    ranked = values.withColumn("run", F.sum(known).over(whole.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(known).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    middle = F.min(F.when(F.col("run") >= F.greatest(F.lit(1), F.ceil(F.col("all") * 0.5)), F.col("v")))
+    both = ranked.groupBy(*keys).agg(F.sum(known).alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("n_null"), F.count("v").alias("distinct_values"), F.min("v").alias("lo"), F.max("v").alias("hi"), middle.alias("median"))
     width = F.col("hi") - F.col("lo")
     near = (width <= spread) & (width <= F.abs(F.col("median")) * spread_pct / 100)
     status = F.when(F.col("n") == 0, "no_value").when(F.col("distinct_values") == 1, "value").when(near, "within_precision").otherwise("survivors_disagree")

@@ -78,8 +78,13 @@ def match_level(statuses: DataFrame, lead: list[str]) -> DataFrame:
 
 def field_offers(survivors: DataFrame, rules: dict[str, tuple[float, float, float]]) -> DataFrame:
     """target_id, source, field, status, value: the survivors' agreement on each field, by (spread, percent, step)."""
-    parts = [agreement(survivors, ["target_id", "source"], f, *rule).withColumn("field", F.lit(f)) for f, rule in rules.items()]
-    return reduce(DataFrame.unionByName, parts).select("target_id", "source", "field", "n", "status", F.col("value").cast("double").alias("value"))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in rules])
+    stated = survivors.select("target_id", "source", F.explode(cells).alias("c")).select("target_id", "source", "c.*")
+
+    def limit(i: int) -> Column:
+        return reduce(lambda out, f: F.when(F.col("field") == f, F.lit(float(rules[f][i]))).otherwise(out), rules, F.lit(None).cast("double"))
+
+    return agreement(stated, ["target_id", "source", "field"], "v", limit(0), limit(1), limit(2)).select("target_id", "source", "field", "n", "status", "value")
 
 
 def merge_facts(offers: DataFrame, levels: DataFrame, admission: DataFrame, official: DataFrame, step: float) -> DataFrame:

@@ -39,8 +39,7 @@ def _survivors(spark, sf_dir):
     verdicts = {"type": X.exact("t_type", "p_type"), "size": X.within("t_size", "p_size", 1), "price": X.within("t_price", "price", share=0.1)}
     source = a.unionByName(b).unionByName(c)
     price = X.near(source, "price", F.col("t_price") * 0.9, F.col("t_price") * 1.1, 0.2, share=True)
-    size = X.near(source, "p_size", F.col("t_size") - 1, F.col("t_size") + 1, 2)
-    return targets, X.match(targets, source, ["p_brand"], verdicts, "size", [price, size])
+    return targets, X.match(targets, source, ["p_brand"], verdicts, "size", [price])
 
 
 @R.query(f"WITH {_SOURCES} SELECT * FROM m")
