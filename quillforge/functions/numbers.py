@@ -99,3 +99,15 @@ def tolerance_equal(a: Column, b: Column, share: float, stated: Column | None =
     if stated is not None:
         gap = F.greatest(gap, last_digit(stated) / 2)
     return F.when(a.isNull() | b.isNull(), "unknown").when(F.abs(a - b) <= gap + 1e-9, "matched").otherwise("veto")
+
+
+# Definitions of power by name and their factors to the reference's metric horsepower.
+POWER_DEFINITIONS = {"kw_metric": ("kw", 1.35962), "kw_mechanical": ("kw", 1.34102), "hp_metric": ("hp", 1.0), "hp_mechanical": ("hp", 1.01387)}
+
+
+def power_definition(reference: Column, value: Column, unit: Column) -> Column:
+    """The definition of the unit under which value comes closest to the reference, if within max(2, 1 percent) of it; the
+    first of equals, else null."""
+    gaps = F.array(*[F.when(unit == of, F.struct(F.abs(value * k - reference).alias("gap"), F.lit(i).alias("place"), F.lit(name).alias("name"))) for i, (name, (of, k)) in enumerate(POWER_DEFINITIONS.items())])
+    best = F.array_min(F.array_compact(gaps))
+    return F.when(best["gap"] <= F.greatest(F.lit(2.0), reference * 0.01), best["name"])

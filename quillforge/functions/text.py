@@ -116,6 +116,13 @@ def squash(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.translate(text, "‘’“”‐‑‒–— ", "''\"\"----- "), r"\s+", " ")))
 
 
+def same_length(text: Column) -> Column:
+    """Quotes, dashes, white space and letter case in one form each, character by character: places in the result are places in
+    the text."""
+    one = F.translate(text, "‘’“”‐‑‒–—\u00a0\t\n\r", "''\"\"-----    ")
+    return F.translate(one, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def quote_in_source(source: Column, quote: Column) -> Column:
     """Do the fragments of a quote (split at an ellipsis) occur in the source one after another?"""
     fragments = F.filter(F.transform(F.split(squash(quote), r"\.\.\.|…"), lambda f: F.trim(f)), lambda f: f != "")

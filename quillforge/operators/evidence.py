@@ -139,6 +139,47 @@ def excerpts(df: DataFrame, entity: list[str], order: list[Column], text: str, m
     return placed.where((F.col("place") <= max_items) & fits).select(*entity, "place", F.substring("excerpt", F.lit(1), F.col("_left").cast("int")).alias("excerpt"))
 
 
+def ranked_spans(spans: DataFrame, document: list[str], begin: str, end: str, signals: Column, tie: list[str], most: int) -> DataFrame:
+    """document, spans' columns, score, place: the `most` best spans of each document by the sum of signals, then by tie. A span
+    that overlaps a better one of its document is left out: what it shows is shown already."""
+    scored = spans.withColumn("score", signals)
+    w = Window.partitionBy(*document).orderBy(F.desc("score"), *tie)
+    ranked = scored.withColumn("_rank", F.row_number().over(w))
+    better = ranked.select(*[F.col(d).alias(f"_{d}") for d in document], F.col("_rank").alias("_r"), F.col(begin).alias("_a"), F.col(end).alias("_b"))
+    same = reduce(lambda x, y: x & y, (F.col(d) == F.col(f"_{d}") for d in document))
+    shown = ranked.join(better, same & (F.col("_r") < F.col("_rank")) & (F.col("_a") < F.col(end)) & (F.col("_b") > F.col(begin)), "left_anti")
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy(*document).orderBy("_rank"))).where(F.col("place") <= most).drop("_rank")
+
+
+def dead_routes(attempts: DataFrame, scope: list[str], at: str, found: Column, now: Column, max_days: int) -> DataFrame:
+    """scope, attempts, newest: routes that need not be tried again: none of their attempts found anything, and the newest is at
+    most max_days old."""
+    per = attempts.groupBy(*scope).agg(F.count("*").alias("attempts"), F.max(at).alias("newest"), F.max(F.coalesce(found, F.lit(False))).alias("_any"))
+    return per.where(~F.col("_any") & (F.date_diff(now, F.to_date("newest")) <= max_days)).drop("_any")
+
+
+def expected_states(expected: DataFrame, evidence: DataFrame, key: list[str], value: str, in_scope: Column, in_market: Column, weak: Column, not_applicable: str) -> DataFrame:
+    """The state of every expected key (with a flag that it does not apply), whether it has evidence or not; the first of:
+    not_applicable, missing (no evidence), unresolved (evidence without a value), weak_provenance, conflicting,
+    variant_not_exact, foreign_market_only, ok."""
+    has = F.col(value).isNotNull()
+    served = in_scope & in_market & has
+    per = evidence.groupBy(*key).agg(F.count("*").alias("_all"), F.count(value).alias("n"), F.count_if(has & ~weak).alias("_solid"), F.countDistinct(F.when(served, F.col(value))).alias("_values"), F.count_if(in_market & has).alias("_here"), F.count_if(served).alias("_served"))
+    both = expected.join(per, key, "left")
+    none = lambda c: F.coalesce(c, F.lit(0)) == 0
+    rules = {
+        "not_applicable": F.col(not_applicable),
+        "missing": none("_all"),
+        "unresolved": none("n"),
+        "weak_provenance": none("_solid"),
+        "conflicting": F.col("_values") > 1,
+        "variant_not_exact": none("_served") & (F.col("_here") > 0),
+        "foreign_market_only": none("_served"),
+        "ok": F.lit(True),
+    }
+    return both.select(*key, F.coalesce("n", F.lit(0)).alias("n"), first_reason(rules).alias("state"))
+
+
 @F.pandas_udf(StringType())
 def logical_order(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lines of right-to-left text that were stored in the order seen, turned back: the line is reversed, runs of digits

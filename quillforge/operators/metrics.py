@@ -162,3 +162,15 @@ def grouped_sums(rows: DataFrame, keys: list[str], measures: list[str], year: Co
     sums = rows.where(year == wanted).groupBy(*keys).agg(F.count("*").alias("rows"), *[F.sum(F.col(m).try_cast("bigint")).alias(m) for m in measures])
     seen = rows.agg(F.count_if(year == wanted).alias("of_year"), F.count_if(year != wanted).alias("other_years"), F.count_if(year.isNull()).alias("no_year"))
     return sums, seen
+
+
+def selection_steps(df: DataFrame, keys: list[str], steps: dict[str, Column]) -> DataFrame:
+    """keys, step, before, after, dropped and unknown for steps taken in order: a row goes on unless the step's condition is
+    false; where it is unknown the row stays and is counted."""
+    alive, cells = F.lit(True), []
+    for i, (name, ok) in enumerate(steps.items()):
+        cells.append(F.struct(F.lit(i).alias("place"), F.lit(name).alias("step"), alive.alias("before"), (alive & F.coalesce(ok, F.lit(True))).alias("after"), (alive & ok.isNull()).alias("unknown")))
+        alive = alive & F.coalesce(ok, F.lit(True))
+    rows = df.select(*keys, F.explode(F.array(*cells)).alias("s")).select(*keys, "s.*")
+    per = rows.groupBy(*keys, "place", "step").agg(F.count_if("before").alias("before"), F.count_if("after").alias("after"), F.count_if("unknown").alias("unknown"))
+    return per.select(*keys, "step", "before", "after", (F.col("before") - F.col("after")).alias("dropped"), "unknown")

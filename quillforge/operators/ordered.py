@@ -4,9 +4,13 @@ Each partitions by an entity; none sorts a whole table in one task."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.session import shared_folder
+
 
 def hash_sample(df: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
     """The n distinct keys of each group that come first by md5: the same on every run and in every engine."""
@@ -137,3 +141,27 @@ def best_candidates(df: DataFrame, key: list[str], group: list[str], score: str,
     best = df.groupBy(*key).agg(F.max(score).alias(score), F.min_by(tie, F.struct(-F.col(score), tie)).alias(tie), F.count("*").alias("occurrences"), F.array_join(F.sort_array(F.collect_set(hints)), ",").alias("hints"))
     w = Window.partitionBy(*group).orderBy(F.desc(score), F.desc("occurrences"), *key)
     return best.withColumn("candidate_rank", F.row_number().over(w)).where(F.col("candidate_rank") <= n)
+
+
+def positions(df: DataFrame, order: list[str], partitions: int) -> DataFrame:
+    """df with position, from 1, in the order of all its rows, which no task sees as a whole: rows are dealt into ranges of the
+    order, written in the shared folder, counted, and numbered inside their range. Rows equal in the order are numbered
+    arbitrarily."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    placed = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_range").withColumn("position", F.col("_before") + F.col("_i")).select(*df.columns, "position")
+
+
+def liveness(events: DataFrame, run: str, ts: str, begins: Column, ends: Column, now: Column, fresh_seconds: int) -> DataFrame:
+    """run, state, quiet_seconds: finished (its last event ends it), active (the last event is fresh), orphan (it never began),
+    interrupted; the first that applies."""
+    last = F.struct(F.col(ts).alias("t"), F.coalesce(ends, F.lit(False)).alias("e"))
+    per = events.groupBy(run).agg(F.max(last).alias("_l"), F.max(F.coalesce(begins, F.lit(False))).alias("_b"))
+    quiet = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("_l.t").cast("timestamp"))) / 1_000_000)
+    state = F.when(F.col("_l.e"), "finished").when(quiet <= fresh_seconds, "active").when(~F.col("_b"), "orphan").otherwise("interrupted")
+    return per.select(run, state.alias("state"), quiet.alias("quiet_seconds"))

@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.functions.text import script_share
+
 
 def hits_in_context(docs: DataFrame, key: str, text: str, pattern: str, before: int, after: int, excluded: list[str], required: list[str], ambiguous: list[str]) -> DataFrame:
     """key, place, value, verdict for each number that `pattern` (one group) finds: excluded if a word against it stands within
@@ -127,3 +129,35 @@ def find_words(docs: DataFrame, key: str, text: str, query: str, context: int, m
             yield pd.DataFrame(rows, columns=[key, "offset", "score", "snippet"])
 
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, offset long, score double, snippet string")
+
+
+def value_owners(docs: DataFrame, key: str, text: str, labels: str, values: str) -> DataFrame:
+    """key, place, value, owner: each value (a pattern without groups) in order of its place, with the nearest label that stands
+    before it in the text; null before the first label. A text is scanned once, for labels and values together."""
+    found = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?:{labels})|(?:{values})"), F.lit(0))).alias("at", "token"))
+    is_label = F.col("token").rlike(f"^(?:{labels})$")
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    owned = found.withColumn("owner", F.last(F.when(is_label, F.lower("token")), ignorenulls=True).over(w)).where(~is_label)
+    return owned.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("place"), F.col("token").alias("value"), "owner")
+
+
+def dictionary_values(docs: DataFrame, key: str, text: str, dictionary: dict[str, dict[str, str]]) -> DataFrame:
+    """key, field, value, at: for each field the value of its alias that stands first in the text (the longer of two at one
+    place), from 1. Aliases are compared in lower case, as they stand."""
+    low = F.lower(F.col(text))
+    fields = []
+    for field, aliases in dictionary.items():
+        hits = F.array(*[F.struct(F.locate(a, low).alias("at"), F.lit(-len(a)).alias("size"), F.lit(v).alias("value")) for a, v in aliases.items()])
+        fields.append(F.struct(F.lit(field).alias("field"), F.array_min(F.filter(hits, lambda h: h["at"] > 0)).alias("hit")))
+    rows = docs.select(key, F.explode(F.filter(F.array(*fields), lambda f: f["hit"].isNotNull())).alias("f"))
+    return rows.select(key, "f.field", "f.hit.value", "f.hit.at")
+
+
+def market(url: Column, text: Column, tlds: dict[str, str], paths: dict[str, str], letters: dict[str, str], least: float) -> Column:
+    """struct(market, by): from the top-level domain, else the first path segment, else the script that holds at least `least` of
+    the text's letters; the first that tells. letters: a market and its character class."""
+    name = F.regexp_extract(F.lower(url), "^[a-z]+://([^/:?#]+)", 1)
+    tld, segment = F.regexp_extract(name, "[.]([a-z]+)$", 1), F.regexp_extract(F.lower(url), "^[a-z]+://[^/]+/([a-z-]+)(?:/|$)", 1)
+    pick = lambda c, table: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in table.items()])
+    scripts = F.coalesce(*[F.when(script_share(text, chars) >= least, F.lit(m)) for m, chars in letters.items()])
+    return F.coalesce(*[F.when(m.isNotNull(), F.struct(m.alias("market"), F.lit(by).alias("by"))) for m, by in ((pick(tld, tlds), "tld"), (pick(segment, paths), "path"), (scripts, "text"))])

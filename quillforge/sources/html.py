@@ -28,6 +28,26 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"'), F.lit(1))
 
 
+def meta(html: Column, name: str) -> Column:
+    """The content of the first meta element with this name or property, whichever attribute comes first; null without one."""
+    first = F.regexp_extract(html, rf'(?is)<meta\s+(?:name|property)="{name}"\s+content="([^"]*)"', 1)
+    other = F.regexp_extract(html, rf'(?is)<meta\s+content="([^"]*)"\s+(?:name|property)="{name}"', 1)
+    return F.nullif(unescaped(F.coalesce(F.nullif(first, F.lit("")), other)), F.lit(""))
+
+
+def json_ld(html: Column) -> Column:
+    """The JSON-LD blocks of a page in canonical form, in page order; blocks that are no JSON are left out."""
+    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    return F.array_compact(F.transform(blocks, lambda b: F.to_json(F.try_parse_json(b))))
+
+
+def microdata(html: Column) -> Column:
+    """"name=value" of elements with an itemprop: their content attribute, else their text up to the next tag."""
+    pattern = r'(?is)<[a-z0-9]+\s[^>]*itemprop="([^"]*)"(?:[^>]*content="([^"]*)")?[^>]*>([^<]*)'
+    part = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
+    return F.transform(F.arrays_zip(part(1).alias("n"), part(2).alias("c"), part(3).alias("t")), lambda x: F.concat(x["n"], F.lit("="), F.trim(F.when(x["c"] != "", x["c"]).otherwise(x["t"]))))
+
+
 def absolute(link: Column, page_url: Column) -> Column:
     """A link as an absolute URL without fragment; null for other schemes."""
     origin = F.regexp_extract(page_url, r"^([a-z]+://[^/?#]+)", 1)

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillforge.operators.ordered import newest_wins
 
 
-def write_shards(df: DataFrame, path: str, partition: str | list[str], order: list[str]) -> DataFrame:
+def write_shards(df: DataFrame, path: str, partition: str | list[str], order: list[str], keep_others: bool = True) -> DataFrame:
     """Write df partitioned by columns, rows in order inside each file, and return the manifest (file, bytes, sha256).
 
-    Partitions that the new data do not have stay; those it has are replaced as a whole."""
+    Partitions that the new data have are replaced as a whole; others stay, or with keep_others false are removed as stale."""
     spark = df.sparkSession
     by = [partition] if isinstance(partition, str) else partition
-    (df.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+    (df.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_others else "static").partitionBy(*by).parquet(path))
     return manifest(spark, path)
 
 
@@ -65,3 +65,19 @@ def row_count_check(before: int, now: int, share: float = 0.7) -> None:
     """A build with far fewer rows than the one before is refused."""
     if now < before * share:
         raise ValueError(f"{now} rows after {before}: under {share:.0%}")
+
+
+def export(df: DataFrame, path: str, kind: str) -> None:
+    """Write df as csv (with header), jsonl (nulls left out) or markdown (a table, one part with its own head for each task)."""
+    if kind == "csv":
+        df.write.option("header", True).csv(path)
+    elif kind == "jsonl":
+        df.write.json(path)
+    elif kind == "markdown":
+        cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", r"\\|"), F.lit(""))
+        head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        first = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy(F.monotonically_increasing_id())) == 1
+        rows = df.select(first.alias("_first"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("line"))
+        rows.select(F.explode(F.when(F.col("_first"), F.array(*map(F.lit, head), "line")).otherwise(F.array("line"))).alias("value")).write.text(path)
+    else:
+        raise ValueError(f"no such kind of export: {kind}")
