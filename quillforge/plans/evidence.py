@@ -130,8 +130,8 @@ def coverage_by_year(spark, sf_dir):
 @R.query()
 def closest_names(spark, sf_dir):
     """Matching-block ratios have no SQL form; a test compares them with difflib over all pairs."""
-    nation = table(spark, sf_dir, "nation")
-    return V.closest(nation.select("n_regionkey", "n_name"), table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("other")), "n_regionkey", "n_name", "other", 3)
+    part = table(spark, sf_dir, "part").select("p_brand", "p_name")
+    return V.closest(part, part.withColumnRenamed("p_name", "other"), "p_brand", "p_name", "other", 3)
 
 
 @R.query("""

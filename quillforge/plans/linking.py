@@ -122,16 +122,17 @@ def price_or_range(spark, sf_dir):
 
 
 @R.query("""
-WITH c AS (SELECT DISTINCT n_regionkey AS k, upper(n_name) AS code FROM nation), v AS (SELECT DISTINCT n_regionkey AS k, upper(substr(n_name, 1, 5)) AS val FROM nation UNION SELECT DISTINCT n_regionkey, upper(substr(n_name, 2, 5)) FROM nation),
+WITH p AS (SELECT p_partkey, p_brand AS k, upper(p_name) AS code, upper(substr(p_name, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END, 4 + p_size % 5)) AS val FROM part), c AS (SELECT DISTINCT k, code FROM p WHERE p_partkey % 4 = 0), v AS (SELECT DISTINCT k, val FROM p WHERE p_partkey % 4 = 1),
 r AS (SELECT c.k, code, val, CASE WHEN code = val THEN 3 WHEN length(code) < 4 OR length(val) < 4 THEN 0 WHEN starts_with(code, val) OR starts_with(val, code) THEN 2 WHEN contains(code, val) OR contains(val, code) THEN 1 ELSE 0 END AS s FROM c JOIN v ON c.k = v.k),
 b AS (SELECT k, code, s, val, row_number() OVER (PARTITION BY k, code ORDER BY s DESC, val) AS i FROM r WHERE s > 0)
-SELECT c.k AS n_regionkey, c.code, CASE s WHEN 3 THEN 'equal' WHEN 2 THEN 'prefix' WHEN 1 THEN 'contains' ELSE 'none' END AS relation, b.val AS related FROM c LEFT JOIN b ON b.k = c.k AND b.code = c.code AND i = 1
+SELECT c.k AS p_brand, c.code, CASE s WHEN 3 THEN 'equal' WHEN 2 THEN 'prefix' WHEN 1 THEN 'contains' ELSE 'none' END AS relation, b.val AS related FROM c LEFT JOIN b ON b.k = c.k AND b.code = c.code AND i = 1
 """)
 def relation_join(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    codes = nation.select("n_regionkey", F.upper("n_name").alias("code")).distinct()
-    values = nation.select("n_regionkey", F.explode(F.array(F.upper(F.substring("n_name", 1, 5)), F.upper(F.substring("n_name", 2, 5)))).alias("v"))
-    return J.strongest_relation(codes, values, "n_regionkey", "code", "v")
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    codes = part.where(k % 4 == 0).select("p_brand", F.upper("p_name").alias("code")).distinct()
+    values = part.where(k % 4 == 1).select("p_brand", F.upper(F.substring(F.col("p_name"), F.when(k % 3 == 0, 1).otherwise(2), 4 + F.col("p_size") % 5)).alias("v"))
+    return J.strongest_relation(codes, values, "p_brand", "code", "v")
 
 
 @R.query("""

@@ -44,15 +44,15 @@ def test_logical_order(spark):
 
 def test_closest_names(spark, sf_dir):
     names = defaultdict(set)
-    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():
-        names[r["n_regionkey"]].add(r["n_name"])
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect():
+        names[r["p_brand"]].add(r["p_name"])
     want = set()
     for k, block in names.items():
         for a in block:
             best = sorted((-round(SequenceMatcher(None, a, b).ratio(), 2), b) for b in block)[:3]
             want |= {(k, a, b, -s) for s, b in best}
     got = catalogue.QUERIES["closest_names"](spark, sf_dir).collect()
-    assert {(r["n_regionkey"], r["n_name"], r["other"], r["ratio"]) for r in got} == want
+    assert {(r["p_brand"], r["p_name"], r["other"], r["ratio"]) for r in got} == want
 
 
 def test_excerpts_fit_the_budget(spark):
