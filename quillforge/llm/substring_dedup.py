@@ -1,16 +1,20 @@
-"""Substring deduplication by seeds and the windows around them.
+"""Substring deduplication by seed and extend.
 
 Each document is winnowed into anchors: of every `window - SEED + 1` consecutive SEED-word grams the one with the smallest
 hash (rightmost of equals). The rule sees nothing but the words, so two documents that share `window` consecutive words
-share the anchor inside them at the same offset. Anchors that several documents hold only
-mark documents and windows. What decides is then each whole window around such an anchor, by two independent hashes (128
-bits, under a seed drawn for each run): a window that an earlier document also holds is a repeat, and overlapping repeats run
-together into maximal ones. No pair of documents is joined on an anchor and nothing is extended word by word: the pairs of a
-passage grow with the square of its copies, its hashes do not.
-
-Scale: an anchor is shuffled for about every 22 words. Anchors in one document only, and copies of a whole text, end
-there. Counting is pre-aggregated in the map tasks, so a passage that a third of all documents hold costs a row for each
-task; the joins against per-key minima have one row a key on the right and are split by adaptive execution where a key is hot.
+share the anchor inside them at the same offset.
+
+Documents are joined on the anchors that several hold, each with the first holder of an anchor, and in every such pair the
+matches are extended both ways from the anchors, word by word. Maximal repeats of at least `window` words are kept. One
+partner an anchor is enough where a passage stands in the same surroundings. A window around an anchor that the first holder
+does not have may still stand in another earlier document; pairing all holders of an anchor would grow with the square of a
+passage's copies, so such windows, and only they, are compared by two independent hashes (128 bits, under a seed drawn for
+each run): neither of two equal ones matches the first holder, so both are among them.
+
+Scale: an anchor is shuffled for about every 22 words. Anchors in one document only, and copies of a whole text, end there.
+Texts are read again only for documents that hold a shared anchor. A first holder that many documents have is repeated, so
+that its pairs are dealt out; counting is pre-aggregated in the map tasks, so a passage that a third of all documents hold
+costs a row for each task.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +33,13 @@ from quillforge.llm import text_np as N
 from quillforge.llm.common import join_keys, sent_if_small, stage_table, table, tuned
 
 SEED = 8
-#: The start of a window (36 bits), under 24 bits of the text's hash that tell rows with the same doc_id apart.
-START_BITS = 36
+#: Pairs that one copy of a first holder's text serves.
+PAIRS = 2_048
+#: In a pair, the most diagonals that are extended one by one; texts that repeat themselves more are compared by windows.
+DIAGONALS = 64
 _OTHER = np.uint64(0x94D049BB133111EB)
+_SLICE = 1 << 20
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _anchors(window: int, seed: int):
@@ -56,25 +65,77 @@ def _anchors(window: int, seed: int):
     return run
 
 
-def _windows(window: int, seed: int, bits: int):
-    """The windows whose anchor is shared: for each different one of a document two independent hashes and all its starts."""
+def _spans(inside: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of true values, ends exclusive."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    return [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
+
+
+def _extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:
+    """Which words of a lie in a run of at least `window` words that b has too; a and b are numbers of words, seeds the places of
+    each shared anchor in both. Matches grow along the diagonals that the seeds lie on."""
+    covered = np.zeros(len(a), bool)
+    if sum(len(p) * len(q) for p, q in seeds) <= DIAGONALS * DIAGONALS:
+        diagonals = np.unique(np.concatenate([(q[None, :] - p[:, None]).reshape(-1) for p, q in seeds])) if seeds else ()
+        if len(diagonals) <= DIAGONALS:
+            for d in diagonals:
+                low, high = max(0, -d), min(len(a), len(b) - d)
+                for start, end in _spans(a[low:high] == b[low + d : high + d]):
+                    if end - start >= window:
+                        covered[low + start : low + end] = True
+            return covered
+    held = {b[j : j + window].tobytes() for j in range(len(b) - window + 1)}
+    depth = np.zeros(len(a) + 1, np.int64)
+    for i in range(len(a) - window + 1):
+        if a[i : i + window].tobytes() in held:
+            depth[i] += 1
+            depth[i + window] -= 1
+    return np.cumsum(depth[:-1]) > 0
+
+
+def _extend(window: int, seed: int, bits: int):
+    """For each pair the spans that its matches cover, and the windows around its anchors that they don't: for each different one
+    two independent hashes and all its starts."""
+
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        size = np.cumsum(pc.add(pc.binary_length(batch.column("text")), pc.binary_length(batch.column("held"))).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(size):
+            end = int(np.searchsorted(size, (size[first - 1] if first else 0) + _SLICE, "right"))
+            yield first, max(end, first + 1)
+            first = max(end, first + 1)
+
+    def seeds_of(column: pa.Array) -> tuple:
+        (_, _, data, offs), = N.blocks(column, 1 << 62)
+        starts, ends, at = N.words(data, offs)
+        (hashes,) = N.word_hashes(data, starts, ends, seed=seed)
+        return data, offs, at, hashes, N.gram_hashes(hashes, at, SEED)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hits = batch.column("key").to_numpy(), batch.column("hits")
-            h_offs, h_all = np.asarray(hits.offsets), hits.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            out_hash, out_check, out_pos, n_hashes, n_starts = [], [], [], [], []
-            for first, end, data, offs in N.blocks(batch.column("text")):
-                starts, ends, at = N.words(data, offs)
-                (hashes,) = N.word_hashes(data, starts, ends, seed=seed)
-                grams, _ = N.gram_hashes(hashes, at, SEED)
-                wide, _ = N.gram_hashes(hashes, at, window)
-                wide &= np.uint64((1 << bits) - 1)
-                check, _ = N.gram_hashes(N.splitmix(hashes ^ _OTHER), at, window)
+        for whole in batches:
+            for first, end in slices(whole):
+                batch = whole.slice(first, end - first)
+                data, offs, at, hashes, grams = seeds_of(batch.column("text"))
+                other, other_offs, other_at, _, other_grams = seeds_of(batch.column("held"))
+                wide = N.gram_hashes(hashes, at, window)[0] & np.uint64((1 << bits) - 1)
+                check = N.gram_hashes(N.splitmix(hashes ^ _OTHER), at, window)[0]
                 best = N.sliding_argmin(grams, window - SEED + 1)
-                for i in range(end - first):
+                spans, out_hash, out_check, out_pos, n_hashes, n_starts = [], [], [], [], [], []
+                for i, hits in enumerate(batch.column("hits")):
+                    anchors = np.sort(hits.values.to_numpy(zero_copy_only=False).view(np.uint64))
                     lo, hi = at[i], max(at[i], at[i + 1] - window + 1)
-                    take = np.flatnonzero(np.isin(grams[best[lo:hi]], h_all[h_offs[first + i] : h_offs[first + i + 1]]))
+                    chosen = np.isin(grams[best[lo:hi]], anchors)
+                    mine = np.unique(best[lo:hi][chosen])
+                    theirs = other_at[i] + np.flatnonzero(np.isin(other_grams[other_at[i] : max(other_at[i], other_at[i + 1] - SEED + 1)], anchors))
+                    numbers: dict[bytes, int] = {}
+                    number = lambda d, o: np.array([numbers.setdefault(w, len(numbers)) for w in d[o[i] : o[i + 1]].tobytes().split()], np.int32)  # noqa: B023, E731
+                    pairs = [(mine[grams[mine] == x] - lo, theirs[other_grams[theirs] == x] - other_at[i]) for x in anchors]
+                    covered = _extended(number(data, offs), number(other, other_offs), [p for p in pairs if len(p[0]) and len(p[1])], window)
+                    spans.append([{"start": s, "end": e} for s, e in _spans(covered)])
+                    # windows that the first holder does not have
+                    inside = np.concatenate([[0], np.cumsum(covered)])
+                    take = np.flatnonzero(chosen)
+                    take = take[inside[take + window] - inside[take] < window]
                     h, c = wide[lo + take], check[lo + take]
                     order = np.lexsort((take, c, h))
                     take, h, c = take[order], h[order], c[order]
@@ -82,43 +143,32 @@ def _windows(window: int, seed: int, bits: int):
                     fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
                     out_hash.append(h[fresh].view(np.int64))
                     out_check.append(c[fresh].view(np.int64))
-                    out_pos.append(take.astype(np.int64) | (int(keys[first + i]) & 0xFFFFFF) << START_BITS)
+                    out_pos.append(take.astype(np.int64))
                     n_hashes.append(int(fresh.sum()))
                     n_starts.append(np.diff(np.append(np.flatnonzero(fresh), len(take))))
-
-            def listed(values: list[np.ndarray]) -> np.ndarray:
-                return np.concatenate([np.zeros(0, np.int64), *values])
-
-            ends_of = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            places = pa.ListArray.from_arrays(ends_of(listed(n_starts)), pa.array(listed(out_pos)))
-            lists = [pa.ListArray.from_arrays(ends_of(n_hashes), v) for v in (pa.array(listed(out_hash)), pa.array(listed(out_check)), places)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "hashes", "checks", "places"])
+                joined = lambda values: np.concatenate([np.zeros(0, np.int64), *values])
+                ends_of = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                places = pa.ListArray.from_arrays(ends_of(joined(n_starts)), pa.array(joined(out_pos)))
+                lists = [pa.ListArray.from_arrays(ends_of(n_hashes), v) for v in (pa.array(joined(out_hash)), pa.array(joined(out_check)), places)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, _SPAN), *lists], names=["doc_id", "key", "spans", "hashes", "checks", "places"])
 
     return run
 
 
-def _cut(window: int):
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each document without the words of its repeats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, shas, repeats = [], [], []
-            for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
-                words = text.encode().split()
-                at = places.values.to_numpy(zero_copy_only=False)
-                at = at[(at >> START_BITS) == (key & 0xFFFFFF)] & ((1 << START_BITS) - 1)
-                depth = np.zeros(len(words) + 1, np.int64)
-                np.add.at(depth, at, 1)
-                np.add.at(depth, at + window, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                repeats.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(repeats, span)], names=["doc_id", "key", "n_removed", "sha", "repeats"])
-
-    return run
+    for batch in batches:
+        removed, shas, repeats = [], [], []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans"), strict=True):
+            words = text.encode().split()
+            depth = np.zeros(len(words) + 1, np.int64)
+            np.add.at(depth, spans.values.field("start").to_numpy(zero_copy_only=False), 1)
+            np.add.at(depth, spans.values.field("end").to_numpy(zero_copy_only=False), -1)
+            gone = np.cumsum(depth[:-1]) > 0
+            removed.append(int(gone.sum()))
+            shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
+            repeats.append([{"start": s, "end": e} for s, e in _spans(gone)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(repeats, _SPAN)], names=["doc_id", "key", "n_removed", "sha", "repeats"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 64) -> DataFrame:
@@ -141,30 +191,44 @@ def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 64) -> DataFra
     base = join_keys(base, first_copy, "copy_key", "n_copies", base.count()).drop("n_copies").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
 
     seeds = base.where("doc_id IS NOT NULL AND NOT is_copy").select("doc_id", "key", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    hits = seeds.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("hits"))
+    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last").select("anchor", "holder")
+    hits = seeds.join(shared, "anchor").where("doc_id > holder").groupBy("doc_id", "key", "holder").agg(F.collect_set("anchor").alias("hits"))
+    hits = stage_table(hits, "hits")
 
     texts = docs.where("doc_id IS NOT NULL")
-    packed = texts.join(hits, ["doc_id", "key"]).mapInArrow(_windows(window, seed, bits), "doc_id long, hashes array<long>, checks array<long>, places array<array<long>>")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """doc_id, key and text of the rows whose doc_id is in ids (doc_id)."""
+        return texts.join(sent_if_small(stage_table(ids.distinct(), "ids")), "doc_id", "left_semi")
+
+    holders = stage_table(hits.groupBy("holder").agg(F.count("*").alias("n_pairs")), "holders")
+    copies = holders.select(F.col("holder").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_pairs") - 1) / PAIRS))).alias("copy"))
+    held = texts_of(holders.select(F.col("holder").alias("doc_id"))).select("doc_id", F.col("text").alias("held")).join(copies, "doc_id").withColumnRenamed("doc_id", "holder")
+    pairs = join_keys(hits, holders, "holder", "n_pairs", hits.count())
+    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("doc_id", "key"), F.floor((F.col("n_pairs") - 1) / PAIRS) + 1)).drop("n_pairs")
+    pairs = texts_of(hits.select("doc_id")).join(pairs, ["doc_id", "key"]).join(held, ["holder", "copy"])
+    schema = "doc_id long, key long, spans array<struct<start:long,end:long>>, hashes array<long>, checks array<long>, places array<array<long>>"
+    extended = stage_table(pairs.select("doc_id", "key", "text", "held", "hits").mapInArrow(_extend(window, seed, bits), schema), "extended")
 
     def matches(*lists: str) -> DataFrame:
         names = {"hashes": "hash", "checks": "check", "places": "places"}
-        return packed.select("doc_id", F.explode(F.arrays_zip(*lists)).alias("w")).select("doc_id", *[F.col(f"w.{c}").alias(names[c]) for c in lists])
+        return extended.select("doc_id", "key", F.explode(F.arrays_zip(*lists)).alias("w")).select("doc_id", "key", *[F.col(f"w.{c}").alias(names[c]) for c in lists])
 
     per_hash = matches("hashes", "checks").groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("check").alias("check"), F.max("check").alias("other_check"))
     per_hash = stage_table(per_hash.where("first_doc < last_doc"), "repeated")
     # the complement as the key: the few repeated windows are dealt anew, so that a hot key on the other side can be split
     repeated = per_hash.where("check = other_check").select(F.bitwise_not("hash").alias("to_hash"), "first_doc")
-    later = matches("hashes", "places").join(repeated, F.bitwise_not("hash") == F.col("to_hash")).where("doc_id > first_doc").select("doc_id", "places")
+    later = matches("hashes", "places").join(repeated, F.bitwise_not("hash") == F.col("to_hash")).where("doc_id > first_doc").select("doc_id", "key", "places")
     clashes = per_hash.where("check <> other_check").select("hash")
     if not clashes.isEmpty():  # different windows of one hash: both hashes together are the key
         both = matches("hashes", "checks", "places").join(sent_if_small(clashes), "hash")
         firsts = both.groupBy("hash", "check").agg(F.min("doc_id").alias("first_doc"))
-        later = later.unionByName(both.join(firsts, ["hash", "check"]).where("doc_id > first_doc").select("doc_id", "places"))
-    covered = later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+        later = later.unionByName(both.join(firsts, ["hash", "check"]).where("doc_id > first_doc").select("doc_id", "key", "places"))
+    later = later.select("doc_id", "key", F.transform("places", lambda p: F.struct(p.alias("start"), (p + window).alias("end"))).alias("spans"))
+    found = extended.where(F.size("spans") > 0).select("doc_id", "key", "spans").unionByName(later)
+    covered = stage_table(found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "covered")
 
-    per_key = hits.join(covered, "doc_id").select("doc_id", "key", "places")
-    cut = texts.join(per_key, ["doc_id", "key"]).mapInArrow(_cut(window), "doc_id long, key long, n_removed long, sha string, repeats array<struct<start:long,end:long>>").dropDuplicates(["doc_id", "key"])
+    cut = texts_of(covered.select("doc_id")).join(covered, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_cut, "doc_id long, key long, n_removed long, sha string, repeats array<struct<start:long,end:long>>").dropDuplicates(["doc_id", "key"])
 
     whole_copy = F.col("is_copy") & (F.col("n_words") >= window)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
