@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillforge.operators.aggregates import agreement, join_null_safe, nearest_rank
+from quillforge.operators.evidence import first_reason
 
 
 def exact(a: str, b: str) -> Column:
@@ -76,6 +77,57 @@ def match_level(statuses: DataFrame, lead: list[str]) -> DataFrame:
     return per.select("target_id", level.alias("level"), F.when(F.col("with_survivors") > 0, F.col("lead_source")).alias("lead_source"), "unique_sources")
 
 
+def level_by_route(statuses: DataFrame, routes: DataFrame, exact: dict[str, list[list[str]]]) -> DataFrame:
+    """target_id, route, level for targets with a route. exact says for each route which sources make a match exact: any of the
+    lists, all of whose sources must be unique. An unknown route (one that exact does not have, or null) asks for all routes'
+    conditions. Partial if any source has survivors, else null."""
+    unique = statuses.groupBy("target_id").agg(F.collect_set(F.when(F.col("status") == "unique", F.col("source"))).alias("_unique"), F.max(F.col("survivors") > 0).alias("_some"))
+    holds = {route: reduce(lambda a, b: a | b, (F.size(F.array_except(F.array(*map(F.lit, all_of)), F.col("_unique"))) == 0 for all_of in ways)) for route, ways in exact.items()}
+    met = reduce(lambda out, route: F.when(F.col("route") == route, holds[route]).otherwise(out), exact, reduce(lambda a, b: a & b, holds.values()))
+    both = routes.join(unique, "target_id", "left")
+    level = F.when(F.col("_unique").isNotNull() & met, "exact").when(F.col("_some"), "partial")
+    return both.select("target_id", "route", level.alias("level"))
+
+
+def offer_ladder(offers: DataFrame, key: list[str], field: str, source: str, now_year: Column, max_age: int, least_level: int, alone: list[str], step: float) -> DataFrame:
+    """key, field, source, value and status of offers with n, n_dropped, status, value, year, reference, definition_ok, level,
+    key_stated; the first that applies: inconsistent (rows were dropped, none is left), range (over a quarter was), disagree,
+    reference_only, too_old, other_definition, below_level, missing_key, uncorroborated (a field of `alone` whose value no
+    other source offers within a step), offered. A status that is not offered has no value."""
+    left = F.col("n") - F.col("n_dropped")
+    checks = {
+        "inconsistent": (F.col("n") > 0) & (left == 0),
+        "range": F.col("n_dropped") > F.col("n") * 0.25,
+        "disagree": F.col("status") == "survivors_disagree",
+        "no_value": F.col("value").isNull(),
+        "reference_only": F.col("reference"),
+        "too_old": F.col("year") < now_year - max_age,
+        "other_definition": ~F.col("definition_ok"),
+        "below_level": F.col("level") < least_level,
+        "missing_key": ~F.col("key_stated"),
+    }
+    judged = offers.withColumn("_reason", first_reason(checks))
+    offered = F.when(F.col("_reason").isNull(), F.col("value"))
+    # a value's neighbours in order tell whether another source is within a step; of one source there is one offer
+    near = Window.partitionBy(*key, field).orderBy(offered.asc_nulls_last(), source)
+    gap = lambda other: F.abs(other - offered) <= step
+    backed = F.coalesce(gap(F.lag(offered).over(near)), F.lit(False)) | F.coalesce(gap(F.lead(offered).over(near)), F.lit(False))
+    judged = judged.withColumn("_backed", backed)
+    status = F.coalesce("_reason", F.when(F.col(field).isin(alone) & ~F.col("_backed"), "uncorroborated").otherwise("offered"))
+    return judged.select(*key, field, source, F.when(status == "offered", F.col("value")).alias("value"), status.alias("status"))
+
+
+def by_precedence(facts: DataFrame, key: list[str], tier: str, order: list[str], value: str) -> DataFrame:
+    """One row per key: the value of the first tier, in order, that states one, the tier, and the tiers that it overrules with
+    another value ("tier:value", in order). Tiers not in order count for nothing; one row a key and tier."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(tier))
+    stated = facts.where((place > 0) & F.col(value).isNotNull()).select(*key, place.alias("_p"), F.col(tier).alias("_t"), F.col(value).alias("_v"))
+    per = stated.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", "_t", "_v"))).alias("_all"))  # at most one a tier
+    first = F.get("_all", F.lit(0))
+    others = F.transform(F.filter("_all", lambda x: x["_v"] != first["_v"]), lambda x: F.concat_ws(":", x["_t"], x["_v"].cast("string")))
+    return per.select(*key, first["_v"].alias(value), first["_t"].alias(tier), F.array_join(others, ",").alias("overruled"))
+
+
 def field_offers(survivors: DataFrame, rules: dict[str, tuple[float, float, float]]) -> DataFrame:
     """target_id, source, field, status, value: the survivors' agreement on each field, by (spread, percent, step)."""
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in rules])

@@ -161,3 +161,27 @@ def market(url: Column, text: Column, tlds: dict[str, str], paths: dict[str, str
     pick = lambda c, table: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in table.items()])
     scripts = F.coalesce(*[F.when(script_share(text, chars) >= least, F.lit(m)) for m, chars in letters.items()])
     return F.coalesce(*[F.when(m.isNotNull(), F.struct(m.alias("market"), F.lit(by).alias("by"))) for m, by in ((pick(tld, tlds), "tld"), (pick(segment, paths), "path"), (scripts, "text"))])
+
+
+def line_pairs(docs: DataFrame, key: str, text: str, longest: int = 40) -> DataFrame:
+    """key, line_no, label, value of lines "label: value": the label is what stands before the first colon, at most `longest`
+    characters, and begins with a letter; both are trimmed and not blank."""
+    form = rf"^\s*([A-Za-z][^:]{{0,{longest - 1}}}?)\s*:\s*(\S.*?)\s*$"
+    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).where(F.col("line").rlike(form))
+    return lines.select(key, "line_no", F.regexp_extract("line", form, 1).alias("label"), F.regexp_extract("line", form, 2).alias("value"))
+
+
+def table_columns(cells: DataFrame, key: list[str]) -> DataFrame:
+    """key, row_no, label, column, value of ragged tables given as cells (key, row_no, col_no, cell).
+
+    The header is the first row with two or more cells that are not blank and no number. A column is named by its header cell;
+    the first column labels the rows below. Cells without a header, blank cells and all rows above it are left out."""
+    c = cells.withColumn("_cell", F.nullif(F.trim("cell"), F.lit("")))
+    number = F.col("_cell").rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
+    rows = c.groupBy(*key, "row_no").agg(F.count("_cell").alias("_n"), F.count_if(number).alias("_numbers"))
+    heads = rows.where("_n >= 2 AND _numbers = 0").groupBy(*key).agg(F.min("row_no").alias("_head"))
+    below = c.join(heads, key)
+    names = below.where("row_no = _head AND _cell IS NOT NULL").select(*key, "col_no", F.col("_cell").alias("column"))
+    labels = below.where("row_no > _head AND col_no = 0").select(*key, "row_no", F.col("_cell").alias("label"))
+    values = below.where("row_no > _head AND col_no > 0 AND _cell IS NOT NULL").select(*key, "row_no", "col_no", F.col("_cell").alias("value"))
+    return values.join(names, [*key, "col_no"]).join(labels, [*key, "row_no"], "left").select(*key, "row_no", "label", "column", "value")

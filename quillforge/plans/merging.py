@@ -176,3 +176,44 @@ def range_agreement(spark, sf_dir):
     q, n = F.floor(F.col("l_quantity") / 10).cast("int"), F.col("l_linenumber")
     rows = lines.select("l_partkey", F.when(F.col("l_linestatus") == "F", q).alias("v"), F.when(F.col("l_returnflag") != "N", q - n % 2).alias("lo"), F.when(F.col("l_tax") > 0.02, q + n % 3).alias("hi"))
     return X.range_agreement(rows, ["l_partkey"], "v", "lo", "hi", 2, 1)
+
+
+@R.query(f"""
+WITH {_SOURCES}, rt AS (SELECT target_id, CASE target_id // 50 % 3 WHEN 0 THEN 'european' WHEN 1 THEN 'american' END AS route FROM t), q AS (SELECT target_id, bool_or(status = 'unique' AND source = 'a') AS a, bool_or(status = 'unique' AND source = 'b') AS b, bool_or(status = 'unique' AND source = 'c') AS c, bool_or(survivors > 0) AS s FROM us GROUP BY 1)
+SELECT target_id, route, CASE WHEN CASE route WHEN 'european' THEN a AND b OR a AND c WHEN 'american' THEN c ELSE (a AND b OR a AND c) AND c END THEN 'exact' WHEN s THEN 'partial' END AS level FROM rt LEFT JOIN q USING (target_id)
+""")
+def level_by_route(spark, sf_dir):
+    targets, alive = _survivors(spark, sf_dir)
+    kind = F.floor(F.col("target_id") / 50) % 3
+    routes = targets.select("target_id", F.when(kind == 0, "european").when(kind == 1, "american").alias("route"))
+    return X.level_by_route(X.match_status(targets, alive, "p_type"), routes, {"european": [["a", "b"], ["a", "c"]], "american": [["c"]]})
+
+
+@R.query("""
+WITH l AS (SELECT l_partkey % 300 AS item, 's' || l_suppkey % 4 AS source, l_linestatus AS field, floor(l_quantity / 12)::INT AS v, l_discount > 0.085 AS bad, year(l_shipdate) AS y, l_tax FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 7 = l_suppkey % 7),
+g AS (SELECT item, source, field, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS d, count(DISTINCT CASE WHEN NOT bad THEN v END) AS k, min(CASE WHEN NOT bad THEN v END) AS lo, max(y) AS y, max(l_tax) AS tax FROM l GROUP BY 1, 2, 3),
+o AS (SELECT *, CASE WHEN k > 1 THEN 'survivors_disagree' ELSE 'value' END AS st, CASE WHEN k = 1 THEN lo END AS value, item % 3 AS lv FROM g),
+r AS (SELECT *, CASE WHEN n = d THEN 'inconsistent' WHEN d > n * 0.25 THEN 'range' WHEN st = 'survivors_disagree' THEN 'disagree' WHEN value IS NULL THEN 'no_value' WHEN source = 's3' AND field = 'F' THEN 'reference_only' WHEN y < 2001 - 4 THEN 'too_old' WHEN tax < 0.01 THEN 'other_definition' WHEN lv < 1 THEN 'below_level' WHEN item % 11 = 0 THEN 'missing_key' END AS reason FROM o),
+v AS (SELECT *, CASE WHEN reason IS NULL THEN value END AS ov FROM r), s AS (SELECT v.*, coalesce(reason, CASE WHEN field = 'O' AND NOT EXISTS (SELECT 1 FROM v x WHERE x.item = v.item AND x.field = v.field AND x.source <> v.source AND abs(x.ov - v.ov) <= 1) THEN 'uncorroborated' ELSE 'offered' END) AS status FROM v)
+SELECT item, field, source, CASE WHEN status = 'offered' THEN value END AS value, status FROM s
+""")
+def offer_ladder(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_partkey % 7 = l_suppkey % 7")
+    bad = F.col("l_discount") > 0.085
+    v = F.when(~bad, F.floor(F.col("l_quantity") / 12).cast("int"))
+    g = lines.groupBy((F.col("l_partkey") % 300).alias("item"), F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("source"), F.col("l_linestatus").alias("field"))
+    g = g.agg(F.count("*").alias("n"), F.count_if(bad).alias("n_dropped"), F.countDistinct(v).alias("k"), F.min(v).alias("lo"), F.max(F.year("l_shipdate")).alias("year"), F.max("l_tax").alias("tax"))
+    o = g.select("item", "source", "field", "n", "n_dropped", F.when(F.col("k") > 1, "survivors_disagree").otherwise("value").alias("status"), F.when(F.col("k") == 1, F.col("lo")).alias("value"), "year", ((F.col("source") == "s3") & (F.col("field") == "F")).alias("reference"), (F.col("tax") >= 0.01).alias("definition_ok"), (F.col("item") % 3).alias("level"), (F.col("item") % 11 != 0).alias("key_stated"))
+    return X.offer_ladder(o, ["item"], "field", "source", F.lit(2001), 4, 1, ["O"], 1)
+
+
+@R.query("""
+WITH f AS (SELECT p_partkey, 'government' AS tier, p_size AS v FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 'dataset', p_size + p_partkey % 2 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'open', CASE WHEN p_partkey % 5 > 0 THEN p_size + p_partkey % 3 END FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'rumour', 0 FROM part),
+o AS (SELECT *, CASE tier WHEN 'government' THEN 1 WHEN 'dataset' THEN 2 WHEN 'open' THEN 3 END AS p FROM f WHERE tier <> 'rumour' AND v IS NOT NULL), w AS (SELECT *, first_value(v) OVER (PARTITION BY p_partkey ORDER BY p) AS best FROM o)
+SELECT p_partkey, max(best) AS v, arg_min(tier, p) AS tier, coalesce(string_agg(tier || ':' || v, ',' ORDER BY p) FILTER (v <> best), '') AS overruled FROM w GROUP BY 1
+""")
+def final_records(spark, sf_dir):
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    tier = lambda name, where, v: part.where(where).select("p_partkey", F.lit(name).alias("tier"), v.cast("int").alias("v"))
+    facts = tier("government", k % 4 == 0, F.col("p_size")).union(tier("dataset", k % 3 == 0, F.col("p_size") + k % 2)).union(tier("open", k % 2 == 0, F.when(k % 5 > 0, F.col("p_size") + k % 3))).union(tier("rumour", F.lit(True), F.lit(0)))
+    return X.by_precedence(facts, ["p_partkey"], "tier", ["government", "dataset", "open"], "v")

@@ -116,3 +116,26 @@ def parser_gaps(spark, sf_dir):
 def words_in_documents(spark, sf_dir):
     """Which windows are shown depends on those shown before; a test compares it with a plain search."""
     return S.find_words(table(spark, sf_dir, "documents"), "doc_id", "text", "apache license text", 60, 5)
+
+
+@R.query("""
+SELECT p_partkey, unnest([0, 1, 3])::INT AS line_no, unnest(['Size', 'Type of part', 'Note']) AS label, unnest([p_size::VARCHAR, p_type, 'a: ' || p_name]) AS value FROM part
+""")
+def line_pairs(spark, sf_dir):
+    text = F.concat(F.lit("Size: "), F.col("p_size").cast("string"), F.lit("\n  Type of part :"), F.col("p_type"), F.lit("  \n: none\nNote: a: "), F.col("p_name"), F.lit("\nno colon\nempty:  \n12: number first\n" + "x" * 50 + ": too long"))
+    return S.line_pairs(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+
+
+@R.query("""
+WITH v AS (SELECT p_partkey, p_type, p_size, p_name FROM part WHERE p_partkey % 5 > 0)
+SELECT p_partkey, 2 AS row_no, 'size' AS label, 'Base' AS "column", p_size::VARCHAR AS value FROM v UNION ALL SELECT p_partkey, 2, 'size', p_type, (p_size + 5)::VARCHAR FROM v UNION ALL SELECT p_partkey, 3, 'name', 'Base', p_name FROM v UNION ALL SELECT p_partkey, 4, NULL, p_type, 'late' FROM v WHERE p_size > 25
+""")
+def table_columns(spark, sf_dir):
+    """Ragged tables: a title above the header, a row with too many cells, a short one, one without a label; some have no header."""
+    size = F.col("p_size").cast("string")
+    row = lambda *cells: F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells])
+    head = F.when(F.col("p_partkey") % 5 > 0, row("", "Base", F.col("p_type"))).otherwise(row("", "7", F.col("p_type")))
+    last = F.when(F.col("p_size") > 25, row(" ", "", "late")).otherwise(row("", "", "", "beyond"))
+    rows = F.array(row("Title"), head, row("size", size, (F.col("p_size") + 5).cast("string"), "beyond"), row(F.lit("name"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_name")).otherwise("3")), last)
+    cells = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(rows).alias("row_no", "cells")).select("p_partkey", "row_no", F.posexplode("cells").alias("col_no", "cell"))
+    return S.table_columns(cells, ["p_partkey"])
