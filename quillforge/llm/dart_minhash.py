@@ -40,6 +40,8 @@ LEAST_ESTIMATE = 0.68
 LARGE_BUCKET = 32
 #: Nodes of a large bucket that are compared in one piece with as many others.
 BLOCK = 1024
+#: Units whose darts are thrown at once: bounds the temporary arrays.
+UNITS = 1 << 15
 _STEP, _UNIT = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
@@ -88,7 +90,8 @@ def signatures(unit: np.ndarray, counts: np.ndarray) -> np.ndarray:
     while len(todo):
         pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in todo])
         owner = np.repeat(todo, counts[todo])
-        _throw(unit[pick], reach[owner], owner * COORDINATES, best)
+        for k in range(0, len(pick), UNITS):
+            _throw(unit[pick[k : k + UNITS]], reach[owner[k : k + UNITS]], owner[k : k + UNITS] * COORDINATES, best)
         todo = todo[np.isinf(best.reshape(n, COORDINATES)[todo]).any(axis=1)]
         reach[todo] *= 2
     return (N.splitmix(best.view(U64)) & U64(0xFFFF)).astype("<u2").reshape(n, COORDINATES) * (counts > 0)[:, None].astype("<u2")
@@ -216,7 +219,8 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, b
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """node and text of the nodes in ids (node)."""
-        wanted = copies.join(sent_if_small(ids), "node", "left_semi").select("node", F.col("first_doc").alias("at_doc"), F.col("copy_key").alias("at_key"))
+        key = [] if unique else [F.col("copy_key").alias("at_key")]
+        wanted = copies.join(sent_if_small(ids), "node", "left_semi").select("node", F.col("first_doc").alias("at_doc"), *key)
         wanted = sent_if_small(stage_table(wanted, "wanted"))
         same = known["doc_id"] == F.col("at_doc")
         found = known.join(wanted, same if unique else same & (F.col("copy_key") == F.col("at_key"))).select("node", "text")
@@ -307,7 +311,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Every other row's text is near one that stays: rows with one doc_id and different texts go or stay by their texts."""
     tuned(docs.sparkSession)
     _, texts, unique = _classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), threshold)
-    kept = stage_table(texts.select(F.col("class_id").alias("kept_id"), F.col("keeper_key").alias("kept_key")).distinct(), "kept")
+    key = [] if unique else [F.col("keeper_key").alias("kept_key")]
+    kept = stage_table(texts.select(F.col("class_id").alias("kept_id"), *key).distinct(), "kept")
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string")).alias("copy_key"))
     same = F.col("doc_id") == F.col("kept_id")
     stay = known.join(sent_if_small(kept), same if unique else same & (F.col("copy_key") == F.col("kept_key")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text hashed together: bounds the temporary arrays (about 60 bytes for each text byte).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
