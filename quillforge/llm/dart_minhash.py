@@ -12,7 +12,8 @@ No group is expanded into pairs. Equal texts collapse to one node. In the first
 hub of each of its buckets, the node that shares most buckets with others; exact similarities are computed for pairs whose
 signatures agree enough, and links form classes. Then only buckets that still hold several classes are looked at again,
 and nodes of different classes in them are compared, so that no link between different texts is lost to the shortcut. In
-large buckets this is done in blocks, inside the tasks, and only pairs that can be links leave them: their signatures
+large buckets this is done in blocks, inside the tasks; nodes of the bucket's largest class only meet the others there. Only
+pairs that can be links leave the tasks: their signatures
 agree enough, and a bound allows it (shingles that no other node there has cannot be shared, so two texts of a and b
 shingles of which u and v are such overlap in at most min(a - u, b - v)).
 """
