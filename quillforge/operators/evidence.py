@@ -139,6 +139,58 @@ def excerpts(df: DataFrame, entity: list[str], order: list[Column], text: str, m
     return placed.where((F.col("place") <= max_items) & fits).select(*entity, "place", F.substring("excerpt", F.lit(1), F.col("_left").cast("int")).alias("excerpt"))
 
 
+def merged_snippets(hits: DataFrame, document: list[str], at: str, length: str, text: str, context: int, most_chars: int) -> DataFrame:
+    """document, place, start, snippet, hits: the surroundings of hits (from 0), `context` characters to both sides, merged where
+    they touch; in order of place, as long as they fit most_chars together."""
+    spans = hits.withColumn("_a", F.greatest(F.col(at) - context, F.lit(0))).withColumn("_b", F.least(F.col(at) + F.col(length) + context, F.length(text)))
+    in_order = Window.partitionBy(*document).orderBy("_a", "_b", at)
+    reached = F.max("_b").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.coalesce(F.col("_a") > reached, F.lit(True)).cast("int"))
+    spans = spans.withColumn("_group", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy(*document, F.col("_group").alias("place")).agg(F.min("_a").alias("start"), F.max("_b").alias("_end"), F.count("*").alias("hits"), F.first(text).alias("_text"))
+    upto = Window.partitionBy(*document).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    fitted = merged.withColumn("_sum", F.sum(F.col("_end") - F.col("start")).over(upto)).where(F.col("_sum") <= most_chars)
+    return fitted.select(*document, "place", "start", F.substring("_text", F.col("start") + 1, F.col("_end") - F.col("start")).alias("snippet"), "hits")
+
+
+def corroborated(bindings: DataFrame, offers: DataFrame, key: list[str], level: str, value: str, highest: int, step: float) -> DataFrame:
+    """bindings with new_level and backed_by: a binding whose value some independent offer of its key states, within a step, gains
+    a level, up to the highest; one without a value, or that an offer contradicts as well, keeps its own."""
+    o = offers.where(F.col("offer").isNotNull()).select(*key, "source", "offer")
+    near = F.abs(F.col("offer") - F.col(value)) <= step
+    per = bindings.join(o, key).groupBy(*key).agg(F.count_if(near).alias("_for"), F.count_if(~near).alias("_against"), F.array_join(F.sort_array(F.collect_set(F.when(near, F.col("source")))), ",").alias("_names"))
+    both = bindings.join(per, key, "left")
+    up = (F.col("_for") > 0) & (F.col("_against") == 0)
+    raised = F.when(up, F.least(F.col(level) + 1, F.lit(highest))).otherwise(F.col(level))
+    return both.select(*bindings.columns, raised.alias("new_level"), F.when(up, F.col("_names")).otherwise("").alias("backed_by"))
+
+
+def withheld(offers: DataFrame, key: list[str], field: str, value: str, never: list[str], requires: DataFrame, cycle: str) -> DataFrame:
+    """offers with reason: never_offered (a field of the never-list), not_offered (no value), requires:<field> (the first field,
+    by name, that requires (field, cycle or null for all, needs) asks for in the offer's cycle and that the key has no value
+    for), else admitted."""
+    stated = offers.where(F.col(value).isNotNull()).select(*key, F.col(field).alias("needs")).distinct().withColumn("_has", F.lit(True))
+    asked = offers.select(*key, F.col(field), F.col(cycle)).distinct().join(F.broadcast(requires.withColumnRenamed("cycle", "_cycle")), field)
+    asked = asked.where(F.col("_cycle").isNull() | (F.col("_cycle") == F.col(cycle)))
+    unmet = asked.join(stated, [*key, "needs"], "left").where("_has IS NULL").groupBy(*key, field).agg(F.min("needs").alias("_needs"))
+    both = offers.join(unmet, [*key, field], "left")
+    reason = F.when(F.col(field).isin(never), "never_offered").when(F.col(value).isNull(), "not_offered").when(F.col("_needs").isNotNull(), F.concat(F.lit("requires:"), "_needs")).otherwise("admitted")
+    return both.select(*offers.columns, reason.alias("reason"))
+
+
+def feedback(candidates: DataFrame, decisions: DataFrame, key: list[str], value: str) -> DataFrame:
+    """key, kind, value, reason: labelled examples from what was proposed and decided, one row each. accepted (decided for that
+    value), rejected (decided against, with the reason), superseded (another value of its key was accepted), open (no
+    decision on its key), missed (accepted, but never a candidate)."""
+    d = decisions.select(*key, F.col(value).alias("_v"), "accepted", "reason")
+    won = d.where("accepted").select(*key, F.lit(True).alias("_won")).distinct()
+    own = candidates.select(*key, value).distinct().join(d.withColumnRenamed("_v", value), [*key, value], "left").join(won, key, "left")
+    kind = F.when(F.col("accepted"), "accepted").when(~F.col("accepted"), "rejected").when(F.col("_won"), "superseded").otherwise("open")
+    judged = own.select(*key, kind.alias("kind"), value, F.when(kind == "rejected", F.col("reason")).alias("reason"))
+    missed = d.where("accepted").withColumnRenamed("_v", value).join(candidates.select(*key, value).distinct(), [*key, value], "left_anti")
+    return judged.unionByName(missed.select(*key, F.lit("missed").alias("kind"), value, F.lit(None).cast("string").alias("reason")))
+
+
 def ranked_spans(spans: DataFrame, document: list[str], begin: str, end: str, signals: Column, tie: list[str], most: int) -> DataFrame:
     """document, spans' columns, score, place: the `most` best spans of each document by the sum of signals, then by tie. A span
     that overlaps a better one of its document is left out: what it shows is shown already."""

@@ -47,10 +47,14 @@ def code_text(code: Column) -> Column:
     return F.when(F.length(bare) >= 2, bare)
 
 
+# The names of type-code rules.
+CODE_RULES = ("exact_va", "toyota_style", "dotless_va", "second_token_t")
+
+
 def code_rank(rule: Column, code: Column, variant: Column, version: Column, approval: Column) -> Column:
     """How a row carries a code under a rule: 0 by its first field, 1 by its second, null not at all.
 
-    exact_va: the variant. toyota_style: version or variant without a bracketed suffix. dotless_va: the variant, else the
+    Rules (CODE_RULES; others match nothing): exact_va: the variant. toyota_style: version or variant without a bracketed suffix. dotless_va: the variant, else the
     version. second_token_t: the code's second of two tokens (four characters at least) is the approval, else the variant."""
     bare = lambda c: code_text(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", ""))
     wanted, token = code_text(code), F.split(F.trim(F.upper(code)), r"\s+")

@@ -233,3 +233,64 @@ def expected_states(spark, sf_dir):
         F.col("l_suppkey").alias("item"), F.col("l_returnflag").alias("field"), F.when(F.col("l_linenumber") > 1, F.floor(F.col("l_quantity") / 30)).alias("v"), (F.col("l_tax") < 0.03).alias("sc"), (F.col("l_linestatus") == "F").alias("mk"), ((F.col("l_suppkey") % 7 == 0) & (F.col("l_returnflag") == "A")).alias("wk")
     )
     return V.expected_states(expected, e, ["item", "field"], "v", F.col("sc"), F.col("mk"), F.col("wk"), "na")
+
+
+@R.query("SELECT s_suppkey::VARCHAR AS id, CASE s_suppkey % 3 WHEN 0 THEN 'דגם' WHEN 1 THEN 'רכב ₪' ELSE s_name END AS name FROM supplier")
+def code_page_file(spark, sf_dir):
+    """A file in a one-byte code page, recognised by not being UTF-8."""
+    from quillforge.sources.readers import code_page, read_delimited
+
+    k = F.col("s_suppkey") % 3
+    name = F.when(k == 0, "דגם").when(k == 1, "רכב ₪").otherwise(F.col("s_name"))
+    read, meant = code_page("cp1255")
+    path = _folder(spark, "hebrew")
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(name, meant, read).alias("name")).coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return read_delimited(spark, path, "cp1255")
+
+
+@R.query("""
+WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents), f(term) AS (VALUES ('license'), ('version'), ('mail'), ('@')), h AS (SELECT doc_id, text, position(term IN t) - 1 AS p, length(term) AS l FROM d, f WHERE contains(t, term)),
+s AS (SELECT *, greatest(p - 30, 0) AS a, least(p + l + 30, length(text)) AS b FROM h), r AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b, p ROWS UNBOUNDED PRECEDING) AS place FROM r), z AS (SELECT doc_id, place, min(a) AS a, max(b) AS b, count(*) AS hits, any_value(text) AS text FROM g GROUP BY 1, 2),
+q AS (SELECT *, sum(b - a) OVER (PARTITION BY doc_id ORDER BY place) AS total FROM z) SELECT doc_id, place::BIGINT AS place, a::INT AS start, substr(text, a + 1, b - a) AS snippet, hits FROM q WHERE total <= 150
+""")
+def merged_snippets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    low = F.lower("text")
+    hits = F.array(*[F.struct((F.locate(w, low) - 1).alias("p"), F.lit(len(w)).alias("l")) for w in ("license", "version", "mail", "@")])
+    return V.merged_snippets(d.select("doc_id", "text", F.explode(F.filter(hits, lambda h: h["p"] >= 0)).alias("h")).select("doc_id", "text", "h.*"), ["doc_id"], "p", "l", "text", 30, 150)
+
+
+@R.query("""
+WITH b AS (SELECT p_partkey, p_partkey % 5 AS level, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS value FROM part), o AS (SELECT l_partkey AS p_partkey, l_returnflag AS source, CASE WHEN l_linenumber > 2 THEN l_quantity::INT END AS offer FROM lineitem WHERE l_discount > 0.085),
+g AS (SELECT p_partkey, count(CASE WHEN abs(offer - value) <= 3 THEN 1 END) AS f, count(CASE WHEN abs(offer - value) > 3 THEN 1 END) AS a, string_agg(DISTINCT CASE WHEN abs(offer - value) <= 3 THEN source END, ',' ORDER BY CASE WHEN abs(offer - value) <= 3 THEN source END) AS names FROM b JOIN o USING (p_partkey) WHERE offer IS NOT NULL GROUP BY 1)
+SELECT b.*, CASE WHEN f > 0 AND a = 0 THEN least(level + 1, 4) ELSE level END AS new_level, CASE WHEN f > 0 AND a = 0 THEN names ELSE '' END AS backed_by FROM b LEFT JOIN g USING (p_partkey)
+""")
+def corroborated(spark, sf_dir):
+    k = F.col("p_partkey")
+    b = table(spark, sf_dir, "part").select("p_partkey", (k % 5).alias("level"), F.when(k % 7 > 0, F.col("p_size")).alias("value"))
+    o = table(spark, sf_dir, "lineitem").where("l_discount > 0.085").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("source"), F.when(F.col("l_linenumber") > 2, F.col("l_quantity").cast("int")).alias("offer"))
+    return V.corroborated(b, o, ["p_partkey"], "level", "value", 4, 3)
+
+
+@R.query("""
+WITH o AS (SELECT s_suppkey AS item, unnest(['power', 'mass', 'range', 'price']) AS field, unnest([s_suppkey % 3, s_suppkey % 4, s_suppkey % 5, s_suppkey % 6]) AS v, CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS cycle FROM supplier), f AS (SELECT item, field, nullif(v, 0) AS v, cycle FROM o), r(field, cyc, needs) AS (VALUES ('range', 'new', 'power'), ('range', NULL, 'mass'), ('mass', 'old', 'range')),
+u AS (SELECT f.item, f.field, min(needs) AS needs FROM f JOIN r ON r.field = f.field AND (cyc IS NULL OR cyc = cycle) WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.item = f.item AND x.field = needs AND x.v IS NOT NULL) GROUP BY 1, 2)
+SELECT item, field, v, cycle, CASE WHEN field = 'price' THEN 'never_offered' WHEN v IS NULL THEN 'not_offered' WHEN needs IS NOT NULL THEN 'requires:' || needs ELSE 'admitted' END AS reason FROM f LEFT JOIN u USING (item, field)
+""")
+def withheld_offers(spark, sf_dir):
+    k = F.col("s_suppkey")
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(k % n, F.lit(0)).alias("v")) for f, n in (("power", 3), ("mass", 4), ("range", 5), ("price", 6))])
+    offers = table(spark, sf_dir, "supplier").select(k.alias("item"), F.explode(cells).alias("c"), F.when(k % 2 == 0, "old").otherwise("new").alias("cycle")).select("item", "c.field", "c.v", "cycle")
+    requires = spark.createDataFrame([("range", "new", "power"), ("range", None, "mass"), ("mass", "old", "range")], "field string, cycle string, needs string")
+    return V.withheld(offers, ["item"], "field", "v", ["price"], requires, "cycle")
+
+
+@R.query("""
+WITH c AS (SELECT DISTINCT l_partkey AS item, l_linenumber AS v FROM lineitem WHERE l_discount > 0.085), d AS (SELECT l_partkey AS item, l_linenumber AS v, bool_or(l_returnflag = 'A') AS ok, min(l_shipdate::DATE::VARCHAR) AS why FROM lineitem WHERE l_discount BETWEEN 0.075 AND 0.095 AND l_tax > 0.05 AND l_partkey % 3 > 0 GROUP BY 1, 2),
+w AS (SELECT DISTINCT item FROM d WHERE ok) SELECT item, CASE WHEN ok THEN 'accepted' WHEN NOT ok THEN 'rejected' WHEN w.item IS NOT NULL THEN 'superseded' ELSE 'open' END AS kind, v, CASE WHEN NOT ok THEN why END AS reason FROM c LEFT JOIN d USING (item, v) LEFT JOIN w USING (item) UNION ALL SELECT item, 'missed', v, NULL FROM d ANTI JOIN c USING (item, v) WHERE ok
+""")
+def feedback_examples(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("v"), "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+    decided = lines.where("l_discount BETWEEN 0.075 AND 0.095 AND l_tax > 0.05 AND item % 3 > 0").groupBy("item", "v").agg(F.max(F.col("l_returnflag") == "A").alias("accepted"), F.min(F.to_date("l_shipdate").cast("string")).alias("reason"))
+    return V.feedback(lines.where("l_discount > 0.085"), decided, ["item"], "v")

@@ -22,13 +22,11 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-#: The bytes 0x80-0x9F that Windows Western defines, as ISO-8859-1 reads them and as they are meant.
-C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
-WESTERN = C1.encode("latin-1").decode("cp1252")
-
-
-def _western(text: str) -> str:
-    return text.translate(str.maketrans(C1, WESTERN))
+def code_page(name: str) -> tuple[str, str]:
+    """The upper half of a one-byte code page: its characters as ISO-8859-1 reads them, and as they are meant."""
+    meant = {chr(b): bytes([b]).decode(name, "ignore") for b in range(0x80, 0x100)}
+    changed = {k: v for k, v in meant.items() if v and v != k}
+    return "".join(changed), "".join(changed.values())
 
 
 class MissingColumn(ValueError):
@@ -57,10 +55,11 @@ def is_error_body(head: bytes) -> bool:
     return start.startswith((b"<!doctype", b"<html", b"{", b"["))
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, fallback: str = "cp1252") -> DataFrame:
     """Delimited files with a header, all columns as strings; rows shorter than the header are dropped.
 
-    The first file, in order of paths, tells the dialect of all: its first 64 KB are read, and none of the others."""
+    The first file, in order of paths, tells the dialect of all: its first 64 KB are read, and none of the others. What is not
+    UTF-8 is in the fallback, a one-byte code page."""
     first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]  # paths alone: no content is read
     if first is None:
         raise FileNotFoundError(path)
@@ -74,10 +73,12 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} holds an error page")
     encoding, separator = sniff(head)
     rows = spark.read.option("header", True).option("encoding", encoding).option("sep", separator).option("mode", "DROPMALFORMED").csv(path)
-    rows = rows.toDF(*[_western(c).lstrip("\ufeff").strip() for c in rows.columns])
+    read, meant = code_page(fallback)
+    table = str.maketrans(read, meant) if encoding != "UTF-8" else {}
+    rows = rows.toDF(*[c.translate(table).lstrip("\ufeff").strip() for c in rows.columns])
     if encoding == "UTF-8":
         return rows
-    return rows.select(*[F.translate(f"`{c}`", C1, WESTERN).alias(c) for c in rows.columns])
+    return rows.select(*[F.translate(f"`{c}`", read, meant).alias(c) for c in rows.columns])
 
 
 def resolve_columns(df: DataFrame, wanted: dict[str, list[str]], optional: frozenset[str] = frozenset()) -> tuple[DataFrame, dict[str, str]]:
