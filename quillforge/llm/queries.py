@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.llm import dart_minhash, decontamination, licenses, mixing, pii, substring_dedup, token_counts, token_files, toxicity, whitening, winnowing
+from quillforge.llm import alignment, dart_minhash, decontamination, licenses, mixing, pii, substring_dedup, token_counts, token_files, toxicity, whitening, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_token_files": token_files.op10_token_files,
     "op12_cholesky_whitening": whitening.op12_cholesky_whitening,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
