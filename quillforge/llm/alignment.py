@@ -299,15 +299,6 @@ def _by_bytes(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.Record
         first = end
 
 
-def _in_groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, Iterator[list]]]:
-    """Rows that come in order of the named columns, group by group; a group must be read before the next."""
-    rows = (r for b in batches for r in zip(*[b.column(n).to_pylist() for n in b.schema.names], strict=True))
-    import itertools
-
-    for key, group in itertools.groupby(rows, lambda r: r[: len(names)]):
-        yield key, group
-
-
 _MERGED = "radix int, part int, first long, block binary"
 
 
@@ -318,7 +309,7 @@ def _merged_rows(radix: int, part: int, keys: np.ndarray, n: np.ndarray) -> Iter
 
 def _merge_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One run of all runs of a (radix, part)."""
-    for (radix, part), rows in _in_groups(batches, "radix", "part"):
+    for (radix, part), rows in R.in_groups(batches, ["radix", "part"]):
         for keys, n in R.merged(R.unpack(row[-1], 1) for row in rows):
             yield from _merged_rows(radix, part, keys, n)
 
@@ -327,7 +318,7 @@ def _merge_all(b_bits: int):
     """Counts of all pairs of a radix, twice the count and one more where it is its A id's highest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (radix,), rows in _in_groups(batches, "radix"):
+        for (radix,), rows in R.in_groups(batches, ["radix"]):
             kept: list[list[np.ndarray]] = []
 
             def closed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -352,7 +343,7 @@ def _merge_all(b_bits: int):
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(radix, share) after (radix, share): first the counts of the radix, then record blocks, whose documents get their part."""
-    for _, rows in _in_groups(batches, "radix", "share"):
+    for _, rows in R.in_groups(batches, ["radix", "share"]):
         counts: list[list[np.ndarray]] = []
         table = None
         for _, _, kind, _, slot, block in rows:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.llm import alignment, dart_minhash, decontamination, licenses, mixing, pii, substring_dedup, token_counts, token_files, toxicity, whitening, winnowing
+from quillforge.llm import alignment, dart_minhash, decontamination, interpolation, licenses, mixing, pii, substring_dedup, token_counts, token_files, toxicity, whitening, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_token_files": token_files.op10_token_files,
+    "op11_deleted_interpolation": interpolation.op11_deleted_interpolation,
     "op12_cholesky_whitening": whitening.op12_cholesky_whitening,
     "op13_token_alignment": alignment.op13_token_alignment,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -78,3 +79,18 @@ def merged(blocks: Iterable[list[np.ndarray]], least: int = 1 << 18) -> Iterator
             held += len(block[0])
     if done := below(None):
         yield summed(*map(np.concatenate, zip(*done, strict=True)))
+
+
+def store(values: np.ndarray) -> bytes:
+    """Integers in any order."""
+    return zstandard.compress(_planes(values), 1)
+
+
+def load(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def in_groups(batches: Iterable, names: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of Arrow batches, which begin with the named columns and come in their order, group by group."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+    return itertools.groupby(rows, lambda r: r[: len(names)])

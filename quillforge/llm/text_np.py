@@ -133,6 +133,44 @@ def gram_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
     return out, valid
 
 
+def _pieces(column: pa.Array, separators: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Blocks of bytes and document offsets; a text of several blocks comes in pieces cut at separators, all but the last of
+    which are marked. A word longer than a block stays whole."""
+    for _, _, data, offs in blocks(column):
+        at = 0
+        while len(offs) == 2 and len(data) - at > BLOCK_BYTES:
+            found = np.flatnonzero(separators[data[at : at + BLOCK_BYTES]])
+            if len(found):
+                end = at + int(found[-1]) + 1
+            else:
+                ahead = np.flatnonzero(separators[data[at + BLOCK_BYTES :]])
+                end = at + BLOCK_BYTES + int(ahead[0]) + 1 if len(ahead) else len(data)
+            if end >= len(data):
+                break
+            yield data[at:end], np.array([0, end - at]), True
+            at = end
+        yield data[at:], np.maximum(offs - at, 0), False
+
+
+def hashed(column: pa.Array, separators: np.ndarray = SPACE, stem: int = 0, seed: int = 0, lower: bool = False) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """For each block of rows the hashes of all words (and of their stems), and where each document's words begin, one more at
+    the end. Temporary arrays are those of BLOCK_BYTES bytes even for one very long text; only its hashes are kept whole."""
+    held: list[list[np.ndarray]] = []
+    for data, offs, more in _pieces(column, separators):
+        if lower:
+            data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
+        starts, ends, at = words(data, offs, separators)
+        found = word_hashes(data, starts, ends, separators, stem, seed)
+        if more:
+            held.append(found)
+            continue
+        if held:
+            found = [np.concatenate(h) for h in zip(*held, found, strict=True)]
+            at = np.array([0, len(found[0])])
+            held = []
+        yield found, at
+
+
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """For each window of w values the index of its smallest, the rightmost of equals; by doubling, in log2(w) steps."""
     at, width = np.arange(len(values)), 1
