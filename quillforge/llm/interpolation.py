@@ -217,7 +217,7 @@ def learn(statistics: DataFrame, order: int, tokens: int, words: int) -> list[np
             bucket = F.lit(0) if k == 0 else F.col(f"b{k + 1}")
             weight = F.lit(float(weights[0][0])) if k == 0 else F.element_at(F.array(*map(F.lit, weights[k].tolist())), bucket + 1)
             own = F.col("c1") / F.lit(float(max(tokens, 1))) if k == 0 else F.col(f"c{k + 1}") / F.col(f"x{k + 1}")
-            seen = F.lit(True) if k == 0 else F.col(f"x{k + 1}") > 0
+            seen = F.lit(tokens > 0) if k == 0 else F.col(f"x{k + 1}") > 0
             here = F.when(seen, weight * own).otherwise(0.0)
             total = here + F.when(seen, 1 - weight).otherwise(1.0) * lower
             ways.append((bucket, seen, here / total))
@@ -252,7 +252,8 @@ def _score(order: int, weights: list[np.ndarray], tokens: int, words: int):
             chunk = Chunk(rows, order)
             found, contexts = chunk.counts(True)
             one = found[0].astype(float)
-            p = weights[0][0] * one / max(tokens, 1) + (1 - weights[0][0]) / (words + 1)
+            weight = weights[0][0] if tokens else 0.0
+            p = weight * one / max(tokens, 1) + (1 - weight) / (words + 1)
             for k in range(1, order):
                 seen = contexts[k - 1].astype(float)
                 weight = np.where(seen > 0, weights[k][buckets(contexts[k - 1])], 0)

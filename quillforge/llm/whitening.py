@@ -218,7 +218,7 @@ def whiten(rows: DataFrame, model: Whitening, key: str = "vec_id") -> DataFrame:
                 x = _matrix(batch.column("x"))
                 a, exact = centred(x, m)
                 b = len(batch)
-                most = 0 if exact is None else max(abs(int(exact.min())), abs(int(exact.max())))
+                most = 0 if exact is None else max(-int(exact.min(initial=0)), int(exact.max(initial=0)))
                 if exact is not None and most * most * exact.shape[1] < _LONG:
                     deviation = (exact * exact).sum(axis=1).tolist()
                 else:
