@@ -5,7 +5,7 @@ hash (rightmost of equals). The rule sees nothing but the words, so two document
 share the anchor inside them at the same offset.
 
 Documents are joined on the anchors that several hold, each with the first holder of an anchor, and in every such pair the
-matches are extended both ways from the anchors, word by word. Maximal repeats of at least `window` words are kept. One
+matches are extended both ways from the anchors, word by word (by 64-bit hashes of words, under a seed drawn for each run). Maximal repeats of at least `window` words are kept. One
 partner an anchor is enough where a passage stands in the same surroundings. A window around an anchor that the first holder
 does not have may still stand in another earlier document; pairing all holders of an anchor would grow with the square of a
 passage's copies, so such windows, and only they, are compared by two independent hashes (128 bits, under a seed drawn for
@@ -39,24 +39,36 @@ PAIRS = 2_048
 DIAGONALS = 64
 _OTHER = np.uint64(0x94D049BB133111EB)
 _SLICE = 1 << 20
+_STRETCH = 1 << 20
+U64 = np.uint64
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _chosen(hashes: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
+    """The different anchors of each document; the words go in stretches that overlap by a window."""
+    found: list[list[np.ndarray]] = [[] for _ in at[1:]]
+    for first in range(0, len(hashes), _STRETCH):
+        part = hashes[first : first + _STRETCH + window - 1]
+        inside = np.clip(at - first, 0, len(part))
+        grams, _ = N.gram_hashes(part, inside, SEED)
+        best = N.sliding_argmin(grams, window - SEED + 1)
+        for i in range(int(np.searchsorted(at, first, "right")) - 1, len(at) - 1):
+            lo, hi = max(at[i] - first, 0), min(at[i + 1] - first, len(part))
+            if lo >= min(_STRETCH, len(part)):
+                break
+            if hi - lo >= window:
+                found[i].append(grams[np.unique(best[lo : hi - window + 1])])
+    return [np.unique(np.concatenate([np.zeros(0, U64), *f])).view(np.int64) for f in found]
+
+
 def _anchors(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, shas, anchors = [], [], []
-            for first, end, data, offs in N.blocks(batch.column("text")):
-                starts, ends, at = N.words(data, offs)
-                (hashes,) = N.word_hashes(data, starts, ends, seed=seed)
-                grams, _ = N.gram_hashes(hashes, at, SEED)
-                best = N.sliding_argmin(grams, window - SEED + 1)
-                for i in range(end - first):
-                    lo, hi = at[i], at[i + 1]
-                    n_words.append(hi - lo)
-                    kept = b" ".join(data[offs[i] : offs[i + 1]].tobytes().split())
-                    shas.append(hashlib.sha256(kept).hexdigest())
-                    anchors.append(np.unique(grams[np.unique(best[lo : hi - window + 1])]).view(np.int64) if hi - lo >= window else [])
+            n_words, anchors = [], []
+            shas = [N.word_sha256(t.as_buffer().to_pybytes()) for t in batch.column("text")]
+            for (hashes,), at in N.hashed(batch.column("text"), seed=seed):
+                n_words += np.diff(at).tolist()
+                anchors += _chosen(hashes, at, window)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), batch.column("copy_key"), pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
                 names=["doc_id", "key", "copy_key", "n_words", "kept_sha256", "anchors"],
@@ -72,8 +84,8 @@ def _spans(inside: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:
-    """Which words of a lie in a run of at least `window` words that b has too; a and b are numbers of words, seeds the places of
-    each shared anchor in both. Matches grow along the diagonals that the seeds lie on."""
+    """Which words of a lie in a run of at least `window` words that b has too; a and b are 64-bit hashes of words under a drawn
+    seed, seeds the places of each shared anchor in both. Matches grow along the diagonals that the seeds lie on."""
     covered = np.zeros(len(a), bool)
     if sum(len(p) * len(q) for p, q in seeds) <= DIAGONALS * DIAGONALS:
         diagonals = np.unique(np.concatenate([(q[None, :] - p[:, None]).reshape(-1) for p, q in seeds])) if seeds else ()
@@ -84,12 +96,19 @@ def _extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[np.ndarray, np.nda
                     if end - start >= window:
                         covered[low + start : low + end] = True
             return covered
-    held = {b[j : j + window].tobytes() for j in range(len(b) - window + 1)}
+    if len(a) < window or len(b) < window:
+        return covered
+    whole = [N.gram_hashes(x, np.array([0, len(x)]), window)[0][: len(x) - window + 1] for x in (a, b)]
+    order = np.argsort(whole[1], kind="stable")
+    near = np.minimum(np.searchsorted(whole[1][order], whole[0]), len(order) - 1)
+    mine = np.flatnonzero(whole[1][order[near]] == whole[0])
     depth = np.zeros(len(a) + 1, np.int64)
-    for i in range(len(a) - window + 1):
-        if a[i : i + window].tobytes() in held:
-            depth[i] += 1
-            depth[i + window] -= 1
+    for first in range(0, len(mine), 1 << 14):  # windows of equal hash are compared word by word
+        i, j = mine[first : first + (1 << 14)], order[near[mine[first : first + (1 << 14)]]]
+        reach = np.arange(window)
+        i = i[(a[i[:, None] + reach] == b[j[:, None] + reach]).all(axis=1)]
+        np.add.at(depth, i, 1)
+        np.add.at(depth, i + window, -1)
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -106,20 +125,22 @@ def _extend(window: int, seed: int, bits: int):
             first = max(end, first + 1)
 
     def seeds_of(column: pa.Array) -> tuple:
-        (_, _, data, offs), = N.blocks(column, 1 << 62)
-        starts, ends, at = N.words(data, offs)
-        (hashes,) = N.word_hashes(data, starts, ends, seed=seed)
-        return data, offs, at, hashes, N.gram_hashes(hashes, at, SEED)[0]
+        blocks = list(N.hashed(column, seed=seed))
+        hashes = np.concatenate([h for (h,), _ in blocks])
+        lengths = np.concatenate([np.diff(at) for _, at in blocks])
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        return at, hashes, N.gram_hashes(hashes, at, SEED)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first, end in slices(whole):
                 batch = whole.slice(first, end - first)
-                data, offs, at, hashes, grams = seeds_of(batch.column("text"))
-                other, other_offs, other_at, _, other_grams = seeds_of(batch.column("held"))
+                at, hashes, grams = seeds_of(batch.column("text"))
+                other_at, other, other_grams = seeds_of(batch.column("held"))
                 wide = N.gram_hashes(hashes, at, window)[0] & np.uint64((1 << bits) - 1)
                 check = N.gram_hashes(N.splitmix(hashes ^ _OTHER), at, window)[0]
                 best = N.sliding_argmin(grams, window - SEED + 1)
+                later = batch.column("later").to_pylist()
                 spans, out_hash, out_check, out_pos, n_hashes, n_starts = [], [], [], [], [], []
                 for i, hits in enumerate(batch.column("hits")):
                     anchors = np.sort(hits.values.to_numpy(zero_copy_only=False).view(np.uint64))
@@ -127,11 +148,10 @@ def _extend(window: int, seed: int, bits: int):
                     chosen = np.isin(grams[best[lo:hi]], anchors)
                     mine = np.unique(best[lo:hi][chosen])
                     theirs = other_at[i] + np.flatnonzero(np.isin(other_grams[other_at[i] : max(other_at[i], other_at[i + 1] - SEED + 1)], anchors))
-                    numbers: dict[bytes, int] = {}
-                    number = lambda d, o: np.array([numbers.setdefault(w, len(numbers)) for w in d[o[i] : o[i + 1]].tobytes().split()], np.int32)  # noqa: B023, E731
                     pairs = [(mine[grams[mine] == x] - lo, theirs[other_grams[theirs] == x] - other_at[i]) for x in anchors]
-                    covered = _extended(number(data, offs), number(other, other_offs), [p for p in pairs if len(p[0]) and len(p[1])], window)
-                    spans.append([{"start": s, "end": e} for s, e in _spans(covered)])
+                    covered = _extended(hashes[lo : at[i + 1]], other[other_at[i] : other_at[i + 1]], [p for p in pairs if len(p[0]) and len(p[1])], window)
+                    # a row with the holder's own doc_id is not later than it: it only shows which windows the holder lacks
+                    spans.append([{"start": s, "end": e} for s, e in _spans(covered)] if later[i] else [])
                     # windows that the first holder does not have
                     inside = np.concatenate([[0], np.cumsum(covered)])
                     take = np.flatnonzero(chosen)
@@ -191,24 +211,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 64) -> DataFra
     base = join_keys(base, first_copy, "copy_key", "n_copies", base.count()).drop("n_copies").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
 
     seeds = base.where("doc_id IS NOT NULL AND NOT is_copy").select("doc_id", "key", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last").select("anchor", "holder")
-    hits = seeds.join(shared, "anchor").where("doc_id > holder").groupBy("doc_id", "key", "holder").agg(F.collect_set("anchor").alias("hits"))
+    place = F.struct("doc_id", "key")
+    shared = seeds.groupBy("anchor").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    shared = shared.select("anchor", F.col("first.doc_id").alias("holder"), F.col("first.key").alias("holder_key"))
+    # other rows of the holder's doc_id meet it too: later documents may have windows from them that it lacks
+    hits = seeds.join(shared, "anchor").where("doc_id > holder OR key <> holder_key").groupBy("doc_id", "key", "holder", "holder_key").agg(F.collect_set("anchor").alias("hits"))
     hits = stage_table(hits, "hits")
 
     texts = docs.where("doc_id IS NOT NULL")
+    repeated_rows = stage_table(base.where("doc_id IS NOT NULL AND NOT is_copy").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated-rows")
+    if not repeated_rows.isEmpty():  # equal rows are read once from here on
+        several = sent_if_small(repeated_rows)
+        texts = texts.join(several, ["doc_id", "key"], "left_anti").unionByName(texts.join(several, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """doc_id, key and text of the rows whose doc_id is in ids (doc_id)."""
-        return texts.join(sent_if_small(stage_table(ids.distinct(), "ids")), "doc_id", "left_semi")
-
-    holders = stage_table(hits.groupBy("holder").agg(F.count("*").alias("n_pairs")), "holders")
-    copies = holders.select(F.col("holder").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_pairs") - 1) / PAIRS))).alias("copy"))
-    held = texts_of(holders.select(F.col("holder").alias("doc_id"))).select("doc_id", F.col("text").alias("held")).join(copies, "doc_id").withColumnRenamed("doc_id", "holder")
-    pairs = join_keys(hits, holders, "holder", "n_pairs", hits.count())
-    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("doc_id", "key"), F.floor((F.col("n_pairs") - 1) / PAIRS) + 1)).drop("n_pairs")
-    pairs = texts_of(hits.select("doc_id")).join(pairs, ["doc_id", "key"]).join(held, ["holder", "copy"])
+        """doc_id, key and text, once for each (doc_id, key) in ids."""
+        return texts.join(sent_if_small(stage_table(ids.distinct(), "ids")), ["doc_id", "key"], "left_semi")
+
+    holder = ["holder", "holder_key"]
+    holders = stage_table(hits.groupBy(*holder).agg(F.count("*").alias("n_pairs")).withColumn("holder_id", F.xxhash64(*holder)), "holders")
+    ids = [F.col("holder").alias("doc_id"), F.col("holder_key").alias("key")]
+    copies = holders.select(*ids, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_pairs") - 1) / PAIRS))).alias("copy"))
+    held = texts_of(holders.select(*ids)).withColumnRenamed("text", "held").join(copies, ["doc_id", "key"]).toDF(*holder, "held", "copy")
+    pairs = join_keys(hits.withColumn("holder_id", F.xxhash64(*holder)), holders.groupBy("holder_id").agg(F.max("n_pairs").alias("n_pairs")), "holder_id", "n_pairs", hits.count())
+    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("doc_id", "key"), F.floor((F.col("n_pairs") - 1) / PAIRS) + 1)).drop("n_pairs", "holder_id")
+    pairs = texts_of(hits.select("doc_id", "key")).join(pairs, ["doc_id", "key"]).join(held, [*holder, "copy"])
     schema = "doc_id long, key long, spans array<struct<start:long,end:long>>, hashes array<long>, checks array<long>, places array<array<long>>"
-    extended = stage_table(pairs.select("doc_id", "key", "text", "held", "hits").mapInArrow(_extend(window, seed, bits), schema), "extended")
+    extended = stage_table(pairs.select("doc_id", "key", "text", "held", "hits", (F.col("doc_id") > F.col("holder")).alias("later")).mapInArrow(_extend(window, seed, bits), schema), "extended")
 
     def matches(*lists: str) -> DataFrame:
         names = {"hashes": "hash", "checks": "check", "places": "places"}
@@ -228,7 +257,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 64) -> DataFra
     found = extended.where(F.size("spans") > 0).select("doc_id", "key", "spans").unionByName(later)
     covered = stage_table(found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "covered")
 
-    cut = texts_of(covered.select("doc_id")).join(covered, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_cut, "doc_id long, key long, n_removed long, sha string, repeats array<struct<start:long,end:long>>").dropDuplicates(["doc_id", "key"])
+    cut = texts_of(covered.select("doc_id", "key")).join(covered, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_cut, "doc_id long, key long, n_removed long, sha string, repeats array<struct<start:long,end:long>>").dropDuplicates(["doc_id", "key"])
 
     whole_copy = F.col("is_copy") & (F.col("n_words") >= window)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))

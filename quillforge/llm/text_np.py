@@ -8,6 +8,7 @@ that is drawn for each run.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+_BLANKS = [bytes([b]) for b in (0x20, *range(0x09, 0x0E))]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For matching on letters and digits alone: every ASCII byte that is neither separates.
@@ -171,6 +173,24 @@ def hashed(column: pa.Array, separators: np.ndarray = SPACE, stem: int = 0, seed
         yield found, at
 
 
+def word_sha256(raw: bytes) -> str:
+    """SHA-256 of the words of a text, joined by one blank each; split in pieces, so that a long text makes no long list."""
+    sha, at, some = hashlib.sha256(), 0, False
+    while at < len(raw):
+        end = at + BLOCK_BYTES
+        if end < len(raw):
+            cut = max(raw.rfind(c, at, end) for c in _BLANKS)
+            if cut < 0:
+                cut = min((i for i in (raw.find(c, end) for c in _BLANKS) if i >= 0), default=len(raw) - 1)
+            end = cut + 1
+        words_ = raw[at:end].split()
+        if words_:
+            sha.update(b" " * some + b" ".join(words_))
+            some = True
+        at = end
+    return sha.hexdigest()
+
+
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """For each window of w values the index of its smallest, the rightmost of equals; by doubling, in log2(w) steps."""
     at, width = np.arange(len(values)), 1
