@@ -5,7 +5,7 @@ pairs with one word skipped, each hashed to one of DIMENSIONS coordinates and co
 keeps a learning rate for each coordinate and sets most weights to zero (L1), so what is broadcast is small: its size is
 bounded by DIMENSIONS and known before it is sent.
 
-The model is fitted on at most `fit_rows` labelled documents, taken by a hash of doc_id. Everything else covers all rows:
+The model is fitted on at most `fit_rows` rows of labelled documents, taken by a hash of doc_id. Everything else covers all rows:
 scoring is one pass over the texts without any shuffle.
 """
 
@@ -17,41 +17,44 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillforge.llm import text_np as N
-from quillforge.llm.common import table, tuned
+from quillforge.llm.common import stage_table, table, tuned
 
 U64 = np.uint64
 DIMENSIONS = 1 << 20
 #: The most labelled documents that the model is fitted on.
 FIT_ROWS = 12_000
 STEM_BYTES = 5
+_STRETCH = 1 << 19
 
 
 def features(column: pa.Array) -> Iterator[list[np.ndarray]]:
     """For each block of rows, the distinct coordinates of each text, ascending."""
-    for _, _, data, offs in N.blocks(pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))):
-        starts, ends, at = N.words(data, offs, N.PUNCT)
-        word, stem = N.word_hashes(data, starts, ends, N.PUNCT, stem=STEM_BYTES)
-        last = np.repeat(at[1:], np.diff(at))
-        doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
-        place = np.arange(len(word))
-        kinds = [(doc, word), (doc, stem)]
-        for gap, salt in ((1, U64(0x51ED27)), (2, U64(0x8A3C9B))):
-            ok = np.flatnonzero(place + gap < last)
-            kinds.append((doc[ok], N.splitmix(word[ok] * U64(0x9E3779B97F4A7C15) + word[ok + gap] + salt)))
-        docs = np.concatenate([d for d, _ in kinds]).astype(U64)
-        cells = np.concatenate([h for _, h in kinds]) & U64(DIMENSIONS - 1)
-        both = np.unique((docs << U64(32)) | cells)
-        yield np.split((both & U64(0xFFFFFFFF)).astype(np.int32), np.searchsorted(both >> U64(32), np.arange(1, len(offs) - 1).astype(U64)))
+    for (word, stem), at in N.hashed(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")), N.PUNCT, stem=STEM_BYTES):
+        found = [np.zeros(0, U64)]
+        # a very long text goes in stretches; what is kept of each is at most its distinct coordinates
+        for first in range(0, len(word), _STRETCH):
+            place = np.arange(first, min(len(word), first + _STRETCH))
+            doc = np.searchsorted(at, place, "right") - 1
+            last = at[doc + 1]
+            kinds = [(doc, word[place]), (doc, stem[place])]
+            for gap, salt in ((1, U64(0x51ED27)), (2, U64(0x8A3C9B))):
+                ok = place + gap < last
+                kinds.append((doc[ok], N.splitmix(word[place[ok]] * U64(0x9E3779B97F4A7C15) + word[place[ok] + gap] + salt)))
+            docs = np.concatenate([d for d, _ in kinds]).astype(U64)
+            cells = np.concatenate([h for _, h in kinds]) & U64(DIMENSIONS - 1)
+            found.append(np.unique((docs << U64(32)) | cells))
+        both = found[1] if len(found) == 2 else np.unique(np.concatenate(found))
+        yield np.split((both & U64(0xFFFFFFFF)).astype(np.int32), np.searchsorted(both >> U64(32), np.arange(1, len(at) - 1).astype(U64)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [r for block in features(batch.column("text")) for r in block]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rank", "tie", "label")), pa.array(rows, pa.list_(pa.int32()))], names=["rank", "tie", "label", "cells"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rank", "tie", "label", "n")), pa.array(rows, pa.list_(pa.int32()))], names=["rank", "tie", "label", "n", "cells"])
 
 
 def ftrl(rows: list[tuple[np.ndarray, float]], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -77,21 +80,25 @@ def ftrl(rows: list[tuple[np.ndarray, float]], alpha: float, beta: float, l1: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most fit_rows of the labelled documents, those with the smallest hash of doc_id.
+    """Fit on at most fit_rows rows of the labelled documents, those with the smallest hash of doc_id.
 
-    A doc_id with several labels counts as toxic if any of them says so; null labels and null doc_ids are left out; of a
-    doc_id with several rows all are used, in order of a hash of their texts. Without any labelled document the model is
-    empty and every score is 0.5."""
+    A doc_id with several labels counts as toxic if any of them says so; null labels and null doc_ids are left out. The rows of
+    a doc_id come in order of a hash of their texts, and equal rows one after another; fit_rows bounds rows, so a doc_id with
+    more rows than that is taken in part. Equal rows travel once, with their number. Without any labelled document the model
+    is empty and every score is 0.5."""
     tuned(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     texts = texts.select("rank", F.xxhash64("doc_id", "text").alias("tie"), "label", "text")
-    cells = texts.mapInArrow(_extract, "rank long, tie long, label double, cells array<int>")
+    first = texts.groupBy("rank", "tie").agg(F.count("*").alias("n")).orderBy("rank", "tie").limit(fit_rows)
+    before = F.sum("n").over(Window.orderBy("rank", "tie")) - F.col("n")  # over at most fit_rows rows
+    taken = stage_table(first.withColumn("n", F.least("n", F.lit(fit_rows) - before)).where("n > 0"), "fit-rows")
+    cells = texts.join(F.broadcast(taken), ["rank", "tie"]).select("rank", "tie", "label", "n", "text").dropDuplicates(["rank", "tie"]).mapInArrow(_extract, "rank long, tie long, label double, n long, cells array<int>")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rank", "tie"], kind="stable")
-        at, w, bias = ftrl(list(zip(frame["cells"], frame["label"], strict=True)), alpha, beta, l1, l2, epochs)
+        at, w, bias = ftrl([row for *row, n in zip(frame["cells"], frame["label"], frame["n"], strict=True) for _ in range(n)], alpha, beta, l1, l2, epochs)
         return pd.DataFrame({"at": [*at.tolist(), DIMENSIONS], "w": [*w.tolist(), bias]})
 
     found = cells.groupBy().applyInPandas(learn, "at long, w double").toPandas()  # at most DIMENSIONS + 1 rows

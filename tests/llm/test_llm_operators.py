@@ -874,3 +874,62 @@ def test_empty_tables(spark, empty, tmp_path):
     assert [df.count() for df in results] == [0] * len(results)
     token_files.write_token_files(empty, str(tmp_path / "ids"), path)
     assert token_files.summarise(spark, str(tmp_path / "ids")).count() == 0
+
+
+def test_repeats_with_many_rows_of_one_doc_id(spark):
+    """Every row of a doc_id holds a passage, in surroundings of its own; later documents hold windows of any of these rows."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(1, " ".join([*(f"r{k}x{i}" for i in range(60)), *passage, *(f"s{k}x{i}" for i in range(60))])) for k in range(150)]
+    rows += [(1, rows[3][1])] * 40 + [(2, " ".join(["new"] * 3 + rows[rng.randrange(150)][1].split()[20:140])) for _ in range(20)]
+    rows += [(3 + k, rows[k][1]) for k in range(10)] + [(20, " ".join(passage[:49])), (21, " ".join(passage[:50]))]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).drop("repeats").collect()]
+    assert sorted(got) == sorted(brute_repeats(rows))
+
+
+def test_repeats_stay_linear_in_the_rows_of_a_doc_id(spark):
+    """5,000 rows of one doc_id and 2,000 later documents share a passage: there are as many pairs as rows, not their product."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"{passage} row {k} one") for k in range(5_000)] + [(2 + k, f"{passage} doc {k}") for k in range(2_000)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    counts = got.groupBy((F.col("doc_id") > 1).alias("later"), "n_removed").count().collect()
+    assert {(r["later"], r["n_removed"]): r["count"] for r in counts} == {(False, 0): 5_000, (True, 60): 1, (True, 61): 1_999}  # "doc" follows the passage
+
+
+def test_repeats_in_a_text_that_repeats_itself(spark):
+    cycle = " ".join(["a b c d e f g h i j"] * 40)
+    rows = [(1, cycle + " x " + cycle), (2, "start " + cycle + " end"), (3, " ".join(["a b c d e f g h i j"] * 4)), (4, "b c d e " + cycle)]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("repeats").collect()]
+    assert sorted(got) == sorted(brute_repeats(rows))
+
+
+def test_fit_takes_rows_not_documents(spark):
+    """One labelled doc_id with more rows than the fit may take."""
+    import pyarrow as pa
+
+    rows = [(1, f"bad word {k % 300}") for k in range(900)] + [(2, "fine text")] * 30 + [(3, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").collect()]
+    by = {d: sorted((r["tie"], r["text"]) for r in docs.where(F.col("doc_id") == d).select("text", F.xxhash64("doc_id", "text").alias("tie")).collect()) for d in order}
+    expected = [(t, int(d == 1)) for d in order for _, t in by[d]][:100]
+    cells = [c for block in toxicity.features(pa.array([t for t, _ in expected])) for c in block]
+    at, w, bias = toxicity.ftrl(list(zip(cells, [y for _, y in expected])), 1.0, 1.0, 8.0, 1.0, 4)
+    got = toxicity.fit(docs, labels, fit_rows=100)
+    assert got[0].tolist() == at.tolist() and np.allclose(got[1], w) and abs(got[2] - bias) < 1e-9
+
+
+def test_features_of_a_long_text_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["one two three, four five six seven " * 30 + "end", "short", None, "a b c d e f g"])
+    want = [c.tolist() for block in toxicity.features(texts) for c in block]
+    monkeypatch.setattr(toxicity, "_STRETCH", 7)
+    monkeypatch.setattr(text_np, "BLOCK_BYTES", 50)
+    assert [c.tolist() for block in toxicity.features(texts) for c in block] == want
+
+
+def test_word_sha_by_pieces(monkeypatch):
+    monkeypatch.setattr(text_np, "BLOCK_BYTES", 16)
+    for text in ("", "  ", "one", " one  two\tthree " * 9, "x" * 50 + " y", "a" * 16 + "b c"):
+        assert text_np.word_sha256(text.encode()) == hashlib.sha256(b" ".join(text.encode().split())).hexdigest()
