@@ -7,9 +7,9 @@ order below. The weights are learned by expectation-maximisation: the texts of a
 from the counts, and the weights make those texts likeliest under the counts of the rest. Scores then use the counts of all
 training documents.
 
-1. Each task hashes its texts in chunks of bounded size. A chunk keeps its tokens as places in its sorted list of words, and
-   asks for the counts of its different n-grams: one sorted run of hashes with the chunk's own counts for each order and
-   radix, compressed. However frequent an n-gram is, it is in a run once.
+1. Each task hashes its texts in chunks of bounded size, which are written. A chunk keeps its tokens as places in its list of
+   words, and asks for the counts of its different n-grams: one sorted run of hashes with the chunk's own counts for each
+   order and radix, compressed. However frequent an n-gram is, it is in a run once.
 2. The runs of a radix meet, are added up, and each is answered with the counts of its n-grams in the run's own order.
 3. Answers and tokens of a chunk meet: chunks of deleted texts give the statistics for the weights, all chunks their scores.
 
@@ -76,31 +76,28 @@ def _unpacked(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def _ask(order: int, radix_bits: int, seed: int):
+_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("block", pa.binary())])
+
+
+def _chunks(seed: int):
+    """Texts to chunks of tokens; texts that are deleted from the counts have chunks of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {d: [] for d in (False, True)}  # doc_id, slot, role, hashes
         size = dict.fromkeys(held, 0)
 
-        def chunk(deleted: bool) -> Iterator[pa.RecordBatch]:
+        def chunk(deleted: bool) -> pa.RecordBatch:
             ids, slots, roles, hashes = zip(*held[deleted], strict=True)
             held[deleted], size[deleted] = [], 0
             lengths = np.array([len(h) + 1 for h in hashes])
-            tokens = np.concatenate([x for h in hashes for x in (h, [_END])]).astype(U64)
-            starts = np.cumsum(lengths) - lengths
-            weight = np.repeat(np.array(roles) != _TEST, lengths)
-            number = slots[0] * 2 + deleted
-            for level, g in enumerate(grams(tokens, starts, order), 1):
-                keys, place = np.unique(g, return_inverse=True)
-                n = np.bincount(place, weight, len(keys)).astype(U64)
-                bounds = np.searchsorted(keys >> U64(64 - radix_bits), np.arange((1 << radix_bits) + 1).astype(U64)) if radix_bits else np.array([0, len(keys)])
-                for r in range(1 << radix_bits):
-                    i, j = bounds[r], bounds[r + 1]
-                    if j > i:
-                        yield _row(_ASKED, number, deleted, level, r, R.pack(keys[i:j], n[i:j]))
-                if level == 1:
-                    known = np.array([i is not None for i in ids])
-                    parts = [R.pack(keys), R.store(place.astype(U64)), R.store(lengths.astype(U64)), R.store(np.array([i or 0 for i in ids], np.int64).view(U64)), R.store(known.astype(U64)), R.store(np.array(roles, U64))]
-                    yield _row(_TOKENS, number, deleted, 0, 0, _packed(parts))
+            words, place, n = np.unique(np.concatenate([x for h in hashes for x in (h, [_END])]).astype(U64), return_inverse=True, return_counts=True)
+            # frequent words first: most places are small numbers then
+            order = np.lexsort((words, -n))
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            known = np.array([i is not None for i in ids])
+            parts = [R.pack(words[order]), *[R.store(v.astype(U64)) for v in (rank[place], lengths, np.array([i or 0 for i in ids], np.int64).view(U64), known, np.array(roles))]]
+            return pa.RecordBatch.from_arrays([pa.array([slots[0] * 2 + deleted]), pa.array([deleted]), pa.array([_packed(parts)], pa.binary())], schema=_CHUNK_SCHEMA)
 
         for batch in batches:
             ids, slots, roles = (batch.column(c).to_pylist() for c in ("doc_id", "slot", "role"))
@@ -112,10 +109,49 @@ def _ask(order: int, radix_bits: int, seed: int):
                     size[deleted] += at[i + 1] - at[i] + 1
                     first += 1
                     if size[deleted] >= CHUNK:
-                        yield from chunk(deleted)
+                        yield chunk(deleted)
         for deleted in held:
             if held[deleted]:
-                yield from chunk(deleted)
+                yield chunk(deleted)
+
+    return run
+
+
+class Tokens:
+    """The tokens of a chunk: the places of their words among the chunk's words in order of hash."""
+
+    def __init__(self, block: bytes):
+        words, place, *others = _unpacked(block)
+        (by_rank,) = R.unpack(words)
+        order = np.argsort(by_rank)
+        self.words = by_rank[order]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        self.place = at[R.load(place).view(np.int64)]
+        lengths, ids, known, roles = map(R.load, others)
+        self.lengths = lengths.astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids, self.known, self.roles = ids.view(np.int64), known.astype(bool), roles
+
+    def grams(self, order: int) -> list[np.ndarray]:
+        return grams(self.words[self.place], self.starts, order)
+
+
+def _ask(order: int, radix_bits: int):
+    """A run of different n-grams with the chunk's own counts for each chunk, level and radix that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, deleted, block in zip(*[batch.column(c) for c in ("chunk", "deleted", "block")], strict=True):
+                tokens = Tokens(block.as_py())
+                weight = np.repeat(tokens.roles != _TEST, tokens.lengths)
+                for level, g in enumerate(tokens.grams(order), 1):
+                    keys, place = np.unique(g, return_inverse=True)
+                    n = np.bincount(place, weight, len(keys)).astype(U64)
+                    bounds = np.searchsorted(keys >> U64(64 - radix_bits), np.arange((1 << radix_bits) + 1).astype(U64)) if radix_bits else np.array([0, len(keys)])
+                    for r in np.flatnonzero(np.diff(bounds)).tolist():
+                        i, j = bounds[r], bounds[r + 1]
+                        yield _row(_ASKED, number.as_py(), deleted.as_py(), level, r, R.pack(keys[i:j], n[i:j]))
 
     return run
 
@@ -144,25 +180,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += size
 
 
-class Chunk:
+class Chunk(Tokens):
     """The tokens of a chunk with the counts of their n-grams."""
 
     def __init__(self, rows: Iterator[tuple], order: int):
         answers: list[list[list[np.ndarray]]] = [[] for _ in range(order)]
-        tokens = b""
         for _, kind, level, _, block in rows:
             if kind == _TOKENS:
-                tokens = block
+                super().__init__(block)
             else:
                 answers[level - 1].append([R.load(b) for b in _unpacked(block)])
-        words, place, lengths, ids, known, roles = _unpacked(tokens)
-        (self.words,) = R.unpack(words)
-        self.place = R.load(place).astype(np.int64)
-        self.lengths = R.load(lengths).astype(np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = R.load(ids).view(np.int64)
-        self.known = R.load(known).astype(bool)
-        self.roles = R.load(roles)
         self.end = int(np.searchsorted(self.words, _END))
         self.answers = [[np.concatenate(c) for c in zip(*a, strict=True)] for a in answers]
 
@@ -173,7 +200,7 @@ class Chunk:
         texts = totals[0][self.end]
         found = [totals[0][self.place]]
         contexts = []
-        for level, g in enumerate(grams(self.words[self.place], self.starts, len(totals)), 1):
+        for level, g in enumerate(self.grams(len(totals)), 1):
             if level > 1:
                 contexts.append(np.concatenate([[0], found[-1][:-1]]).astype(U64))
                 contexts[-1][self.starts] = texts
@@ -281,8 +308,9 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, deleted_e
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     radix_bits = max(0, (size // 6 // MEETING).bit_length())
     seed = int.from_bytes(os.urandom(8), "little")
-    asked = stage_table(rows.withColumn("slot", F.monotonically_increasing_id()).mapInArrow(_ask(order, radix_bits, seed), _DDL), "ngrams")
-    meeting = asked.where(F.col("kind") == _ASKED).select("level", "radix", "chunk", "deleted", "block").repartition("level", "radix").sortWithinPartitions("level", "radix")
+    chunks = stage_table(rows.withColumn("slot", F.monotonically_increasing_id()).mapInArrow(_chunks(seed), "chunk long, deleted boolean, block binary"), "tokens")
+    asked = chunks.mapInArrow(_ask(order, radix_bits), _DDL).select("level", "radix", "chunk", "deleted", "block")
+    meeting = asked.repartition("level", "radix").sortWithinPartitions("level", "radix")
     answers = stage_table(meeting.mapInArrow(_answer, _DDL), "ngram-counts")
     totals = answers.where(F.col("kind") == _TOTALS).select("block")
 
@@ -297,7 +325,8 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, deleted_e
 
     def whole(which: Column) -> DataFrame:
         """Tokens and answers of the chunks that are asked for, in order."""
-        parts = asked.where(F.col("kind") == _TOKENS).unionByName(answers.where(F.col("kind") == _ANSWER)).where(which)
+        tokens = chunks.select(F.lit(_TOKENS).alias("kind"), "chunk", "deleted", F.lit(0).alias("level"), F.lit(0).alias("radix"), "block")
+        parts = tokens.unionByName(answers.where(F.col("kind") == _ANSWER)).where(which)
         return parts.select("chunk", "kind", "level", "radix", "block").repartition("chunk").sortWithinPartitions("chunk", "kind", "level", "radix")
 
     columns = [*[f"c{k + 1} long" for k in range(order)], *[f"x{k + 2} long" for k in range(order - 1)], *[f"b{k + 2} int" for k in range(order - 1)], "n long"]
