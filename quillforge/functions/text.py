@@ -123,16 +123,30 @@ def same_length(text: Column) -> Column:
     return F.translate(one, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def quote_in_source(source: Column, quote: Column) -> Column:
-    """Do the fragments of a quote (split at an ellipsis) occur in the source one after another?"""
-    fragments = F.filter(F.transform(F.split(squash(quote), r"\.\.\.|…"), lambda f: F.trim(f)), lambda f: f != "")
-    text = squash(source)
+def plain_words(text: Column) -> Column:
+    """Words and whole numbers ("4,150" and "146.0" are one each) in lower case, separated by single blanks."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"), F.lit(0)), " ")
 
-    def place(fragment: Column, at: Column) -> Column:
-        return F.call_function("locate", fragment, text, at)
 
-    end = F.aggregate(fragments, F.lit(1), lambda at, f: F.when(at == 0, F.lit(0)).when(place(f, at) > 0, place(f, at) + F.length(f)).otherwise(F.lit(0)))
-    return (F.size(fragments) > 0) & (end > 0)
+def quote_in_source(source: Column, quote: Column, window: int = 400) -> Column:
+    """Do the fragments of a quote (split at an ellipsis) stand in the source, as whole words, one after another inside a passage
+    of `window` characters of plain words? Every place of the first fragment is tried."""
+    fragments = F.filter(F.transform(F.split(quote, r"\[\.\.\.\]|\.\.\.|…"), plain_words), lambda f: f != "")
+    text = F.concat(F.lit(" "), plain_words(source), F.lit(" "))
+    first = F.get(fragments, F.lit(0))
+    # a group inside a look-ahead: passages may overlap
+    passages = F.regexp_extract_all(text, F.concat(F.lit("(?=( \\Q"), first, F.lit(f"\\E .{{0,{window}}}))")), F.lit(1))
+
+    def holds_rest(passage: Column) -> Column:
+        body = F.substring(passage, 1, window + 2)
+
+        def after(end: Column, f: Column) -> Column:
+            at = F.call_function("locate", F.concat(F.lit(" "), f, F.lit(" ")), body, end + 1)
+            return F.when((end > 0) & (at > 0), at + F.length(f)).otherwise(0)
+
+        return F.aggregate(F.slice(fragments, F.lit(2), F.size(fragments)), F.length(first) + 1, after) > 0
+
+    return F.coalesce((F.size(fragments) > 0) & F.exists(passages, holds_rest), F.lit(False))
 
 
 def masked_numbers(text: Column) -> Column:

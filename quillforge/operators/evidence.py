@@ -153,16 +153,16 @@ def merged_snippets(hits: DataFrame, document: list[str], at: str, length: str,
     return fitted.select(*document, "place", "start", F.substring("_text", F.col("start") + 1, F.col("_end") - F.col("start")).alias("snippet"), "hits")
 
 
-def corroborated(bindings: DataFrame, offers: DataFrame, key: list[str], level: str, value: str, highest: int, step: float) -> DataFrame:
-    """bindings with new_level and backed_by: a binding whose value some independent offer of its key states, within a step, gains
-    a level, up to the highest; one without a value, or that an offer contradicts as well, keeps its own."""
+def corroborated(bindings: DataFrame, offers: DataFrame, key: list[str], level: str, vetoed: str, value: str, least: int, highest: int, step: float) -> DataFrame:
+    """bindings with new_level and backed_by: a binding of level `least` or more, without a veto, whose value some independent
+    offer of its key states, within a step, is of the highest level; the sources that say so are told even if it was before."""
     o = offers.where(F.col("offer").isNotNull()).select(*key, "source", "offer")
+    able = bindings.where((F.col(level) >= least) & ~F.coalesce(F.col(vetoed), F.lit(False)) & F.col(value).isNotNull())
     near = F.abs(F.col("offer") - F.col(value)) <= step
-    per = bindings.join(o, key).groupBy(*key).agg(F.count_if(near).alias("_for"), F.count_if(~near).alias("_against"), F.array_join(F.sort_array(F.collect_set(F.when(near, F.col("source")))), ",").alias("_names"))
+    per = able.join(o, key).where(near).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("_names"))
     both = bindings.join(per, key, "left")
-    up = (F.col("_for") > 0) & (F.col("_against") == 0)
-    raised = F.when(up, F.least(F.col(level) + 1, F.lit(highest))).otherwise(F.col(level))
-    return both.select(*bindings.columns, raised.alias("new_level"), F.when(up, F.col("_names")).otherwise("").alias("backed_by"))
+    raised = F.when(F.col("_names").isNotNull(), F.greatest(F.col(level), F.lit(highest))).otherwise(F.col(level))
+    return both.select(*bindings.columns, raised.alias("new_level"), F.coalesce("_names", F.lit("")).alias("backed_by"))
 
 
 def withheld(offers: DataFrame, key: list[str], field: str, value: str, never: list[str], requires: DataFrame, cycle: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,55 +193,72 @@ def pair_next(events: DataFrame, by: list[str], order: list[str], kind: str, cal
     return out.withColumns({f"result_{c}": F.when(F.col("_kind") == result, F.col(f"result_{c}")) for c in columns}).drop("_kind")
 
 
+def _queues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, name, seq, is_call, own) in order of (run, name, seq) to (run, call_seq, result_seq). What is held is the open
+    calls of one name of one run: a queue from which calls drop out by themselves once their own result has come."""
+    key, calls = None, deque()
+    for batch in batches:
+        found = []
+        for run, name, seq, is_call, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (run, name) != key:
+                key, calls = (run, name), deque()
+            if is_call:
+                calls.append((seq, own))
+                continue
+            while calls and calls[0][1] is not None and calls[0][1] < seq:
+                calls.popleft()
+            if calls:
+                found.append((run, calls.popleft()[0], seq))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(f).type) for c, f in zip(columns, (0, 2, 2), strict=True)], names=["run", "call_seq", "result_seq"])
+
+
 def pair_calls(events: DataFrame, run: str, seq: str) -> DataFrame:
     """run, call_seq, name, result_seq of every call, from columns kind (call/result), call_id, name.
 
-    A result belongs to the newest call of its id, if no other result took that call before. Every other result goes to the
-    oldest open call of its name, among the calls that get no result by their id; if none is open it drops out. A queue is
-    told by two running counts: a result finds it empty exactly when results so far outnumber calls by more than ever."""
+    A result goes to the newest call of its id that no result of that id took. Every other result goes to the oldest call of
+    its name that is still open then: one whose own result comes later is open until then, and takes part; its own result
+    replaces the other. A result that finds no open call drops out. Which call is the oldest open one depends on all results
+    before, so rows of a (run, name) are read in order, by one task; it holds that name's open calls only."""
     e = events.where(F.col("kind").isin("call", "result"))
     by_id = Window.partitionBy(run, "call_id").orderBy(seq)
     named = F.col("call_id").isNotNull() & (F.col("call_id") != "")
-    before = F.lag(F.struct(F.col("kind"), F.col(seq).alias("at"))).over(by_id)
-    after = F.lead("kind").over(by_id)
     call = F.col("kind") == "call"
-    e = e.withColumn("_call", F.when(named & ~call & (before["kind"] == "call"), before["at"])).withColumn("_answered", named & call & F.coalesce(after == "result", F.lit(False)))
-    answers = e.where("_call IS NOT NULL").select(run, F.col("_call").alias("call_seq"), F.col(seq).alias("result_seq"))
-
-    loose = e.where("NOT _answered AND _call IS NULL")
-    queue = Window.partitionBy(run, "name").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    calls, results = F.count_if(call).over(queue), F.count_if(~call).over(queue)
-    loose = loose.withColumn("_calls", calls).withColumn("_results", results)
-    loose = loose.withColumn("_dropped", F.greatest(F.lit(0), F.max(F.col("_results") - F.col("_calls")).over(queue)))
-    ordered = Window.partitionBy(run, "name").orderBy(seq)
-    kept = call | (F.col("_dropped") == F.coalesce(F.lag("_dropped").over(ordered), F.lit(0)))
-    loose = loose.withColumn("_kept", kept).where("_kept").withColumn("_k", F.when(call, F.col("_calls")).otherwise(F.col("_results") - F.col("_dropped")))
-    pairs = loose.groupBy(run, "name", "_k").agg(F.min(F.when(call, F.col(seq))).alias("call_seq"), F.min(F.when(~call, F.col(seq))).alias("result_seq"))
-    found = answers.unionByName(pairs.where("call_seq IS NOT NULL AND result_seq IS NOT NULL").select(run, "call_seq", "result_seq"))
-    return events.where("kind = 'call'").select(run, F.col(seq).alias("call_seq"), "name").join(found, [run, "call_seq"], "left").select(run, "call_seq", "name", "result_seq")
-
-
-def split_one_way(names: DataFrame, text: str, known: list[str], most: int = 5) -> DataFrame:
-    """names with parts: the text's words as a sequence of at least two known names, if that works in exactly one way.
-
-    A part has at most `most` words; texts have any number. One fold over the words keeps at most three ways to reach each
-    word: enough to tell one way from several, besides the whole text as a single part, which does not count."""
-    known_set = F.array(*[F.lit(k) for k in known])
-    n = F.size("_words")
-
-    def ending(ways: Column, end: Column) -> Column:
-        """The ways to split the first `end` words, each as its parts joined by |."""
-
-        def last_part(size: Column) -> Column:
-            part = F.array_join(F.slice(F.col("_words"), end - size + 1, size), " ")
-            longer = F.transform(F.get(ways, end - size), lambda way: F.when(way == "", part).otherwise(F.concat(way, F.lit("|"), part)))
-            return F.when(F.array_contains(known_set, part), longer).otherwise(F.array().cast("array<string>"))
-
-        return F.slice(F.flatten(F.transform(F.sequence(F.lit(1), F.least(end, F.lit(most))), last_part)), 1, 3)
-
-    start = F.array(F.array(F.lit("")))
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, lambda ways, end: F.concat(ways, F.array(ending(ways, end))))
-    whole = F.array_join("_words", " ")
-    out = names.withColumn("_words", F.split(F.trim(F.col(text)), r"\s+"))
-    out = out.withColumn("_ways", F.when(n >= 2, F.filter(F.element_at(folded, -1), lambda way: way != whole)))
-    return out.withColumn("parts", F.when(F.size("_ways") == 1, F.get(F.col("_ways"), F.lit(0)))).drop("_words", "_ways")
+    before = F.lag(F.struct(F.col("kind"), F.col(seq).alias("at"))).over(by_id)
+    after = F.lead(F.struct(F.col("kind"), F.col(seq).alias("at"))).over(by_id)
+    taken = F.when(named & ~call & (before["kind"] == "call"), before["at"])
+    own = F.when(named & call & (after["kind"] == "result"), after["at"])
+    e = e.select(F.col(run).alias("_run"), "name", F.col(seq).alias("_seq"), call.alias("_is_call"), own.alias("_own"), taken.alias("_taken"))
+    kinds = dict(e.dtypes)
+    ordered = e.where("_taken IS NULL").drop("_taken").repartition("_run", "name").sortWithinPartitions("_run", "name", "_seq")
+    by_name = ordered.mapInArrow(_queues, f"run {kinds['_run']}, call_seq {kinds['_seq']}, result_seq {kinds['_seq']}")
+    own_results = e.where("_own IS NOT NULL").select(F.col("_run").alias("run"), F.col("_seq").alias("call_seq"), F.col("_own").alias("own_seq"))
+    calls = events.where("kind = 'call'").select(F.col(run).alias("run"), F.col(seq).alias("call_seq"), "name")
+    both = calls.join(own_results, ["run", "call_seq"], "left").join(by_name, ["run", "call_seq"], "left")
+    return both.select(F.col("run").alias(run), "call_seq", "name", F.coalesce("own_seq", "result_seq").alias("result_seq"))
+
+
+def split_one_way(names: DataFrame, text: str, known: DataFrame, name: str, by: list[str] | None = None, most: int = 5) -> DataFrame:
+    """names with parts: the text's words as a sequence of known names (of the same `by`), each once, if the text splits in
+    exactly one way and that has at least two parts. The whole text counts as a way if it is a known name itself.
+
+    A part has at most `most` words; texts have any number. Parts meet the known names in one equi-join; a fold over the words
+    then keeps at most two ways to reach each word, enough to tell one from several. Null texts have no parts."""
+    by = by or []
+    words = F.split(F.trim(F.col(text)), r"\s+")
+    texts = names.select(*by, text).where(F.col(text).isNotNull()).distinct()
+    ends = texts.select("*", words.alias("_words")).select("*", F.explode(F.sequence(F.lit(1), F.size("_words"))).alias("_end"))
+    parts = ends.select("*", F.explode(F.sequence(F.lit(1), F.least("_end", F.lit(most)))).alias("_size")).withColumn("_part", F.array_join(F.slice("_words", F.col("_end") - F.col("_size") + 1, F.col("_size")), " "))
+    found = parts.join(known.select(*by, F.col(name).alias("_part")).distinct(), [*by, "_part"]).groupBy(*by, text, "_end").agg(F.sort_array(F.collect_list(F.struct("_size", "_part"))).alias("_hits"))
+    per_text = found.groupBy(*by, text).agg(F.map_from_entries(F.collect_list(F.struct("_end", "_hits"))).alias("_at"))
+
+    def reached(ways: Column, end: Column) -> Column:
+        steps = F.transform(F.element_at("_at", end), lambda h: F.transform(F.get(ways, end - h["_size"]), lambda way: F.array_append(way, h["_part"])))
+        return F.coalesce(F.slice(F.flatten(steps), 1, 2), F.array().cast("array<array<string>>"))
+
+    start = F.array(F.array(F.array().cast("array<string>")))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(words)), start, lambda ways, end: F.concat(ways, F.array(reached(ways, end))))
+    split = per_text.withColumn("_ways", F.element_at(folded, -1))
+    only = F.get("_ways", F.lit(0))
+    split = split.select(*by, text, F.when((F.size("_ways") == 1) & (F.size(only) >= 2), F.array_join(F.array_distinct(only), "|")).alias("parts"))
+    return names.join(split, [*by, text], "left")

@@ -77,15 +77,20 @@ def match_level(statuses: DataFrame, lead: list[str]) -> DataFrame:
     return per.select("target_id", level.alias("level"), F.when(F.col("with_survivors") > 0, F.col("lead_source")).alias("lead_source"), "unique_sources")
 
 
-def level_by_route(statuses: DataFrame, routes: DataFrame, exact: dict[str, list[list[str]]]) -> DataFrame:
+def level_by_route(statuses: DataFrame, routes: DataFrame, exact: dict[str, list[list[str]]], sources: dict[str, list[str]]) -> DataFrame:
     """target_id, route, level for targets with a route. exact says for each route which sources make a match exact: any of the
-    lists, all of whose sources must be unique. An unknown route (one that exact does not have, or null) asks for all routes'
-    conditions. Partial if any source has survivors, else null."""
-    unique = statuses.groupBy("target_id").agg(F.collect_set(F.when(F.col("status") == "unique", F.col("source"))).alias("_unique"), F.max(F.col("survivors") > 0).alias("_some"))
+    lists, all of whose sources must be unique. Else it is partial if any of the route's own sources has survivors, and null
+    if none has. An unknown route (one that exact does not have, or null) asks for all routes' conditions and looks at all
+    sources."""
+    own = lambda condition: F.collect_set(F.when(condition, F.col("source")))  # noqa: E731  the sources are few
+    per = statuses.groupBy("target_id").agg(own(F.col("status") == "unique").alias("_unique"), own(F.col("survivors") > 0).alias("_alive"))
     holds = {route: reduce(lambda a, b: a | b, (F.size(F.array_except(F.array(*map(F.lit, all_of)), F.col("_unique"))) == 0 for all_of in ways)) for route, ways in exact.items()}
-    met = reduce(lambda out, route: F.when(F.col("route") == route, holds[route]).otherwise(out), exact, reduce(lambda a, b: a & b, holds.values()))
-    both = routes.join(unique, "target_id", "left")
-    level = F.when(F.col("_unique").isNotNull() & met, "exact").when(F.col("_some"), "partial")
+    alive = {route: F.arrays_overlap(F.array(*map(F.lit, names)), F.col("_alive")) for route, names in sources.items()}
+    by_route = lambda of, otherwise: reduce(lambda out, route: F.when(F.col("route") == route, of[route]).otherwise(out), of, otherwise)
+    both = routes.join(per, "target_id", "left")
+    met = by_route(holds, reduce(lambda a, b: a & b, holds.values()))
+    some = by_route(alive, F.size("_alive") > 0)
+    level = F.when(F.col("_unique").isNotNull() & met, "exact").when(some, "partial")
     return both.select("target_id", "route", level.alias("level"))
 
 

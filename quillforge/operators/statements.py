@@ -84,9 +84,13 @@ def canonical_json(text: Column) -> Column:
 
 
 def lenient_json(text: Column) -> Column:
-    """The JSON object in a text that may have other words or a code fence around it, canonical: from the first opening brace
-    to the last closing one; null if that is no JSON."""
-    return canonical_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")))
+    """The JSON in a model's text, canonical: the first that parses of the whole text, each code fence in order, and what stands
+    from the first opening brace to the last closing one; null if none does."""
+    fences = F.regexp_extract_all(text, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1))
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    tried = F.concat(F.array(text), fences, F.array(braces))
+    parsed = F.transform(F.transform(tried, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: F.when(t != "", canonical_json(t)))
+    return F.get(F.filter(parsed, lambda t: t.isNotNull()), F.lit(0))
 
 
 def without_empty(fields: dict[str, Column]) -> Column:

@@ -164,13 +164,13 @@ _CALLS = """e AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_type I
 
 
 @R.query(f"""
-WITH {_CALLS}, k AS (SELECT *, CASE WHEN call_id IS NOT NULL THEN lag((kind, seq)) OVER w END AS b, CASE WHEN call_id IS NOT NULL THEN lead(kind) OVER w END AS a FROM e WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY run, call_id ORDER BY seq)),
-m AS (SELECT *, CASE WHEN kind = 'result' AND b[1] = 'call' THEN b[2] END AS c, kind = 'call' AND coalesce(a = 'result', false) AS answered FROM k),
-q AS (SELECT *, count(CASE WHEN kind = 'call' THEN 1 END) OVER w AS nc, count(CASE WHEN kind = 'result' THEN 1 END) OVER w AS nr FROM m WHERE NOT answered AND c IS NULL WINDOW w AS (PARTITION BY run, name ORDER BY seq)),
-d AS (SELECT *, greatest(0, max(nr - nc) OVER (PARTITION BY run, name ORDER BY seq)) AS dropped FROM q), f AS (SELECT *, coalesce(lag(dropped) OVER (PARTITION BY run, name ORDER BY seq), 0) AS was FROM d),
-p AS (SELECT run, min(seq) FILTER (kind = 'call') AS call_seq, min(seq) FILTER (kind = 'result') AS result_seq FROM f WHERE kind = 'call' OR dropped = was GROUP BY run, name, CASE WHEN kind = 'call' THEN nc ELSE nr - dropped END),
-found AS (SELECT run, c AS call_seq, seq AS result_seq FROM m WHERE c IS NOT NULL UNION ALL SELECT * FROM p WHERE call_seq IS NOT NULL AND result_seq IS NOT NULL)
-SELECT e.run, e.seq AS call_seq, e.name, result_seq FROM e LEFT JOIN found ON found.run = e.run AND call_seq = e.seq WHERE kind = 'call'
+WITH RECURSIVE {_CALLS}, k AS (SELECT *, CASE WHEN call_id IS NOT NULL THEN lag((kind, seq)) OVER w END AS b, CASE WHEN call_id IS NOT NULL THEN lead((kind, seq)) OVER w END AS a FROM e WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY run, call_id ORDER BY seq)),
+m AS (SELECT run, name, seq, kind, CASE WHEN kind = 'call' AND a[1] = 'result' THEN a[2] END AS own, kind = 'result' AND coalesce(b[1] = 'call', false) AS taken FROM k),
+q AS (SELECT *, row_number() OVER (PARTITION BY run, name ORDER BY seq) AS i FROM m WHERE NOT taken),
+s(run, name, i, waiting, c, r) AS (SELECT DISTINCT run, name, 0::BIGINT, []::STRUCT(seq BIGINT, own BIGINT)[], NULL::BIGINT, NULL::BIGINT FROM q UNION ALL
+  SELECT run, name, i, CASE WHEN kind = 'call' THEN list_append(alive, {{'seq': seq, 'own': own}}) ELSE alive[2:] END, CASE WHEN kind = 'result' THEN alive[1].seq END, CASE WHEN kind = 'result' THEN seq END
+  FROM (SELECT q.*, list_filter(s.waiting, lambda x: x.own IS NULL OR x.own > q.seq) AS alive FROM s JOIN q ON q.run = s.run AND q.name = s.name AND q.i = s.i + 1))
+SELECT m.run, m.seq AS call_seq, m.name, coalesce(m.own, s.r) AS result_seq FROM m LEFT JOIN s ON s.run = m.run AND s.c = m.seq WHERE m.kind = 'call'
 """)
 def tool_calls(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")

@@ -179,14 +179,14 @@ def range_agreement(spark, sf_dir):
 
 
 @R.query(f"""
-WITH {_SOURCES}, rt AS (SELECT target_id, CASE target_id // 50 % 3 WHEN 0 THEN 'european' WHEN 1 THEN 'american' END AS route FROM t), q AS (SELECT target_id, bool_or(status = 'unique' AND source = 'a') AS a, bool_or(status = 'unique' AND source = 'b') AS b, bool_or(status = 'unique' AND source = 'c') AS c, bool_or(survivors > 0) AS s FROM us GROUP BY 1)
-SELECT target_id, route, CASE WHEN CASE route WHEN 'european' THEN a AND b OR a AND c WHEN 'american' THEN c ELSE (a AND b OR a AND c) AND c END THEN 'exact' WHEN s THEN 'partial' END AS level FROM rt LEFT JOIN q USING (target_id)
+WITH {_SOURCES}, rt AS (SELECT target_id, CASE target_id // 50 % 3 WHEN 0 THEN 'european' WHEN 1 THEN 'american' END AS route FROM t), q AS (SELECT target_id, bool_or(status = 'unique' AND source = 'a') AS a, bool_or(status = 'unique' AND source = 'b') AS b, bool_or(status = 'unique' AND source = 'c') AS c, bool_or(survivors > 0) AS s, bool_or(survivors > 0 AND source IN ('a', 'b')) AS eu, bool_or(survivors > 0 AND source = 'c') AS am FROM us GROUP BY 1)
+SELECT target_id, route, CASE WHEN CASE route WHEN 'european' THEN a AND b OR a AND c WHEN 'american' THEN c ELSE (a AND b OR a AND c) AND c END THEN 'exact' WHEN CASE route WHEN 'european' THEN eu WHEN 'american' THEN am ELSE s END THEN 'partial' END AS level FROM rt LEFT JOIN q USING (target_id)
 """)
 def level_by_route(spark, sf_dir):
     targets, alive = _survivors(spark, sf_dir)
     kind = F.floor(F.col("target_id") / 50) % 3
     routes = targets.select("target_id", F.when(kind == 0, "european").when(kind == 1, "american").alias("route"))
-    return X.level_by_route(X.match_status(targets, alive, "p_type"), routes, {"european": [["a", "b"], ["a", "c"]], "american": [["c"]]})
+    return X.level_by_route(X.match_status(targets, alive, "p_type"), routes, {"european": [["a", "b"], ["a", "c"]], "american": [["c"]]}, {"european": ["a", "b"], "american": ["c"]})
 
 
 @R.query("""

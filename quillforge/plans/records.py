@@ -262,15 +262,15 @@ def merged_snippets(spark, sf_dir):
 
 
 @R.query("""
-WITH b AS (SELECT p_partkey, p_partkey % 5 AS level, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS value FROM part), o AS (SELECT l_partkey AS p_partkey, l_returnflag AS source, CASE WHEN l_linenumber > 2 THEN l_quantity::INT END AS offer FROM lineitem WHERE l_discount > 0.085),
-g AS (SELECT p_partkey, count(CASE WHEN abs(offer - value) <= 3 THEN 1 END) AS f, count(CASE WHEN abs(offer - value) > 3 THEN 1 END) AS a, string_agg(DISTINCT CASE WHEN abs(offer - value) <= 3 THEN source END, ',' ORDER BY CASE WHEN abs(offer - value) <= 3 THEN source END) AS names FROM b JOIN o USING (p_partkey) WHERE offer IS NOT NULL GROUP BY 1)
-SELECT b.*, CASE WHEN f > 0 AND a = 0 THEN least(level + 1, 4) ELSE level END AS new_level, CASE WHEN f > 0 AND a = 0 THEN names ELSE '' END AS backed_by FROM b LEFT JOIN g USING (p_partkey)
+WITH b AS (SELECT p_partkey, p_partkey % 6 AS level, p_partkey % 11 = 0 AS vetoed, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS value FROM part), o AS (SELECT l_partkey AS p_partkey, l_returnflag || l_linestatus AS source, CASE WHEN l_linenumber > 2 THEN l_quantity::INT END AS offer FROM lineitem),
+g AS (SELECT p_partkey, string_agg(DISTINCT source, ',' ORDER BY source) AS names FROM b JOIN o USING (p_partkey) WHERE level >= 2 AND NOT vetoed AND offer = value GROUP BY 1)
+SELECT b.*, CASE WHEN names IS NOT NULL THEN greatest(level, 4) ELSE level END AS new_level, coalesce(names, '') AS backed_by FROM b LEFT JOIN g USING (p_partkey)
 """)
 def corroborated(spark, sf_dir):
     k = F.col("p_partkey")
-    b = table(spark, sf_dir, "part").select("p_partkey", (k % 5).alias("level"), F.when(k % 7 > 0, F.col("p_size")).alias("value"))
-    o = table(spark, sf_dir, "lineitem").where("l_discount > 0.085").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("source"), F.when(F.col("l_linenumber") > 2, F.col("l_quantity").cast("int")).alias("offer"))
-    return V.corroborated(b, o, ["p_partkey"], "level", "value", 4, 3)
+    b = table(spark, sf_dir, "part").select("p_partkey", (k % 6).alias("level"), (k % 11 == 0).alias("vetoed"), F.when(k % 7 > 0, F.col("p_size")).alias("value"))
+    o = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat("l_returnflag", "l_linestatus").alias("source"), F.when(F.col("l_linenumber") > 2, F.col("l_quantity").cast("int")).alias("offer"))
+    return V.corroborated(b, o, ["p_partkey"], "level", "vetoed", "value", 2, 4, 0)
 
 
 @R.query("""

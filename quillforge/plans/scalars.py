@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.functions import numbers as N
@@ -79,41 +81,51 @@ def rounding_tolerance(spark, sf_dir):
     return part.select("p_partkey", verdict.alias("verdict"))
 
 
-SPLITS = ["small", "ring", "small ring", "red", "widget", "blue bolt", "nut", "large"]
-
-
 @R.query("""
-WITH RECURSIVE k(n) AS (VALUES ('small'), ('ring'), ('small ring'), ('red'), ('widget'), ('blue bolt'), ('nut'), ('large')), t AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS x FROM part),
-w(x, rest, parts, n) AS (SELECT x, x || ' ', '', 0 FROM t UNION ALL SELECT x, substr(rest, length(k.n) + 2), CASE WHEN parts = '' THEN k.n ELSE parts || '|' || k.n END, w.n + 1 FROM w JOIN k ON starts_with(rest, k.n || ' ')),
-f AS (SELECT x, count(*) AS ways, min(parts) AS parts FROM w WHERE rest = '' AND n > 1 GROUP BY 1) SELECT t.x, CASE WHEN ways = 1 THEN parts END AS parts FROM t LEFT JOIN f USING (x)
+WITH RECURSIVE p AS (SELECT p_brand, p_size, p_name, lower(p_type) AS t, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+k AS (SELECT DISTINCT p_brand, n FROM (SELECT p_brand, a AS n FROM p WHERE p_size % 2 = 0 UNION ALL SELECT p_brand, b FROM p WHERE p_size % 3 = 0 UNION ALL SELECT p_brand, p_name FROM p WHERE p_size % 5 = 0 UNION ALL SELECT p_brand, t FROM p WHERE p_size % 2 = 1 UNION ALL SELECT p_brand, p_name || ' ' || t FROM p WHERE p_size % 7 = 0)),
+x AS (SELECT DISTINCT p_brand, CASE WHEN p_size % 4 = 0 THEN p_name || ' ' || t || ' ' || p_name ELSE p_name || ' ' || t END AS x FROM p),
+w(p_brand, x, rest, parts) AS (SELECT p_brand, x, x || ' ', []::VARCHAR[] FROM x UNION ALL SELECT w.p_brand, x, substr(rest, length(k.n) + 2), list_append(parts, k.n) FROM w JOIN k ON k.p_brand = w.p_brand AND starts_with(rest, k.n || ' ')),
+f AS (SELECT p_brand, x, count(*) AS ways, any_value(parts) AS parts FROM w WHERE rest = '' GROUP BY 1, 2)
+SELECT p_brand, x, CASE WHEN ways = 1 AND len(parts) > 1 THEN array_to_string(list_filter(parts, lambda v, i: list_position(parts, v) = i), '|') END AS parts FROM x LEFT JOIN f USING (p_brand, x)
 """)
 def one_way_splits(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("x")).distinct()
-    return J.split_one_way(names, "x", SPLITS)
+    """Texts of several names of a brand; names that are known are parts, wholes, or ambiguous with each other."""
+    size, kind = F.col("p_size"), F.lower("p_type")
+    part = table(spark, sf_dir, "part")
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    both = F.concat("p_name", F.lit(" "), kind)
+    known = [part.where(where).select("p_brand", n.alias("n")) for where, n in ((size % 2 == 0, word(1)), (size % 3 == 0, word(2)), (size % 5 == 0, F.col("p_name")), (size % 2 == 1, kind), (size % 7 == 0, both))]
+    names = part.select("p_brand", F.when(size % 4 == 0, F.concat(both, F.lit(" "), "p_name")).otherwise(both).alias("x")).distinct()
+    return J.split_one_way(names, "x", reduce(DataFrame.unionByName, known), "n", ["p_brand"])
 
 
 _ADMITTED = r"""
-d AS (SELECT doc_id, text, regexp_extract(text, '([A-Z][A-Za-z]+ [A-Za-z ]{0,40}[0-9]\.[0-9])', 1) AS q FROM documents), e AS (SELECT doc_id, q, try_cast(regexp_extract(q, '([0-9]\.[0-9])$', 1) AS DOUBLE) AS n FROM d WHERE q <> ''),
+d AS (SELECT doc_id, text, regexp_extract(text, '([A-Z][A-Za-z]+ [A-Za-z ]{0,40}[0-9]\.[0-9])', 1) AS q FROM documents), e AS (SELECT doc_id, text, q, try_cast(regexp_extract(q, '([0-9]\.[0-9])$', 1) AS DOUBLE) AS n FROM d WHERE q <> ''),
 s AS (SELECT doc_id // 3 AS item, doc_id * 2 + c AS seq, CASE WHEN doc_id % 19 = 0 THEN -1 ELSE doc_id END AS source, CASE WHEN doc_id % 23 = 0 THEN 'colour' WHEN doc_id % 2 = 0 THEN 'version' ELSE 'release' END AS field, CASE WHEN doc_id % 7 = 0 AND c = 1 THEN n + 1 ELSE n END AS value, CASE WHEN doc_id % 2 = 1 AND doc_id % 5 = 0 THEN 'kg' WHEN doc_id % 2 = 1 THEN 'v' END AS unit,
-  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 AND c = 1 THEN q || ' never said' WHEN c = 1 THEN upper(replace(q, ' ', '  ')) ELSE left(q, 5) || ' ... ' || right(q, 6) END AS quote FROM e CROSS JOIN (VALUES (0), (1)) t(c))
+  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 AND c = 1 THEN q || ' never said' WHEN c = 1 THEN upper(replace(q, ' ', '  ')) WHEN doc_id % 17 = 0 THEN regexp_extract(e.text, '[A-Za-z]+') || ' … ' || right(q, 3) ELSE split_part(q, ' ', 1) || ' ... ' || right(q, 3) END AS quote FROM e CROSS JOIN (VALUES (0), (1)) t(c))
 """
 
 
-@R.query(f"""
-WITH {_ADMITTED}, z AS (SELECT s.*, d.text, lower(trim(regexp_replace(translate(d.text, '‘’“”‐‑‒–— ', '''''""----- '), '\\s+', ' ', 'g'))) AS body, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS qq FROM s LEFT JOIN d ON d.doc_id = source),
-f AS (SELECT *, trim(split_part(qq, '...', 1)) AS f1, trim(split_part(qq, '...', 2)) AS f2 FROM z), g AS (SELECT *, CASE WHEN qq NOT LIKE '%...%' THEN contains(body, qq) ELSE position(f1 IN body) > 0 AND (f2 = '' OR position(f2 IN substr(body, position(f1 IN body) + length(f1))) > 0) END AS stands FROM f),
-r AS (SELECT *, CASE WHEN field = 'colour' THEN 'unknown_field' WHEN text IS NULL THEN 'no_source' WHEN quote IS NULL THEN 'no_quote' WHEN NOT stands THEN 'quote_not_in_source' WHEN value IS NULL OR len(list_filter(regexp_extract_all(quote, '[0-9]+(?:\\.[0-9]+)?'), lambda x: abs(x::DOUBLE - value) < 1e-9)) = 0 THEN 'value_not_in_quote'
+_PLAIN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
+
+
+@R.query(rf"""
+WITH {_ADMITTED}, z AS (SELECT s.*, d.text, ' ' || array_to_string(regexp_extract_all(lower(d.text), '{_PLAIN}'), ' ') || ' ' AS body, regexp_split_to_array(quote, '\.\.\.|…') AS parts FROM s LEFT JOIN d ON d.doc_id = source),
+f AS (SELECT *, array_to_string(regexp_extract_all(lower(parts[1]), '{_PLAIN}'), ' ') AS f1, coalesce(array_to_string(regexp_extract_all(lower(parts[2]), '{_PLAIN}'), ' '), '') AS f2 FROM z),
+g AS (SELECT *, CASE WHEN f2 = '' THEN contains(body, ' ' || f1 || ' ') ELSE regexp_matches(body, ' ' || regexp_escape(f1) || ' (?:.{{0,' || greatest(0, 398 - length(f1) - length(f2)) || '}} )?' || regexp_escape(f2) || ' ') END AS stands FROM f),
+r AS (SELECT *, CASE WHEN field = 'colour' THEN 'unknown_field' WHEN text IS NULL THEN 'no_source' WHEN quote IS NULL THEN 'no_quote' WHEN NOT stands THEN 'quote_not_in_source' WHEN value IS NULL OR len(list_filter(regexp_extract_all(quote, '[0-9]+(?:\.[0-9]+)?'), lambda x: abs(x::DOUBLE - value) < 1e-9)) = 0 THEN 'value_not_in_quote'
   WHEN unit IS DISTINCT FROM CASE field WHEN 'release' THEN 'v' END THEN 'unit_differs' WHEN value NOT BETWEEN 1 AND 3.5 THEN 'implausible' END AS reason FROM g)
 SELECT item, seq, source, field, value, coalesce(reason, CASE WHEN seq > min(CASE WHEN reason IS NULL THEN seq END) OVER (PARTITION BY item, field, value) THEN 'duplicate' ELSE 'admitted' END) AS reason FROM r
 """)
 def evidence_admission(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    q = docs.select("doc_id", F.regexp_extract("text", r"([A-Z][A-Za-z]+ [A-Za-z ]{0,40}[0-9]\.[0-9])", 1).alias("q")).where("q <> ''").withColumn("n", F.regexp_extract("q", r"([0-9]\.[0-9])$", 1).cast("double"))
+    q = docs.select("doc_id", "text", F.regexp_extract("text", r"([A-Z][A-Za-z]+ [A-Za-z ]{0,40}[0-9]\.[0-9])", 1).alias("q")).where("q <> ''").withColumn("n", F.regexp_extract("q", r"([0-9]\.[0-9])$", 1).cast("double"))
     d, c = F.col("doc_id"), F.col("c")
     s = q.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         F.floor(d / 3).alias("item"), (d * 2 + c).alias("seq"), F.when(d % 19 == 0, -1).otherwise(d).alias("source"), F.when(d % 23 == 0, "colour").when(d % 2 == 0, "version").otherwise("release").alias("field"),
         F.when((d % 7 == 0) & (c == 1), F.col("n") + 1).otherwise(F.col("n")).alias("value"), F.when((d % 2 == 1) & (d % 5 == 0), "kg").when(d % 2 == 1, "v").alias("unit"),
-        F.when(d % 11 == 0, None).when((d % 13 == 0) & (c == 1), F.concat("q", F.lit(" never said"))).when(c == 1, F.upper(F.replace("q", F.lit(" "), F.lit("  ")))).otherwise(F.concat(F.left("q", F.lit(5)), F.lit(" ... "), F.right("q", F.lit(6)))).alias("quote"),
+        F.when(d % 11 == 0, None).when((d % 13 == 0) & (c == 1), F.concat("q", F.lit(" never said"))).when(c == 1, F.upper(F.replace("q", F.lit(" "), F.lit("  ")))).when(d % 17 == 0, F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(" … "), F.right("q", F.lit(3)))).otherwise(F.concat(F.split_part("q", F.lit(" "), F.lit(1)), F.lit(" ... "), F.right("q", F.lit(3)))).alias("quote"),
     )
     fields = spark.createDataFrame([("version", None, 1.0, 3.5), ("release", "v", 1.0, 3.5)], "field string, field_unit string, lo double, hi double")
     return V.admit(s, docs.withColumnRenamed("doc_id", "source"), "source", "text", fields, ["item"], "seq").drop("unit", "quote")

@@ -82,14 +82,20 @@ def chunked_read(spark, sf_dir):
 
 
 @R.query("""
-SELECT p_partkey, CASE WHEN p_partkey % 6 <> 5 THEN '{"a":{"x":' || p_size || ',"y":null},"m":["' || p_type || '",' || p_partkey || '],"z":true}' END AS canonical FROM part
+WITH o AS (SELECT p_partkey, p_partkey % 12 AS k, '{"a":{"x":' || p_size || ',"y":null},"m":["' || p_type || '",' || p_partkey || '],"z":true}' AS j FROM part)
+SELECT p_partkey, CASE WHEN k <= 6 THEN j WHEN k = 7 THEN '[1,' || j || ']' WHEN k = 8 THEN p_partkey::VARCHAR WHEN k = 9 THEN '{"first":1}' END AS canonical FROM o
 """)
 def canonical_json(spark, sf_dir):
-    """Model output around JSON: fences, words before and after, keys in any order; some of it is broken."""
-    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    one = F.concat(F.lit('{"z": true, "m": ["'), F.col("p_type"), F.lit('", '), k.cast("string"), F.lit('], "a": {"y": null, "x": '), size, F.lit("}}"))
-    two = F.concat(F.lit('{ "a" : {"x":'), size, F.lit(',"y":null},\n"z":true, "m":["'), F.col("p_type"), F.lit('",'), k.cast("string"), F.lit("] }"))
-    text = F.when(k % 6 == 0, one).when(k % 6 < 3, F.concat(F.lit("Here it is:\n```json\n"), two, F.lit("\n```\nDone."))).when(k % 6 < 5, F.concat(F.lit("  "), one)).otherwise(F.concat(F.lit("{"), one))
+    """Model output around JSON: whole, in fences of either case, after braces or a broken fence, with words around it; arrays and
+    single values; broken ones."""
+    k, size = F.col("p_partkey") % 12, F.col("p_size").cast("string")
+    one = F.concat(F.lit('{"z": true, "m": ["'), F.col("p_type"), F.lit('", '), F.col("p_partkey").cast("string"), F.lit('], "a": {"y": null, "x": '), size, F.lit("}}"))
+    around = lambda before, after: F.concat(F.lit(before), one, F.lit(after))
+    forms = [
+        one, around("\n  ", " \t"), around("Here it is:\n```json\n", "\n```\nDone."), around("Use {x}: ```JSON ", "``` {y}"), around("```\n{broken\n```\n```", "```"), around("It is ", ", as said."),
+        around("```json\nnothing``` so ", " then"), around("```[1, ", "]```"), F.col("p_partkey").cast("string"), F.concat(F.lit('```{"first": 1}``` ```'), one, F.lit("```")), around("{", ""), F.lit(" \n"),
+    ]
+    text = F.coalesce(*[F.when(k == i, form) for i, form in enumerate(forms)])
     return table(spark, sf_dir, "part").select("p_partkey", S.lenient_json(text).alias("canonical"))
 
 

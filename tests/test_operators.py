@@ -89,15 +89,17 @@ def test_pair_calls_by_id_then_oldest_open(spark):
 
 def test_split_one_way(spark):
     df = spark.createDataFrame([("A B",), ("A B C",), ("X",), ("A A",)], "t string")
-    got = dict(rows(J.split_one_way(df, "t", ["A", "B", "B C", "C"]), "t", "parts"))
-    assert got == {"A B": "A|B", "A B C": None, "X": None, "A A": "A|A"}  # A|B|C and A|B C: two ways
+    known = spark.createDataFrame([(n,) for n in ("A", "B", "B C", "C")], "n string")
+    got = dict(rows(J.split_one_way(df, "t", known, "n"), "t", "parts"))
+    assert got == {"A B": "A|B", "A B C": None, "X": None, "A A": "A"}  # A|B|C and A|B C: two ways
 
 
 def test_split_one_way_of_long_texts(spark):
     long = " ".join(["A", "B C D"] * 20)
     df = spark.createDataFrame([("X Y Z P Q R",), (long,), ("A A A A A A A",), ("E F E F E F",), ("X Y Z P Q",), (None,)], "t string")
-    got = dict(rows(J.split_one_way(df, "t", ["X Y Z", "P Q R", "A", "B C D", "A A", "E", "F", "E F"]), "t", "parts"))
-    assert got == {"X Y Z P Q R": "X Y Z|P Q R", long: "|".join(["A", "B C D"] * 20), "A A A A A A A": None, "E F E F E F": None, "X Y Z P Q": None, None: None}
+    known = spark.createDataFrame([(n,) for n in ("X Y Z", "P Q R", "A", "B C D", "A A", "E", "F", "E F")], "n string")
+    got = dict(rows(J.split_one_way(df, "t", known, "n"), "t", "parts"))
+    assert got == {"X Y Z P Q R": "X Y Z|P Q R", long: "A|B C D", "A A A A A A A": None, "E F E F E F": None, "X Y Z P Q": None, None: None}
 
 
 def test_newest_period_keeps_copies(spark):

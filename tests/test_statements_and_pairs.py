@@ -11,25 +11,23 @@ from quillforge.operators import statements as S
 
 
 def machine(events):
-    """Calls and results one after another: by id the newest call, else the oldest open call of the name."""
-    answered = {}
-    last_of_id, by_id = {}, {}
-    for seq, kind, call_id, _ in events:  # what ids decide
-        if call_id and kind == "call":
-            last_of_id[call_id] = seq
-        elif call_id and kind == "result" and call_id in last_of_id:
-            by_id[seq] = last_of_id.pop(call_id)
-    queue = []
-    for seq, kind, _, name in events:
-        if kind == "call" and seq not in by_id.values():
-            queue.append((name, seq))
-        elif kind == "result" and seq not in by_id:
-            hit = next((c for c in queue if c[0] == name), None)
-            if hit:
-                queue.remove(hit)
-                answered[hit[1]] = seq
-    answered |= {c: r for r, c in by_id.items()}
-    return [(seq, name, answered.get(seq)) for seq, kind, _, name in events if kind == "call"]
+    """Calls and results one after another, as a log is read."""
+    pairs, by_id, waiting = [], {}, []
+    for seq, kind, call_id, name in events:
+        if kind == "call":
+            pair = [seq, name, None]
+            pairs.append(pair)
+            waiting.append(pair)
+            if call_id:
+                by_id[call_id] = pair
+        elif kind == "result":
+            pair = by_id.pop(call_id, None) if call_id else None
+            if pair is None:
+                pair = next((p for p in waiting if p[1] == name), None)
+            if pair is not None:
+                pair[2] = seq
+                waiting = [p for p in waiting if p is not pair]
+    return [tuple(p) for p in pairs]
 
 
 def test_calls_and_results(spark):
@@ -96,4 +94,31 @@ def test_words_in_documents(spark):
 
 def test_fragments_of_a_quote(spark):
     one = lambda s, q: spark.range(1).select(T.quote_in_source(F.lit(s), F.lit(q))).first()[0]
-    assert one("Version 2.0 of it", "Versi ... on 2.0") and one("a 10 b 01 c", "10 … 01") and not one("a 01 b 10", "10 … 01")
+    assert one("Version 2.0 of it", "Version ... 2.0") and one("a 10 b 01 c", "10 … 01") and not one("a 01 b 10", "10 … 01")
+    assert not one("Version 2.0 of it", "Versi ... on 2.0") and not one("superpower 190", "power 190") and not one("power 1190", "power 190")
+    assert one("power " + "x " * 170 + "90 kw", "power … 90 kW") and not one("power " + "x " * 3_000 + "90 kw", "power … 90 kW")
+    assert one("power 1 " + "x " * 300 + "Power-90", "power … 90"), "a later place of the first fragment"
+    assert one("a b a b c", "a b … a b … c") and not one("a b a c", "a b … a b … c") and one("a b a b a c", "a b a … a c")
+    assert one("4,150 kg", "4,150") and not one("14,150 kg", "4,150") and one("a1b", "a … 1 … b") and not one("any", " … ") and not one("any", "...")
+    assert one(None, "x") is False and one("x", None) is False
+
+
+def test_one_way_splits(spark):
+    known = spark.createDataFrame([("m", n) for n in ("a", "b", "a b", "c", "d e f g h", "i j k l m n")] + [("o", "x")], "make string, n string")
+    texts = {("m", "a c"): "a|c", ("m", "a b"): None, ("m", "c c"): "c", ("m", "a b c"): None, ("m", "c d e f g h a"): "c|d e f g h|a", ("m", "i j k l m n c"): None, ("m", "a"): None, ("m", "a z"): None, ("o", "a c"): None, ("o", "x x x"): "x", ("m", " c  a "): "c|a", ("m", ""): None, ("m", None): None}
+    df = spark.createDataFrame(list(texts), "make string, t string")
+    got = {(r["make"], r["t"]): r["parts"] for r in J.split_one_way(df, "t", known, "n", ["make"]).collect()}
+    assert got == texts
+
+
+def test_json_in_a_models_text(spark):
+    cases = {'Use {x}: ```json {"a":1}```': '{"a":1}', "[1,2]": "[1,2]", '```\n{"b":1,"a":2}\n```': '{"a":2,"b":1}', '```{bad``` x ```{"c":3}```': '{"c":3}', 'so {"d": {"e": 4}} it is': '{"d":{"e":4}}', "": None, "none": None, "{": None, " 5 ": "5"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["j"] for r in df.select("t", S.lenient_json(F.col("t")).alias("j")).collect()} == cases
+
+
+def test_levels_by_route(spark):
+    status = spark.createDataFrame([(1, "c", 2, "ambiguous"), (1, "a", 0, "none"), (2, "a", 1, "unique"), (2, "b", 1, "unique"), (3, "c", 1, "unique"), (4, "b", 3, "ambiguous")], "target_id int, source string, survivors int, status string")
+    routes = spark.createDataFrame([(1, "european"), (2, "european"), (3, None), (4, "american"), (5, "european")], "target_id int, route string")
+    got = {r["target_id"]: r["level"] for r in X.level_by_route(status, routes, {"european": [["a", "b"]], "american": [["c"]]}, {"european": ["a", "b"], "american": ["c"]}).collect()}
+    assert got == {1: None, 2: "exact", 3: "partial", 4: None, 5: None}
