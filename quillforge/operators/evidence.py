@@ -80,6 +80,17 @@ def first_match(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("rule", first_reason(dict(rules)))
 
 
+def rule_coverage(df: DataFrame, group: str, key: str, rules: list[tuple[str, Column]], listed: int) -> DataFrame:
+    """group, rule, n, examples: how many rows each rule is the first to hold for (null: none), with the `listed` smallest keys.
+
+    Only the smallest keys of a rule travel: the limit is applied in every task before rows meet."""
+    found = first_match(df, rules).select(group, "rule", key)
+    counts = found.groupBy(group, "rule").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(group, "rule").orderBy(key))
+    first = found.withColumn("_i", place).where(F.col("_i") <= listed).groupBy(group, "rule").agg(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), ",").alias("examples"))
+    return counts.join(first, counts[group].eqNullSafe(first[group]) & counts["rule"].eqNullSafe(first["rule"])).select(counts[group], counts["rule"], "n", "examples")
+
+
 def preceding(df: DataFrame, entity: list[str], order: list[str], label: Column, name: str) -> DataFrame:
     """df with the last non-null label at or before each row."""
     w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

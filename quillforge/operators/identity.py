@@ -51,35 +51,36 @@ def code_text(code: Column) -> Column:
 CODE_RULES = ("exact_va", "toyota_style", "dotless_va", "second_token_t")
 
 
-def code_rank(rule: Column, code: Column, variant: Column, version: Column, approval: Column) -> Column:
-    """How a row carries a code under a rule: 0 by its first field, 1 by its second, null not at all.
+def code_forms(code: Column, variant: Column, version: Column, approval: Column) -> list[tuple[str, int, Column, Column]]:
+    """How a row carries a code under each rule, as (rule, rank, form of the code, form of the row): equal forms are a match, by the
+    rule's first field (0) or its second (1).
 
-    Rules (CODE_RULES; others match nothing): exact_va: the variant. toyota_style: version or variant without a bracketed suffix. dotless_va: the variant, else the
+    exact_va: the variant. toyota_style: version or variant without a bracketed suffix. dotless_va: the variant, else the
     version. second_token_t: the code's second of two tokens (four characters at least) is the approval, else the variant."""
     bare = lambda c: code_text(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", ""))
     wanted, token = code_text(code), F.split(F.trim(F.upper(code)), r"\s+")
-    second = F.when((F.size(token) == 2) & (F.length(F.get(token, F.lit(1))) >= 4), F.get(token, F.lit(1)))
-    ladder = lambda want, first, other: F.when(want == first, 0).when(want == other, 1)
-    return (
-        F.when(rule == "exact_va", F.when(wanted == code_text(variant), 0))
-        .when(rule == "toyota_style", F.when((wanted == bare(version)) | (wanted == bare(variant)), 0))
-        .when(rule == "dotless_va", ladder(wanted, code_text(variant), code_text(version)))
-        .when(rule == "second_token_t", ladder(code_text(second), code_text(approval), code_text(variant)))
-    )
+    second = code_text(F.when((F.size(token) == 2) & (F.length(F.get(token, F.lit(1))) >= 4), F.get(token, F.lit(1))))
+    return [
+        ("exact_va", 0, wanted, code_text(variant)), ("toyota_style", 0, wanted, bare(version)), ("toyota_style", 0, wanted, bare(variant)),
+        ("dotless_va", 0, wanted, code_text(variant)), ("dotless_va", 1, wanted, code_text(version)), ("second_token_t", 0, second, code_text(approval)), ("second_token_t", 1, second, code_text(variant)),
+    ]
 
 
 def by_type_code(targets: DataFrame, rows: DataFrame, rules: DataFrame, target: str, row: str, make: str) -> DataFrame:
     """target, status, rule and rows (how many) for each target (target, make, code).
 
-    rows has make, variant, version, approval; rules (make, rule, place) is a small table. Status: no_code, no_rows (none of
+    rows has make, variant, version, approval; rules (make, rule, place) has a few rows a maker. Status: no_code, no_rows (none of
     the maker), no_rule, match or no_match. The first rule of the maker that any row satisfies decides; of its rows those
-    count that satisfy it by the first field, if any do."""
+    count that satisfy it by the first field, if any do. Rows are counted by their forms before they meet a target, so there
+    are as many joined rows as targets times rules."""
     t = targets.withColumn("_code", code_text(F.col("code")))
-    makers = rows.groupBy(make).agg(F.count("*").alias("_rows")).join(F.broadcast(rules.groupBy(make).agg(F.count("*").alias("_rules"))), make, "left")
-    pairs = t.where("_code IS NOT NULL").select(target, make, "code").join(F.broadcast(rules), make).join(rows, make)
-    ranked = pairs.withColumn("_rank", code_rank(F.col("rule"), F.col("code"), F.col("variant"), F.col("version"), F.col("approval"))).where("_rank IS NOT NULL")
-    per = ranked.groupBy(target, "place", "rule", "_rank").agg(F.countDistinct(row).alias("_n"))
-    best = per.groupBy(target).agg(F.min_by(F.struct("rule", "_n"), F.struct("place", "_rank")).alias("_b"))
+    makers = rows.groupBy(make).agg(F.count("*").alias("_rows")).join(rules.groupBy(make).agg(F.count("*").alias("_rules")), make, "left")
+    forms = code_forms(F.col("code"), F.col("variant"), F.col("version"), F.col("approval"))
+    carried = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(rank).alias("_rank"), form.alias("_form")) for rule, rank, _, form in forms])
+    counts = rows.select(row, make, F.explode(carried).alias("f")).select(row, make, "f.*").where("_form IS NOT NULL").groupBy(make, "rule", "_rank", "_form").agg(F.countDistinct(row).alias("_n"))
+    asked = F.array_distinct(F.array(*[F.struct(F.lit(rule).alias("rule"), form.alias("_form")) for rule, _, form, _ in forms]))
+    pairs = t.select(target, make, F.explode(asked).alias("f")).select(target, make, "f.*").where("_form IS NOT NULL").join(rules, [make, "rule"]).join(counts, [make, "rule", "_form"])
+    best = pairs.groupBy(target).agg(F.min_by(F.struct("rule", "_n"), F.struct("place", "_rank")).alias("_b"))
     both = t.join(makers, make, "left").join(best, target, "left")
     status = F.when(F.col("_code").isNull(), "no_code").when(F.col("_rows").isNull(), "no_rows").when(F.col("_rules").isNull(), "no_rule").when(F.col("_b").isNotNull(), "match").otherwise("no_match")
     return both.select(target, status.alias("status"), F.col("_b.rule").alias("rule"), F.coalesce("_b._n", F.lit(0)).alias("rows"))

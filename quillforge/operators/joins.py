@@ -173,15 +173,38 @@ def price_or_range(targets: DataFrame, rows: DataFrame, key: list[str], value: s
     )
 
 
-def strongest_relation(left: DataFrame, right: DataFrame, block: str, code: str, value: str) -> DataFrame:
-    """For each row of left the strongest relation (equal, prefix, contains) of its code to a value of its block on the right,
-    ties to the smallest value. Blocks keep the comparison an equi-join; both sides are first reduced to distinct strings."""
-    r = right.select(F.col(block).alias("_block"), F.col(value).alias("_value")).distinct()
-    codes = left.select(block, code).distinct()
-    both = codes.join(r, F.col(block) == F.col("_block")).withColumn("_relation", relation(F.col(code), F.col("_value")))
-    strength = F.when(F.col("_relation") == "equal", 3).when(F.col("_relation") == "prefix", 2).when(F.col("_relation") == "contains", 1).otherwise(0)
-    best = both.withColumn("_s", strength).where("_s > 0").groupBy(block, code).agg(F.max("_s").alias("_s"), F.min_by(F.struct("_relation", "_value"), F.struct(-F.col("_s"), "_value")).alias("_b"))
-    return left.join(best.select(block, code, F.col("_b._relation").alias("relation"), F.col("_b._value").alias("related")), [block, code], "left").withColumn("relation", F.coalesce("relation", F.lit("none")))
+def strongest_relation(left: DataFrame, right: DataFrame, block: str, code: str, value: str, least: int = 4) -> DataFrame:
+    """For each row of left the strongest relation (equal, prefix, contains; the last two in either direction and only between
+    strings of at least `least` characters) of its code to a value of its block on the right, ties to the smallest value.
+
+    Equi-joins on substrings, for codes and names: a string of L characters has L squared of them at most. Of the values that
+    share a substring only the smallest travels, so no pair of strings is made that is not an answer."""
+    codes = left.select(F.col(block).alias("_block"), F.col(code).alias("_code")).where(F.col(code).isNotNull()).distinct()
+    values = right.select(F.col(block).alias("_block"), F.col(value).alias("_value")).where(F.col(value).isNotNull()).distinct()
+
+    def parts(df: DataFrame, text: str) -> DataFrame:
+        """_block, text and each different substring with whether it stands at the beginning."""
+        starts = df.where(F.length(text) >= least).select("*", F.explode(F.sequence(F.lit(1), F.length(text) - least + 1)).alias("_at"))
+        each = starts.select("*", F.explode(F.sequence(F.lit(least), F.length(text) - F.col("_at") + 1)).alias("_n"))
+        return each.select("_block", text, F.substring(F.col(text), F.col("_at"), F.col("_n")).alias("_part"), (F.col("_at") == 1).alias("_first"))
+
+    same = codes.join(values.withColumnRenamed("_value", "_code"), ["_block", "_code"], "left_semi").select("_block", "_code", F.lit(3).alias("_s"), F.col("_code").alias("_related"))
+    inside = parts(codes, "_code").join(values.withColumnRenamed("_value", "_part"), ["_block", "_part"], "left_semi").select("_block", "_code", F.when(F.col("_first"), 2).otherwise(1).alias("_s"), F.col("_part").alias("_related"))
+    smallest = parts(values, "_value").groupBy("_block", "_part", "_first").agg(F.min("_value").alias("_related")).withColumnRenamed("_part", "_code")
+    around = codes.join(smallest, ["_block", "_code"]).select("_block", "_code", F.when(F.col("_first"), 2).otherwise(1).alias("_s"), "_related")
+    best = same.unionByName(inside).unionByName(around).groupBy("_block", "_code").agg(F.min(F.struct((-F.col("_s")).alias("_s"), "_related")).alias("_b"))
+    names = F.when(F.col("_b._s") == -3, "equal").when(F.col("_b._s") == -2, "prefix").when(F.col("_b._s") == -1, "contains").otherwise("none")
+    both = left.join(best.withColumnsRenamed({"_block": block, "_code": code}), [block, code], "left")
+    return both.withColumn("relation", names).withColumn("related", F.col("_b._related")).drop("_b")
+
+
+def alias_window(targets: DataFrame, rows: DataFrame, aliases: DataFrame, target: str, row: str, make: str, year: str, reach: int) -> DataFrame:
+    """target, candidates, first_<row>: rows that have any alias of the target's maker (aliases: make, alias) and a year at most
+    `reach` away; targets without any are left out. Rows are counted by (alias, year) first, so a target meets a count for
+    each alias and year of its window, not the rows."""
+    counts = rows.where(F.col(year).isNotNull()).groupBy("alias", year).agg(F.countDistinct(row).alias("_n"), F.min(row).alias("_first"))
+    asked = targets.join(aliases.distinct(), make).select(target, "alias", F.explode(F.sequence(F.col(year) - reach, F.col(year) + reach)).alias(year))
+    return asked.join(counts, ["alias", year]).groupBy(target).agg(F.sum("_n").alias("candidates"), F.min("_first").alias(f"first_{row}"))
 
 
 def pair_next(events: DataFrame, by: list[str], order: list[str], kind: str, call: str, result: str, columns: list[str]) -> DataFrame:

@@ -79,14 +79,18 @@ def batch_metrics(metrics: DataFrame, names: list[str]) -> DataFrame:
 def stats_by_config(runs: DataFrame, config: str, run: str, value: str, complete: Column, listed: int) -> DataFrame:
     """One row per configuration, and one for all together (overall): runs, total, mean, median of complete runs, and how many
     are incomplete with the first `listed` of them. Incomplete runs count in nothing else."""
-    r = runs.withColumn("_ok", F.coalesce(complete, F.lit(False)))
+    r = runs.withColumn("_ok", F.coalesce(complete, F.lit(False))).withColumn("_config", F.col(config).cast("string"))
     value_of = F.when(F.col("_ok"), F.col(value))
-    place = Window.partitionBy("_ok", "_config").orderBy(run)
-    both = r.withColumn("_config", F.explode(F.array(F.col(config).cast("string"), F.lit("overall")))).withColumn("_i", F.row_number().over(place))
-    names = F.sort_array(F.collect_list(F.when(~F.col("_ok") & (F.col("_i") <= listed), F.col(run))))
-    return both.groupBy(F.col("_config").alias("config")).agg(
-        F.count_if("_ok").alias("runs"), F.sum(value_of).alias("total"), half_up(F.avg(value_of), 4).alias("mean"), F.median(value_of).alias("median"), F.count_if(~F.col("_ok")).alias("incomplete"), F.array_join(names.cast("array<string>"), ",").alias("incomplete_runs")
+    # the first incomplete runs of a configuration; the first of all are among them
+    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(run))
+    each = r.where("NOT _ok").select("_config", run).withColumn("_i", place("_config")).where(F.col("_i") <= listed).drop("_i")
+    overall = each.withColumn("_config", F.lit("overall")).withColumn("_i", place("_config")).where(F.col("_i") <= listed).drop("_i")
+    names = each.unionByName(overall).groupBy("_config").agg(F.array_join(F.sort_array(F.collect_list(run)).cast("array<string>"), ",").alias("_names"))
+    both = r.withColumn("_config", F.explode(F.array("_config", F.lit("overall"))))
+    stats = both.groupBy("_config").agg(
+        F.count_if("_ok").alias("runs"), F.sum(value_of).alias("total"), half_up(F.avg(value_of), 4).alias("mean"), F.median(value_of).alias("median"), F.count_if(~F.col("_ok")).alias("incomplete")
     )
+    return stats.join(names, stats["_config"].eqNullSafe(names["_config"]), "left").select(stats["_config"].alias("config"), "runs", "total", "mean", "median", "incomplete", F.coalesce("_names", F.lit("")).alias("incomplete_runs"))
 
 
 def turn_curve(events: DataFrame, run: str, turn: str, item: Column, of: int) -> DataFrame:

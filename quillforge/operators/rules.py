@@ -73,17 +73,73 @@ def key_sets(df: DataFrame, keys: list[str], names: str) -> DataFrame:
     return rows.join(sets, keys, "left").select(*keys, F.col("n").alias("rows"), F.coalesce("common", F.lit("")).alias("common"), F.coalesce("seen", F.lit("")).alias("seen"))
 
 
+def depth(json: Column) -> Column:
+    """How deep containers of a JSON text stand in each other; what is in strings does not count."""
+    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:\\\\.|[^"\\\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step, lambda s: s["most"])
+
+
 def leaves(df: DataFrame, key: list[str], json: str) -> DataFrame:
-    """key, path, value of every leaf of a JSON object, arrays included; containers have no row of their own."""
-    out = df.select(*key, F.expr(f"parse_json({json})").alias("_v"))
-    walked = None
-    level = out.select(*key, F.lit("$").alias("path"), F.col("_v"))
-    for _ in range(4):  # objects nested deeper than this end as JSON text
-        kind = F.expr("schema_of_variant(_v)")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        done = level.where(~inner).select(*key, "path", F.expr("cast(_v as string)").alias("value"))
-        walked = done if walked is None else walked.unionByName(done)
-        level.where(inner).createOrReplaceTempView("_leaves")
-        names = ", ".join(key)
-        level = df.sparkSession.sql(f"SELECT {names}, concat(path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))) AS path, e.value AS _v FROM _leaves, LATERAL variant_explode_outer(_v) AS e WHERE e.value IS NOT NULL")
-    return walked.unionByName(level.select(*key, "path", F.expr("cast(_v as string)").alias("value")))
+    """key, path, value of every leaf of a JSON text, of any depth; containers have no row of their own, nulls a null value.
+
+    Paths are $.name, or $."name" where the name has more than letters, digits and _, and [i] in arrays. Each level of the
+    deepest row is one explode in one chain of operators; rows that are leaves already pass through."""
+    levels = df.agg(F.max(depth(F.col(json)))).first()[0] or 0
+    out = df.select(*key, F.lit("$").alias("path"), F.expr(f"try_parse_json(`{json}`)").alias("_v")).where("_v IS NOT NULL")
+    inner = F.expr("schema_of_variant(_v)").rlike("^(OBJECT|ARRAY)")
+    for _ in range(levels):
+        each = df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()).toDF("_pos", "_key", "_value")
+        name = F.when(F.col("_key").rlike("^[A-Za-z0-9_]+$"), F.col("_key")).otherwise(F.concat(F.lit('"'), "_key", F.lit('"')))
+        step = F.when(F.col("_key").isNotNull(), F.concat(F.lit("."), name)).otherwise(F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
+        moved = out.lateralJoin(each).withColumn("_has", F.col("_value").isNotNull())
+        out = moved.select(*key, F.when(F.col("_has"), F.concat("path", step)).otherwise(F.col("path")).alias("path"), F.when(F.col("_has"), F.col("_value")).otherwise(F.col("_v")).alias("_v"))
+    return out.where(~inner).select(*key, "path", F.expr("cast(_v as string)").alias("value"))
+
+
+def after_cursor(rows: DataFrame, cursors: DataFrame, key: list[str], position: str, cursor: str) -> DataFrame:
+    """rows whose position is past their key's cursor; a key without a cursor has read nothing yet."""
+    both = rows.join(cursors, key, "left")
+    return both.where(F.col(cursor).isNull() | (F.col(position) > F.col(cursor))).select(*rows.columns)
+
+
+def within_counts(targets: DataFrame, rows: DataFrame, keys: list[str], reach: dict[str, int], name: str) -> DataFrame:
+    """targets with a count under `name`: the rows of the same keys whose whole numbers in `reach` are each at most so far away.
+
+    Without a number it is a count by key. The last number is counted by running sums over its values in order; one before it
+    is spread over the values it may take, so keep its reach small. Rows with a null there are near nothing."""
+    if not reach:
+        return targets.join(rows.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left").na.fill(0, [name])
+    *spread, (value, far) = reach.items()
+    wanted = targets.select(*dict.fromkeys([*keys, *reach])).distinct()
+    asked = wanted.select("*", *[F.col(c).alias(f"_{c}") for c in reach])
+    for c, most in spread:
+        asked = asked.withColumn(f"_{c}", F.explode(F.sequence(F.col(c) - most, F.col(c) + most)))
+    keyed = [*keys, *[f"_{c}" for c, _ in spread]]
+    points = rows.groupBy(*keys, *reach).agg(F.count("*").alias("_n")).withColumnsRenamed({c: f"_{c}" for c in reach})
+    # the sum of all points below the lower end is taken from the sum of all up to the upper end
+    ends = F.explode(F.array(F.struct((F.col(f"_{value}") - far).alias("_at"), F.lit(0).alias("_kind")), F.struct((F.col(f"_{value}") + far).alias("_at"), F.lit(2).alias("_kind"))))
+    queries = asked.where(F.col(f"_{value}").isNotNull()).withColumn("_e", ends).select(*keyed, "_e.*").distinct().withColumn("_n", F.lit(0).cast("long"))
+    marks = queries.unionByName(points.select(*keyed, F.col(f"_{value}").alias("_at"), F.lit(1).alias("_kind"), "_n"))
+    running = F.sum("_n").over(Window.partitionBy(*keyed).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    upto = marks.withColumn("_sum", running).where("_kind <> 1").select(*keyed, "_at", "_kind", "_sum")
+    low = upto.where("_kind = 0").select(*keyed, (F.col("_at") + far).alias(f"_{value}"), F.col("_sum").alias("_low"))
+    high = upto.where("_kind = 2").select(*keyed, (F.col("_at") - far).alias(f"_{value}"), F.col("_sum").alias("_high"))
+    both = asked.join(low, [*keyed, f"_{value}"]).join(high, [*keyed, f"_{value}"])
+    columns = list(dict.fromkeys([*keys, *reach]))
+    counted = both.groupBy(*columns).agg(F.sum(F.col("_high") - F.col("_low")).alias(name))
+    return targets.join(counted, columns, "left").na.fill(0, [name])
+
+
+def counts_by_level(targets: DataFrame, rows: DataFrame, target: str, levels: dict[str, tuple[list[str], dict[str, int]]]) -> DataFrame:
+    """target, level, candidates: how many rows bind to a target at each level and at none above it.
+
+    levels, the lowest first, has for each what a row must share with the target: keys, and how far numbers may be away. Each
+    asks for all that the one before it asks for and more."""
+    out = targets
+    for i, (keys, reach) in enumerate(levels.values()):
+        out = within_counts(out, rows, keys, reach, f"_c{i}")
+    alone = [F.col(f"_c{i}") - (F.col(f"_c{i + 1}") if i + 1 < len(levels) else F.lit(0)) for i in range(len(levels))]
+    each = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), n.alias("candidates")) for level, n in zip(levels, alone, strict=True)]))
+    return out.select(target, each.alias("l")).select(target, "l.*").where("candidates > 0")

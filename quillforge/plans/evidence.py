@@ -84,8 +84,7 @@ SELECT p_brand, rule, count(*) AS n, array_to_string(list_slice(list_sort(list(D
 """)
 def rule_coverage(spark, sf_dir):
     rules = [("exact_size", F.col("p_size") == 10), ("type_e", F.col("p_type").like("E%")), ("name_one", F.col("p_name").like("%1%"))]
-    t = V.first_match(table(spark, sf_dir, "part"), rules)
-    return t.groupBy("p_brand", "rule").agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set("p_partkey")), 1, 8).cast("array<string>"), ",").alias("examples"))
+    return V.rule_coverage(table(spark, sf_dir, "part"), "p_brand", "p_partkey", rules, 8)
 
 
 @R.query("""

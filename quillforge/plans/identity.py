@@ -49,8 +49,8 @@ def model_aliases(spark, sf_dir):
 CODE_RULES = [("Brand#1", "exact_va", 1), ("Brand#2", "toyota_style", 1), ("Brand#3", "dotless_va", 1), ("Brand#4", "second_token_t", 1), ("Brand#4", "exact_va", 2), ("Brand#5", "dotless_va", 2), ("Brand#5", "exact_va", 1)]
 _CODES = f"""
 rl(make, rule, place) AS (VALUES {", ".join(map(str, CODE_RULES))}),
-t AS (SELECT p_partkey, p_brand AS make, CASE WHEN p_partkey % 17 = 0 THEN '.' WHEN p_partkey % 3 = 0 THEN 'lf' || p_size || 'e r' || p_size || 'ew' WHEN p_partkey % 3 = 1 THEN p_size || '.98' ELSE 'va' || p_size END AS code FROM part WHERE p_partkey % 2 = 0),
-r AS (SELECT p_partkey AS row_id, p_brand AS make, CASE WHEN p_partkey % 2 = 1 THEN 'VA' || p_size ELSE p_size || '98' END AS variant, CASE p_partkey % 3 WHEN 0 THEN 'va' || p_size || ' (EU)' WHEN 1 THEN p_size || '.9 8' END AS version, 'R' || p_size || 'EW' AS approval FROM part WHERE p_brand <> 'Brand#9' AND p_size % 4 <> 0)
+t AS (SELECT p_partkey, p_brand AS make, CASE WHEN p_partkey % 17 = 0 THEN '.' WHEN p_partkey % 3 = 0 THEN 'lf' || p_size || 'e r' || p_size || 'ew' WHEN p_partkey % 3 = 1 THEN p_size || '.98' ELSE 'va' || p_size END AS code FROM part),
+r AS (SELECT p_partkey AS row_id, p_brand AS make, CASE WHEN p_partkey % 2 = 1 THEN 'VA' || p_size ELSE p_size || '98' END AS variant, CASE p_partkey % 3 WHEN 0 THEN 'va' || p_size || ' (EU)' WHEN 1 THEN p_size || '.9 8' END AS version, 'R' || p_size || 'EW' AS approval FROM part WHERE p_brand <> 'Brand#9')
 """
 
 
@@ -67,8 +67,8 @@ def type_codes(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "make")
     code = F.when(k % 17 == 0, ".").when(k % 3 == 0, F.concat(F.lit("lf"), size, F.lit("e r"), size, F.lit("ew"))).when(k % 3 == 1, F.concat(size, F.lit(".98"))).otherwise(F.concat(F.lit("va"), size))
-    targets = part.where("p_partkey % 2 = 0").select("p_partkey", "make", code.alias("code"))
-    rows = part.where("make <> 'Brand#9' AND p_size % 4 <> 0").select(
+    targets = part.select("p_partkey", "make", code.alias("code"))
+    rows = part.where("make <> 'Brand#9'").select(
         F.col("p_partkey").alias("row_id"), "make", F.when(k % 2 == 1, F.concat(F.lit("VA"), size)).otherwise(F.concat(size, F.lit("98"))).alias("variant"),
         F.when(k % 3 == 0, F.concat(F.lit("va"), size, F.lit(" (EU)"))).when(k % 3 == 1, F.concat(size, F.lit(".9 8"))).alias("version"), F.concat(F.lit("R"), size, F.lit("EW")).alias("approval"),
     )

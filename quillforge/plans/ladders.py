@@ -39,23 +39,16 @@ def band_filter(spark, sf_dir):
     return L.in_band(table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_size"), bands, "p_brand", F.col("p_retailprice") / F.col("p_size")).groupBy("p_brand", "band_ok").agg(F.count("*").alias("n"))
 
 
-_LEVELS = """CASE WHEN NOT f = 'm' THEN 'unknown' WHEN NOT y = 'm' THEN 'model_family' WHEN NOT w = 'm' THEN 'generation' WHEN NOT t = 'm' THEN 'body_powertrain' WHEN NOT z = 'm' THEN 'exact_technical_variant' ELSE 'exact_market_trim' END"""
-
-
-@R.query(f"""
-WITH a AS (SELECT * FROM part WHERE p_size = 7), e AS (SELECT a.p_partkey AS target, b.p_partkey AS candidate, 'm' AS f, CASE WHEN abs(a.p_size - b.p_size) <= 3 THEN 'm' ELSE 'v' END AS y, CASE WHEN a.p_type = b.p_type THEN 'm' ELSE 'v' END AS w,
-  CASE WHEN abs(a.p_retailprice - b.p_retailprice) <= 200 THEN 'm' ELSE 'v' END AS t, CASE WHEN a.p_partkey = b.p_partkey THEN 'm' ELSE 'u' END AS z FROM a JOIN part b USING (p_brand))
-SELECT target, {_LEVELS} AS level, count(*) AS candidates FROM e GROUP BY ALL
+@R.query("""
+WITH p AS (SELECT *, round(p_retailprice * 100)::BIGINT AS cents FROM part), e AS (SELECT a.p_partkey AS target, CASE WHEN abs(a.p_size - b.p_size) > 3 THEN 'model_family' WHEN a.p_type <> b.p_type THEN 'generation' WHEN abs(a.cents - b.cents) > 20000 THEN 'body_powertrain' WHEN a.p_partkey <> b.p_partkey THEN 'exact_technical_variant' ELSE 'exact_market_trim' END AS level FROM p a JOIN p b USING (p_brand))
+SELECT target, level, count(*) AS candidates FROM e GROUP BY ALL
 """)
 def binding_ladder(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    a = part.where("p_size = 7").select(F.col("p_partkey").alias("target"), "p_brand", F.col("p_type").alias("t"), F.col("p_size").alias("s"), F.col("p_retailprice").alias("r"))
-    e = a.join(part, "p_brand")
-    verdict = lambda ok, miss="veto": F.when(ok, "matched").otherwise(miss)
-    level = L.binding_level(
-        F.lit("matched"), verdict(F.abs(F.col("s") - F.col("p_size")) <= 3), verdict(F.col("t") == F.col("p_type")), verdict(F.abs(F.col("r") - F.col("p_retailprice")) <= 200), verdict(F.col("target") == F.col("p_partkey"), "unknown")
-    )
-    return e.groupBy("target", level.alias("level")).agg(F.count("*").alias("candidates"))
+    """How many rows of its maker bind to a target at each level; counted, without making a pair of rows."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"), "p_brand", "p_type", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    narrower = [(["p_brand"], {}), (["p_brand"], {"p_size": 3}), (["p_brand", "p_type"], {"p_size": 3}), (["p_brand", "p_type"], {"p_size": 3, "cents": 20_000}), (["target"], {})]
+    levels = ["model_family", "generation", "body_powertrain", "exact_technical_variant", "exact_market_trim"]
+    return L.counts_by_level(part, part, "target", dict(zip(levels, narrower, strict=True)))
 
 
 #: How much each signal of a page counts when candidates are put in order.
@@ -146,16 +139,21 @@ def code_agreement(spark, sf_dir):
 
 
 @R.query("""
-SELECT l_partkey, count(*) AS n, max(v - 25.0) <= min(v + 25.0) AS rounding_equivalent, min(v) AS lo, max(v) AS hi FROM (SELECT l_partkey, floor(l_extendedprice / l_quantity) AS v FROM lineitem WHERE l_quantity > 45) GROUP BY 1
+SELECT l_partkey, count(*) AS n, max(v - 25.0) <= min(v + 25.0) AS rounding_equivalent, min(v) AS lo, max(v) AS hi FROM (SELECT l_partkey, floor(l_extendedprice / l_quantity) AS v FROM lineitem) GROUP BY 1
 """)
 def rounding_equivalence(spark, sf_dir):
-    v = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey", F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("v"))
+    v = table(spark, sf_dir, "lineitem").select("l_partkey", F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("v"))
     return v.groupBy("l_partkey").agg(F.count("*").alias("n"), N.intervals_overlap(F.col("v"), F.lit(25.0)).alias("rounding_equivalent"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-@R.query("SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events")
+@R.query("""
+SELECT event_id, unnest(['$.k', '$.a.b.c.d.e.f', '$.a.b.l[0]', '$.a.b.l[1][0]', '$.a.b.l[1][1].x', '$.n', '$."p.q"']) AS path, unnest([json_extract_string(props, '$.k'), event_id::VARCHAR, '1', '2', event_type, NULL, 'true']) AS value FROM events
+""")
 def json_leaves(spark, sf_dir):
-    return L.leaves(table(spark, sf_dir, "events").select("event_id", "props"), ["event_id"], "props")
+    """Objects and arrays of any depth; keys with points; empty containers have no leaf."""
+    deep = F.concat(F.lit(', "a": {"b": {"c": {"d": {"e": {"f": '), F.col("event_id").cast("string"), F.lit('}}}, "l": [1, [2, {"x": "'), F.col("event_type"), F.lit('"}], [], {}]}}, "n": null, "p.q": true}'))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.regexp_replace("props", r"\}$", ""), deep).alias("props"))
+    return L.leaves(e, ["event_id"], "props")
 
 
 @R.query("""
@@ -170,6 +168,12 @@ def text_market(spark, sf_dir):
     return s.groupBy("lang", market.alias("market")).agg(F.count("*").alias("n"))
 
 
-@R.query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 9000")
+@R.query("""
+WITH c AS (SELECT user_id, max(event_id) AS cursor FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT event_id, user_id, event_type FROM events LEFT JOIN c USING (user_id) WHERE cursor IS NULL OR event_id > cursor
+""")
 def cursor_after(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id > 9000").select("event_id", "user_id", "event_type")
+    """What each run has not shown yet: its events after the last one that was read, its last purchase."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    cursors = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("cursor"))
+    return L.after_cursor(e, cursors, ["user_id"], "event_id", "cursor")

@@ -67,15 +67,16 @@ def key_backfill(spark, sf_dir):
 
 
 @R.query("""
-WITH p AS (SELECT p_partkey, p_size, p_brand, p_type FROM part), t AS (SELECT p_size, min(p_brand) AS wanted FROM part WHERE p_retailprice < 960 GROUP BY 1),
-j AS (SELECT t.p_size, wanted, p_partkey, p_brand, p_brand = wanted AS hit, max((p_brand = wanted)::INT) OVER (PARTITION BY t.p_size) AS a, min(p_brand) OVER (PARTITION BY t.p_size) = max(p_brand) OVER (PARTITION BY t.p_size) AS o
-  FROM t JOIN p ON p.p_size = t.p_size AND p_type = 'ECONOMY')
-SELECT p_size, wanted, p_partkey, p_brand, CASE WHEN a = 1 THEN 'by_name' WHEN o THEN 'single_name' ELSE 'ambiguous' END AS selected_by FROM j WHERE a = 0 OR hit
+WITH p AS (SELECT p_partkey, p_size, p_brand, p_type FROM part), t AS (SELECT p_size, p_type, min(p_brand) AS wanted FROM part GROUP BY 1, 2),
+j AS (SELECT t.p_size, t.p_type, wanted, p_partkey, p_brand, p_brand = w2 AS hit, max((p_brand = w2)::INT) OVER v AS a, min(p_brand) OVER v = max(p_brand) OVER v AS o
+  FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN wanted ELSE 'Brand#0' END AS w2 FROM t) t JOIN p ON p.p_size = t.p_size AND p.p_type = t.p_type WINDOW v AS (PARTITION BY t.p_size, t.p_type))
+SELECT p_size, p_type, CASE WHEN p_size % 2 = 0 THEN wanted ELSE 'Brand#0' END AS wanted, p_partkey, p_brand, CASE WHEN a = 1 THEN 'by_name' WHEN o THEN 'single_name' ELSE 'ambiguous' END AS selected_by FROM j WHERE a = 0 OR hit
 """)
 def select_by_name(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
-    targets = part.where("p_retailprice < 960").groupBy("p_size").agg(F.min("p_brand").alias("wanted"))
-    return J.select_by_name(targets, part.where("p_type = 'ECONOMY'").select("p_partkey", "p_size", "p_brand"), ["p_size"], "p_brand", "wanted")
+    """Every (size, type) asks for a name: one that it has, or one that nothing has."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    targets = part.groupBy("p_size", "p_type").agg(F.min("p_brand").alias("wanted")).withColumn("wanted", F.when(F.col("p_size") % 2 == 0, F.col("wanted")).otherwise("Brand#0"))
+    return J.select_by_name(targets, part, ["p_size", "p_type"], "p_brand", "wanted")
 
 
 @R.query("""
@@ -112,17 +113,17 @@ def range_join_notices(spark, sf_dir):
 
 
 @R.query("""
-WITH r AS (SELECT l_partkey, l_quantity, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09), g AS (SELECT l_partkey, count(DISTINCT l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_suppkey) AS s, min(l_suppkey) AS one FROM r GROUP BY 1)
+WITH r AS (SELECT l_partkey, l_quantity, l_suppkey FROM lineitem), g AS (SELECT l_partkey, count(DISTINCT l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_suppkey) AS s, min(l_suppkey) AS one FROM r GROUP BY 1)
 SELECT p_partkey AS l_partkey, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'value' ELSE 'range' END AS status, CASE WHEN n = 1 THEN lo END AS value, CASE WHEN n > 1 THEN lo END AS range_low, CASE WHEN n > 1 THEN hi END AS range_high,
   coalesce(n, 0) AS n_values, CASE WHEN s = 1 THEN one END AS single_supplier FROM part LEFT JOIN g ON p_partkey = l_partkey
 """)
 def price_or_range(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.09")
+    rows = table(spark, sf_dir, "lineitem")
     return J.price_or_range(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), rows, ["l_partkey"], "l_quantity", "l_suppkey")
 
 
 @R.query("""
-WITH p AS (SELECT p_partkey, p_brand AS k, upper(p_name) AS code, upper(substr(p_name, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END, 4 + p_size % 5)) AS val FROM part), c AS (SELECT DISTINCT k, code FROM p WHERE p_partkey % 4 = 0), v AS (SELECT DISTINCT k, val FROM p WHERE p_partkey % 4 = 1),
+WITH p AS (SELECT p_partkey, p_brand AS k, upper(p_name) AS code, upper(substr(p_name, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END, 4 + p_size % 5)) AS val FROM part), c AS (SELECT DISTINCT k, code FROM p), v AS (SELECT DISTINCT k, val FROM p WHERE p_partkey % 3 <> 1),
 r AS (SELECT c.k, code, val, CASE WHEN code = val THEN 3 WHEN length(code) < 4 OR length(val) < 4 THEN 0 WHEN starts_with(code, val) OR starts_with(val, code) THEN 2 WHEN contains(code, val) OR contains(val, code) THEN 1 ELSE 0 END AS s FROM c JOIN v ON c.k = v.k),
 b AS (SELECT k, code, s, val, row_number() OVER (PARTITION BY k, code ORDER BY s DESC, val) AS i FROM r WHERE s > 0)
 SELECT c.k AS p_brand, c.code, CASE s WHEN 3 THEN 'equal' WHEN 2 THEN 'prefix' WHEN 1 THEN 'contains' ELSE 'none' END AS relation, b.val AS related FROM c LEFT JOIN b ON b.k = c.k AND b.code = c.code AND i = 1
@@ -130,8 +131,8 @@ SELECT c.k AS p_brand, c.code, CASE s WHEN 3 THEN 'equal' WHEN 2 THEN 'prefix' W
 def relation_join(spark, sf_dir):
     k = F.col("p_partkey")
     part = table(spark, sf_dir, "part")
-    codes = part.where(k % 4 == 0).select("p_brand", F.upper("p_name").alias("code")).distinct()
-    values = part.where(k % 4 == 1).select("p_brand", F.upper(F.substring(F.col("p_name"), F.when(k % 3 == 0, 1).otherwise(2), 4 + F.col("p_size") % 5)).alias("v"))
+    codes = part.select("p_brand", F.upper("p_name").alias("code")).distinct()
+    values = part.where(k % 3 != 1).select("p_brand", F.upper(F.substring(F.col("p_name"), F.when(k % 3 == 0, 1).otherwise(2), 4 + F.col("p_size") % 5)).alias("v"))
     return J.strongest_relation(codes, values, "p_brand", "code", "v")
 
 
@@ -146,14 +147,14 @@ def call_result_pairs(spark, sf_dir):
 
 
 @R.query("""
-WITH i AS (SELECT DISTINCT l_orderkey AS k, l_partkey * CASE WHEN l_linenumber = 7 THEN -1 ELSE 1 END AS p FROM lineitem WHERE l_discount = 0.1), k AS (SELECT k AS list, p, row_number() OVER (PARTITION BY k ORDER BY md5(p::VARCHAR), p) AS pos FROM i)
+WITH i AS (SELECT DISTINCT l_orderkey AS k, l_partkey * CASE WHEN l_linenumber = 7 THEN -1 ELSE 1 END AS p FROM lineitem), k AS (SELECT k AS list, p, row_number() OVER (PARTITION BY k ORDER BY md5(p::VARCHAR), p) AS pos FROM i)
 SELECT list, pos::INT AS pos, p AS p_partkey, p_brand, p_name, p_partkey IS NOT NULL AS found FROM k LEFT JOIN part ON p_partkey = p
 """)
 def ordered_lookup(spark, sf_dir):
     """Lists of part ids, one an order, some of them unknown; each is looked up in its own order."""
     from pyspark.sql import Window
 
-    lines = table(spark, sf_dir, "lineitem").where("l_discount = 0.1")
+    lines = table(spark, sf_dir, "lineitem")
     ids = lines.select(F.col("l_orderkey").alias("list"), (F.col("l_partkey") * F.when(F.col("l_linenumber") == 7, -1).otherwise(1)).alias("p_partkey")).distinct()
     ids = ids.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(F.md5(F.col("p_partkey").cast("string")), "p_partkey")))
     return J.ordered_lookup(ids, table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey", "pos", keep_unknown=True)
@@ -199,8 +200,8 @@ def notices_by_any_key(spark, sf_dir):
 
 
 @R.query("""
-WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 200 END AS part, o_orderkey % 7 + 1 AS line, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'X' END AS flag FROM orders),
-r AS (SELECT l_partkey % 200 AS part, l_linenumber AS line, l_returnflag AS flag, l_quantity AS v, l_suppkey % 3 AS sup FROM lineitem WHERE l_discount >= 0.09 AND l_partkey % 3 = l_suppkey % 3),
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS part, o_orderkey % 7 + 1 AS line, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'X' END AS flag FROM orders),
+r AS (SELECT l_partkey AS part, l_linenumber AS line, l_returnflag AS flag, l_quantity AS v, l_suppkey % 3 AS sup FROM lineitem),
 nm AS (SELECT part, line, count(DISTINCT flag) AS names, max(flag) AS one FROM r GROUP BY 1, 2), ow AS (SELECT DISTINCT part, line, flag FROM r),
 c AS (SELECT t.*, names, CASE WHEN ow.flag IS NOT NULL THEN t.flag WHEN names = 1 THEN one END AS use FROM t LEFT JOIN nm ON nm.part = t.part AND nm.line = t.line LEFT JOIN ow ON ow.part = t.part AND ow.line = t.line AND ow.flag = t.flag),
 a AS (SELECT part, line, flag, count(DISTINCT v) AS k, min(v) AS lo, max(v) AS hi, count(DISTINCT sup) AS s, min(sup) AS s0 FROM r GROUP BY ALL)
@@ -209,9 +210,9 @@ SELECT c.o_orderkey, CASE WHEN c.part IS NULL THEN 'no_key' WHEN names IS NULL T
 """)
 def value_or_reason(spark, sf_dir):
     o, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    t = table(spark, sf_dir, "orders").select("o_orderkey", F.when(o % 11 != 0, F.col("o_custkey") % 200).alias("part"), (o % 7 + 1).alias("line"), F.when(status == "F", "A").when(status == "O", "N").otherwise("X").alias("flag"))
-    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.09 AND l_partkey % 3 = l_suppkey % 3")
-    r = lines.select((F.col("l_partkey") % 200).alias("part"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("v"), (F.col("l_suppkey") % 3).alias("sup"))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", F.when(o % 11 != 0, F.col("o_custkey")).alias("part"), (o % 7 + 1).alias("line"), F.when(status == "F", "A").when(status == "O", "N").otherwise("X").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem")
+    r = lines.select(F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("v"), (F.col("l_suppkey") % 3).alias("sup"))
     return J.value_or_reason(t, r, ["part", "line"], "name", "flag", "v", "sup").drop("part", "line", "flag")
 
 

@@ -140,8 +140,8 @@ def field_states(spark, sf_dir):
     return X.field_states(e, ["l_partkey"], "v", "scope_ok", "here", "weak")
 
 
-_INTERVALS = """i AS (SELECT l_partkey % 400 AS item, floor(l_extendedprice / l_quantity / 400)::BIGINT * 400 AS lo, floor(l_extendedprice / l_quantity / 400)::BIGINT * 400 + CASE WHEN l_linenumber = 1 THEN 500 ELSE 0 END AS hi, 100 AS tol,
-  s_nationkey % 3 AS market, l_orderkey % 5 AS document, l_suppkey AS domain, l_returnflag AS scope, l_tax < 0.04 AS exact FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 97 = l_partkey % 97)"""
+_INTERVALS = """i AS (SELECT l_partkey AS item, floor(l_extendedprice / l_quantity / 400)::BIGINT * 400 AS lo, floor(l_extendedprice / l_quantity / 400)::BIGINT * 400 + CASE WHEN l_linenumber = 1 THEN 500 ELSE 0 END AS hi, 100 AS tol,
+  s_nationkey % 3 AS market, l_orderkey % 5 AS document, l_suppkey AS domain, l_returnflag AS scope, l_tax < 0.04 AS exact FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 @R.query(f"""
@@ -154,25 +154,25 @@ k AS (SELECT item, n, d, ex, CASE WHEN d = 1 THEN 'unit_equivalent' WHEN ranges
 SELECT item, n, d AS distinct_values, c AS conflict_class, CASE WHEN c = 'scalar_inside_range' THEN coalesce(ex, false) ELSE c IN ('unit_equivalent', 'rounding_equivalent') END AS normalised FROM k
 """)
 def interval_conflicts(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber", "l_returnflag", "l_tax").where("l_orderkey % 97 = l_partkey % 97")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber", "l_returnflag", "l_tax")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     low = F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 400) * 400
     i = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).select(
-        (F.col("l_partkey") % 400).alias("item"), low.alias("lo"), (low + F.when(F.col("l_linenumber") == 1, 500).otherwise(0)).alias("hi"), F.lit(100).alias("tol"),
+        F.col("l_partkey").alias("item"), low.alias("lo"), (low + F.when(F.col("l_linenumber") == 1, 500).otherwise(0)).alias("hi"), F.lit(100).alias("tol"),
         (F.col("s_nationkey") % 3).alias("market"), (F.col("l_orderkey") % 5).alias("document"), F.col("l_suppkey").alias("domain"), F.col("l_returnflag").alias("scope"), (F.col("l_tax") < 0.04).alias("exact"),
     )
     return X.interval_conflicts(i, ["item"], "lo", "hi", "tol", "market", "document", "domain", "scope", "exact")
 
 
 @R.query("""
-WITH r AS (SELECT l_partkey, CASE WHEN l_linestatus = 'F' THEN floor(l_quantity / 10)::INT END AS v, CASE WHEN l_returnflag <> 'N' THEN floor(l_quantity / 10)::INT - l_linenumber % 2 END AS lo, CASE WHEN l_tax > 0.02 THEN floor(l_quantity / 10)::INT + l_linenumber % 3 END AS hi FROM lineitem WHERE l_discount > 0.06),
+WITH r AS (SELECT l_partkey, CASE WHEN l_linestatus = 'F' THEN floor(l_quantity / 10)::INT END AS v, CASE WHEN l_returnflag <> 'N' THEN floor(l_quantity / 10)::INT - l_linenumber % 2 END AS lo, CASE WHEN l_tax > 0.02 THEN floor(l_quantity / 10)::INT + l_linenumber % 3 END AS hi FROM lineitem),
 s AS (SELECT *, v IS NOT NULL AND coalesce(hi, v) - coalesce(lo, v) <= 2 AS kept FROM r),
 g AS (SELECT l_partkey, count(v) AS n, count(CASE WHEN v IS NOT NULL AND NOT kept THEN 1 END) AS dropped, min(v) FILTER (kept) AS a, max(v) FILTER (kept) AS b, quantile_disc(v, 0.5) FILTER (kept) AS med FROM s GROUP BY 1),
 t AS (SELECT *, CASE WHEN n = 0 THEN 'no_value' WHEN dropped > n * 0.25 THEN 'range' WHEN a = b THEN 'value' WHEN b - a <= 1 THEN 'within_precision' ELSE 'survivors_disagree' END AS status FROM g)
 SELECT l_partkey, n AS n_stated, dropped AS n_dropped, status, CASE WHEN status = 'value' THEN a WHEN status = 'within_precision' THEN med END AS value FROM t
 """)
 def range_agreement(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_discount > 0.06")
+    lines = table(spark, sf_dir, "lineitem")
     q, n = F.floor(F.col("l_quantity") / 10).cast("int"), F.col("l_linenumber")
     rows = lines.select("l_partkey", F.when(F.col("l_linestatus") == "F", q).alias("v"), F.when(F.col("l_returnflag") != "N", q - n % 2).alias("lo"), F.when(F.col("l_tax") > 0.02, q + n % 3).alias("hi"))
     return X.range_agreement(rows, ["l_partkey"], "v", "lo", "hi", 2, 1)
@@ -190,7 +190,7 @@ def level_by_route(spark, sf_dir):
 
 
 @R.query("""
-WITH l AS (SELECT l_partkey % 300 AS item, 's' || l_suppkey % 4 AS source, l_linestatus AS field, floor(l_quantity / 12)::INT AS v, l_discount > 0.085 AS bad, year(l_shipdate) AS y, l_tax FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 7 = l_suppkey % 7),
+WITH l AS (SELECT l_partkey AS item, 's' || l_suppkey % 4 AS source, l_linestatus AS field, floor(l_quantity / 12)::INT AS v, l_discount > 0.085 AS bad, year(l_shipdate) AS y, l_tax FROM lineitem),
 g AS (SELECT item, source, field, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS d, count(DISTINCT CASE WHEN NOT bad THEN v END) AS k, min(CASE WHEN NOT bad THEN v END) AS lo, max(y) AS y, max(l_tax) AS tax FROM l GROUP BY 1, 2, 3),
 o AS (SELECT *, CASE WHEN k > 1 THEN 'survivors_disagree' ELSE 'value' END AS st, CASE WHEN k = 1 THEN lo END AS value, item % 3 AS lv FROM g),
 r AS (SELECT *, CASE WHEN n = d THEN 'inconsistent' WHEN d > n * 0.25 THEN 'range' WHEN st = 'survivors_disagree' THEN 'disagree' WHEN value IS NULL THEN 'no_value' WHEN source = 's3' AND field = 'F' THEN 'reference_only' WHEN y < 2001 - 4 THEN 'too_old' WHEN tax < 0.01 THEN 'other_definition' WHEN lv < 1 THEN 'below_level' WHEN item % 11 = 0 THEN 'missing_key' END AS reason FROM o),
@@ -198,10 +198,10 @@ v AS (SELECT *, CASE WHEN reason IS NULL THEN value END AS ov FROM r), s AS (SEL
 SELECT item, field, source, CASE WHEN status = 'offered' THEN value END AS value, status FROM s
 """)
 def offer_ladder(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_partkey % 7 = l_suppkey % 7")
+    lines = table(spark, sf_dir, "lineitem")
     bad = F.col("l_discount") > 0.085
     v = F.when(~bad, F.floor(F.col("l_quantity") / 12).cast("int"))
-    g = lines.groupBy((F.col("l_partkey") % 300).alias("item"), F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("source"), F.col("l_linestatus").alias("field"))
+    g = lines.groupBy(F.col("l_partkey").alias("item"), F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("source"), F.col("l_linestatus").alias("field"))
     g = g.agg(F.count("*").alias("n"), F.count_if(bad).alias("n_dropped"), F.countDistinct(v).alias("k"), F.min(v).alias("lo"), F.max(F.year("l_shipdate")).alias("year"), F.max("l_tax").alias("tax"))
     o = g.select("item", "source", "field", "n", "n_dropped", F.when(F.col("k") > 1, "survivors_disagree").otherwise("value").alias("status"), F.when(F.col("k") == 1, F.col("lo")).alias("value"), "year", ((F.col("source") == "s3") & (F.col("field") == "F")).alias("reference"), (F.col("tax") >= 0.01).alias("definition_ok"), (F.col("item") % 3).alias("level"), (F.col("item") % 11 != 0).alias("key_stated"))
     return X.offer_ladder(o, ["item"], "field", "source", F.lit(2001), 4, 1, ["O"], 1)

@@ -46,10 +46,10 @@ def quality_gate(spark, sf_dir):
 
 
 @R.query("""
-SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, md5(p_name || '/' || coalesce(p_type, '')) AS mark FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount = 0.0
+SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, md5(p_name || '/' || coalesce(p_type, '')) AS mark FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 def once_per_tuple(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_discount = 0.0").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     mark = F.md5(F.concat("p_name", F.lit("/"), F.coalesce("p_type", F.lit(""))))
     return M.once_per_tuple(lines.join(part, "l_partkey"), ["p_name", "p_type"], "mark", mark).drop("p_name", "p_type")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillforge.functions import numbers as N
 from quillforge.functions import text as T
 from quillforge.operators import evidence as V
+from quillforge.operators import joins as J
 from quillforge.operators import metrics as M
 from quillforge.operators import ordered as O
 from quillforge.operators import statements as S
@@ -101,20 +102,18 @@ def sample_against_catalogue(spark, sf_dir):
 
 
 @R.query("""
-WITH a(make, alias) AS (VALUES ('Brand#1', 'BRAND#1'), ('Brand#1', 'BRAND#11'), ('Brand#2', 'BRAND#2'), ('Brand#3', 'BRAND#3'), ('Brand#3', 'BRAND#4'), ('Brand#3', 'BRAND#3')),
-t AS (SELECT p_partkey AS target, p_brand AS make, 1995 + p_size % 8 AS y FROM part WHERE p_partkey % 7 = 0), s AS (SELECT p_partkey AS id, upper(trim(p_brand)) AS make, CASE WHEN p_partkey % 5 > 0 THEN 1994 + p_partkey % 9 END AS y FROM part)
-SELECT target, count(DISTINCT id) AS candidates, min(id) AS first_id FROM t JOIN (SELECT DISTINCT * FROM a) a USING (make) JOIN s ON s.make = alias AND s.y BETWEEN t.y - 1 AND t.y + 1 GROUP BY 1
+WITH a AS (SELECT DISTINCT p_brand AS make, unnest([upper(p_brand), upper(p_brand) || '1', upper(p_brand) || '0']) AS alias FROM part),
+t AS (SELECT p_partkey AS target, p_brand AS make, 1995 + p_size % 8 AS y FROM part), s AS (SELECT p_partkey AS id, upper(trim(p_brand)) AS make, CASE WHEN p_partkey % 5 > 0 THEN 1994 + p_partkey % 9 END AS y FROM part)
+SELECT target, count(DISTINCT id) AS candidates, min(id) AS first_id FROM t JOIN a USING (make) JOIN s ON s.make = alias AND s.y BETWEEN t.y - 1 AND t.y + 1 GROUP BY 1
 """)
 def alias_candidates(spark, sf_dir):
-    """Targets meet the source's rows under any alias of their maker, in a window of years: both are parts of one equi-join."""
-    aliases = {"Brand#1": ["BRAND#1", "BRAND#11"], "Brand#2": ["BRAND#2"], "Brand#3": ["BRAND#3", "BRAND#4", "BRAND#3"]}
-    k = F.col("p_partkey")
+    """Targets meet the source's rows under any alias of their maker (Brand#1 is also Brand#11), in a window of years."""
+    k, brand = F.col("p_partkey"), F.upper("p_brand")
     part = table(spark, sf_dir, "part")
-    known = F.coalesce(*[F.when(F.col("p_brand") == make, F.array(*map(F.lit, names))) for make, names in aliases.items()])
-    t = part.where(k % 7 == 0).select(k.alias("target"), F.explode(F.array_distinct(known)).alias("make"), (1995 + F.col("p_size") % 8).alias("_y"))
-    t = t.select("target", "make", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)).alias("y"))
-    s = part.select(k.alias("id"), T.spelling(F.col("p_brand")).alias("make"), F.when(k % 5 > 0, 1994 + k % 9).cast("int").alias("y"))
-    return t.join(s, ["make", "y"]).groupBy("target").agg(F.countDistinct("id").alias("candidates"), F.min("id").alias("first_id"))
+    aliases = part.select("p_brand").distinct().select(F.col("p_brand").alias("make"), F.explode(F.array(brand, F.concat(brand, F.lit("1")), F.concat(brand, F.lit("0")))).alias("alias"))
+    targets = part.select(k.alias("target"), F.col("p_brand").alias("make"), (1995 + F.col("p_size") % 8).alias("y"))
+    rows = part.select(k.alias("id"), T.spelling(F.col("p_brand")).alias("alias"), F.when(k % 5 > 0, 1994 + k % 9).cast("int").alias("y"))
+    return J.alias_window(targets, rows, aliases, "target", "id", "make", "y", 1)
 
 
 @R.query(r"""
@@ -189,16 +188,13 @@ def arrival_positions(spark, sf_dir):
 
 
 @R.query("""
-WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max((ts, event_type = 'purchase')) AS l, bool_or(event_type = 'signup') AS b FROM events WHERE user_id % 40 > 0 OR event_id % 97 = 0 GROUP BY 1), q AS (SELECT user_id, l, b, floor((epoch_us(now) - epoch_us(l[1])) / 1000000.0)::BIGINT AS quiet FROM l, n)
+WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max((ts, event_type = 'purchase')) AS l, bool_or(event_type = 'signup') AS b FROM events GROUP BY 1), q AS (SELECT user_id, l, b, floor((epoch_us(now) - epoch_us(l[1])) / 1000000.0)::BIGINT AS quiet FROM l, n)
 SELECT user_id, CASE WHEN l[2] THEN 'finished' WHEN quiet <= 14400 THEN 'active' WHEN NOT b THEN 'orphan' ELSE 'interrupted' END AS state, quiet AS quiet_seconds FROM q
 """)
 def liveness(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
-    now = e.agg(F.max("ts").alias("now"))
-    some = e.where("user_id % 40 > 0 OR event_id % 97 = 0").crossJoin(F.broadcast(now))  # one row
-    runs = O.liveness(some.drop("now"), "user_id", "ts", kind == "signup", kind == "purchase", F.lit(now.first()["now"]), 14_400)
-    return runs
+    return O.liveness(e, "user_id", "ts", kind == "signup", kind == "purchase", e.agg(F.max("ts")).scalar(), 14_400)
 
 
 @R.query("""
@@ -219,18 +215,18 @@ WITH n AS (SELECT max(ts)::DATE AS now FROM events) SELECT user_id, json_extract
 """)
 def dead_routes(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("route", F.get_json_object("props", "$.k").cast("int") % 10)
-    return V.dead_routes(e, ["user_id", "route"], "ts", F.col("event_type") == "purchase", F.lit(e.agg(F.max("ts")).first()[0]).cast("date"), 7)
+    return V.dead_routes(e, ["user_id", "route"], "ts", F.col("event_type") == "purchase", e.agg(F.max("ts")).scalar().cast("date"), 7)
 
 
 @R.query("""
-WITH x AS (SELECT s_suppkey AS item, unnest(['R', 'A', 'N', 'Z']) AS field, s_suppkey % 10 = 0 AS na FROM supplier), e AS (SELECT l_suppkey AS item, l_returnflag AS field, CASE WHEN l_linenumber > 1 THEN floor(l_quantity / 30)::INT END AS v, l_tax < 0.03 AS sc, l_linestatus = 'F' AS mk, l_suppkey % 7 = 0 AND l_returnflag = 'A' AS wk FROM lineitem WHERE l_discount = 0.1 AND l_shipdate < DATE '1996-06-01'),
+WITH x AS (SELECT s_suppkey AS item, unnest(['R', 'A', 'N', 'Z']) AS field, s_suppkey % 10 = 0 AS na FROM supplier), e AS (SELECT l_suppkey AS item, l_returnflag AS field, CASE WHEN l_linenumber > l_suppkey % 8 THEN (l_suppkey % 3 + (l_suppkey % 11 = 0 AND l_quantity > 25)::INT)::BIGINT END AS v, l_suppkey % 4 > 0 AND l_tax < 0.03 AS sc, l_suppkey % 5 > 0 AND l_linestatus = 'F' AS mk, l_suppkey % 7 = 0 AND l_returnflag = 'A' AS wk FROM lineitem),
 g AS (SELECT item, field, count(*) AS al, count(v) AS n, count(CASE WHEN v IS NOT NULL AND NOT wk THEN 1 END) AS solid, count(DISTINCT CASE WHEN sc AND mk THEN v END) AS vals, count(CASE WHEN mk THEN v END) AS here, count(CASE WHEN sc AND mk THEN v END) AS served FROM e GROUP BY 1, 2)
 SELECT x.item, x.field, coalesce(n, 0) AS n, CASE WHEN na THEN 'not_applicable' WHEN al IS NULL THEN 'missing' WHEN n = 0 THEN 'unresolved' WHEN solid = 0 THEN 'weak_provenance' WHEN vals > 1 THEN 'conflicting' WHEN served = 0 AND here > 0 THEN 'variant_not_exact' WHEN served = 0 THEN 'foreign_market_only' ELSE 'ok' END AS state FROM x LEFT JOIN g USING (item, field)
 """)
 def expected_states(spark, sf_dir):
     expected = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), F.explode(F.array(*map(F.lit, "RANZ"))).alias("field"), (F.col("s_suppkey") % 10 == 0).alias("na"))
-    e = table(spark, sf_dir, "lineitem").where("l_discount = 0.1 AND l_shipdate < timestamp_ntz '1996-06-01'").select(
-        F.col("l_suppkey").alias("item"), F.col("l_returnflag").alias("field"), F.when(F.col("l_linenumber") > 1, F.floor(F.col("l_quantity") / 30)).alias("v"), (F.col("l_tax") < 0.03).alias("sc"), (F.col("l_linestatus") == "F").alias("mk"), ((F.col("l_suppkey") % 7 == 0) & (F.col("l_returnflag") == "A")).alias("wk")
+    e = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("item"), F.col("l_returnflag").alias("field"), F.when(F.col("l_linenumber") > F.col("l_suppkey") % 8, F.col("l_suppkey") % 3 + ((F.col("l_suppkey") % 11 == 0) & (F.col("l_quantity") > 25)).cast("long")).alias("v"), ((F.col("l_suppkey") % 4 > 0) & (F.col("l_tax") < 0.03)).alias("sc"), ((F.col("l_suppkey") % 5 > 0) & (F.col("l_linestatus") == "F")).alias("mk"), ((F.col("l_suppkey") % 7 == 0) & (F.col("l_returnflag") == "A")).alias("wk")
     )
     return V.expected_states(expected, e, ["item", "field"], "v", F.col("sc"), F.col("mk"), F.col("wk"), "na")
 
@@ -287,10 +283,10 @@ def withheld_offers(spark, sf_dir):
 
 
 @R.query("""
-WITH c AS (SELECT DISTINCT l_partkey AS item, l_linenumber AS v FROM lineitem WHERE l_discount > 0.085), d AS (SELECT l_partkey AS item, l_linenumber AS v, bool_or(l_returnflag = 'A') AS ok, min(l_shipdate::DATE::VARCHAR) AS why FROM lineitem WHERE l_discount BETWEEN 0.075 AND 0.095 AND l_tax > 0.05 AND l_partkey % 3 > 0 GROUP BY 1, 2),
+WITH c AS (SELECT DISTINCT l_partkey AS item, l_linenumber AS v FROM lineitem), d AS (SELECT l_partkey AS item, l_linenumber AS v, bool_or(l_returnflag = 'A') AS ok, min(l_shipdate::DATE::VARCHAR) AS why FROM (SELECT l_partkey, l_linenumber + (l_discount > 0.05)::INT AS l_linenumber, l_returnflag, l_shipdate FROM lineitem WHERE l_tax > 0.05 AND l_partkey % 3 > 0) GROUP BY 1, 2),
 w AS (SELECT DISTINCT item FROM d WHERE ok) SELECT item, CASE WHEN ok THEN 'accepted' WHEN NOT ok THEN 'rejected' WHEN w.item IS NOT NULL THEN 'superseded' ELSE 'open' END AS kind, v, CASE WHEN NOT ok THEN why END AS reason FROM c LEFT JOIN d USING (item, v) LEFT JOIN w USING (item) UNION ALL SELECT item, 'missed', v, NULL FROM d ANTI JOIN c USING (item, v) WHERE ok
 """)
 def feedback_examples(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("v"), "l_discount", "l_tax", "l_returnflag", "l_shipdate")
-    decided = lines.where("l_discount BETWEEN 0.075 AND 0.095 AND l_tax > 0.05 AND item % 3 > 0").groupBy("item", "v").agg(F.max(F.col("l_returnflag") == "A").alias("accepted"), F.min(F.to_date("l_shipdate").cast("string")).alias("reason"))
-    return V.feedback(lines.where("l_discount > 0.085"), decided, ["item"], "v")
+    decided = lines.where("l_tax > 0.05 AND item % 3 > 0").withColumn("v", F.col("v") + (F.col("l_discount") > 0.05).cast("int")).groupBy("item", "v").agg(F.max(F.col("l_returnflag") == "A").alias("accepted"), F.min(F.to_date("l_shipdate").cast("string")).alias("reason"))
+    return V.feedback(lines, decided, ["item"], "v")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,47 +41,48 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path).where("kind IS NOT NULL AND seq IS NOT NULL")
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """(encoding, separator) of a delimited text's first bytes: UTF-8 with or without mark, else Windows Western."""
-    encoding = "UTF-8"
-    try:
-        head[: max(0, len(head) - 4)].decode("utf-8")
-    except UnicodeDecodeError:
-        encoding = "ISO-8859-1"
-    line = head.split(b"\n", 1)[0]
-    return encoding, max(",;\t", key=lambda c: line.count(c.encode()))
-
-
 def is_error_body(head: bytes) -> bool:
     """HTML or JSON where a table was expected."""
     start = head.lstrip()[:15].lower()
     return start.startswith((b"<!doctype", b"<html", b"{", b"["))
 
 
-def read_delimited(spark: SparkSession, path: str, fallback: str = "cp1252") -> DataFrame:
-    """Delimited files with a header, all columns as strings; rows shorter than the header are dropped.
+#: More kinds of header, separator and encoding than this among the files of one read are an error.
+MOST_DIALECTS = 200
+
 
-    The first file, in order of paths, tells the dialect of all: its first 64 KB are read, and none of the others. What is not
-    UTF-8 is in the fallback, a one-byte code page."""
-    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]  # paths alone: no content is read
-    if first is None:
+def read_delimited(spark: SparkSession, path: str, fallback: str = "cp1252") -> DataFrame:
+    """Delimited files with a header, all columns as strings; rows shorter or longer than their file's header are dropped.
+
+    Every file has its own dialect, found in the tasks from all of its lines: it is UTF-8 if each of them is, else in the
+    fallback, a one-byte code page; the separator is the one of comma, semicolon and tab that its header has most of. Only
+    the different dialects reach the driver. Files with different columns are united, a missing column being null. A file
+    whose first line begins like HTML or JSON is an error page and refused. Quoted fields do not span lines."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), "value")
+    first = F.struct("_block", "_line")
+    files = lines.groupBy("file").agg(F.min_by("value", first).alias("header"), F.min(first).alias("_first"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    count = lambda c: F.length("header") - F.length(F.replace("header", F.lit(c), F.lit("")))
+    best = F.greatest(*[F.struct(count(c).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(",;\t")])
+    files = files.withColumn("separator", best["c"]).withColumn("raw", F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
+    kinds = files.groupBy("raw", "utf8", "separator").agg(F.min("file").alias("example")).limit(MOST_DIALECTS + 1).collect()
+    if not kinds:
         raise FileNotFoundError(path)
-    file = spark._jvm.org.apache.hadoop.fs.Path(first)
-    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
-    try:
-        head = bytes(stream.readNBytes(65536))
-    finally:
-        stream.close()
-    if is_error_body(head):
-        raise ValueError(f"{path} holds an error page")
-    encoding, separator = sniff(head)
-    rows = spark.read.option("header", True).option("encoding", encoding).option("sep", separator).option("mode", "DROPMALFORMED").csv(path)
+    if len(kinds) > MOST_DIALECTS:
+        raise ValueError(f"{path} has files of more than {MOST_DIALECTS} kinds")
+    if errors := sorted(k["example"] for k in kinds if is_error_body(k["raw"].encode("latin-1").removeprefix(b"\xef\xbb\xbf"))):
+        raise ValueError(f"{errors[0]} holds an error page")
     read, meant = code_page(fallback)
-    table = str.maketrans(read, meant) if encoding != "UTF-8" else {}
-    rows = rows.toDF(*[c.translate(table).lstrip("\ufeff").strip() for c in rows.columns])
-    if encoding == "UTF-8":
-        return rows
-    return rows.select(*[F.translate(f"`{c}`", read, meant).alias(c) for c in rows.columns])
+    body = lines.join(files.select("file", "raw", "utf8", "separator", "_first"), "file").where((first != F.col("_first")) & (F.trim("value") != ""))
+    parts = []
+    for kind in kinds:
+        text = kind["raw"].encode("latin-1").decode("utf-8") if kind["utf8"] else kind["raw"].translate(str.maketrans(read, meant))
+        names = [n.strip() for n in next(csv.reader([text.lstrip("\ufeff")], delimiter=kind["separator"]), [])]
+        line = F.col("value") if kind["utf8"] else F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), read, meant)
+        fields = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(names))], T.StructField("_bad", T.StringType())])
+        row = F.from_csv(line, fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": kind["separator"], "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+        mine = body.where((F.col("raw") == kind["raw"]) & (F.col("utf8") == kind["utf8"])).select(row.alias("r")).where("r._bad IS NULL")
+        parts.append(mine.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def resolve_columns(df: DataFrame, wanted: dict[str, list[str]], optional: frozenset[str] = frozenset()) -> tuple[DataFrame, dict[str, str]]:

@@ -75,3 +75,27 @@ def test_month_history(spark, tmp_path):
     S.write_month(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), path, "2024-01")
     S.write_month(spark.createDataFrame([("a", 2), ("a", 3)], "k string, v int"), path, "2024-02")
     assert sorted((r["k"], r["v"]) for r in S.read_history(spark, path, ["k"]).collect()) == [("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_every_file_has_its_own_dialect(spark, tmp_path):
+    """Separators, code pages and columns by file; a byte that is not UTF-8 far behind the beginning; marks and short rows."""
+    (tmp_path / "a.csv").write_bytes("Make;Größe\nVW;1\nAudi;2\nshort\nlong;1;2\n\n".encode("utf-8-sig"))
+    (tmp_path / "b.csv").write_bytes("Make,Farbe\nSkoda,grün\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes(b"Make\tFarbe\n" + b"".join(b"m%d\tx\n" % i for i in range(20_000)) + "Seat\tgrün €\n".encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes(b'Farbe,Make\n"a, ""b""","q"\n')
+    got = R.read_delimited(spark, str(tmp_path))
+    rows = {(r["Make"], r["Größe"], r["Farbe"]) for r in got.collect() if not r["Make"].startswith("m")}
+    assert rows == {("VW", "1", None), ("Audi", "2", None), ("Skoda", None, "grün"), ("Seat", None, "grün €"), ("q", None, 'a, "b"')} and got.count() == 20_005
+    (tmp_path / "e.csv").write_bytes(b"\xef\xbb\xbf <!DOCTYPE html>\n<p>")
+    with pytest.raises(ValueError, match="e.csv"):
+        R.read_delimited(spark, str(tmp_path))
+
+
+def test_leaves_of_any_depth(spark):
+    from quillforge.operators import rules as L
+
+    deep = "{" + '"a":{' * 9 + '"x":[[[1,{"y":"] }"}]],[],{}]' + "}" * 10
+    rows = [(1, deep), (2, "[]"), (3, "7"), (4, "no json"), (5, None), (6, '{"n":null,"a.b":[true],"t":"{\\"q\\":[1]}"}')]
+    got = {(r["id"], r["path"]): r["value"] for r in L.leaves(spark.createDataFrame(rows, "id int, j string"), ["id"], "j").collect()}
+    a = "$" + ".a" * 9 + ".x[0][0]"
+    assert got == {(1, a + "[0]"): "1", (1, a + "[1].y"): "] }", (3, "$"): "7", (6, "$.n"): None, (6, '$."a.b"[0]'): "true", (6, "$.t"): '{"q":[1]}'}

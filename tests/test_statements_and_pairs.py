@@ -122,3 +122,55 @@ def test_levels_by_route(spark):
     routes = spark.createDataFrame([(1, "european"), (2, "european"), (3, None), (4, "american"), (5, "european")], "target_id int, route string")
     got = {r["target_id"]: r["level"] for r in X.level_by_route(status, routes, {"european": [["a", "b"]], "american": [["c"]]}, {"european": ["a", "b"], "american": ["c"]}).collect()}
     assert got == {1: None, 2: "exact", 3: "partial", 4: None, 5: None}
+
+
+def test_relations_make_only_answers(spark):
+    """Against all pairs; equal strings of any length, the others from four characters on."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
+    codes, values = ([(rng.choice("xy"), word()) for _ in range(90)] + [("x", None), ("z", "aaaa")] for _ in range(2))
+    left, right = spark.createDataFrame(codes, "b string, c string"), spark.createDataFrame(values, "b string, v string")
+
+    def best(b, c):
+        found = []
+        for vb, v in values:
+            if vb == b and c is not None and v is not None:
+                long = min(len(c), len(v)) >= 4
+                s = 3 if c == v else 2 if long and (c.startswith(v) or v.startswith(c)) else 1 if long and (c in v or v in c) else 0
+                found.append((-s, v)) if s else None
+        return (("equal", "prefix", "contains")[3 + min(found)[0]], min(found)[1]) if found else ("none", None)
+
+    df = J.strongest_relation(left, right, "b", "c", "v")
+    assert sorted(((r["b"], r["c"], r["relation"], r["related"]) for r in df.collect()), key=str) == sorted(((b, c, *best(b, c)) for b, c in codes), key=str)
+
+
+def test_counts_by_level_against_all_pairs(spark):
+    from quillforge.operators import rules as L
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), rng.choice("xyz"), rng.choice([None, *range(9)]), rng.choice([None, *range(0, 60, 7)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, b string, t string, s int, p int")
+    levels = {"low": (["b"], {}), "size": (["b"], {"s": 2}), "type": (["b", "t"], {"s": 2}), "price": (["b", "t"], {"s": 2, "p": 14}), "self": (["id"], {})}
+    near = lambda x, y, most: x is not None and y is not None and abs(x - y) <= most
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[1] == b[1]:
+                level = "low"
+                if near(a[3], b[3], 2):
+                    level = "size" if a[2] != b[2] else "price" if near(a[4], b[4], 14) else "type"
+                if a[0] == b[0] and level == "price":
+                    level = "self"
+                want[a[0], level] = want.get((a[0], level), 0) + 1
+    whole = [r[0] for r in rows if None not in r]
+    got = {(r["id"], r["level"]): r["candidates"] for r in L.counts_by_level(df, df, "id", levels).collect()}
+    assert {k: v for k, v in got.items() if k[0] in whole} == {k: v for k, v in want.items() if k[0] in whole}
+
+
+def test_bindings_by_level(spark):
+    from quillforge.operators import rules as L
+
+    m, u, v = "matched", "unknown", "veto"
+    rows = [(v, m, m, m, m), (m, v, m, m, m), (m, m, u, m, m), (m, m, m, v, m), (m, m, m, m, u), (m, m, m, m, m)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
+    assert [r[0] for r in df.select(L.binding_level(*map(F.col, "abcde"))).collect()] == ["unknown", "model_family", "generation", "body_powertrain", "exact_technical_variant", "exact_market_trim"]
