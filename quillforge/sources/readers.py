@@ -79,7 +79,7 @@ def read_delimited(spark: SparkSession, path: str, fallback: str = "cp1252") ->
         names = [n.strip() for n in next(csv.reader([text.lstrip("\ufeff")], delimiter=kind["separator"]), [])]
         line = F.col("value") if kind["utf8"] else F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), read, meant)
         fields = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(names))], T.StructField("_bad", T.StringType())])
-        row = F.from_csv(line, fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": kind["separator"], "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+        row = F.from_csv(line, fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": kind["separator"], "escape": "\"", "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
         mine = body.where((F.col("raw") == kind["raw"]) & (F.col("utf8") == kind["utf8"])).select(row.alias("r")).where("r._bad IS NULL")
         parts.append(mine.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
