@@ -202,18 +202,6 @@ def feedback(candidates: DataFrame, decisions: DataFrame, key: list[str], value:
     return judged.unionByName(missed.select(*key, F.lit("missed").alias("kind"), value, F.lit(None).cast("string").alias("reason")))
 
 
-def ranked_spans(spans: DataFrame, document: list[str], begin: str, end: str, signals: Column, tie: list[str], most: int) -> DataFrame:
-    """document, spans' columns, score, place: the `most` best spans of each document by the sum of signals, then by tie. A span
-    that overlaps a better one of its document is left out: what it shows is shown already."""
-    scored = spans.withColumn("score", signals)
-    w = Window.partitionBy(*document).orderBy(F.desc("score"), *tie)
-    ranked = scored.withColumn("_rank", F.row_number().over(w))
-    better = ranked.select(*[F.col(d).alias(f"_{d}") for d in document], F.col("_rank").alias("_r"), F.col(begin).alias("_a"), F.col(end).alias("_b"))
-    same = reduce(lambda x, y: x & y, (F.col(d) == F.col(f"_{d}") for d in document))
-    shown = ranked.join(better, same & (F.col("_r") < F.col("_rank")) & (F.col("_a") < F.col(end)) & (F.col("_b") > F.col(begin)), "left_anti")
-    return shown.withColumn("place", F.row_number().over(Window.partitionBy(*document).orderBy("_rank"))).where(F.col("place") <= most).drop("_rank")
-
-
 def dead_routes(attempts: DataFrame, scope: list[str], at: str, found: Column, now: Column, max_days: int) -> DataFrame:
     """scope, attempts, newest: routes that need not be tried again: none of their attempts found anything, and the newest is at
     most max_days old."""

@@ -197,19 +197,6 @@ def liveness(spark, sf_dir):
     return O.liveness(e, "user_id", "ts", kind == "signup", kind == "purchase", e.agg(F.max("ts")).scalar(), 14_400)
 
 
-@R.query("""
-WITH s AS (SELECT user_id, event_id, json_extract_string(props, '$.k')::INT * 5 AS a, json_extract_string(props, '$.k')::INT * 5 + 3 + floor(value)::INT % 20 AS b, 100 * (event_type = 'click')::INT + 50 * (event_id % 7 = 0)::INT + 10 * (event_id % 3)::INT AS score FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rk FROM s), k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.user_id = r.user_id AND x.rk < r.rk AND x.a < r.b AND x.b > r.a)), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rk) AS place FROM k)
-SELECT user_id, event_id, a, b, score, place FROM p WHERE place <= 6
-""")
-def ranked_spans(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("int") * 5
-    e = F.col("event_id")
-    s = table(spark, sf_dir, "events").select("user_id", "event_id", k.alias("a"), (k + 3 + F.floor("value").cast("int") % 20).alias("b"), "event_type")
-    signals = 100 * (F.col("event_type") == "click").cast("int") + 50 * (e % 7 == 0).cast("int") + 10 * (e % 3).cast("int")
-    return V.ranked_spans(s, ["user_id"], "a", "b", signals, ["event_id"], 6).drop("event_type")
-
-
 @R.query("""
 WITH n AS (SELECT max(ts)::DATE AS now FROM events) SELECT user_id, json_extract_string(props, '$.k')::INT % 10 AS route, count(*) AS attempts, max(ts) AS newest FROM events, n GROUP BY 1, 2, now HAVING NOT bool_or(event_type = 'purchase') AND date_diff('day', max(ts)::DATE, now) <= 7
 """)
