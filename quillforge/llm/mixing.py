@@ -44,7 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     level = level.withColumn("weights_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     level = level.withColumn("level", F.col("left").cast("double") / F.col("weights_left"))
     # the first source, in order of limits, that the level does not fill: from there on the level holds for all
-    level = level.withColumn("final", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct((F.col("cap").cast("double") / F.col("weight")).alias("k"), "level"))).over(everything)["level"])
+    level = level.withColumn("place", F.row_number().over(by_limit))  # of sources with one limit the first
+    level = level.withColumn("final", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct("place", "level"))).over(everything)["level"])
     target = F.coalesce(F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight")), F.col("cap").cast("double"))
     return level.select("source", "source_size", target.alias("target"))
 
@@ -160,10 +161,11 @@ WITH d AS (
 ), c AS (
   SELECT *, source_size * 3 AS cap FROM s
 ), l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM c
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level,
+    row_number() OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST) AS place FROM c
   WINDOW b AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, coalesce(least(cap::DOUBLE, (arg_min(level, cap::DOUBLE / weight) FILTER (cap > level * weight) OVER ()) * weight), cap::DOUBLE) AS target FROM l
+  SELECT source, source_size, coalesce(least(cap::DOUBLE, (arg_min(level, place) FILTER (cap > level * weight) OVER ()) * weight), cap::DOUBLE) AS target FROM l
 ), z AS (
   SELECT d.source, d.size, sum(d.size)::BIGINT AS words, any_value(target) AS target, 1 / sqrt(sqrt(greatest(d.size, 1)::DOUBLE)) AS thin FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, d.size
 ), v AS (
