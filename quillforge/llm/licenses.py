@@ -1,10 +1,14 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
 Words are weighted by their inverse document frequency over all documents. Templates are the notices that files carry and
-whole license texts. The index has a posting (template, position) for each template: the rarest word of its mandatory phrase,
-without which it cannot be found. A file's occurrences of a posting's word give offsets (position in the file less position in the template), all of them, whatever else the file holds. A template
-whose mandatory phrase stands where an offset puts it gets a score there: the part of its frequency-weighted words, over all
-of them, that stand in place. It is found at LEAST_SCORE or more.
+whole license texts. Of each template the rarest words are posted, (word -> template, position), down to the weight at which
+no file can have half of the template in place without two of them; the rarest word of its mandatory phrase always is.
+
+A file's occurrences of posted words give offsets (position in the file less position in the template). Where the mandatory
+phrase stands, the postings of its template are intersected by relative position: those whose offsets lie within SHIFT of the
+phrase's, as words put in or left out move what follows. They must weigh enough to reach the score at all. The score is
+the part of the template's weight, over all of its words, that stands in place at any of these offsets. A template is found
+at LEAST_SCORE or more.
 
 Scale: one pass over the texts stores, for each document, how many words it has and which license words. The frequencies,
 and which documents can reach the score or hold a phrase at all, come from that small table. Only those documents are read
@@ -150,6 +154,23 @@ TEXTS = (
 )
 TEMPLATES = NOTICES + TEXTS
 LEAST_SCORE = 0.5
+#: How many words may be put into a file's license text, or left out of it, between its phrase and any other word.
+SHIFT = 16
+
+
+def posted(words: list[str], weights: list[float], always: int) -> list[int]:
+    """The positions of a template that are posted: the heaviest first, until what is left weighs less than LEAST_SCORE of the
+    whole even with one posted word more. A file that reaches the score then has two of them in place."""
+    whole = sum(weights)
+    order = sorted(range(len(words)), key=lambda i: (-weights[i], i))
+    taken, left = {always}, whole - weights[always]
+    for i in order:
+        if left + max(weights) < LEAST_SCORE * whole:
+            break
+        if i not in taken:
+            taken.add(i)
+            left -= weights[i]
+    return sorted(taken)
 
 
 def _words(text: Column) -> Column:
@@ -220,37 +241,56 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
     near = stage_table(near.dropDuplicates(["at_doc", "at_key"]), "license-texts")
 
     postings: dict[str, list[tuple[int, int]]] = {}
-    phrase_at = []
+    seeds: dict[str, list[tuple[int, int]]] = {}
+    phrase_at, least_mass = [], []
     for t, (_, words, phrase) in enumerate(lists):
         phrase_at.append(next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase))
-        rarest = max(range(len(phrase)), key=lambda i: (weight[phrase[i]], phrase[i]))
-        postings.setdefault(phrase[rarest], []).append((t, phrase_at[t] + rarest))
+        rarest = phrase_at[t] + max(range(len(phrase)), key=lambda i: (weight[phrase[i]], phrase[i]))
+        places = posted(words, [weight[w] for w in words], rarest)
+        least_mass.append(LEAST_SCORE * mass(words) - sum(weight[w] for i, w in enumerate(words) if i not in places) - 1e-9)
+        seeds.setdefault(words[rarest], []).append((t, rarest))
+        for i in places:
+            postings.setdefault(words[i], []).append((t, i))
     # of each template its words, their weights, and where its phrase begins and ends: constants of the plan
     template_words = F.array(*[_constant(words) for _, words, _ in lists])
     template_weights = F.array(*[_constant([repr(weight[w]) for w in words]).cast("array<double>") for _, words, _ in lists])
     numbers = lambda values: _constant(list(map(str, values))).cast("array<int>")
+    doubles = lambda values: _constant(list(map(repr, values))).cast("array<double>")
     begins, ends = numbers(phrase_at), numbers([at + len(phrase) - 1 for at, (_, _, phrase) in zip(phrase_at, lists, strict=True)])
-    labels_of, masses = _constant([label for label, _, _ in lists]), _constant([repr(mass(words)) for _, words, _ in lists]).cast("array<double>")
-
-    def candidates(word: Column, at: Column) -> Column:
-        out = F.array().cast("array<struct<template:int,offset:int>>")
-        for w, places in postings.items():
-            out = F.when(word == w, F.array(*[F.struct(F.lit(t).alias("template"), (at - F.lit(place)).alias("offset")) for t, place in places])).otherwise(out)
-        return out
-
-    def judged(c: Column) -> Column:
-        """The candidate as (label, template number, score, place), or null."""
-        t, offset = c["template"], c["offset"]
-        words, weights = F.get(template_words, t), F.get(template_weights, t)
-        here = lambda j: F.coalesce(F.get(F.col("words"), offset + j) == F.get(words, j), F.lit(False))
-        there = F.forall(F.sequence(F.get(begins, t), F.get(ends, t)), here)
-        part = F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), F.lit(0.0), lambda got, j: got + F.when(here(j), F.get(weights, j)).otherwise(0.0)) / F.get(masses, t)
-        one = F.struct(F.get(labels_of, t).alias("label"), t.alias("template"), F.least(part, F.lit(1.0)).alias("score"), offset.alias("place"))
-        return F.when(there & (part >= LEAST_SCORE), one)
-
-    anchors = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*postings))
-    base = near.withColumn("candidates", F.flatten(F.transform(anchors, lambda x: candidates(x["word"], x["at"]))))
-    base = base.withColumn("found", F.sort_array(F.filter(F.transform("candidates", judged), lambda x: x.isNotNull())))
+    labels_of, masses, needed = _constant([label for label, _, _ in lists]), doubles([mass(words) for _, words, _ in lists]), doubles(least_mass)
+
+    def hits(index: dict[str, list[tuple[int, int]]]) -> Column:
+        """(template, place in it, offset) of every occurrence of an indexed word."""
+        listed = {w: F.array(*[F.struct(F.lit(t).alias("template"), F.lit(place).alias("place")) for t, place in places]) for w, places in index.items()}
+        lookup = F.create_map(*[c for w, places in listed.items() for c in (F.lit(w), places)])
+        at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*index))
+        return F.flatten(F.transform(at, lambda x: F.transform(F.element_at(lookup, x["word"]), lambda p: F.struct(p["template"], p["place"], (x["at"] - p["place"]).alias("offset")))))
+
+    def in_place(t: Column, j: Column, offset: Column) -> Column:
+        return F.coalesce(F.get(F.col("words"), offset + j) == F.get(F.get(template_words, t), j), F.lit(False))
+
+    def phrase_stands(c: Column) -> Column:
+        t = c["template"]
+        return F.forall(F.sequence(F.get(begins, t), F.get(ends, t)), lambda j: in_place(t, j, c["offset"]))
+
+    def intersected(c: Column) -> Column:
+        near = F.filter("hits", lambda h: (h["template"] == c["template"]) & (F.abs(h["offset"] - c["offset"]) <= SHIFT))
+        return F.struct(c["template"], c["offset"], F.array_distinct(F.transform(near, lambda h: h["place"])).alias("places"), F.array_distinct(F.transform(near, lambda h: h["offset"])).alias("offsets"))
+
+    def weighs_enough(c: Column) -> Column:
+        got = F.aggregate(c["places"], F.lit(0.0), lambda total, place: total + F.get(F.get(template_weights, c["template"]), place))
+        return got >= F.get(needed, c["template"])
+
+    def scored(c: Column) -> Column:
+        """(label, template number, score, place)."""
+        t = c["template"]
+        here = lambda j: F.exists(c["offsets"], lambda offset: in_place(t, j, offset))
+        part = F.aggregate(F.sequence(F.lit(0), F.size(F.get(template_words, t)) - 1), F.lit(0.0), lambda got, j: got + F.when(here(j), F.get(F.get(template_weights, t), j)).otherwise(0.0)) / F.get(masses, t)
+        return F.struct(F.get(labels_of, t).alias("label"), t.alias("template"), F.least(part, F.lit(1.0)).alias("score"), c["offset"].alias("place"))
+
+    base = near.withColumn("hits", hits(postings)).withColumn("phrases", F.filter(hits(seeds), phrase_stands))
+    base = base.withColumn("candidates", F.filter(F.transform("phrases", intersected), weighs_enough))
+    base = base.withColumn("found", F.sort_array(F.filter(F.transform("candidates", scored), lambda x: x["score"] >= LEAST_SCORE)))
     base = base.select("at_doc", "at_key", F.array(*[F.struct(F.lit(label).alias("label"), _starts("words", phrase.split()).alias("starts")) for phrase, label in PHRASES.items()]).alias("base"), "found")
     every = F.flatten(F.transform("base", lambda x: x["starts"]))
     base = base.select("at_doc", "at_key", every.alias("starts"), F.transform(F.filter("base", lambda x: F.size(x["starts"]) > 0), lambda x: x["label"]).alias("base_labels"), F.when(F.size("found") > 0, F.col("found")).alias("found"))

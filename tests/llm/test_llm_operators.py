@@ -569,8 +569,12 @@ def brute_licenses(rows, templates):
         for label, words, phrase in lists:
             first = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
             full = sum(map(weight, words))
+            rarest = first + max(range(len(phrase)), key=lambda k: (weight(phrase[k]), phrase[k]))
+            postings = licenses.posted(words, [weight(w) for w in words], rarest)
             for i in [i for i in range(len(ws)) if ws[i : i + len(phrase)] == phrase]:
-                part = sum(weight(w) for j, w in enumerate(words, i - first) if 0 <= j < len(ws) and ws[j] == w) / full
+                stands = lambda k, offset: 0 <= k + offset < len(ws) and ws[k + offset] == words[k]  # noqa: B023, E731
+                offsets = [o for o in range(i - first - licenses.SHIFT, i - first + licenses.SHIFT + 1) if any(stands(k, o) for k in postings)]
+                part = sum(weight(w) for k, w in enumerate(words) if any(stands(k, o) for o in offsets)) / full
                 if part >= licenses.LEAST_SCORE:
                     labels.add(label)
                     best = max(best, min(part, 1.0))
@@ -608,6 +612,37 @@ def test_licenses_beyond_the_phrases(spark):
     assert got[1] == "bsd" and got[2] == "" and got[3] == "mpl" and not any(got[10 + i] for i in range(30))
 
 
+def test_licenses_with_words_put_in_early(spark):
+    """A word put in near the beginning moves all that follows; the license keeps its score, but for common words that no posted one stands with."""
+    rows = []
+    for t, (label, words, phrase) in enumerate(licenses.TEMPLATES):
+        w = words.split()
+        first = next(i for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        for k, at in enumerate((1, max(1, first - 1), first + len(phrase.split()))):
+            rows.append((10 * t + k, " ".join([*w[:at], *["put", "in", "words"][: k + 1], *w[at:]])))
+        if len(w) > 40:
+            cut = [x for i, x in enumerate(w) if i not in (2, 3, len(w) // 2) or first <= i < first + len(phrase.split())]
+            rows.append((10 * t + 5, " ".join(cut)))
+    rows += [(10_000 + i, "plain text of the usual kind with and without the words of a license") for i in range(200)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for t, (label, words, _) in enumerate(licenses.TEMPLATES):
+        for k in (0, 1, 2):
+            best = max((f["score"] for f in got[10 * t + k]["found"] or [] if f["template"] == t), default=0)
+            assert best > 0.8 and label in got[10 * t + k]["labels"].split(","), (t, k, best)
+        if 10 * t + 5 in got:
+            assert max(f["score"] for f in got[10 * t + 5]["found"] if f["template"] == t) > 0.85
+
+
+def test_posted_words_leave_less_than_the_score():
+    rng = random.Random(3)
+    for _ in range(200):
+        words = [f"w{rng.randint(0, 9)}" for _ in range(rng.randint(2, 30))]
+        weights = [rng.choice([0.01, 0.5, 1.0, 3.0]) for _ in words]
+        taken = licenses.posted(words, weights, 1)
+        left = sum(w for i, w in enumerate(weights) if i not in taken)
+        assert 1 in taken and (left + max(weights) < licenses.LEAST_SCORE * sum(weights) or len(taken) == len(words))
+
+
 def test_licenses_of_files_with_several_texts(spark):
     texts = {i: words for i, (_, words, _) in enumerate(licenses.TEMPLATES)}
     pairs = [(a, b) for a in texts for b in texts if a < b]
