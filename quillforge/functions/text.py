@@ -40,29 +40,33 @@ def ascii_identity(text: Column) -> Column:
     return F.nullif(spelling(text), F.lit(""))
 
 
-@F.pandas_udf(StringType())
-def make_key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A maker's name without accents, points and apostrophes, up to the first token with a digit or legal form, joined.
+# Legal forms, which end a maker's name, and words that say nothing of it.
+LEGAL_FORMS = ("AG", "GMBH", "LTD", "INC", "CO", "CORP", "SPA", "SA", "SE", "KG", "NV", "BV", "PLC", "LLC")
+FILLERS = ("THE", "GROUP", "MOTORS", "MOTOR", "AUTOMOBILES", "AUTOMOTIVE")
 
-    Use it on distinct spellings and join the result back."""
-    import unicodedata
 
-    # fixed values
-    legal = {"AG", "GMBH", "LTD", "INC", "CO", "CORP", "SPA", "SA", "SE", "KG", "NV", "BV", "PLC", "LLC"}
-    fillers = {"THE", "GROUP", "MOTORS", "MOTOR", "AUTOMOBILES", "AUTOMOTIVE"}
+def make_key(text: Column, legal: tuple[str, ...] = LEGAL_FORMS, fillers: tuple[str, ...] = FILLERS) -> Column:
+    """A maker's name without accents, points and apostrophes, up to the first token with a digit or legal form, joined; fillers
+    are left out. Use it on distinct spellings and join the result back, as canonical_makers does."""
 
-    def key(s: str) -> str:
-        bare = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).upper()
-        out = []
-        for token in bare.replace(".", "").replace("'", "").split():
-            if any(c.isdigit() for c in token) or token in legal:
-                break
-            if token not in fillers:
-                out.append("".join(c for c in token if c.isalnum()))
-        return "".join(out)
+    @F.pandas_udf(StringType())
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import unicodedata
 
-    for batch in batches:
-        yield batch.map(key, na_action="ignore")
+        def key(s: str) -> str:
+            bare = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).upper()
+            out = []
+            for token in bare.replace(".", "").replace("'", "").split():
+                if any(c.isdigit() for c in token) or token in legal:
+                    break
+                if token not in fillers:
+                    out.append("".join(c for c in token if c.isalnum()))
+            return "".join(out)
+
+        for batch in batches:
+            yield batch.map(key, na_action="ignore")
+
+    return keys(text)
 
 
 def model_key(text: Column) -> Column:

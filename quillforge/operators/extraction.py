@@ -72,7 +72,7 @@ class _Dictionary:
     def hits(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, field) of the aliases that stand as whole words; one inside a longer one is that one's."""
         found = []
-        for last, (size, owners) in self.aliases.iter(text):
+        for last, (size, owners) in self.aliases.iter(text) if len(self.aliases) else ():
             a, b = last - size + 1, last + 1
             if (a and (text[a - 1].isalnum() and text[a].isalnum())) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum()):
                 continue

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.functions.text import model_key, spelling
+from quillforge.functions.text import make_key, model_key, spelling
 from quillforge.operators.evidence import first_reason
 
 
@@ -41,6 +41,15 @@ def by_maker(df: DataFrame, make: str, model: str, makers: DataFrame) -> DataFra
     return both.withColumn("canonical", canonical).where("canonical IS NOT NULL").select(*df.columns, "canonical")
 
 
+def canonical_makers(df: DataFrame, make: str, makers: DataFrame) -> DataFrame:
+    """df with `canonical`: the maker of makers (canonical) whose key is that of the spelling; null without one, never a guess.
+    Of makers with one key the first in order. Keys are made once for each different spelling."""
+    listed = makers.select("canonical").distinct().withColumn("_key", make_key(F.col("canonical"))).where("_key <> ''").groupBy("_key").agg(F.min("canonical").alias("canonical"))
+    spellings = df.select(F.col(make).alias("_spelling")).where(F.col(make).isNotNull()).distinct().withColumn("_key", make_key(F.col("_spelling")))
+    found = spellings.join(listed, "_key").select("_spelling", "canonical")
+    return df.join(found, F.col(make) == F.col("_spelling"), "left").drop("_spelling")
+
+
 def code_text(code: Column) -> Column:
     """A type code for comparison: upper case, no points or blanks; null if shorter than two characters."""
     bare = F.regexp_replace(F.upper(code), r"[.\s]+", "")

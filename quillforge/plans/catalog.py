@@ -72,3 +72,16 @@ def top_per_group(spark, sf_dir):
 @R.query("SELECT p_brand, count(*) AS n_codes, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
 def several_values(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n_codes"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), F.countDistinct("p_size").alias("d")).where("d > 1").drop("d")
+
+
+@R.query("""
+WITH g AS (SELECT p_brand, p_size, p_type, min(year(l_shipdate)) AS a, max(year(l_shipdate)) AS b FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3)
+SELECT p_brand, p_size, min(a)::INT AS first_year, max(b)::INT AS last_year, string_agg(p_type || ':' || a || '-' || b, ',' ORDER BY p_type) AS type_codes FROM g GROUP BY 1, 2
+""")
+def type_code_years(spark, sf_dir):
+    """Each code of a maker with its type codes and the years that each was made in."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size", "p_type")
+    years = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(F.year("l_shipdate")).alias("a"), F.max(F.year("l_shipdate")).alias("b"))
+    per = part.join(years, "l_partkey").groupBy("p_brand", "p_size", "p_type").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    listed = F.sort_array(F.collect_list(F.struct("p_type", F.concat_ws("", "p_type", F.lit(":"), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string")).alias("t"))))
+    return per.groupBy("p_brand", "p_size").agg(F.min("a").alias("first_year"), F.max("b").alias("last_year"), F.array_join(F.transform(listed, lambda x: x["t"]), ",").alias("type_codes"))

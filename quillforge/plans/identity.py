@@ -159,3 +159,18 @@ def source_classes(spark, sf_dir):
     brand = F.when(F.col("page_id") % 3 == 0, "one").when(F.col("page_id") % 3 == 1, "two")
     kind = I.source_class(host(F.col("url")), brand, ["gov"], {"two": ["example.net"]}, {"one": ["example"]}, ["org"], {"publisher": ["example.org"]})
     return table(spark, sf_dir, "pages").select("page_id", kind.alias("class"))
+
+
+@R.query(r"""
+WITH s AS (SELECT s_suppkey, n_name || CASE s_suppkey % 7 WHEN 0 THEN ' Motors Ltd. of all' WHEN 1 THEN ' 2000 line' WHEN 2 THEN '' WHEN 3 THEN ' Automobiles' WHEN 4 THEN ' A.G. plus' WHEN 5 THEN ' é' ELSE ' G.m.b.H.' END AS make FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+t AS (SELECT *, string_split_regex(trim(upper(strip_accents(replace(make, '.', '')))), ' +') AS ws FROM s), u AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: regexp_matches(ws[i], '[0-9]') OR ws[i] IN ('AG', 'GMBH', 'LTD', 'INC', 'CO', 'CORP', 'SPA', 'SA', 'SE', 'KG', 'NV', 'BV', 'PLC', 'LLC')) AS stops FROM t),
+k AS (SELECT s_suppkey, make, array_to_string(list_transform(list_filter(CASE WHEN len(stops) > 0 THEN ws[1:stops[1] - 1] ELSE ws END, lambda w: w NOT IN ('THE', 'GROUP', 'MOTORS', 'MOTOR', 'AUTOMOBILES', 'AUTOMOTIVE')), lambda w: regexp_replace(w, '[^0-9A-Z]', '', 'g')), '') AS key FROM u), n AS (SELECT regexp_replace(upper(n_name), '[^0-9A-Z]', '', 'g') AS key, n_name AS canonical FROM nation)
+SELECT s_suppkey, make, canonical FROM k LEFT JOIN n USING (key)
+""")
+def canonical_makers(spark, sf_dir):
+    """Spellings with legal forms, years, accents and fillers behind a name; some have more than the name, and stay unknown."""
+    k = F.col("s_suppkey") % 7
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    tail = F.when(k == 0, " Motors Ltd. of all").when(k == 1, " 2000 line").when(k == 2, "").when(k == 3, " Automobiles").when(k == 4, " A.G. plus").when(k == 5, " é").otherwise(" G.m.b.H.")
+    rows = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select("s_suppkey", F.concat("n_name", tail).alias("make"))
+    return I.canonical_makers(rows, "make", nation.withColumnRenamed("n_name", "canonical"))
