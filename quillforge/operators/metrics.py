@@ -93,6 +93,13 @@ def stats_by_config(runs: DataFrame, config: str, run: str, value: str, complete
     return stats.join(names, stats["_config"].eqNullSafe(names["_config"]), "left").select(stats["_config"].alias("config"), "runs", "total", "mean", "median", "incomplete", F.coalesce("_names", F.lit("")).alias("incomplete_runs"))
 
 
+def agreement(rows: DataFrame, by: list[str], offer: str, truth: str, least: int, per_miss: int) -> DataFrame:
+    """by, runs, agree, disagree, no_offer, proposed: how often offers equal what is known, over rows whose truth is known. proposed
+    (for admission): at least `least` agree, and `per_miss` for each that disagrees."""
+    known = rows.where(F.col(truth).isNotNull()).groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(F.col(offer) == F.col(truth)).alias("agree"), F.count_if(F.col(offer) != F.col(truth)).alias("disagree"), F.count_if(F.col(offer).isNull()).alias("no_offer"))
+    return known.withColumn("proposed", (F.col("agree") >= least) & (F.col("disagree") * per_miss <= F.col("agree")))
+
+
 def turn_curve(events: DataFrame, run: str, turn: str, item: Column, of: int) -> DataFrame:
     """turn, runs, mean and median coverage: the share of `of` items that a run has seen up to a turn, over the runs that
     reach the turn. An item counts from the first turn that shows it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillforge.functions.text import value_shape
+from quillforge.operators import metrics as M
 from quillforge.operators import aggregates as A
 from quillforge.plans.registry import Registry
 from quillforge.session import table
@@ -163,14 +164,18 @@ def distinct_buckets(spark, sf_dir):
 
 
 @R.query("""
-WITH e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)
-SELECT event_type, count(*) AS runs, count(CASE WHEN k < 50 THEN 1 END) AS agree, count(CASE WHEN k >= 50 THEN 1 END) AS disagree, count(CASE WHEN k = 0 THEN 1 END) AS no_offer, count(CASE WHEN k < 50 THEN 1 END) >= 5 AND count(CASE WHEN k >= 50 THEN 1 END) = 0 AS proposed FROM e GROUP BY 1
+WITH o AS (SELECT l_partkey, l_returnflag AS source, CASE l_linenumber % 2 WHEN 0 THEN 'size' ELSE 'type' END AS field, l_linestatus AS route, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber % 2 = 0 THEN (l_quantity::INT % 25 + 1)::VARCHAR ELSE CASE WHEN l_suppkey % 9 > 0 THEN p_type ELSE 'OTHER' END END AS offer, p_size::VARCHAR AS size, CASE WHEN p_partkey % 10 > 0 THEN p_type END AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
+t AS (SELECT source, field, route, offer, CASE field WHEN 'size' THEN size ELSE type END AS truth FROM o), g AS (SELECT source, field, route, count(*) AS runs, count(CASE WHEN offer = truth THEN 1 END) AS agree, count(CASE WHEN offer <> truth THEN 1 END) AS disagree, count(CASE WHEN offer IS NULL THEN 1 END) AS no_offer FROM t WHERE truth IS NOT NULL GROUP BY 1, 2, 3)
+SELECT *, agree >= 5 AND disagree * 8 <= agree AS proposed FROM g
 """)
 def agreement_tally(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("runs"), F.count_if(F.col("k") < 50).alias("agree"), F.count_if(F.col("k") >= 50).alias("disagree"), F.count_if(F.col("k") == 0).alias("no_offer"), ((F.count_if(F.col("k") < 50) >= 5) & (F.count_if(F.col("k") >= 50) == 0)).alias("proposed")
-    )
+    """What lines say of their part, by source, field and route, against what the part's own row says."""
+    n = F.col("l_linenumber")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("string").alias("size"), F.when(F.col("p_partkey") % 10 > 0, F.col("p_type")).alias("type"), "p_type")
+    field = F.when(n % 2 == 0, "size").otherwise("type")
+    offer = F.when(n == 7, None).when(n % 2 == 0, (F.col("l_quantity").cast("int") % 25 + 1).cast("string")).otherwise(F.when(F.col("l_suppkey") % 9 > 0, F.col("p_type")).otherwise("OTHER"))
+    rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(F.col("l_returnflag").alias("source"), field.alias("field"), F.col("l_linestatus").alias("route"), offer.alias("offer"), F.when(field == "size", F.col("size")).otherwise(F.col("type")).alias("truth"))
+    return M.agreement(rows, ["source", "field", "route"], "offer", "truth", 5, 8)
 
 
 @R.query("""
