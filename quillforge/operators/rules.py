@@ -105,41 +105,39 @@ def after_cursor(rows: DataFrame, cursors: DataFrame, key: list[str], position:
 
 
 def within_counts(targets: DataFrame, rows: DataFrame, keys: list[str], reach: dict[str, int], name: str) -> DataFrame:
-    """targets with a count under `name`: the rows of the same keys whose whole numbers in `reach` are each at most so far away.
+    """keys, the numbers in `reach` and a count under `name`, once for each that targets state: the rows of the same keys whose
+    whole numbers in `reach` are each at most so far away. What no row is near has no row here.
 
     Without a number it is a count by key. The last number is counted by running sums over its values in order; one before it
     is spread over the values it may take, so keep its reach small. Rows with a null there are near nothing."""
     if not reach:
-        return targets.join(rows.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left").na.fill(0, [name])
+        return rows.groupBy(*keys).agg(F.count("*").alias(name))
     *spread, (value, far) = reach.items()
-    wanted = targets.select(*dict.fromkeys([*keys, *reach])).distinct()
-    asked = wanted.select("*", *[F.col(c).alias(f"_{c}") for c in reach])
+    columns = list(dict.fromkeys([*keys, *reach]))
+    asked = targets.select(*columns).distinct()
     for c, most in spread:
         asked = asked.withColumn(f"_{c}", F.explode(F.sequence(F.col(c) - most, F.col(c) + most)))
     keyed = [*keys, *[f"_{c}" for c, _ in spread]]
-    points = rows.groupBy(*keys, *reach).agg(F.count("*").alias("_n")).withColumnsRenamed({c: f"_{c}" for c in reach})
+    points = rows.groupBy(*keys, *reach).agg(F.count("*").alias("_n")).withColumnsRenamed({c: f"_{c}" for c, _ in spread})
     # the sum of all points below the lower end is taken from the sum of all up to the upper end
-    ends = F.explode(F.array(F.struct((F.col(f"_{value}") - far).alias("_at"), F.lit(0).alias("_kind")), F.struct((F.col(f"_{value}") + far).alias("_at"), F.lit(2).alias("_kind"))))
-    queries = asked.where(F.col(f"_{value}").isNotNull()).withColumn("_e", ends).select(*keyed, "_e.*").distinct().withColumn("_n", F.lit(0).cast("long"))
-    marks = queries.unionByName(points.select(*keyed, F.col(f"_{value}").alias("_at"), F.lit(1).alias("_kind"), "_n"))
+    ends = F.explode(F.array(F.struct((F.col(value) - far).alias("_at"), F.lit(0).alias("_kind")), F.struct((F.col(value) + far).alias("_at"), F.lit(2).alias("_kind"))))
+    queries = asked.where(F.col(value).isNotNull()).select("*", ends.alias("_e")).select(*asked.columns, "_e.*")
+    marks = queries.unionByName(points.withColumnRenamed(value, "_at").withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     running = F.sum("_n").over(Window.partitionBy(*keyed).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    upto = marks.withColumn("_sum", running).where("_kind <> 1").select(*keyed, "_at", "_kind", "_sum")
-    low = upto.where("_kind = 0").select(*keyed, (F.col("_at") + far).alias(f"_{value}"), F.col("_sum").alias("_low"))
-    high = upto.where("_kind = 2").select(*keyed, (F.col("_at") - far).alias(f"_{value}"), F.col("_sum").alias("_high"))
-    both = asked.join(low, [*keyed, f"_{value}"]).join(high, [*keyed, f"_{value}"])
-    columns = list(dict.fromkeys([*keys, *reach]))
-    counted = both.groupBy(*columns).agg(F.sum(F.col("_high") - F.col("_low")).alias(name))
-    return targets.join(counted, columns, "left").na.fill(0, [name])
+    upto = marks.withColumn("_sum", F.coalesce(running, F.lit(0))).where("_kind <> 1")
+    return upto.groupBy(*columns).agg(F.sum(F.when(F.col("_kind") == 2, F.col("_sum")).otherwise(-F.col("_sum"))).alias(name))
 
 
 def counts_by_level(targets: DataFrame, rows: DataFrame, target: str, levels: dict[str, tuple[list[str], dict[str, int]]]) -> DataFrame:
     """target, level, candidates: how many rows bind to a target at each level and at none above it.
 
     levels, the lowest first, has for each what a row must share with the target: keys, and how far numbers may be away. Each
-    asks for all that the one before it asks for and more."""
+    asks for all that the one before it asks for and more. Counts are made from the given targets, not from what earlier
+    levels added to them, and joined by sorting: what explode makes is more than Spark expects, too much to send to the driver."""
     out = targets
     for i, (keys, reach) in enumerate(levels.values()):
-        out = within_counts(out, rows, keys, reach, f"_c{i}")
+        counted = within_counts(targets, rows, keys, reach, f"_c{i}")
+        out = out.join(counted.hint("merge") if reach or target in keys else counted, list(dict.fromkeys([*keys, *reach])), "left").na.fill(0, [f"_c{i}"])
     alone = [F.col(f"_c{i}") - (F.col(f"_c{i + 1}") if i + 1 < len(levels) else F.lit(0)) for i in range(len(levels))]
     each = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), n.alias("candidates")) for level, n in zip(levels, alone, strict=True)]))
     return out.select(target, each.alias("l")).select(target, "l.*").where("candidates > 0")
