@@ -135,28 +135,47 @@ def page_pairs(elements: DataFrame, key: str, least: int = 3, known: Column | No
     half of a two-column one. Nothing inside tables, which have cells. The last two count where at least `least` siblings have
     the same signature, or where `known` (a condition on `label`) holds. Each (label, value) of a page once, lists first, then
     in page order; heading is the last one before it."""
-    e = elements
     page = Window.partitionBy(key).orderBy("node")
-    e = e.withColumn("heading", F.last(F.when(F.col("tag").isin(*HEADINGS), F.substring("text", 1, HEADING)), ignorenulls=True).over(page))
-    siblings = Window.partitionBy(key, "parent").orderBy("node")
+    e = elements.withColumn("heading", F.last(F.when(F.col("tag").isin(*HEADINGS), F.substring("text", 1, HEADING)), ignorenulls=True).over(page))
+    # each element stands in the family of its parent, and at the head of its own; all windows are inside a page, so that pages
+    # are dealt out once and nothing is joined
+    own = F.struct("tag", "heading", "signature", "parent", "n_children", "own_text", "in_table")
+    places = F.array(F.struct(F.col("parent").alias("_family"), F.lit(None).cast(e.select(own).schema[0].dataType).alias("_head")), F.struct(F.col("node").alias("_family"), own.alias("_head")))
+    e = e.select("*", F.explode(F.when(F.col("n_children") > 0, places).otherwise(F.slice(places, 1, 1))).alias("_place")).select(*e.columns, "_place.*")
+    is_head = F.col("_head").isNotNull()
+    siblings = Window.partitionBy(key, "_family").orderBy(is_head.desc(), "node")
+    family = siblings.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # halves of two-column elements, and the terms of lists, in the parent's own order
-    term = F.last(F.when(F.col("tag") == "dt", _as_label(F.col("text"))), ignorenulls=True).over(siblings)
-    e = e.withColumn("_term", term).withColumn("_next", F.lead("text").over(siblings)).withColumn("_next_tag", F.lead("tag").over(siblings)).withColumn("_first", F.row_number().over(siblings) == 1)
-    parents = e.select(key, F.col("node").alias("parent"), F.col("tag").alias("_parent_tag"), F.col("heading").alias("_parent_heading"), F.col("signature").alias("_parent_signature"), F.col("parent").alias("_grand"), F.col("n_children").alias("_n"), F.col("own_text").alias("_own"), F.col("in_table").alias("_in"))
-    e = e.join(parents, [key, "parent"], "left")
+    term = F.last(F.when(~is_head & (F.col("tag") == "dt"), _as_label(F.col("text"))), ignorenulls=True).over(siblings)
+    parent = F.when(F.col("_family").isNotNull(), F.first("_head", ignorenulls=True).over(siblings))
+    e = e.withColumn("_term", term).withColumn("_next", F.lead("text").over(siblings)).withColumn("_next_tag", F.lead("tag").over(siblings)).withColumn("_first", F.coalesce(F.lag(is_head).over(siblings), F.lit(False))).withColumn("_parent", parent)
     lists = ("ul", "ol", "table", "dl")
     value_of = lambda c: F.trim(c)
-    two = F.coalesce((F.col("_n") == 2) & ~F.col("_own") & ~F.col("_in") & ~F.col("_parent_tag").isin("tr", "table", "tbody", "thead", "dl", "dt", "dd"), F.lit(False))
-    halves = e.where(two & F.col("_first") & F.col("_next").isNotNull() & ~F.col("tag").isin(*lists) & ~F.col("_next_tag").isin(*lists))
-    halves = halves.select(key, F.col("parent").alias("node"), F.col("_grand").alias("parent"), F.lit("two_column").alias("kind"), _as_label(F.col("text")).alias("label"), value_of(F.col("_next")).alias("value"), F.col("_parent_heading").alias("heading"), F.col("_parent_signature").alias("signature")).where(_pair(F.col("label"), F.col("value")))
-    defined = e.where((F.col("tag") == "dd") & (F.col("_parent_tag") == "dl") & F.col("_term").isNotNull())
-    defined = defined.select(key, "node", "parent", F.lit("definition_list").alias("kind"), F.col("_term").alias("label"), value_of(F.col("text")).alias("value"), F.col("_parent_heading").alias("heading"), F.lit("dl").alias("signature"))
+    above = F.col("_parent")
+    two = F.coalesce((above["n_children"] == 2) & ~above["own_text"] & ~above["in_table"] & ~above["tag"].isin("tr", "table", "tbody", "thead", "dl", "dt", "dd"), F.lit(False))
+    half = two & F.col("_first") & F.col("_next").isNotNull() & ~F.col("tag").isin(*lists) & ~F.col("_next_tag").isin(*lists) & _pair(_as_label(F.col("text")), value_of(F.col("_next")))
+    e = e.withColumn("_half", ~is_head & F.coalesce(half, F.lit(False)))
+    # of a two-column element, and of what stands in it, its pair is all that counts
+    e = e.withColumn("_halves", F.max("_half").over(family))
+    mine = Window.partitionBy(key, "node")
+    e = e.withColumn("_whole", F.coalesce(F.max(F.when(is_head, F.col("_halves"))).over(mine), F.lit(False))).where(~is_head)
+    in_half = F.col("parent").isNotNull() & F.col("_halves")
+    defined = (F.col("tag") == "dd") & (above["tag"] == "dl") & F.col("_term").isNotNull()
     form = rf"(?s)^([^:|–—]{{1,{LABEL}}}?)\s*(?::|\s[–—-]\s|\s\|\s)\s*(\S.{{0,{VALUE - 1}}})$"
     blocks = [b for b in BLOCKS if b not in ("div", "p", "li")]
-    single = e.where(~F.col("tag").isin(*blocks) & ~F.col("in_table") & ~F.col("has_block") & (F.length("text") < KEPT) & F.col("text").rlike(form))
-    single = single.join(halves.select(key, F.col("node").alias("parent")), [key, "parent"], "left_anti").join(halves.select(key, "node"), [key, "node"], "left_anti")
-    single = single.select(key, "node", "parent", F.lit("split").alias("kind"), _as_label(F.regexp_extract("text", form, 1)).alias("label"), value_of(F.regexp_extract("text", form, 2)).alias("value"), "heading", "signature")
-    found = defined.unionByName(halves).unionByName(single).where(_pair(F.col("label"), F.col("value")))
+    single = ~F.col("tag").isin(*blocks) & ~F.col("in_table") & ~F.col("has_block") & (F.length("text") < KEPT) & F.col("text").rlike(form) & ~in_half & ~F.col("_whole")
+
+    def stated(kind: str, node: str, of: Column, label: Column, value: Column, heading: Column, signature: Column) -> Column:
+        columns = {"node": F.col(node), "parent": of, "kind": F.lit(kind), "label": label, "value": value, "heading": heading, "signature": signature}
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    text = F.col("text")
+    pairs = [
+        F.when(defined, stated("definition_list", "node", F.col("parent"), F.col("_term"), value_of(text), above["heading"], F.lit("dl"))),
+        F.when(F.col("_half"), stated("two_column", "parent", above["parent"], _as_label(text), value_of(F.col("_next")), above["heading"], above["signature"])),
+        F.when(single, stated("split", "node", F.col("parent"), _as_label(F.regexp_extract(text, form, 1)), value_of(F.regexp_extract(text, form, 2)), F.col("heading"), F.col("signature"))),
+    ]
+    found = e.where(defined | F.col("_half") | single).select(key, F.explode(F.array_compact(F.array(*pairs))).alias("p")).select(key, "p.*").where(_pair(F.col("label"), F.col("value")))
     alike = F.count("*").over(Window.partitionBy(key, "parent", "signature"))
     found = found.withColumn("repeated", (F.col("kind") == "definition_list") | (alike >= least))
     found = found.where(F.col("repeated") | known if known is not None else F.col("repeated"))

@@ -25,7 +25,8 @@ def page_pairs(spark, sf_dir):
     rows = F.concat(F.lit("<h2>Dimensions &amp; more</h2><section>"), two("Size", s("p_size")), two("Half", F.concat(s("p_size"), F.lit(" / 2"))), two("Name", F.col("p_name")), F.lit("</section>"))
     lines = F.concat(F.lit("<ul><li><b>Series</b>: "), F.col("p_brand"), F.lit("</li><li><b>Kind</b> – "), F.col("p_type"), F.lit("</li><li><b>Count</b> | "), s("p_size"), F.lit("</li></ul>"))
     tail = F.concat(F.lit('<div style="display: none"><p>X: 1</p><p>Y: 2</p><p>Z: 3</p></div><div><p>Price: '), s("p_size"), F.lit("</p><p>Note: one</p><p>more</p></div><table><tr><td>In: table</td></tr><tr><td>Of: cells</td></tr><tr><td>No: pairs</td></tr></table><footer>Tel: 1</footer></body></html>"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.when(F.col("p_partkey") % 4 == 3, head).otherwise(F.concat(head, rows, lines, tail)).alias("html"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand").repartition("p_partkey")  # dealt out while rows are short: a page is made, and parsed, after it
+    pages = part.select(F.col("p_partkey").alias("page"), F.when(F.col("p_partkey") % 4 == 3, head).otherwise(F.concat(head, rows, lines, tail)).alias("html"))
     return T.page_pairs(T.page_elements(pages, "page", "html"), "page", 3, F.col("label") == "Price")
 
 

@@ -15,3 +15,11 @@ def test_counts_by_level_reads_its_rows_a_few_times_and_broadcasts_no_exploded_r
     plan = _plan(L.counts_by_level(df, df, "id", levels))
     assert plan.count("Scan ExistingRDD") <= 1 + 2 * len(levels)
     assert plan.count("BroadcastHashJoin") <= 1
+
+
+def test_page_pairs_deals_pages_out_once_and_joins_nothing(spark):
+    from quillforge.operators import structure as T
+
+    pages = spark.createDataFrame([(1, "<ul><li>a: 1</li><li>b: 2</li><li>c: 3</li></ul>")], "page int, html string")
+    plan = _plan(T.page_pairs(T.page_elements(pages, "page", "html"), "page"))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
