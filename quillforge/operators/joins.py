@@ -142,10 +142,13 @@ def value_or_reason(targets: DataFrame, rows: DataFrame, key: list[str], name: s
     )
 
 
-def ordered_lookup(ids: DataFrame, rows: DataFrame, key: str, position: str, keep_unknown: bool = False) -> DataFrame:
-    """rows in the order of the id list; unknown ids are dropped, or kept as rows without values and found = false."""
+def ordered_lookup(ids: DataFrame, rows: DataFrame, key: str, position: str, keep_unknown: bool = False, lists: tuple[str, ...] = ()) -> DataFrame:
+    """rows in the order of the id list; unknown ids are dropped, or kept as rows without values and found = false.
+
+    Where ids holds several lists, `lists` names their columns: one list stands after the other. The position alone would
+    put the same place of all lists into one task."""
     out = ids.join(rows.withColumn("found", F.lit(True)), key, "left" if keep_unknown else "inner")
-    return out.withColumn("found", F.coalesce("found", F.lit(False))).orderBy(position)
+    return out.withColumn("found", F.coalesce("found", F.lit(False))).orderBy(*lists, position)
 
 
 def delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -157,7 +157,7 @@ def ordered_lookup(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     ids = lines.select(F.col("l_orderkey").alias("list"), (F.col("l_partkey") * F.when(F.col("l_linenumber") == 7, -1).otherwise(1)).alias("p_partkey")).distinct()
     ids = ids.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(F.md5(F.col("p_partkey").cast("string")), "p_partkey")))
-    return J.ordered_lookup(ids, table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey", "pos", keep_unknown=True)
+    return J.ordered_lookup(ids, table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey", "pos", keep_unknown=True, lists=("list",))
 
 
 _CALLS = """e AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'call' WHEN event_type IN ('purchase', 'signup') THEN 'result' END AS kind,

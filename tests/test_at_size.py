@@ -32,3 +32,20 @@ def test_names_beside_letters_whose_upper_case_is_two(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
     got = [rows[r[0]] for r in df.where(names_any(F.col("t"), ["mit", "CC BY", "x+y"])).orderBy("i").collect()]
     assert got == ["ßmit", "mitß", "ﬁ mit", "mıt", "Mit", "x+Y", "cc by\n"]
+
+
+def test_lists_are_looked_up_one_after_the_other(spark):
+    from quillforge.operators.joins import ordered_lookup
+
+    ids = spark.createDataFrame([(n, p, 10 * n + p) for n in (2, 1, 3) for p in (2, 1)], "list int, pos int, id int")
+    out = ordered_lookup(ids, ids.select("id"), "id", "pos", lists=("list",))
+    assert [(r["list"], r["pos"]) for r in out.collect()] == [(n, p) for n in (1, 2, 3) for p in (1, 2)]
+    assert "rangepartitioning(list" in _plan(out)
+
+
+def test_variant_map_puts_the_entries_beside_a_region_last(spark, sf_dir):
+    from quillforge.plans import catalogue
+
+    plan = _plan(catalogue.QUERIES["variant_regions"](spark, sf_dir))
+    last = next(line for line in plan.splitlines() if "Join" in line)
+    assert last.lstrip(" :+-*()0123456789").startswith("SortMergeJoin") and "family" in last
