@@ -49,3 +49,10 @@ def test_variant_map_puts_the_entries_beside_a_region_last(spark, sf_dir):
     plan = _plan(catalogue.QUERIES["variant_regions"](spark, sf_dir))
     last = next(line for line in plan.splitlines() if "Join" in line)
     assert last.lstrip(" :+-*()0123456789").startswith("SortMergeJoin") and "family" in last
+
+
+def test_matching_exchanges_no_pairs(spark, sf_dir):
+    from quillforge.plans import catalogue
+
+    plan = _plan(catalogue.QUERIES["target_match"](spark, sf_dir))
+    assert "Window" not in plan and all("_band2" in line or "p_brand" not in line or "t_type" not in line or "isnull" in line for line in plan.splitlines() if "Join" in line)
