@@ -101,16 +101,18 @@ def notices_by_any_key(targets: DataFrame, notices: DataFrame, keys: list[list[s
     """targets with status, n_notices and notice_ids: the notices that share any one of the keys and whose range holds `at`.
 
     One equi-join a key, united: no disjunction in a join. A matched notice without a range withholds them all
-    (range_unresolved); so does a target without `at`. Ids are listed once, the newest notice first, then by id."""
-    known = targets.select(target, at, *dict.fromkeys(c for key in keys for c in key))
-    columns = [target, at, begin, end, notice, newest]
-    parts = [known.join(notices.select(*key, begin, end, notice, newest), key).select(*columns) for key in keys]
-    matched = reduce(DataFrame.unionByName, parts).distinct()
+    (range_unresolved); so does a target without `at`. Ids are listed once, the newest notice first, then by id. Targets that
+    differ in their name alone meet the notices once, and so do notices that differ in nothing that is read of them."""
+    asked = [at, *dict.fromkeys(c for key in keys for c in key)]
+    known = targets.select(*asked).distinct()
+    columns = [*asked, begin, end, notice, newest]
+    parts = [known.join(notices.select(*key, begin, end, notice, newest).distinct(), key).select(*columns) for key in keys]
+    matched = reduce(DataFrame.unionByName, parts)
     inside = F.col(at).between(F.col(begin), F.col(end))
     listed = F.sort_array(F.collect_set(F.when(inside, F.struct((-F.coalesce(newest, F.lit(0))).alias("o"), notice))))
-    per = matched.groupBy(target).agg(F.max(F.col(begin).isNull() | F.col(end).isNull() | F.col(at).isNull()).alias("_open"), F.array_distinct(F.transform(listed, lambda x: x[notice])).alias("_ids"))
+    per = matched.groupBy(*asked).agg(F.max(F.col(begin).isNull() | F.col(end).isNull() | F.col(at).isNull()).alias("_open"), F.array_distinct(F.transform(listed, lambda x: x[notice])).alias("_ids"))
     status = F.when(F.col("_open").isNull(), "no_notice").when(F.col("_open"), "range_unresolved").when(F.size("_ids") == 0, "not_affected").otherwise("affected")
-    both = targets.join(per, target, "left").withColumn("status", status)
+    both = join_null_safe(targets, per, asked).withColumn("status", status)
     affected = F.col("status") == "affected"
     return both.withColumn("n_notices", F.when(affected, F.size("_ids")).otherwise(0).cast("long")).withColumn("notice_ids", F.when(affected, F.array_join("_ids", ",")).otherwise("")).drop("_open", "_ids")
 

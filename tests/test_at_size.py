@@ -56,3 +56,13 @@ def test_matching_exchanges_no_pairs(spark, sf_dir):
 
     plan = _plan(catalogue.QUERIES["target_match"](spark, sf_dir))
     assert "Window" not in plan and all("_band2" in line or "p_brand" not in line or "t_type" not in line or "isnull" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_equal_targets_meet_equal_notices_once(spark):
+    from quillforge.operators.joins import notices_by_any_key
+
+    targets = spark.range(200).selectExpr("id AS t", "'m' AS make", "1 AS code", "2000 AS y")
+    notices = spark.range(200).selectExpr("'m' AS make", "1 AS code", "1999 AS b", "2001 AS e", "'R1' AS n", "5 AS ry")
+    out = notices_by_any_key(targets, notices, [["make"], ["code"]], "t", "y", "b", "e", "n", "ry")
+    assert {(r["status"], r["n_notices"], r["notice_ids"]) for r in out.collect()} == {("affected", 1, "R1")} and out.count() == 200
+    assert all("t#" not in line for line in _plan(out).splitlines() if "Join" in line and "make" in line and "isnull" not in line)
