@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.session import shared_folder, ship_package, table  # noqa: F401
+from quillforge.session import shared_folder, ship_package, shuffle_partitions, table  # noqa: F401
 
 #: Words as the result contracts define them: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +29,6 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _constant(values: list[int]) -> Column:
     """An array of longs, as one constant of the plan."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

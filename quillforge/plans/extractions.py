@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillforge.operators import extraction as X
 from quillforge.plans.registry import Registry
-from quillforge.session import table
+from quillforge.session import shuffle_partitions, table
 
 R = Registry()
 
@@ -52,5 +52,8 @@ def dictionary_statements(spark, sf_dir):
         line(F.when(j == 0, F.concat(F.lit("range "), s(n + 100))).otherwise("range 9000 km")), line(F.when(k == 3, "built without sunroof").otherwise("a sunroof is nice")), line("overpowered 300 kw doorstep"),
     ]
     segments = F.array(*[F.struct(F.lit(i).alias("segment"), label.alias("label"), value.alias("value"), text.alias("text")) for i, (label, value, text) in enumerate(sheet)])
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.explode(segments).alias("s")).select("doc", "s.*")
+    # dealt out while rows are short: few splits of a file hold them all, and sheets are made and read behind the scan; a given
+    # number, as else they would be put together again by their bytes
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(shuffle_partitions(spark), "p_partkey")
+    rows = part.select(F.col("p_partkey").alias("doc"), F.explode(segments).alias("s")).select("doc", "s.*")
     return X.best_statement(X.extract(rows, "doc", FIELDS), "doc").drop("quote")

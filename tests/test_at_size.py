@@ -66,3 +66,21 @@ def test_equal_targets_meet_equal_notices_once(spark):
     out = notices_by_any_key(targets, notices, [["make"], ["code"]], "t", "y", "b", "e", "n", "ry")
     assert {(r["status"], r["n_notices"], r["notice_ids"]) for r in out.collect()} == {("affected", 1, "R1")} and out.count() == 200
     assert all("t#" not in line for line in _plan(out).splitlines() if "Join" in line and "make" in line and "isnull" not in line)
+
+
+def test_data_sheets_are_dealt_out_before_they_are_made_and_read(spark, sf_dir):
+    from quillforge.plans import catalogue
+
+    lines = [line.strip() for line in _plan(catalogue.QUERIES["dictionary_statements"](spark, sf_dir)).splitlines()]
+    read = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert any("Exchange hashpartitioning(p_partkey" in line and "REPARTITION_BY_NUM" in line for line in lines[read:])
+    assert not any("Generate" in line for line in lines[next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line) :])
+
+
+def test_equal_segments_of_a_task_are_read_once(spark):
+    from quillforge.operators import extraction as X
+
+    long = "power " + "x" * X.KNOWN_LENGTH + " power 90 kw"
+    df = spark.createDataFrame([(d, s, None, None, t) for d in range(3) for s, t in enumerate(["power 80 kw", "power 80 kw", long])], "d int, segment int, label string, value string, text string").coalesce(1)
+    out = X.extract(df, "d", [X.Field("power", "numeric", ("power",), {"kw": 1.0})])
+    assert sorted((r["d"], r["segment"], r["value"]) for r in out.collect()) == [(d, s, v) for d in range(3) for s, v in enumerate(["80", "80", "90"])]
