@@ -84,3 +84,68 @@ def test_equal_segments_of_a_task_are_read_once(spark):
     df = spark.createDataFrame([(d, s, None, None, t) for d in range(3) for s, t in enumerate(["power 80 kw", "power 80 kw", long])], "d int, segment int, label string, value string, text string").coalesce(1)
     out = X.extract(df, "d", [X.Field("power", "numeric", ("power",), {"kw": 1.0})])
     assert sorted((r["d"], r["segment"], r["value"]) for r in out.collect()) == [(d, s, v) for d in range(3) for s, v in enumerate(["80", "80", "90"])]
+
+
+def test_conflicts_deal_their_rows_out_once_by_key(spark, sf_dir):
+    from quillforge.plans import catalogue
+
+    for name, key in (("conflict_classes", "l_partkey"), ("interval_conflicts", "item")):
+        plan = _plan(catalogue.QUERIES[name](spark, sf_dir))
+        assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 1
+        assert plan.count("Join") == 1  # of the rows and their suppliers
+
+
+def test_conflict_classes_against_a_plain_loop(spark):
+    import random
+
+    from quillforge.operators import resolution as X
+
+    r = random.Random(5)
+    some = lambda *v: r.choice(v)
+    rows = [(k, some(1.0, 9.0, 20.0, None) if k % 3 else some(1.0, 9.0), some(0.5, 4.0, None), some("a", "b", None) if k % 2 else None, some("s", "t", None), some("x", "y", "z", "")) for k in range(300) for _ in range(r.randint(1, 3))]
+    rows += [(None, 1.0, 1.0, "a", "s", "x")]
+    want = {}
+    for k in range(300):
+        mine = [x for x in rows if x[0] == k and x[1] is not None]
+        if not mine:
+            continue
+        values = {x[1] for x in mine}
+        labels = lambda i, v=None: {x[i] for x in mine if x[i] is not None and v in (None, x[1])}  # noqa: B023, E731
+        parted = lambda i: max(len(labels(i, v)) for v in values) == 1 and len(labels(i)) == len(values)  # noqa: B023, E731
+        ends = [(x[1] - x[2], x[1] + x[2]) for x in mine if x[2] is not None]
+        near = bool(ends) and max(a for a, _ in ends) <= min(b for _, b in ends)
+        kind = "agreed" if len(values) == 1 else "rounding_equivalent" if near else "market_difference" if parted(3) else "internal_source_inconsistency" if len(labels(4)) == 1 else "variant_scope_difference" if parted(5) else "true_conflict"
+        want[k] = (len(mine), len(values), kind)
+    df = spark.createDataFrame(rows, "k int, v double, t double, market string, source string, scope string")
+    out = X.conflict_classes(df, ["k"], "v", "t", "market", "source", "scope").collect()
+    assert {x["k"]: (x["n"], x["distinct_values"], x["conflict_class"]) for x in out} == want and len(out) == len(want)
+    assert len({kind for _, _, kind in want.values()}) == 6
+
+
+def test_interval_conflicts_against_a_plain_loop(spark):
+    import random
+
+    from quillforge.operators import resolution as X
+
+    r = random.Random(6)
+    some = lambda *v: r.choice(v)
+    rows = [(k, lo, lo + some(0, 0, 15), some(1, 6, None), some(1, 2, None), some(*range(k % 9 + 1), None), some(*range(9), None), some("x", "y", "z", "", None), some(True, False, None)) for k in range(400) for lo in [some(10, 20, 40) for _ in range(r.randint(1, 3))]]
+    rows += [(1, None, 5, 1, 1, 1, 1, "x", True), (None, 1, 1, 1, 1, 1, 1, "x", True)]
+    want = {}
+    for k in range(400):
+        mine = [x for x in rows if x[0] == k and x[1] is not None]
+        values = {x[1:3] for x in mine}
+        labels = lambda i, v=None: {"" if x[i] is None else str(x[i]) for x in mine if v in (None, x[1:3])}  # noqa: B023, E731
+        parted = lambda i: max(len(labels(i, v)) for v in values) == 1 and len(labels(i)) == len(values)  # noqa: B023, E731
+        ends = [(x[1] - x[3], x[2] + x[3]) for x in mine if x[3] is not None]
+        near = bool(ends) and max(a for a, _ in ends) <= min(b for _, b in ends)
+        scalars, ranges = {a for a, b in values if a == b}, [v for v in values if v[0] != v[1]]
+        inside = len(scalars) == 1 and bool(ranges) and all(a <= min(scalars) <= b for a, b in ranges)
+        shared = any(len({x[1:3] for x in mine if x[i] == own}) > 1 for i in (5, 6) for own in {x[i] for x in mine} - {None})
+        kind = "unit_equivalent" if len(values) == 1 else "scalar_inside_range" if inside else "rounding_equivalent" if near else "market_difference" if parted(4) else "internal_source_inconsistency" if shared else "variant_scope_difference" if parted(7) else "true_conflict"
+        bound = [x[8] for x in mine if x[1] == x[2] and x[8] is not None]
+        want[k] = (len(mine), len(values), kind, bool(bound) and all(bound) if kind == "scalar_inside_range" else kind in ("unit_equivalent", "rounding_equivalent"))
+    df = spark.createDataFrame(rows, "k int, lo int, hi int, t int, m int, doc int, dom int, scope string, exact boolean")
+    out = X.interval_conflicts(df, ["k"], "lo", "hi", "t", "m", "doc", "dom", "scope", "exact").collect()
+    assert {x["k"]: (x["n"], x["distinct_values"], x["conflict_class"], x["normalised"]) for x in out} == want and len(out) == len(want)
+    assert len({x[2] for x in want.values()}) == 7
