@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.session import shared_folder, ship_package, shuffle_partitions, table  # noqa: F401
+from quillforge.session import BROADCAST_ROWS, sent_if_small, shared_folder, ship_package, shuffle_partitions, table  # noqa: F401
 
 #: Words as the result contracts define them: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,15 +76,6 @@ def in_ranges(docs: DataFrame, n: int) -> tuple[DataFrame, list[Column]]:
     return docs.withColumn("_range", number), [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc()]
 
 
-#: Rows of at most three longs that are sent to every executor at once: about 25 MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def sent_if_small(keys: DataFrame) -> DataFrame:
-    """keys (a written table of ids) with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that, as it is."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
 #: A key that holds at least one of so many rows is hot; there are at most so many hot keys.
 HOT_KEYS = 2_000
 

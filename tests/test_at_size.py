@@ -149,3 +149,22 @@ def test_interval_conflicts_against_a_plain_loop(spark):
     out = X.interval_conflicts(df, ["k"], "lo", "hi", "t", "m", "doc", "dom", "scope", "exact").collect()
     assert {x["k"]: (x["n"], x["distinct_values"], x["conflict_class"], x["normalised"]) for x in out} == want and len(out) == len(want)
     assert len({x[2] for x in want.values()}) == 7
+
+
+def test_type_codes_are_dealt_out_before_their_forms_are_made(spark, sf_dir):
+    from quillforge.plans import catalogue
+
+    lines = _plan(catalogue.QUERIES["type_codes"](spark, sf_dir)).splitlines()
+    made = [i for i, line in enumerate(lines) if "Generate explode" in line]
+    assert len(made) == 2 and all("Exchange hashpartitioning" in "".join(lines[i : i + 5]) and "REPARTITION_BY_NUM" in "".join(lines[i : i + 5]) for i in made)
+    assert not any("Exchange" in line and "row_id" in line and "REPARTITION_BY_NUM" not in line for line in lines)  # forms are not exchanged with their rows
+
+
+def test_rows_with_one_id_count_once_and_only_by_their_makers_rules(spark):
+    from quillforge.operators.identity import by_type_code
+
+    targets = spark.createDataFrame([(1, "a", "v1"), (2, "b", "v1"), (3, None, "v1"), (4, "a", "w9"), (5, "c", "v1"), (6, "a", ".")], "t int, make string, code string")
+    rows = spark.createDataFrame([(7, "a", "V1", "V1", None), (7, "a", "v 1", None, None), (8, "a", "x", "v1 (EU)", None), (9, "b", "x", "v1", None), (9, None, "v1", "v1", None)], "r int, make string, variant string, version string, approval string")
+    rules = spark.createDataFrame([("a", "exact_va", 2), ("a", "toyota_style", 1), ("b", "exact_va", 1), ("c", "exact_va", 1)], "make string, rule string, place int")
+    got = {x["t"]: (x["status"], x["rule"], x["rows"]) for x in by_type_code(targets, rows, rules, "t", "r", "make").collect()}
+    assert got == {1: ("match", "toyota_style", 2), 2: ("no_match", None, 0), 3: ("no_rows", None, 0), 4: ("no_match", None, 0), 5: ("no_rows", None, 0), 6: ("no_code", None, 0)}
