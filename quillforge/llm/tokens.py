@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 
 #: Bytes, by estimate, that a worker may keep words and their ids in.
 MEMORY = 96 << 20
 _WORKER: dict[str, Encoder] = {}
+_NOT_KNOWN = partial(is_, None)
 
 
 class Encoder:
@@ -77,20 +81,33 @@ class Encoder:
         if self.feed is None:
             return self._bytes(texts)
         split = [t.replace("\n", " \n").split(" ") for t in texts]
+        firsts = self._bytes([words[0] for words in split])
         parts = [list(map(self.known.get, words)) for words in split]
+        out: list[bytes | None] = []
+        open_: list[int] = []
         unknown: set[str] = set()
-        for words, mine in zip(split, parts, strict=True):
-            unknown.update([w for w, p in zip(words[1:], mine[1:], strict=True) if p is None])
-        found = self._learn(unknown)
-        firsts = self._bytes([words[0] for words in split])
-        out: list[bytes] = []
-        for text, words, mine, first in zip(texts, split, parts, firsts, strict=True):
+        for i, (text, words, mine, first) in enumerate(zip(texts, split, parts, firsts, strict=True)):
             mine[0] = False if words[0][-1:].isspace() else first
-            mine = [found[w] if p is None else p for w, p in zip(words, mine, strict=True)]
-            if False in mine or any(s in text for s in self.special):
-                out += self._bytes([text]) if text else [b""]
-            else:
-                out.append(b"".join(mine))
+            out.append(None)
+            if any(s in text for s in self.special):
+                continue
+            try:
+                out[i] = b"".join(mine)
+            except TypeError:  # a word is not known, or not certain: only such texts are looked through word by word
+                open_.append(i)
+                unknown.update(compress(words, map(_NOT_KNOWN, mine)))
+        found = self._learn(unknown)
+        for i in open_:
+            mine = parts[i]
+            if None in mine:
+                mine = [found[w] if p is None else p for w, p in zip(split[i], mine, strict=True)]
+            try:
+                out[i] = b"".join(mine)
+            except TypeError:
+                pass
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(whole, self._bytes([texts[i] for i in whole]), strict=True):
+            out[i] = x
         return out
 
 
