@@ -51,6 +51,31 @@ def test_variant_map_puts_the_entries_beside_a_region_last(spark, sf_dir):
     assert last.lstrip(" :+-*()0123456789").startswith("SortMergeJoin") and "family" in last
 
 
+def test_variant_map_makes_the_lists_of_equal_cases_once_and_never_exchanges_them(spark, sf_dir):
+    from quillforge.plans import catalogue
+
+    lines = _plan(catalogue.QUERIES["variant_regions"](spark, sf_dir)).splitlines()
+    written = next(i for i, line in enumerate(lines) if "Generate inline(_regions" in line)
+    dealt = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line)
+    assert not any("array_join" in line or "lambda" in line for line in lines[:written])
+    assert any("array_join" in line for line in lines[written:dealt]) and not any("Exchange" in line for line in lines[written:dealt])
+
+
+def test_every_region_of_a_case_gets_its_lists(spark):
+    from quillforge.operators import selection as Q
+
+    n = 2 * Q._AT_ONCE + 5
+    told = lambda d, i, family, power: (d, i, family, [], power, *[[]] * 6)
+    rows = [told(d, 0, "f", []) for d in range(n)] + [told(0, 0, "f", [])] * n + [told(d, 1, "f", [100.0]) for d in range(0, n, 2)] + [told(1, 2, None, [100.0]), told(1, 3, "g", [100.0]), told(None, 4, "f", [])]
+    regions = spark.createDataFrame(rows, "document int, region int, family string, drivetrain array<string>, power array<double>, displacement array<double>, trim array<string>, body array<string>, propulsion array<string>, designation array<string>, gearbox array<string>")
+    entries = spark.createDataFrame([("f", 7, True, 100.0), ("f", 5, True, 200.0), ("f", 6, True, None)], "family string, key int, complete boolean, power double").selectExpr("*", "string(null) drivetrain", "double(null) displacement", "array('x') trims", "string(null) body", "string(null) propulsion")
+    got = [(r["document"], r["region"], r["candidates_before"], r["candidates_after"], r["status"], r["assignment"]) for r in Q.variant_map(regions, entries, "document", "region", "family").collect()]
+    heard = lambda d: ([7], "assigned", 7) if d % 2 == 0 or d == 1 else ([5, 6, 7], "unresolved", None)
+    want = [(d, 0, [5, 6, 7], *heard(d)) for d in [*range(n), *[0] * n]]
+    want += [(d, 1, [6, 7], [6, 7], "unresolved", None) for d in range(0, n, 2)] + [(1, 2, [], [], "unresolved", None), (1, 3, [], [], "no_catalog", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_matching_exchanges_no_pairs(spark, sf_dir):
     from quillforge.plans import catalogue
 
